@@ -160,10 +160,9 @@ def sync_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def conversation_titles(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Title of a conversation: its own, else the first readable message, else Untitled."""
-    # 400 characters leave more than 120 after whitespace is collapsed in all but blank-padded text
     first = (
         messages.where(S.clean(F.col("text")) != "").groupBy("conversation_id")
-        .agg(F.min_by(F.substring(S.clean(F.col("text")), 1, 121), F.col("seq")).alias("_first"))
+        .agg(F.min_by(F.substring(S.clean(F.col("text")), 1, 160), F.col("seq")).alias("_first"))
         .withColumnRenamed("conversation_id", "id"))
     return conversations.join(first, "id", "left").select(
         *[c for c in conversations.columns if c != "title"], S.title_of(F.col("title"), F.col("_first")).alias("title"))

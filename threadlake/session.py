@@ -36,7 +36,7 @@ def local_session(cores: int | str = 8, app: str = "threadlake", **settings: str
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
