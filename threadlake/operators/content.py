@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from threadlake import constants as K
 from threadlake.functions import records as R
@@ -20,7 +21,7 @@ def unresolved(items: DataFrame, references: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- payloads
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def bytes_of_list(values: pd.Series) -> pd.Series:
     """Bytes of an array of numbers."""
     return values.map(lambda v: None if v is None else bytes(int(x) & 255 for x in v))
@@ -83,7 +84,7 @@ def jpeg_size(content: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-@F.pandas_udf("struct<width:bigint,height:bigint>")
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
 def jpeg_dimensions(content: pd.Series) -> pd.DataFrame:
     sizes = [jpeg_size(bytes(c)) if c is not None else (None, None) for c in content]
     return pd.DataFrame(sizes, columns=["width", "height"], dtype="object")

@@ -271,3 +271,19 @@ def gallery_rows(items: DataFrame, messages: DataFrame, conversations: DataFrame
 def unique_gallery(rows: DataFrame, order: str = "media_id") -> DataFrame:
     """First row per gallery key."""
     return first_of_group(rows, ["key"], [order], [c for c in rows.columns if c != "key"])
+
+
+def gallery_items(rows: DataFrame) -> DataFrame:
+    """Adds the display title and the search text of gallery items.
+
+    rows: media_id, title (of the conversation), prompt_text, message_text, message_id, source, mime_type, kind.
+    """
+    text = lambda c: F.col(c).cast("string")
+    cut = lambda c: F.when(F.length(c) > 260, F.concat(F.substring(c, 1, 257), F.lit("..."))).otherwise(F.col(c))
+    prompt, said = S.clean(cut("prompt_text")), S.clean(cut("message_text"))
+    title = S.first_nonempty(F.col("title"), prompt, said, text("media_id"))
+    blank = F.lit("")
+    return rows.select(
+        "*", title.alias("display_title"),
+        F.lower(F.concat_ws(" ", title, "title", F.nullif(prompt, blank), F.nullif(said, blank), text("media_id"), "message_id",
+                            "source", "mime_type", "kind")).alias("search_text"))

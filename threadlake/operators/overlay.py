@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators.ordered import first_of_group
@@ -47,10 +47,10 @@ def retention_plan(snapshots: DataFrame, keep: int) -> DataFrame:
     """Which managed snapshots stay: the latest ``keep``; only verified ones may go.
 
     snapshots: snapshot_id (sorts by time), verified, managed.  Nothing is deleted.
-    One row per snapshot: the table of snapshots is a catalog, not data.
     """
     eligible = F.col("verified") & F.col("managed")
-    rank = F.row_number().over(Window.partitionBy("_eligible").orderBy(F.col("snapshot_id").desc()))
-    return snapshots.withColumn("_eligible", eligible).withColumn("_rank", rank).select(
+    # a top-k: at most ``keep`` rows, so they can be broadcast
+    kept = snapshots.where(eligible).orderBy(F.col("snapshot_id").desc()).limit(keep).select("snapshot_id", F.lit(True).alias("_kept"))
+    return snapshots.join(F.broadcast(kept), "snapshot_id", "left").select(
         "snapshot_id", "verified", "managed",
-        F.when(~F.col("_eligible"), "untouched").when(F.col("_rank") <= keep, "keep").otherwise("prune").alias("action"))
+        F.when(~eligible, "untouched").when(F.col("_kept"), "keep").otherwise("prune").alias("action"))

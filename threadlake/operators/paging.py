@@ -44,7 +44,7 @@ def pages(
     lead = sizes.where((F.col("pos") % block_rows < max_rows) & (F.col("block") > 0))
     with_lead = sizes.unionByName(lead.withColumn("block", F.col("block") - 1))
 
-    def entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         pos, first = pdf["pos"].to_numpy(), int(key[1]) * block_rows
         own = int((pos < first + block_rows).sum())
@@ -60,7 +60,7 @@ def pages(
     table = with_lead.groupBy("store", "block").applyInPandas(
         entries, f"store {store_type}, block bigint, entry bigint, exit bigint, pages bigint")
 
-    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         steps = {(b, e): (x, p) for b, e, x, p in pdf[["block", "entry", "exit", "pages"]].itertuples(index=False)}
         out, entry, page = [], 0, 0
         for block in range(int(pdf["block"].max()) + 1):
@@ -72,7 +72,7 @@ def pages(
     starts = table.groupBy("store").applyInPandas(
         follow, f"store {store_type}, block bigint, entry bigint, first_page bigint")
 
-    def number(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    def number(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         own = int((pdf["pos"] < (int(key[1]) + 1) * block_rows).sum())
         nxt = _next_starts(pdf["size"].to_numpy(dtype=np.int64), max_rows, max_bytes)
