@@ -227,94 +227,79 @@ def extension_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(name), r".(\.[^.]*)$", 1))
 
 
-def signature(content: Column, file_name: Column, mime_hint: Column) -> Column:
-    """Struct of extension, mime_type, kind, width and height from leading bytes, else null."""
-    def byte(i: int) -> Column:
-        return F.conv(F.hex(F.substring(content, i + 1, 1)), 16, 10).cast("bigint")
-
-    def number(start: int, length: int, little: bool = False) -> Column:
-        order = range(start, start + length) if little else range(start + length - 1, start - 1, -1)
-        total = F.lit(0).cast("bigint")
-        for power, i in enumerate(order):
-            total = total + byte(i) * (256 ** power)
-        return total
-
-    size = F.length(content)
-    head = F.hex(F.substring(content, 1, 64))
-    none = F.lit(None).cast("bigint")
-
-    def found(extension, mime, kind, width: Column = none, height: Column = none) -> Column:
-        wrap = lambda v: F.lit(v) if isinstance(v, str) else v
-        return F.struct(
-            wrap(extension).alias("extension"), wrap(mime).alias("mime_type"), wrap(kind).alias("kind"),
-            width.alias("width"), height.alias("height"),
-        )
-
-    def ascii_hex(text: str) -> str:
-        return text.encode("latin-1").hex().upper()
-
-    webp = F.substring(head, 25, 8)
-    bits = number(21, 4, True)
-    webp_width = (
-        F.when((webp == ascii_hex("VP8X")) & (size >= 30), number(24, 3, True) + 1)
-        .when((webp == ascii_hex("VP8 ")) & (size >= 30) & (F.substring(head, 47, 6) == "9D012A"), number(26, 2, True) % 16384)
-        .when((webp == ascii_hex("VP8L")) & (size >= 25) & (F.substring(head, 41, 2) == "2F"), bits % 16384 + 1)
+def _ascii(text: str) -> str:
+    return text.encode("latin-1").hex().upper()
+
+
+def leading_hex(content: Column) -> Column:
+    """First 64 bytes as hex digits; all a signature needs."""
+    return F.hex(F.substring(content, 1, 64))
+
+
+def signature_extension(head: Column, size: Column, file_name: Column, mime_hint: Column) -> Column:
+    """Extension that the leading bytes prove, else null.  ``head`` is :func:`leading_hex`."""
+    def at(start: int, text: str) -> Column:
+        return F.substring(head, 2 * start + 1, 2 * len(text)) == _ascii(text)
+
+    # brands of an ISO container stand at byte 8 and from byte 16 on, four bytes each
+    def brand(names: tuple[str, ...]) -> Column:
+        codes = "|".join(_ascii(name) for name in names)
+        return head.rlike(f"^.{{16}}({codes})") | head.rlike(f"^.{{32}}(.{{8}})*({codes})")
+
+    extension = extension_of(F.coalesce(file_name, F.lit("")))
+    sound = (
+        F.coalesce(mime_hint, F.lit("")).rlike("(?i)^audio/") | extension.isin(".m4a", ".m4b", ".m4p", ".aac")
+        | brand(("M4A ", "M4B ", "M4P "))
     )
-    webp_height = (
-        F.when((webp == ascii_hex("VP8X")) & (size >= 30), number(27, 3, True) + 1)
-        .when((webp == ascii_hex("VP8 ")) & (size >= 30) & (F.substring(head, 47, 6) == "9D012A"), number(28, 2, True) % 16384)
-        .when((webp == ascii_hex("VP8L")) & (size >= 25) & (F.substring(head, 41, 2) == "2F"), F.floor(bits / 16384) % 16384 + 1)
+    container = (
+        F.when(brand(("avif", "avis")), ".avif").when(sound, F.when(extension == ".aac", ".aac").otherwise(".m4a"))
+        .when((extension == ".mov") | brand(("qt  ",)), ".mov").otherwise(".mp4")
     )
-    extension = extension_of(F.coalesce(file_name, F.lit("")))
-    # brands of an ISO container stand at byte 8 and from byte 16 on, four bytes each
-    brand_area = F.concat(F.substring(head, 17, 8), F.lit("|"), F.regexp_replace(F.substring(head, 33, 96), "(.{8})", "$1|"))
-    def brand(names: str) -> Column:
-        return brand_area.rlike("(^|\\|)(" + "|".join(ascii_hex(n) for n in names.split(",")) + ")\\|")
-    m4 = F.coalesce(mime_hint, F.lit("")).rlike("(?i)^audio/") | extension.isin(".m4a", ".m4b", ".m4p", ".aac") | brand("M4A ,M4B ,M4P ")
-    aac = extension == ".aac"
-    riff = head.startswith(ascii_hex("RIFF"))
     return (
-        F.when(head.startswith("89504E470D0A1A0A"), found(
-            ".png", "image/png", "image", F.when(size >= 24, number(16, 4)), F.when(size >= 24, number(20, 4))))
-        .when((size >= 4) & head.startswith("FFD8"), found(".jpg", "image/jpeg", "image"))
-        .when((size >= 10) & head.startswith(ascii_hex("GIF8")), found(
-            ".gif", "image/gif", "image", number(6, 2, True), number(8, 2, True)))
-        .when(riff & (F.substring(head, 17, 8) == ascii_hex("WEBP")), found(
-            ".webp", "image/webp", "image", webp_width.cast("bigint"), webp_height.cast("bigint")))
-        .when(riff & (F.substring(head, 17, 8) == ascii_hex("WAVE")), found(".wav", "audio/wav", "audio"))
-        .when(head.startswith(ascii_hex("fLaC")), found(".flac", "audio/flac", "audio"))
-        .when(head.startswith(ascii_hex("ID3")) | ((size >= 2) & head.rlike("^FF[EF]")), found(".mp3", "audio/mpeg", "audio"))
-        .when(head.startswith(ascii_hex("OggS")), found(".ogg", "audio/ogg", "audio"))
-        .when((size >= 12) & (F.substring(head, 9, 8) == ascii_hex("ftyp")),
-              F.when(brand("avif,avis"), found(".avif", "image/avif", "image"))
-              .when(m4, found(F.when(aac, ".aac").otherwise(".m4a"), F.when(aac, "audio/aac").otherwise("audio/mp4"), "audio"))
-              .when((extension == ".mov") | brand("qt  "), found(".mov", "video/quicktime", "video"))
-              .otherwise(found(".mp4", "video/mp4", "video")))
-        .when(head.startswith(ascii_hex("%PDF")), found(".pdf", "application/pdf", "file"))
+        F.when(head.startswith("89504E470D0A1A0A"), ".png")
+        .when((size >= 4) & head.startswith("FFD8"), ".jpg")
+        .when((size >= 10) & at(0, "GIF8"), ".gif")
+        .when(at(0, "RIFF") & at(8, "WEBP"), ".webp")
+        .when(at(0, "RIFF") & at(8, "WAVE"), ".wav")
+        .when(at(0, "fLaC"), ".flac")
+        .when(at(0, "ID3") | head.rlike("^FF[EF]"), ".mp3")
+        .when(at(0, "OggS"), ".ogg")
+        .when((size >= 12) & at(4, "ftyp"), container)
+        .when(at(0, "%PDF"), ".pdf")
     )
 
 
-def inspect(content: Column, file_name: Column, mime_hint: Column) -> Column:
-    """Signature, else file extension, else MIME hint, else an opaque file."""
-    extension = extension_of(F.coalesce(file_name, F.lit("")))
-    by_extension = F.try_element_at(
-        F.create_map(*[v for e, m, k in K.FILE_TYPES for v in (F.lit(e), F.struct(F.lit(m).alias("mime_type"), F.lit(k).alias("kind")))]),
-        extension,
-    )
-    first_by_mime: dict[str, tuple[str, str]] = {}
-    for e, m, k in K.FILE_TYPES:
-        first_by_mime.setdefault(m, (e, k))
-    by_mime = F.try_element_at(
-        F.create_map(*[v for m, (e, k) in first_by_mime.items()
-                       for v in (F.lit(m), F.struct(F.lit(e).alias("extension"), F.lit(k).alias("kind")))]),
-        F.lower(F.coalesce(mime_hint, F.lit(""))),
+def header_size(head: Column, size: Column, extension: Column, axis: str) -> Column:
+    """Width or height from a PNG, GIF or WebP header, else null."""
+    wide = axis == "width"
+
+    def number(start: int, length: int, little: bool = True) -> Column:
+        pairs = [F.substring(head, 2 * i + 1, 2) for i in range(start, start + length)]
+        return F.conv(F.concat(*(reversed(pairs) if little else pairs)), 16, 10).cast("bigint")
+
+    chunk = F.substring(head, 25, 8)
+    packed = number(21, 4)
+    webp = (
+        F.when((chunk == _ascii("VP8X")) & (size >= 30), number(24 if wide else 27, 3) + 1)
+        .when((chunk == _ascii("VP8 ")) & (size >= 30) & (F.substring(head, 47, 6) == "9D012A"), number(26 if wide else 28, 2) % 16384)
+        .when((chunk == _ascii("VP8L")) & (size >= 25) & (F.substring(head, 41, 2) == "2F"),
+              (packed if wide else F.shiftright(packed, 14)) % 16384 + 1)
     )
-    hinted_mime = F.when(by_mime.isNotNull(), F.lower(mime_hint))
-    none = F.lit(None).cast("bigint")
-    guessed = F.struct(
-        F.coalesce(F.when(extension != "", extension), by_mime["extension"], F.lit(".bin")).alias("extension"),
-        F.coalesce(by_extension["mime_type"], hinted_mime, F.lit("application/octet-stream")).alias("mime_type"),
-        F.coalesce(by_extension["kind"], by_mime["kind"], F.lit("file")).alias("kind"),
-        none.alias("width"), none.alias("height"),
+    return (
+        F.when((extension == ".png") & (size >= 24), number(16 if wide else 20, 4, False))
+        .when(extension == ".gif", number(6 if wide else 8, 2)).when(extension == ".webp", webp)
     )
-    return F.coalesce(signature(content, file_name, mime_hint), guessed)
+
+
+def type_of_extension(extension: Column, field: str) -> Column:
+    """MIME type or kind of a known file extension, else null."""
+    index = {"mime_type": 1, "kind": 2}[field]
+    return F.try_element_at(_map([(row[0], row[index]) for row in K.FILE_TYPES]), extension)
+
+
+def extension_of_mime(mime: Column) -> Column:
+    """First known extension of a MIME type, else null."""
+    first: dict[str, str] = {}
+    for extension, known, _ in K.FILE_TYPES:
+        first.setdefault(known, extension)
+    return F.try_element_at(_map(list(first.items())), F.lower(F.coalesce(mime, F.lit(""))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake import constants as K
@@ -35,30 +35,43 @@ def kind_of(value: Column) -> Column:
 def child(value: Column, name: str) -> Column:
     """A member as VARIANT; null when missing or JSON null."""
     found = F.try_variant_get(value, f"$.{name}", "variant")
-    return F.get(F.filter(F.array(found), lambda v: ~F.is_variant_null(v)), F.lit(0))
+    return F.when(~F.is_variant_null(found), found)
 
 
-def layers(record: Column) -> Column:
-    """The record and up to four envelopes inside it, outermost first.
+def is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
-    An envelope is the first of the envelope fields that carries a value, looked
-    up with inner layers first; a value that is no object ends the chain.
+
+ENVELOPES = 4
+
+
+def unwrap(df: DataFrame, record: str = "record", out: str = "r") -> DataFrame:
+    """Adds ``r0`` (the record) to ``r4``: the record and up to four envelopes inside it.
+
+    An envelope is the first of the envelope fields that carries a value, looked up
+    with inner layers first; a value that is no object ends the chain.
     """
+    df = df.withColumn(f"{out}0", F.col(record))
+    for level in range(1, ENVELOPES + 1):
+        opened = [F.col(f"{out}{i}") for i in range(level)]
+        df = df.withColumn("_inner", F.coalesce(*[lookup(opened, name) for name in K.ENVELOPE_FIELDS]))
+        df = df.withColumn(f"{out}{level}", F.when(is_object(F.col("_inner")), F.col("_inner"))).drop("_inner")
+    return df
 
-    def descend(stack: Column, _: Column) -> Column:
-        inner = F.coalesce(*[lookup(stack, name) for name in K.ENVELOPE_FIELDS])
-        return bind(inner, lambda v: F.when(kind_of(v) == "object", F.concat(stack, F.array(v))).otherwise(stack))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.array(record), descend)
+def layers(out: str = "r") -> list[Column]:
+    """Columns that :func:`unwrap` added, outermost first."""
+    return [F.col(f"{out}{i}") for i in range(ENVELOPES + 1)]
 
 
-def lookup(stack: Column, name: str) -> Column:
+def lookup(stack: Sequence[Column], name: str) -> Column:
     """A member of an unwrapped record as VARIANT; inner layers win."""
-    values = F.filter(
-        F.transform(F.reverse(stack), lambda layer: child(layer, name)),
-        lambda value: value.isNotNull(),
-    )
-    return F.get(values, F.lit(0))
+    return F.coalesce(*[child(layer, name) for layer in reversed(stack)])
+
+
+def text(stack: Sequence[Column], name: str) -> Column:
+    """A member of an unwrapped record as text, read straight from the layer that has it."""
+    return F.coalesce(*[F.try_variant_get(layer, f"$.{name}", "string") for layer in reversed(stack)])
 
 
 def as_text(value: Column) -> Column:
@@ -66,40 +79,45 @@ def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def first_text_of(values: Iterable[Column]) -> Column:
+def first_text(stack: Sequence[Column], names: Iterable[str]) -> Column:
     """First string or number that is neither blank nor ``0`` after trimming."""
-    def usable(value: Column) -> Column:
-        text = F.trim(as_text(value))
-        return F.when(kind_of(value).isin("string", "number") & ~text.isin("", "0"), text)
-
-    return F.coalesce(*[bind(value, usable) for value in values])
+    def usable(name: str) -> Column:
+        value = text(stack, name)
+        # only such texts can come from anything but a string or a number
+        doubtful = value.rlike(r"^(true$|false$|[\[{])")
+        scalar = F.schema_of_variant(lookup(stack, name)) == "STRING"
+        return F.when(~F.trim(value).isin("", "0") & (~doubtful | scalar), F.trim(value))
 
+    return F.coalesce(*[usable(name) for name in names])
 
-def first_text(stack: Column, names: Iterable[str]) -> Column:
-    return first_text_of(lookup(stack, name) for name in names)
 
+def first_value(stack: Sequence[Column], names: Iterable[str]) -> Column:
+    """First member that is neither blank text, the number 0 nor false, as text."""
+    def usable(name: str) -> Column:
+        value = text(stack, name)
+        saved_as_text = F.schema_of_variant(lookup(stack, name)) == "STRING"
+        return F.when((value != "") & (~value.isin("0", "false") | saved_as_text), value)
 
-def first_value(stack: Column, names: Iterable[str]) -> Column:
-    """First member that is truthy (not blank, not 0, not false), as text."""
-    return F.coalesce(*[
-        bind(as_text(lookup(stack, name)), lambda text: F.when(~text.isin("", "0", "false"), text)) for name in names
-    ])
+    return F.coalesce(*[usable(name) for name in names])
 
 
-def record_id(stack: Column, fallback: Column) -> Column:
+def record_id(stack: Sequence[Column], fallback: Column) -> Column:
     """Identifier of a record, or the fallback (store name and line number)."""
-    return F.coalesce(*[
-        bind(as_text(lookup(stack, name)), lambda text: F.when(F.trim(text) != "", text)) for name in K.RECORD_ID_FIELDS
-    ], fallback)
+    return F.coalesce(*[F.when(F.trim(text(stack, name)) != "", text(stack, name)) for name in K.RECORD_ID_FIELDS], fallback)
 
 
-def finite_nonneg_of(values: Iterable[Column]) -> Column:
-    """First finite number that is zero or more; numeric text counts."""
+def finite_nonneg(*values: Column) -> Column:
+    """First finite number of zero or more among texts; blank and non-numeric text is passed over."""
     def usable(value: Column) -> Column:
-        number = F.trim(as_text(value)).try_cast("double")
-        return F.when((number >= 0) & (number < float("inf")) & (kind_of(value) != "boolean"), number)
+        number = F.trim(value).try_cast("double")
+        return F.when((number >= 0) & (number < float("inf")), number)
+
+    return F.coalesce(*[usable(value) for value in values])
+
 
-    return F.coalesce(*[bind(value, usable) for value in values])
+def readable_text(value: Column) -> Column:
+    """Text of a value: a string as it is, anything nested flattened."""
+    return F.when(F.schema_of_variant(value) == "STRING", as_text(value)).otherwise(flatten_text(value))
 
 
 def flatten_text(value: Column, depth: int = 4) -> Column:

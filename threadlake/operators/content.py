@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threadlake import constants as K
+from threadlake.functions import media as M
 from threadlake.functions import records as R
 from threadlake.operators.ordered import first_of_group, last_before
 
@@ -21,12 +22,6 @@ def unresolved(items: DataFrame, references: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- payloads
 
-@F.pandas_udf(BinaryType())
-def bytes_of_list(values: pd.Series) -> pd.Series:
-    """Bytes of an array of numbers."""
-    return values.map(lambda v: None if v is None else bytes(int(x) & 255 for x in v))
-
-
 def _base64_bytes(text: Column) -> Column:
     """Bytes of base64 text, plain or in a data URL; other alphabets and missing padding are accepted."""
     body = F.regexp_replace(F.regexp_replace(text, r"(?s)^data:[^;,]+;base64,", ""), r"[^A-Za-z0-9+/_-]", "")
@@ -35,36 +30,38 @@ def _base64_bytes(text: Column) -> Column:
     return F.unbase64(F.regexp_replace(standard, "^((?:.{4})*).$", "$1"))
 
 
+def _number_bytes(numbers: Column) -> Column:
+    """Bytes of an array of numbers, each taken modulo 256."""
+    digits = F.transform(numbers, lambda n: F.lpad(F.hex(n.cast("bigint").bitwiseAND(255)), 2, "0"))
+    return F.unhex(F.array_join(digits, ""))
+
+
 def decode_payload(value: Column) -> Column:
     """Bytes of a VARIANT payload: base64 or data URL, byte array, numeric-key object, encoded view."""
+    def view(v: Column) -> Column:
+        """Part of encoded bytes from an offset on."""
+        start = F.coalesce(R.as_text(R.child(v, "byteOffset")).try_cast("int"), F.lit(0))
+        length = F.coalesce(R.as_text(R.child(v, "length")).try_cast("int"), F.lit(2**31 - 1))
+        return F.when(R.child(v, "encoded").isNotNull(), F.substring(_base64_bytes(R.as_text(R.child(v, "encoded"))), start + 1, length))
+
+    def keyed(v: Column) -> Column:
+        """Numbers of an object with numeric keys, in key order."""
+        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,int>"))
+        numeric = F.filter(entries, lambda e: e["key"].rlike(r"^\d+$"))
+        ordered = F.array_sort(F.transform(numeric, lambda e: F.struct(e["key"].cast("int").alias("k"), e["value"].alias("n"))))
+        return F.when(F.size(numeric) > 0, _number_bytes(F.transform(ordered, lambda e: e["n"])))
+
     def decode(v: Column) -> Column:
         kind = R.kind_of(v)
-        members = F.try_variant_get(v, "$", "map<string,int>")
-        keys = F.array_sort(F.transform(
-            F.filter(F.map_keys(members), lambda k: k.rlike(r"^\d+$")), lambda k: k.cast("int")))
-        numbers = F.transform(keys, lambda k: F.try_element_at(members, k.cast("string")))
-        encoded = R.as_text(R.child(v, "encoded"))
-        whole = _base64_bytes(encoded)
-        start = F.coalesce(R.as_text(R.child(v, "byteOffset")).try_cast("int"), F.lit(0))
-        length = F.coalesce(R.as_text(R.child(v, "length")).try_cast("int"), F.length(whole) - start)
-        return F.struct(
+        return (
             F.when(kind == "string", _base64_bytes(R.as_text(v)))
-            .when(encoded.isNotNull(), F.substring(whole, start + 1, length)).alias("content"),
-            F.when(kind == "array", F.try_variant_get(v, "$", "array<int>"))
-            .when((kind == "object") & (F.size(keys) > 0), numbers).alias("numbers"),
+            .when(kind == "array", _number_bytes(F.try_variant_get(v, "$", "array<int>")))
+            .when(kind == "object", F.coalesce(view(v), keyed(v)))
         )
 
     return R.bind(value, decode)
 
 
-def with_content(df: DataFrame, payload: str, out: str = "content") -> DataFrame:
-    """Adds the decoded bytes; only rows with number lists meet Python."""
-    staged = df.withColumn("_payload", decode_payload(F.col(payload)))
-    native = staged.where("_payload.numbers is null").withColumn(out, F.col("_payload.content"))
-    listed = staged.where("_payload.numbers is not null").withColumn(out, bytes_of_list(F.col("_payload.numbers")))
-    return native.unionByName(listed).drop("_payload")
-
-
 def jpeg_size(content: bytes) -> tuple[int | None, int | None]:
     """Width and height from the first frame header of a JPEG, by walking its segments."""
     frames = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
@@ -91,15 +88,27 @@ def jpeg_dimensions(content: pd.Series) -> pd.DataFrame:
 
 
 def inspect_objects(objects: DataFrame, content: str, file_name: str, mime: str) -> DataFrame:
-    """Detected type and size of each object; JPEG sizes need a scan of the segments."""
-    from threadlake.functions.media import inspect
-    staged = objects.withColumn("_m", inspect(F.col(content), F.col(file_name), F.col(mime)))
-    jpeg = (F.col("_m.mime_type") == "image/jpeg") & F.hex(F.substring(content, 1, 2)).eqNullSafe("FFD8")
-    fields = lambda w, h: [F.col("_m.extension").alias("extension"), F.col("_m.mime_type").alias("detected_mime"),
-                           F.col("_m.kind").alias("detected_kind"), w.alias("width"), h.alias("height")]
-    plain = staged.where(~jpeg).select(*objects.columns, *fields(F.col("_m.width"), F.col("_m.height")))
-    scanned = staged.where(jpeg).withColumn("_s", jpeg_dimensions(F.col(content))).select(
-        *objects.columns, *fields(F.col("_s.width"), F.col("_s.height")))
+    """Detected type and size of each object: by its bytes, else by its name, else by the reported type.
+
+    Only JPEG files need a scan of their segments; they alone meet Python.
+    """
+    blank = F.lit("")
+    staged = objects.withColumns({"_head": M.leading_hex(F.col(content)), "_size": F.length(content)}).withColumn(
+        "_proved", M.signature_extension(F.col("_head"), F.col("_size"), F.col(file_name), F.col(mime)))
+    named = F.nullif(M.extension_of(F.coalesce(F.col(file_name), blank)), blank)
+    staged = staged.withColumns({"_named": named, "_hinted": M.extension_of_mime(F.col(mime))})
+    known = lambda field: F.coalesce(*[M.type_of_extension(F.col(c), field) for c in ("_proved", "_named", "_hinted")])
+    found = staged.withColumns({
+        "extension": F.coalesce("_proved", "_named", "_hinted", F.lit(".bin")),
+        "detected_mime": F.coalesce(known("mime_type"), F.lit("application/octet-stream")),
+        "detected_kind": F.coalesce(known("kind"), F.lit("file")),
+    })
+    side = lambda axis: M.header_size(F.col("_head"), F.col("_size"), F.col("_proved"), axis)
+    fields = [*objects.columns, "extension", "detected_mime", "detected_kind"]
+    jpeg = F.col("_proved").eqNullSafe(".jpg")
+    plain = found.where(~jpeg).select(*fields, side("width").alias("width"), side("height").alias("height"))
+    scanned = found.where(jpeg).withColumn("_s", jpeg_dimensions(F.col(content))).select(
+        *fields, F.col("_s.width").alias("width"), F.col("_s.height").alias("height"))
     return plain.unionByName(scanned)
 
 
@@ -109,13 +118,12 @@ def reconcile(media: DataFrame, objects: DataFrame) -> DataFrame:
     media: media_id, path, file_name, mime_type, kind, available; objects: path, bytes, extension,
     detected_mime, detected_kind, width, height.
     """
-    from threadlake.functions.media import correct_extension, extension_of
     joined = media.join(objects, "path", "left")
     there = F.col("available") & F.col("bytes").isNotNull()
-    name = correct_extension(F.col("file_name"), F.col("extension"))
+    name = M.correct_extension(F.col("file_name"), F.col("extension"))
     reported = F.lower(F.substring_index(F.coalesce("mime_type", F.lit("")), ";", 1))
     jpeg = [".jpg", ".jpeg"]
-    path_extension = extension_of(F.col("path"))
+    path_extension = M.extension_of(F.col("path"))
     mismatch = (path_extension != "") & (path_extension != F.col("extension")) & ~(
         path_extension.isin(jpeg) & F.col("extension").isin(jpeg))
     corrected = ((reported != "") & (reported != F.col("detected_mime"))) | F.coalesce(name != F.col("file_name"), F.lit(False)) | mismatch

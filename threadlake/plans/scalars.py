@@ -30,8 +30,8 @@ def json_records(t: Tables):
            case when doc_id % 3 = 2 then 'wrapped' end as kind
     from {documents}""")
 def unwrap(t: Tables):
-    rows = json_records(t).select("doc_id", R.layers(F.col("record")).alias("r"))
-    pick = lambda name: R.as_text(R.lookup(F.col("r"), name)).alias(name)
+    rows = R.unwrap(json_records(t))
+    pick = lambda name: R.text(R.layers(), name).alias(name)
     return rows.select("doc_id", pick("id"), pick("title"), pick("rev"), pick("kind"))
 
 
@@ -45,9 +45,9 @@ def first_text(t: Tables):
         .when(doc == 1, F.concat(F.lit('{"title":"0","name":" '), F.col("source"), F.lit(' "}'))) \
         .when(doc == 2, F.lit('{"title":{"a":1},"name":7}')) \
         .otherwise(F.concat(F.lit('{"title":true,"name":"'), F.col("lang"), F.lit('"}')))
-    rows = t.documents.select("doc_id", "text", F.array(R.parse(text)).alias("r"))
+    rows = t.documents.select("doc_id", "text", R.parse(text).alias("r"))
     return rows.select(
-        "doc_id", R.first_text(F.col("r"), ("title", "name")).alias("value"),
+        "doc_id", R.first_text([F.col("r")], ("title", "name")).alias("value"),
         S.first_string(F.substring("text", 1, 12)).alias("head"),
     )
 
@@ -61,8 +61,8 @@ def record_id(t: Tables):
     text = F.when(doc % 3 == 0, F.concat(F.lit('{"id":"d'), doc, F.lit('"}'))) \
         .when(doc % 3 == 1, F.concat(F.lit('{"id":" ","_id":'), doc, F.lit("}"))) \
         .otherwise(F.lit('{"name":"x"}'))
-    rows = t.documents.select("doc_id", F.array(R.parse(text)).alias("r"))
-    return rows.select("doc_id", R.record_id(F.col("r"), F.concat(F.lit("docs-"), "doc_id")).alias("id"))
+    rows = t.documents.select("doc_id", R.parse(text).alias("r"))
+    return rows.select("doc_id", R.record_id([F.col("r")], F.concat(F.lit("docs-"), "doc_id")).alias("id"))
 
 
 @query("C4_flatten_text", """
@@ -78,7 +78,7 @@ def flatten_text(t: Tables):
         .when(doc == 1, F.concat(F.lit("["), lang, F.lit(',{"text":'), source, F.lit("}]"))) \
         .when(doc == 2, F.concat(F.lit('[{"content":['), source, F.lit(']},"tail"]'))) \
         .otherwise(F.concat(F.lit('{"value":{"summary":'), lang, F.lit("}}")))
-    return t.documents.select("doc_id", R.flatten_text(R.parse(text)).alias("text"))
+    return t.documents.select("doc_id", R.readable_text(R.parse(text)).alias("text"))
 
 
 @query("C5_response_text", """
@@ -145,7 +145,7 @@ def token_counts(t: Tables):
     props = R.parse("props")
     rows = t.events.select(
         "event_id",
-        R.finite_nonneg_of([R.child(props, "missing"), R.child(props, "k")]).cast("bigint").alias("tokens_in"),
+        R.finite_nonneg(R.text([props], "missing"), R.text([props], "k")).cast("bigint").alias("tokens_in"),
         F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("tokens_out"),
         F.when(F.col("event_id") % 4 == 0, F.col("event_id")).alias("explicit"),
     )
