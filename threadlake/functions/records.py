@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,40 +38,41 @@ def child(value: Column, name: str) -> Column:
     return F.when(~F.is_variant_null(found), found)
 
 
-def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+ENVELOPES = 4
 
 
-ENVELOPES = 4
+def fields(value: Column) -> Column:
+    """Members of an object as a map; null for anything that is no object."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def unwrap(df: DataFrame, record: str = "record", out: str = "r") -> DataFrame:
-    """Adds ``r0`` (the record) to ``r4``: the record and up to four envelopes inside it.
+    """Adds ``r``: the members of a record and of up to four envelopes inside it, inner ones first.
 
-    An envelope is the first of the envelope fields that carries a value, looked up
-    with inner layers first; a value that is no object ends the chain.
+    An envelope is the first of the envelope fields that carries a value; a value
+    that is no object ends the chain.
     """
-    df = df.withColumn(f"{out}0", F.col(record))
-    for level in range(1, ENVELOPES + 1):
-        opened = [F.col(f"{out}{i}") for i in range(level)]
-        df = df.withColumn("_inner", F.coalesce(*[lookup(opened, name) for name in K.ENVELOPE_FIELDS]))
-        df = df.withColumn(f"{out}{level}", F.when(is_object(F.col("_inner")), F.col("_inner"))).drop("_inner")
+    df = df.withColumn(out, fields(F.col(record)))
+    for _ in range(ENVELOPES):
+        inner = F.coalesce(*[lookup(out, name) for name in K.ENVELOPE_FIELDS])
+        df = df.withColumn("_inner", fields(inner))
+        outer = F.map_filter(out, lambda key, _: ~F.map_contains_key("_inner", key))
+        df = df.withColumn(out, F.when(F.col("_inner").isNull(), F.col(out)).otherwise(F.map_concat(outer, "_inner"))).drop("_inner")
     return df
 
 
-def layers(out: str = "r") -> list[Column]:
-    """Columns that :func:`unwrap` added, outermost first."""
-    return [F.col(f"{out}{i}") for i in range(ENVELOPES + 1)]
+def lookup(r: str, name: str) -> Column:
+    """A member of an unwrapped record as VARIANT; null when missing or JSON null."""
+    return F.expr(f"if(is_variant_null(try_element_at({r}, '{name}')), null, try_element_at({r}, '{name}'))")
 
 
-def lookup(stack: Sequence[Column], name: str) -> Column:
-    """A member of an unwrapped record as VARIANT; inner layers win."""
-    return F.coalesce(*[child(layer, name) for layer in reversed(stack)])
+def _text(r: str, name: str) -> str:
+    return f"try_variant_get(try_element_at({r}, '{name}'), '$', 'string')"
 
 
-def text(stack: Sequence[Column], name: str) -> Column:
-    """A member of an unwrapped record as text, read straight from the layer that has it."""
-    return F.coalesce(*[F.try_variant_get(layer, f"$.{name}", "string") for layer in reversed(stack)])
+def text(r: str, name: str) -> Column:
+    """A member of an unwrapped record as text."""
+    return F.expr(_text(r, name))
 
 
 def as_text(value: Column) -> Column:
@@ -79,31 +80,30 @@ def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def first_text(stack: Sequence[Column], names: Iterable[str]) -> Column:
+def first_text(r: str, names: Iterable[str]) -> Column:
     """First string or number that is neither blank nor ``0`` after trimming."""
-    def usable(name: str) -> Column:
-        value = text(stack, name)
-        # only such texts can come from anything but a string or a number
-        doubtful = value.rlike(r"^(true$|false$|[\[{])")
-        scalar = F.schema_of_variant(lookup(stack, name)) == "STRING"
-        return F.when(~F.trim(value).isin("", "0") & (~doubtful | scalar), F.trim(value))
+    def usable(name: str) -> str:
+        # only texts that look like a boolean or a container can come from one
+        value, saved_as_text = _text(r, name), f"schema_of_variant(try_element_at({r}, '{name}')) = 'STRING'"
+        doubtful = rf"{value} rlike '^(true$|false$|[\\[{{])'"
+        return f"case when trim({value}) not in ('', '0') and (not {doubtful} or {saved_as_text}) then trim({value}) end"
 
-    return F.coalesce(*[usable(name) for name in names])
+    return F.expr(f"coalesce({', '.join(usable(name) for name in names)})")
 
 
-def first_value(stack: Sequence[Column], names: Iterable[str]) -> Column:
+def first_value(r: str, names: Iterable[str]) -> Column:
     """First member that is neither blank text, the number 0 nor false, as text."""
-    def usable(name: str) -> Column:
-        value = text(stack, name)
-        saved_as_text = F.schema_of_variant(lookup(stack, name)) == "STRING"
-        return F.when((value != "") & (~value.isin("0", "false") | saved_as_text), value)
+    def usable(name: str) -> str:
+        value, saved_as_text = _text(r, name), f"schema_of_variant(try_element_at({r}, '{name}')) = 'STRING'"
+        return f"case when {value} <> '' and ({value} not in ('0', 'false') or {saved_as_text}) then {value} end"
 
-    return F.coalesce(*[usable(name) for name in names])
+    return F.expr(f"coalesce({', '.join(usable(name) for name in names)})")
 
 
-def record_id(stack: Sequence[Column], fallback: Column) -> Column:
+def record_id(r: str, fallback: Column) -> Column:
     """Identifier of a record, or the fallback (store name and line number)."""
-    return F.coalesce(*[F.when(F.trim(text(stack, name)) != "", text(stack, name)) for name in K.RECORD_ID_FIELDS], fallback)
+    named = [f"case when trim({_text(r, name)}) <> '' then {_text(r, name)} end" for name in K.RECORD_ID_FIELDS]
+    return F.coalesce(F.expr(f"coalesce({', '.join(named)})"), fallback)
 
 
 def finite_nonneg(*values: Column) -> Column:
@@ -115,37 +115,37 @@ def finite_nonneg(*values: Column) -> Column:
     return F.coalesce(*[usable(value) for value in values])
 
 
-def readable_text(value: Column) -> Column:
-    """Text of a value: a string as it is, anything nested flattened."""
-    return F.when(F.schema_of_variant(value) == "STRING", as_text(value)).otherwise(flatten_text(value))
+def _child(value: str, name: str) -> str:
+    found = f"try_variant_get({value}, '$.{name}', 'variant')"
+    return f"if(is_variant_null({found}), null, {found})"
 
 
-def flatten_text(value: Column, depth: int = 4) -> Column:
-    """Readable text of a string, an array of parts or an object, to a fixed depth."""
-    def text_of(v: Column) -> Column:
-        text = F.when(kind_of(v) == "string", as_text(v))
-        if depth > 0:
-            items = F.transform(
-                F.try_variant_get(v, "$", "array<variant>"),
-                lambda item: F.coalesce(child(item, "text"), child(item, "content"), item),
-            )
-            member = F.coalesce(*[child(v, name) for name in ("text", "content", "value", "summary")])
-            inner = F.when(kind_of(v) == "array", items).when(kind_of(v) == "object", F.array(member))
-            parts = F.transform(inner, lambda item: flatten_text(item, depth - 1))
-            text = F.coalesce(text, F.array_join(F.filter(parts, lambda t: t != ""), "\n"))
-        return F.coalesce(text, F.lit(""))
+def _flat(value: str, depth: int) -> str:
+    """SQL text of :func:`readable_text`; each level names its value once, in a lambda."""
+    saved = "try_variant_get({0}, '$', 'string')"
+    if depth == 0:
+        return f"if(schema_of_variant({value}) = 'STRING', {saved.format(value)}, '')"
+    v, i, part = f"v{depth}", f"i{depth}", f"p{depth}"
+    member = ", ".join(_child(v, name) for name in ("text", "content", "value", "summary"))
+    items = (
+        f"coalesce(transform(try_variant_get({v}, '$', 'array<variant>'), "
+        f"{i} -> coalesce({_child(i, 'text')}, {_child(i, 'content')}, {i})), array(coalesce({member})))"
+    )
+    joined = f"array_join(filter(transform({items}, {part} -> {_flat(part, depth - 1)}), t -> t <> ''), '\\n')"
+    body = f"if(schema_of_variant({v}) = 'STRING', {saved.format(v)}, {joined})"
+    return f"coalesce(get(transform(array({value}), {v} -> {body}), 0), '')"
 
-    return F.coalesce(bind(value, text_of), F.lit(""))
 
+def readable_text(name: str, depth: int = 4) -> Column:
+    """Readable text of a VARIANT column: a string, an array of parts or an object, to a fixed depth."""
+    return F.expr(_flat(name, depth))
 
-def response_text(items: Column) -> Column:
+
+def response_text(name: str) -> Column:
     """Text of the items of type ``message`` only, joined by a blank line."""
-    messages = F.filter(
-        F.try_variant_get(items, "$", "array<variant>"),
-        lambda item: as_text(child(item, "type")) == "message",
-    )
-    texts = F.transform(messages, lambda item: flatten_text(child(item, "content"), 2))
-    return F.trim(F.array_join(F.filter(texts, lambda text: text != ""), "\n\n"))
+    messages = f"filter(try_variant_get({name}, '$', 'array<variant>'), m -> try_variant_get(m, '$.type', 'string') = 'message')"
+    texts = f"transform({messages}, m -> {_flat(_child('m', 'content'), 2)})"
+    return F.expr(f"trim(array_join(filter({texts}, t -> t <> ''), '\\n\\n'))")
 
 
 def canonical_json(value: Column) -> Column:

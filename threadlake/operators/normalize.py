@@ -16,32 +16,32 @@ from threadlake.functions import records as R
 from threadlake.functions import scalars as S
 
 
+_R = "r"
+
+
 def routed(records: DataFrame, *targets: str) -> DataFrame:
     """Records whose store belongs to one of the target tables, with envelopes opened."""
     rows = records.where(P.store_target(F.col("store")).isin(*targets))
     return R.unwrap(rows).drop("record")
 
 
-def _r() -> list[Column]:
-    return R.layers()
-
-
 def _fallback() -> Column:
     return F.concat_ws("-", "store", F.col("line_no").cast("string"))
 
 
 def _time(names) -> Column:
-    return S.to_millis(R.first_value(_r(), names))
+    return S.to_millis(R.first_value(_R, names))
 
 
 def conversations(records: DataFrame) -> DataFrame:
-    rows = routed(records, "conversation", "studio_session")
+    rows = routed(records, "conversation", "studio_session").withColumn(
+        "body", F.coalesce(R.lookup(_R, "preview"), R.lookup(_R, "summary")))
     staged = rows.select(
-        "store", "line_no", R.record_id(_r(), _fallback()).alias("id"),
-        R.first_value(_r(), K.TITLE_FIELDS).alias("title"),
-        R.first_text(_r(), ("studioType", "studio_type")).alias("explicit"),
+        "store", "line_no", R.record_id(_R, _fallback()).alias("id"),
+        R.first_value(_R, K.TITLE_FIELDS).alias("title"),
+        R.first_text(_R, ("studioType", "studio_type")).alias("explicit"),
         _time(K.CREATED_FIELDS).alias("created_ms"), _time(K.UPDATED_FIELDS).alias("updated_ms"),
-        R.readable_text(F.coalesce(R.lookup(_r(), "preview"), R.lookup(_r(), "summary"))).alias("preview"))
+        R.readable_text("body").alias("preview"))
     session = P.studio_type(F.col("store"))
     studio = F.coalesce(session, P.studio_conversation_type(F.col("explicit"), F.col("id")))
     default = F.when(session.isNotNull(), F.concat(S.capitalize(session), F.lit(" Studio"))).otherwise("Untitled conversation")
@@ -52,27 +52,27 @@ def conversations(records: DataFrame) -> DataFrame:
 
 def messages(records: DataFrame) -> DataFrame:
     rows = routed(records, "message")
-    usage = F.coalesce(*[R.lookup(_r(), name) for name in K.USAGE_FIELDS])
+    usage = F.coalesce(*[R.lookup(_R, name) for name in K.USAGE_FIELDS])
     used = lambda name: F.try_variant_get("usage", f"$.{name}", "string")
     tokens = lambda own, nested: R.finite_nonneg(
-        *[R.text(_r(), n) for n in own], *[used(n) for n in nested]).cast("bigint")
+        *[R.text(_R, n) for n in own], *[used(n) for n in nested]).cast("bigint")
     staged = rows.withColumns({
-        "usage": usage, "body": F.coalesce(*[R.lookup(_r(), n) for n in K.TEXT_FIELDS]),
-        "items": F.coalesce(R.lookup(_r(), "output_items"), R.lookup(_r(), "outputItems")),
+        "usage": usage, "body": F.coalesce(*[R.lookup(_R, n) for n in K.TEXT_FIELDS]),
+        "items": F.coalesce(R.lookup(_R, "output_items"), R.lookup(_R, "outputItems")),
     }).select(
-        "store", "line_no", R.record_id(_r(), _fallback()).alias("id"),
-        F.coalesce(R.first_value(_r(), K.CONVERSATION_ID_FIELDS), F.lit("recovered")).alias("conversation_id"),
-        F.coalesce(R.first_value(_r(), K.ROLE_FIELDS), F.lit("unknown")).alias("source_role"),
-        R.first_text(_r(), K.MODEL_FIELDS).alias("model"), R.first_text(_r(), K.MODEL_ID_FIELDS).alias("model_id"),
-        R.first_value(_r(), K.FILE_NAME_FIELDS[:2]).alias("file_name"),
+        "store", "line_no", R.record_id(_R, _fallback()).alias("id"),
+        F.coalesce(R.first_value(_R, K.CONVERSATION_ID_FIELDS), F.lit("recovered")).alias("conversation_id"),
+        F.coalesce(R.first_value(_R, K.ROLE_FIELDS), F.lit("unknown")).alias("source_role"),
+        R.first_text(_R, K.MODEL_FIELDS).alias("model"), R.first_text(_R, K.MODEL_ID_FIELDS).alias("model_id"),
+        R.first_value(_R, K.FILE_NAME_FIELDS[:2]).alias("file_name"),
         _time(K.CREATED_FIELDS).alias("created_ms"), _time(K.UPDATED_FIELDS).alias("updated_ms"),
         tokens(K.INPUT_TOKEN_FIELDS, K.INPUT_TOKEN_USAGE_FIELDS).alias("input_tokens"),
         tokens(K.OUTPUT_TOKEN_FIELDS, K.OUTPUT_TOKEN_USAGE_FIELDS).alias("output_tokens"),
         tokens(K.TOTAL_TOKEN_FIELDS, K.TOTAL_TOKEN_FIELDS).alias("explicit_tokens"),
-        R.finite_nonneg(*[R.text(_r(), n) for n in K.DURATION_FIELDS]).alias("execution_ms"),
-        R.first_value(_r(), K.STATUS_FIELDS).alias("status"),
-        F.when(F.col("items").isNotNull(), F.nullif(R.response_text(F.col("items")), F.lit(""))).alias("response"),
-        R.readable_text(F.col("body")).alias("plain"))
+        R.finite_nonneg(*[R.text(_R, n) for n in K.DURATION_FIELDS]).alias("execution_ms"),
+        R.first_value(_R, K.STATUS_FIELDS).alias("status"),
+        F.when(F.col("items").isNotNull(), F.nullif(R.response_text("items"), F.lit(""))).alias("response"),
+        R.readable_text("body").alias("plain"))
     studio = P.studio_conversation_type(F.lit(None).cast("string"), F.col("conversation_id"))
     return staged.select(
         "store", "line_no", "id", "conversation_id", F.when(studio == "video", "user").otherwise(F.col("source_role")).alias("role"),
@@ -82,21 +82,21 @@ def messages(records: DataFrame) -> DataFrame:
 
 
 def studio_turns(records: DataFrame) -> DataFrame:
-    rows = routed(records, "studio_turn")
+    rows = routed(records, "studio_turn").withColumn("body", F.coalesce(R.lookup(_R, "prompt"), R.lookup(_R, "text")))
     return rows.select(
-        "store", "line_no", R.record_id(_r(), _fallback()).alias("id"), R.first_text(_r(), ("sessionId", "session_id")).alias("session_id"),
+        "store", "line_no", R.record_id(_R, _fallback()).alias("id"), R.first_text(_R, ("sessionId", "session_id")).alias("session_id"),
         P.studio_type(F.col("store")).alias("studio_type"),
-        R.readable_text(F.coalesce(R.lookup(_r(), "prompt"), R.lookup(_r(), "text"))).alias("prompt"), _time(K.CREATED_FIELDS).alias("created"))
+        R.readable_text("body").alias("prompt"), _time(K.CREATED_FIELDS).alias("created"))
 
 
 def media(records: DataFrame) -> DataFrame:
-    rows = routed(records, "media")
-    mime = R.first_value(_r(), K.MIME_FIELDS)
+    rows = routed(records, "media").withColumn("body", F.coalesce(R.lookup(_R, "prompt"), R.lookup(_R, "text")))
+    mime = R.first_value(_R, K.MIME_FIELDS)
     return rows.select(
-        F.col("store").alias("source"), "line_no", R.record_id(_r(), _fallback()).alias("media_id"),
-        R.first_value(_r(), K.MEDIA_CONVERSATION_FIELDS).alias("conversation_id"), R.first_value(_r(), K.MEDIA_MESSAGE_FIELDS).alias("message_id"),
-        R.first_value(_r(), K.FILE_NAME_FIELDS).alias("file_name"), mime.alias("mime_type"), M.media_kind(mime, F.col("store")).alias("kind"),
-        R.readable_text(F.coalesce(R.lookup(_r(), "prompt"), R.lookup(_r(), "text"))).alias("prompt"),
-        R.first_text(_r(), K.MODEL_FIELDS).alias("model"),
-        M.media_disposition(R.first_text(_r(), K.DISPOSITION_FIELDS), F.col("store")).alias("disposition"),
+        F.col("store").alias("source"), "line_no", R.record_id(_R, _fallback()).alias("media_id"),
+        R.first_value(_R, K.MEDIA_CONVERSATION_FIELDS).alias("conversation_id"), R.first_value(_R, K.MEDIA_MESSAGE_FIELDS).alias("message_id"),
+        R.first_value(_R, K.FILE_NAME_FIELDS).alias("file_name"), mime.alias("mime_type"), M.media_kind(mime, F.col("store")).alias("kind"),
+        R.readable_text("body").alias("prompt"),
+        R.first_text(_R, K.MODEL_FIELDS).alias("model"),
+        M.media_disposition(R.first_text(_R, K.DISPOSITION_FIELDS), F.col("store")).alias("disposition"),
         _time(K.CREATED_FIELDS).alias("created_ms"), F.lit("source-record").alias("status"))

@@ -20,11 +20,11 @@ def write_objects(t: Tables):
     from threadlake.sources.sinks import write_objects as sink
     pool_path = workspace(t.spark, "objects")
     items = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("content"))
-    first = sink(items.where("doc_id % 2 = 0"), pool_path, None, ["doc_id"], "doc_id")
+    first = sink(items.where("doc_id % 2 = 0"), pool_path, None, ["doc_id"], "doc_id", shard_digits=1)
     # the pool as it stands before the second run, kept apart from the folder the run appends to
     from threadlake.session import materialize
     pool = materialize(t.spark.read.parquet(pool_path).select("sha"), "pool")
-    second = sink(items.where("doc_id % 2 = 1"), pool_path, pool, ["doc_id"], "doc_id")
+    second = sink(items.where("doc_id % 2 = 1"), pool_path, pool, ["doc_id"], "doc_id", shard_digits=1)
     pooled = t.spark.read.parquet(pool_path).agg(F.count("*")).scalar()
     return first.unionByName(second).select("doc_id", "sha", "status", pooled.alias("pooled"))
 

@@ -31,7 +31,7 @@ def json_records(t: Tables):
     from {documents}""")
 def unwrap(t: Tables):
     rows = R.unwrap(json_records(t))
-    pick = lambda name: R.text(R.layers(), name).alias(name)
+    pick = lambda name: R.text("r", name).alias(name)
     return rows.select("doc_id", pick("id"), pick("title"), pick("rev"), pick("kind"))
 
 
@@ -45,9 +45,9 @@ def first_text(t: Tables):
         .when(doc == 1, F.concat(F.lit('{"title":"0","name":" '), F.col("source"), F.lit(' "}'))) \
         .when(doc == 2, F.lit('{"title":{"a":1},"name":7}')) \
         .otherwise(F.concat(F.lit('{"title":true,"name":"'), F.col("lang"), F.lit('"}')))
-    rows = t.documents.select("doc_id", "text", R.parse(text).alias("r"))
+    rows = t.documents.select("doc_id", "text", R.fields(R.parse(text)).alias("r"))
     return rows.select(
-        "doc_id", R.first_text([F.col("r")], ("title", "name")).alias("value"),
+        "doc_id", R.first_text("r", ("title", "name")).alias("value"),
         S.first_string(F.substring("text", 1, 12)).alias("head"),
     )
 
@@ -61,8 +61,8 @@ def record_id(t: Tables):
     text = F.when(doc % 3 == 0, F.concat(F.lit('{"id":"d'), doc, F.lit('"}'))) \
         .when(doc % 3 == 1, F.concat(F.lit('{"id":" ","_id":'), doc, F.lit("}"))) \
         .otherwise(F.lit('{"name":"x"}'))
-    rows = t.documents.select("doc_id", R.parse(text).alias("r"))
-    return rows.select("doc_id", R.record_id([F.col("r")], F.concat(F.lit("docs-"), "doc_id")).alias("id"))
+    rows = t.documents.select("doc_id", R.fields(R.parse(text)).alias("r"))
+    return rows.select("doc_id", R.record_id("r", F.concat(F.lit("docs-"), "doc_id")).alias("id"))
 
 
 @query("C4_flatten_text", """
@@ -78,7 +78,7 @@ def flatten_text(t: Tables):
         .when(doc == 1, F.concat(F.lit("["), lang, F.lit(',{"text":'), source, F.lit("}]"))) \
         .when(doc == 2, F.concat(F.lit('[{"content":['), source, F.lit(']},"tail"]'))) \
         .otherwise(F.concat(F.lit('{"value":{"summary":'), lang, F.lit("}}")))
-    return t.documents.select("doc_id", R.readable_text(R.parse(text)).alias("text"))
+    return t.documents.withColumn("record", R.parse(text)).select("doc_id", R.readable_text("record").alias("text"))
 
 
 @query("C5_response_text", """
@@ -92,7 +92,7 @@ def response_text(t: Tables):
             "seq", F.when(F.col("role") == "assistant", "message").otherwise("reasoning").alias("type"),
             F.array(F.struct(F.substring("id", 1, 8).alias("text"))).alias("content")))).alias("items"))
     )
-    shaped = items.select("conversation_id", R.response_text(R.parse(F.to_json("items"))).alias("text"))
+    shaped = items.withColumn("items", R.parse(F.to_json("items"))).select("conversation_id", R.response_text("items").alias("text"))
     return shaped.where("text <> ''")
 
 
@@ -142,10 +142,8 @@ def to_timestamp_strict(t: Tables):
                      else k + case when event_id % 3 = 0 then 0 else event_id % 50 end end as bigint) as tokens_total
     from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from {events})""")
 def token_counts(t: Tables):
-    props = R.parse("props")
-    rows = t.events.select(
-        "event_id",
-        R.finite_nonneg(R.text([props], "missing"), R.text([props], "k")).cast("bigint").alias("tokens_in"),
+    rows = t.events.withColumn("r", R.fields(R.parse("props"))).select(
+        "event_id", R.finite_nonneg(R.text("r", "missing"), R.text("r", "k")).cast("bigint").alias("tokens_in"),
         F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("tokens_out"),
         F.when(F.col("event_id") % 4 == 0, F.col("event_id")).alias("explicit"),
     )
