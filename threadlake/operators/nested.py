@@ -86,9 +86,9 @@ def output_segments(items: Column) -> Column:
             present(cleaned(s, "url", "link")).alias("url"), present(cleaned(s, "title", "name")).alias("title")))
         return F.filter(pairs, lambda p: p["url"].isNotNull() | p["title"].isNotNull())
 
-    def segment(d: Column) -> Column:
+    def segment(d: Column, all_items: Column) -> Column:
         item, kind = d["item"], d["kind"]
-        earlier = F.filter(described, lambda e: (
+        earlier = F.filter(all_items, lambda e: (
             e["kind"].isin(*_CALLS) & (e["i"] < d["i"]) & (e["call_id"] == d["call_id"]) & (e["call_id"] != "")))
         call_name = F.coalesce(F.try_element_at(earlier, F.lit(-1))["name"],
                                F.when(F.size(earlier) > 0, "function"))
@@ -112,7 +112,8 @@ def output_segments(items: Column) -> Column:
             F.when(kind.isin(*_OUTPUTS), _json_or_text(R.child(item, "output"))).alias("output"),
         )
 
-    return F.filter(F.transform(described, segment), lambda s: (s["type"] == "tool") | (s["text"] != ""))
+    segments = R.bind(described, lambda all_items: F.transform(all_items, lambda d: segment(d, all_items)))
+    return F.filter(segments, lambda s: (s["type"] == "tool") | (s["text"] != ""))
 
 
 def visible_text(segments: Column) -> Column:
@@ -324,12 +325,13 @@ def message_blocks(message: Column, message_id: Column) -> Column:
         .otherwise(F.array().cast("array<struct<type:string,kind:string,url:string,text:string>>"))
     extra = F.transform(message_media(message, message_id), lambda c: media_block(c["url"], F.coalesce(c["kind"], F.lit("file"))))
     blocks = F.filter(F.concat(body, plain, extra), lambda b: F.coalesce(b["url"], b["text"], F.lit("")) != "")
-    indexed = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), b.alias("b")))
-    kept = F.filter(indexed, lambda x: (x["b"]["type"] == "text") | ~F.exists(
-        indexed, lambda y: (y["i"] < x["i"]) & (y["b"]["url"] == x["b"]["url"])))
-    result = F.transform(kept, lambda x: x["b"])
+    def without_repeats(all_blocks: Column) -> Column:
+        return F.filter(all_blocks, lambda b, i: b["url"].isNull() | (F.array_position(
+            F.transform(all_blocks, lambda other: other["url"]), b["url"]) == i + 1))
+
+    result = R.bind(blocks, without_repeats)
     empty = F.struct(F.lit("empty").alias("type"), none.alias("kind"), none.alias("url"), F.lit(K.EMPTY_MESSAGE).alias("text"))
-    return F.when(F.size(result) > 0, result).otherwise(F.array(empty))
+    return R.bind(result, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(empty)))
 
 
 def segment_search_text(segments: Column) -> Column:
@@ -398,7 +400,7 @@ def deep_references(df: DataFrame, keys: list[str], record: str = "record", dept
     from threadlake.operators.ordered import first_of_group
     texts = walk(df, keys, record, depth).where(R.kind_of(F.col("value")) == "string") \
         .withColumn("url", R.as_text(F.col("value"))).drop("value")
-    found = texts.where(M.looks_like_reference(F.col("url"), F.col("hint")))
+    found = texts.where(R.bind(F.col("url"), lambda url: M.looks_like_reference(url, F.col("hint"))))
     return first_of_group(found, [*keys, "url"], ["trail"], ["hint", "path", "trail"])
 
 
@@ -441,9 +443,10 @@ def structured_media(records: DataFrame, config: DataFrame, turns: DataFrame, se
     )
     context = (
         base.join(turns.select("store", "turn_id", F.col("session_id").alias("turn_session"),
-                               F.col("conversation_id").alias("turn_conversation")), ["store", "turn_id"], "left")
+                               F.col("conversation_id").alias("turn_conversation"), F.lit(True).alias("has_turn")), ["store", "turn_id"], "left")
         .withColumn("session_id", F.coalesce("session_id", "turn_session"))
-        .join(sessions.select("store", "session_id", F.col("conversation_id").alias("session_conversation")),
+        .join(sessions.select("store", "session_id", F.col("conversation_id").alias("session_conversation"),
+                              F.lit(True).alias("has_session")),
               ["store", "session_id"], "left")
         .withColumn("conversation_id", F.coalesce("own_conversation", "turn_conversation", "session_conversation"))
     )
@@ -454,7 +457,7 @@ def structured_media(records: DataFrame, config: DataFrame, turns: DataFrame, se
         *keys, "conversation_id", "url",
         F.when(guessed == "asset", F.col("default_kind")).otherwise(guessed).alias("kind"),
         F.concat("label", F.when(F.col("url").isNotNull(), ".reference").otherwise(".embedded")).alias("source"),
-        (F.col("conversation_id").isNull() & F.col("turn_id").isNull() & F.col("session_id").isNull()).alias("orphaned"))
+        F.coalesce("conversation_id", F.col("has_turn").cast("string"), F.col("has_session").cast("string")).isNull().alias("orphaned"))
 
 
 def store_media_records(df: DataFrame, default_kinds: dict[str, str]) -> DataFrame:

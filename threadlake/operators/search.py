@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
 from threadlake.operators.ordered import first_of_group
+from threadlake.session import materialize
 
 RESULT_CAP = 300
 K1, B = 1.2, 0.75
@@ -88,19 +89,14 @@ def ranked_batch(documents: DataFrame, doc_id: str, text: Column, queries: Seque
     are as small as the given list, so they are broadcast.
     """
     limit = min(200, max(1, limit))
-    spark = documents.sparkSession
-    wanted = query_terms(spark, queries)
-    vocabulary = sorted({row.term for row in wanted.select("term").distinct().collect()})
-    listed = F.array(*[F.lit(term) for term in vocabulary])
+    wanted = query_terms(documents.sparkSession, queries)
+    vocabulary = sorted({term for query in queries for token in T.search_tokens(query) for term in _split(token)})
     words = documents.select(F.col(doc_id).alias("doc_id"), T.tokens(text).alias("words"))
-    counted = words.select(
-        "doc_id", F.size("words").alias("length"),
-        F.filter("words", lambda w: F.array_contains(listed, w)).alias("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_length"))
-    found = counted.where(F.size("words") > 0).select(
-        "doc_id", "length", F.explode(F.transform(F.array_distinct("words"), lambda w: F.struct(
-            w.alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("tf")))).alias("p")).select(
-        "doc_id", "length", "p.term", "p.tf")
+    # the text is split once; what is kept per document is its length and the words asked for
+    kept = materialize(words.select(
+        "doc_id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(vocabulary)).alias("hits")), "hits")
+    stats = kept.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    found = kept.select("doc_id", "length", F.explode("hits").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     spread = found.groupBy("term").agg(F.count("*").alias("df"))
     total, average = stats.select("n").scalar(), stats.select("avg_length").scalar()
     # a term in more than half of the rows still scores a little

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threadlake.functions import records as R
 from threadlake.operators.ordered import first_of_group, last_before, last_of_group
@@ -19,7 +19,7 @@ from threadlake.operators.ordered import first_of_group, last_before, last_of_gr
 
 def read_batches(spark: SparkSession, table: str, schema: StructType, before: int | None = None) -> DataFrame:
     """Rows of a batch table; with ``before`` only those of earlier batches."""
-    full = StructType(schema.fields).add("batch_id", "bigint")
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
     rows = spark.read.schema(full).parquet(table)
     return rows if before is None else rows.where(F.col("batch_id") < before)
 
