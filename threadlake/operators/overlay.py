@@ -18,7 +18,7 @@ def generation_chain(generations: DataFrame, head: str) -> DataFrame:
     """
     spark = generations.sparkSession
     chain = spark.sql("""
-        with recursive chain(gen_id, base_gen_id, depth) as (
+        with recursive chain(gen_id, base_gen_id, depth) max recursion level 201 as (
             select gen_id, base_gen_id, 0 from {generations} where gen_id = :head
             union all
             select g.gen_id, g.base_gen_id, c.depth + 1 from chain c join {generations} g on g.gen_id = c.base_gen_id
