@@ -24,7 +24,15 @@ def array_of(value: Column) -> Column:
 
 def cleaned(value: Column, *names: str) -> Column:
     """First member with cleaned text, else the empty text."""
-    return S.first_nonempty(*[R.as_text(R.child(value, name)) for name in names])
+    if len(names) < 3:
+        return S.first_nonempty(*[R.as_text(R.child(value, name)) for name in names])
+    listed = F.array(*[F.lit(name) for name in names])
+
+    def first(members: Column) -> Column:
+        texts = F.transform(listed, lambda name: S.clean(R.as_text(F.try_element_at(members, name))))
+        return F.get(F.filter(texts, lambda text: text != ""), F.lit(0))
+
+    return F.coalesce(R.bind(R.fields(value), first), F.lit(""))
 
 
 def present(text: Column) -> Column:
@@ -370,11 +378,11 @@ def walk(df: DataFrame, keys: list[str], record: str, depth: int, skip: tuple[st
     columns = ", ".join(f"t.{k}" for k in keys)
     skipped = ", ".join(f"'{name}'" for name in skip)
     for _ in range(depth):
-        members = F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))
-        blob = (F.size(members) > 64) & F.forall(members, lambda k: k.rlike(r"^\d+$"))
-        kind = R.kind_of(F.col("value"))
-        opened = rows.withColumn("open", F.when(
-            (kind == "array") | ((kind == "object") & ~blob & ~_typed_payload(F.col("value"))), F.col("value")))
+        members = F.col("members")
+        blob = (F.size(members) > 64) & F.forall(F.map_keys(members), lambda k: k.rlike(r"^\d+$"))
+        listed = F.try_variant_get("value", "$", "array<variant>").isNotNull()
+        opened = rows.withColumn("members", R.fields(F.col("value"))).withColumn("open", F.when(
+            listed | (members.isNotNull() & ~blob & ~_typed_payload(members)), F.col("value")))
         rows = spark.sql(f"""
             select {columns},
                    case when t.open is null then t.value else e.value end as value,
@@ -389,10 +397,10 @@ def walk(df: DataFrame, keys: list[str], record: str, depth: int, skip: tuple[st
     return rows
 
 
-def _typed_payload(value: Column) -> Column:
-    """An object that carries base64 data itself is one payload, not a container."""
-    return F.coalesce(
-        (R.as_text(R.child(value, "encoding")) == "base64") & (R.kind_of(R.child(value, "data")) == "string"), F.lit(False))
+def _typed_payload(members: Column) -> Column:
+    """Members of an object that carries base64 data itself: one payload, not a container."""
+    text = lambda name: R.as_text(F.try_element_at(members, F.lit(name)))
+    return F.coalesce((text("encoding") == "base64") & text("data").isNotNull(), F.lit(False))
 
 
 def deep_references(df: DataFrame, keys: list[str], record: str = "record", depth: int = 6) -> DataFrame:
@@ -407,22 +415,27 @@ def deep_references(df: DataFrame, keys: list[str], record: str = "record", dept
 def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth: int = 8) -> DataFrame:
     """Embedded payloads anywhere in a record, with their path and MIME type."""
     rows = walk(df, keys, record, depth, ("__encryptedData", "__archiveRedacted"))
-    value, key = F.col("value"), F.lower("hint")
-    text = F.trim(R.as_text(value))
-    data_url = text.startswith("data:")
-    named = key.rlike("data|blob|file|payload|bytes|binary|base64|result|content") & M.is_base64_payload(text)
-    plain = (
-        (R.kind_of(value) == "string") & ~text.startswith("__") & ~key.contains("opaque") & ~key.contains("encrypted")
-        & (data_url | named)
-    )
-    typed = _typed_payload(value) & M.is_base64_text(R.as_text(R.child(value, "data")))
-    return rows.select(
-        *keys, "path", "trail",
-        F.when(typed, R.as_text(R.child(value, "data"))).when(plain & data_url, F.regexp_extract(text, "(?s)^[^,]*,(.*)$", 1))
-        .when(plain, text).alias("base64"),
-        F.when(typed, R.as_text(R.child(value, "mimeType")))
-        .when(plain & data_url, present(F.regexp_extract(text, "(?i)^data:([^;,]+)[;,]", 1))).alias("mime_type"),
-    ).where("base64 is not null and base64 <> ''")
+    key = F.lower("hint")
+    closed = key.contains("opaque") | key.contains("encrypted")
+    may_hold = key.rlike("data|blob|file|payload|bytes|binary|base64|result|content")
+    payload = lambda body, mime: F.struct(body.alias("base64"), mime.alias("mime_type"))
+
+    def of_text(text: Column) -> Column:
+        by_url = payload(F.regexp_extract(text, "(?s)^[^,]*,(.*)$", 1), present(F.regexp_extract(text, "(?i)^data:([^;,]+)[;,]", 1)))
+        return (
+            F.when(text.startswith("__") | closed, None).when(text.startswith("data:"), by_url)
+            .when(may_hold & M.is_base64_payload(text), payload(text, _none()))
+        )
+
+    def of_object(members: Column) -> Column:
+        data = R.as_text(F.try_element_at(members, F.lit("data")))
+        return F.when(_typed_payload(members) & M.is_base64_text(data), payload(
+            data, R.as_text(F.try_element_at(members, F.lit("mimeType")))))
+
+    saved = F.when(F.schema_of_variant("value") == "STRING", F.trim(R.as_text(F.col("value"))))
+    found = F.coalesce(R.bind(saved, of_text), R.bind(R.fields(F.col("value")), of_object))
+    return rows.select(*keys, "path", "trail", found.alias("found")).where("found.base64 <> ''").select(
+        *keys, "path", "trail", "found.base64", "found.mime_type")
 
 
 def structured_media(records: DataFrame, config: DataFrame, turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -538,25 +551,30 @@ _IMAGE_SETTINGS = (
 
 def settings_entries(kind: Column, settings: Column) -> Column:
     """Label and value pairs of generation settings; blank values are dropped."""
-    def entry(label: str, text: Column) -> Column:
-        return F.struct(F.lit(label).alias("label"), F.coalesce(text, F.lit("")).alias("value"))
-
-    def shown(name: str) -> Column:
-        text = _setting_text(R.child(settings, name))
-        number = R.as_text(R.child(settings, name)).try_cast("double")
-        if name == "steps":
-            return F.when(number == 0, "Auto").otherwise(text)
-        if name == "stylePreset":
-            return F.when(text != "None", text)
-        if name == "upscaleScale":
-            return F.when(number > 1, text)
-        if name == "negativePrompt":
-            return F.when(F.length(text) > 140, F.concat(F.substring(text, 1, 137), F.lit("..."))).otherwise(text)
-        return text
-
-    side = lambda name: F.coalesce(present(_setting_text(R.child(settings, name))), F.lit("?"))
-    sized = F.coalesce(R.child(settings, "width"), R.child(settings, "height")).isNotNull()
-    canvas = entry("Canvas", F.when(sized, F.concat(side("width"), F.lit(" x "), side("height"))))
-    video = F.array(*[entry(label, shown(name)) for label, name in _VIDEO_SETTINGS])
-    image = F.array(canvas, *[entry(label, shown(name)) for label, name in _IMAGE_SETTINGS])
-    return F.filter(F.when(kind == "video", video).otherwise(image), lambda e: e["value"] != "")
+    listed = lambda pairs: F.array(*[F.struct(F.lit(label).alias("label"), F.lit(name).alias("name")) for label, name in pairs])
+    members = R.fields(settings)
+    side = lambda m, name: F.coalesce(present(R.as_text(F.try_element_at(m, F.lit(name)))), F.lit("?"))
+
+    def shown(name: Column, value: Column) -> Column:
+        """Text of one setting; some values read differently or are left out."""
+        def rules(text: Column) -> Column:
+            number = text.try_cast("double")
+            return (
+                F.when((name == "steps") & (number == 0), "Auto")
+                .when((name == "stylePreset") & (text == "None"), None)
+                .when((name == "upscaleScale") & ~F.coalesce(number > 1, F.lit(False)), None)
+                .when((name == "negativePrompt") & (F.length(text) > 140), F.concat(F.substring(text, 1, 137), F.lit("...")))
+                .otherwise(text)
+            )
+        return R.bind(_setting_text(value), rules)
+
+    def entries(m: Column) -> Column:
+        sized = F.coalesce(F.try_element_at(m, F.lit("width")), F.try_element_at(m, F.lit("height"))).isNotNull()
+        canvas = F.when(sized & (kind != "video"), F.concat(side(m, "width"), F.lit(" x "), side(m, "height")))
+        head = F.array(F.struct(F.lit("Canvas").alias("label"), canvas.alias("value")))
+        pairs = F.when(kind == "video", listed(_VIDEO_SETTINGS)).otherwise(listed(_IMAGE_SETTINGS))
+        rest = F.transform(pairs, lambda p: F.struct(
+            p["label"].alias("label"), R.bind(F.try_element_at(m, p["name"]), lambda v: shown(p["name"], v)).alias("value")))
+        return F.filter(F.concat(head, rest), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+
+    return R.bind(members, entries)
