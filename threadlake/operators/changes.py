@@ -65,8 +65,9 @@ def incremental_files(previous: DataFrame, current: DataFrame) -> DataFrame:
 def plan_summary(stores: DataFrame, files: DataFrame) -> DataFrame:
     """One row: what to read, what is skipped, what went away, and whether nothing changed."""
     def totals(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(*[F.count_if(F.col("action") == a).alias(f"{name}_{a}") for a in ("read", "skip", "removed")], F.lit(1).alias("_one"))
-    joined = totals(stores, "stores").join(totals(files, "files"), "_one").drop("_one")
+        return df.agg(*[F.count_if(F.col("action") == a).alias(f"{name}_{a}") for a in ("read", "skip", "removed")])
+    of_files = totals(files, "files").select(F.struct("*").alias("f")).scalar()
+    joined = totals(stores, "stores").withColumn("f", of_files).select("*", "f.*").drop("f")
     changed = sum((F.col(f"{n}_{a}") for n in ("stores", "files") for a in ("read", "removed")), F.lit(0))
     return joined.withColumn("unchanged", changed == 0)
 
@@ -146,9 +147,8 @@ def run_manifest(totals: DataFrame, media: DataFrame) -> DataFrame:
 
     totals: one row of :func:`write_totals`; media: status per item.
     """
-    counted = media.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("materialized", "deduped", "unresolved", "failed")],
-                        F.lit(1).alias("_one"))
-    joined = totals.withColumn("_one", F.lit(1)).join(counted, "_one").drop("_one")
+    counted = media.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("materialized", "deduped", "unresolved", "failed")])
+    joined = totals.withColumn("m", counted.select(F.struct("*").alias("m")).scalar()).select("*", "m.*").drop("m")
     plural = lambda c, one, many: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, one).otherwise(many)))
     return joined.withColumns({
         "warnings": F.concat_ws(" ", plural("unresolved", " media record is unresolved.", " media records are unresolved."),

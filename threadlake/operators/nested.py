@@ -191,8 +191,9 @@ def support_threads(threads: DataFrame, messages: DataFrame) -> DataFrame:
     The first message is the one with the smallest (created, id).
     """
     order = F.struct("created", "id")
-    first = messages.groupBy("conversation_id").agg(
-        F.min_by(F.substring("text", 1, 200), order).alias("_first_text"),
+    starts = messages.select("conversation_id", "id", "created", F.substring("text", 1, 200).alias("_start"))
+    first = starts.groupBy("conversation_id").agg(
+        F.min_by("_start", order).alias("_first_text"),
         F.min("created").alias("_first"), F.max("created").alias("_last"))
     known = threads.select(
         F.concat(F.lit("support:"), "id").alias("conversation_id"), "name", F.lit(True).alias("known"),

@@ -23,9 +23,9 @@ def with_placeholders(conversations: DataFrame, messages: DataFrame) -> DataFram
 
 def first_texts(messages: DataFrame, length: int = PREVIEW) -> DataFrame:
     """First message text that is not empty per conversation, cut before the shuffle."""
-    said = messages.where(F.col("text") != "")
-    return said.groupBy("conversation_id").agg(
-        F.min_by(F.substring("text", 1, length), F.col("seq")).alias("preview"))
+    # the cut comes before the aggregation, so whole texts are neither sorted nor shuffled
+    said = messages.where(F.col("text") != "").select("conversation_id", "seq", F.substring("text", 1, length).alias("_start"))
+    return said.groupBy("conversation_id").agg(F.min_by("_start", "seq").alias("preview"))
 
 
 def models_seen(messages: DataFrame) -> DataFrame:
@@ -45,12 +45,13 @@ def roll_up(conversations: DataFrame, messages: DataFrame, media: DataFrame | No
     Messages and media are aggregated per conversation before any join, so a
     conversation that holds a large share of them meets the joins as one row.
     """
+    # numbers only: a hash aggregation; previews are aggregated apart, already cut
     counts = messages.groupBy("conversation_id").agg(
-        F.count("*").alias("message_count"), F.max("created_ms").alias("updated_ms"), F.min("created_ms").alias("created_ms"),
-        F.min_by(F.substring("text", 1, PREVIEW), F.when(F.col("text") != "", F.col("seq"))).alias("preview"))
+        F.count("*").alias("message_count"), F.max("created_ms").alias("updated_ms"), F.min("created_ms").alias("created_ms"))
     rows = (
         with_placeholders(conversations, messages).withColumnRenamed("id", "conversation_id")
-        .join(counts, "conversation_id", "left").join(models_seen(messages), "conversation_id", "left")
+        .join(counts, "conversation_id", "left").join(first_texts(messages), "conversation_id", "left")
+        .join(models_seen(messages), "conversation_id", "left")
     )
     if media is None:
         rows = rows.withColumn("media_count", F.lit(0).cast("bigint"))
@@ -143,10 +144,8 @@ def snapshot_stats(conversations: DataFrame, messages: DataFrame, media: DataFra
 
 def sync_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Growth of every counter between two one-row tables, never below zero, with a sentence."""
-    b = before.select(F.struct("*").alias("b"), F.lit(1).alias("_one"))
-    a = after.select(F.struct("*").alias("a"), F.lit(1).alias("_one"))
     names = [c for c in after.columns if c in before.columns]
-    joined = a.join(b, "_one")
+    joined = after.select(F.struct("*").alias("a"), before.select(F.struct("*").alias("b")).scalar().alias("b"))
     deltas = joined.select(*[F.greatest(F.lit(0), F.col(f"a.{c}") - F.col(f"b.{c}")).cast("bigint").alias(c) for c in names])
     total = sum((F.col(c) for c in names), F.lit(0))
     noun = lambda c: F.concat(F.col(c).cast("string"), F.lit(f" {c[:-1] if c.endswith('s') else c}"),
@@ -161,8 +160,8 @@ def sync_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def conversation_titles(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Title of a conversation: its own, else the first readable message, else Untitled."""
     first = (
-        messages.where(S.clean(F.col("text")) != "").groupBy("conversation_id")
-        .agg(F.min_by(F.substring(S.clean(F.col("text")), 1, 160), F.col("seq")).alias("_first"))
+        messages.select("conversation_id", "seq", F.substring(S.clean(F.col("text")), 1, 160).alias("_start")).where("_start <> ''")
+        .groupBy("conversation_id").agg(F.min_by("_start", "seq").alias("_first"))
         .withColumnRenamed("conversation_id", "id"))
     return conversations.join(first, "id", "left").select(
         *[c for c in conversations.columns if c != "title"], S.title_of(F.col("title"), F.col("_first")).alias("title"))

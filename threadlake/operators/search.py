@@ -73,13 +73,16 @@ def _split(token: str) -> list[str]:
 def postings(documents: DataFrame, doc_id: str, text: Column) -> DataFrame:
     """Inverted index: term, document, term frequency, document length.
 
-    Term frequencies are counted inside each row, so no (document, term) pair is shuffled.
+    Equal words of a document meet on the map side before the shuffle.
     """
-    words = documents.select(F.col(doc_id).alias("doc_id"), F.array_sort(T.tokens(text)).alias("words"))
-    # equal words are neighbours after sorting; a word's count is the distance between its ends
-    entry = lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("tf"))
-    return words.select("doc_id", F.size("words").alias("length"), F.explode(F.transform(F.array_distinct("words"), entry)).alias("p")).select(
-        F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"), "length")
+    words = documents.select(F.col(doc_id).alias("doc_id"), T.tokens(text).alias("words"))
+    return words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(
+        "doc_id", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def term_statistics(index: DataFrame) -> DataFrame:
+    """Documents and occurrences per term."""
+    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
 def ranked_batch(documents: DataFrame, doc_id: str, text: Column, queries: Sequence[str], limit: int = 25) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.operators import content as C
 
 
 def verify_stores(declared: DataFrame, actual: DataFrame) -> DataFrame:
@@ -44,10 +43,10 @@ def verify_files(declared: DataFrame, actual: DataFrame) -> DataFrame:
 def capture_report(stores: DataFrame, files: DataFrame) -> DataFrame:
     """One row: totals, error count and ok; ok needs no error and at least one store."""
     s = stores.agg(F.count("lines").alias("stores"), F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("store_records"),
-                   F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("bigint").alias("_se"), F.lit(1).alias("_one"))
+                   F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("bigint").alias("_se"))
     f = files.agg(F.count("actual_bytes").alias("files"), F.coalesce(F.sum("actual_bytes"), F.lit(0)).cast("bigint").alias("file_bytes"),
-                  F.count("problem").alias("_fe"), F.lit(1).alias("_one"))
-    return s.join(f, "_one").select(
+                  F.count("problem").alias("_fe"))
+    return s.withColumn("f", f.select(F.struct("*").alias("f")).scalar()).select("*", "f.*").select(
         "stores", "store_records", "files", "file_bytes", (F.col("_se") + F.col("_fe")).alias("errors"),
         ((F.col("_se") + F.col("_fe") == 0) & (F.col("stores") > 0)).alias("ok"))
 
@@ -141,7 +140,3 @@ def duplicate_audit(files: DataFrame, pool: DataFrame, declared: DataFrame, refe
     gone = missing.join(held, "sha", "left").select(
         F.lit("missing reference").alias("finding"), "path", F.coalesce("_held", F.lit(False)).alias("resolvable"))
     return bad.unionByName(gone)
-
-
-duplicate_groups = C.duplicate_groups
-duplicate_summary = C.duplicate_summary

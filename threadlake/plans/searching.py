@@ -108,6 +108,17 @@ def ranked_search(t: Tables):
     return best.withColumn("score", F.round(F.col("score") * 10000).cast("bigint"))
 
 
+@query("K6_inverted_index", r"""
+    select term, count(*) as documents, cast(sum(tf) as bigint) as occurrences, cast(max(length) as bigint) as longest from
+      (select doc_id, term, count(*) as tf, any_value(n) as length from
+        (select doc_id, len(l) as n, unnest(l) as term from (select doc_id, regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}]+)', 1) as l from {documents})) group by 1, 2)
+    group by 1""")
+def inverted_index(t: Tables):
+    index = K.postings(t.documents, "doc_id", F.col("text"))
+    longest = index.groupBy("term").agg(F.max("length").cast("bigint").alias("longest"))
+    return K.term_statistics(index).join(longest, "term")
+
+
 @query("K7_search_captures", """
     with hits as (select case when doc_id % 3 = 0 then 0 when doc_id % 3 = 1 then 1 else 2 end as source_rank, doc_id as rank, 'media' as type,
          cast(doc_id % 200 as varchar) as id, lang as conversation_id, cast(null as varchar) as title from {documents} where contains(lower(text), 'an')),
