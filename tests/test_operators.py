@@ -463,3 +463,44 @@ def test_stream_changes_meet_earlier_batches(spark, tmp_path):
                    (6, "x", "STATE_CHANGED"), (7, "b", "STATE_CHANGED")]
     whole = spark.createDataFrame(sum(batches, []), schema)
     assert sorted((r.seq, r.previous, r.event) for r in T.state_changes(whole, 2).collect()) == got
+
+
+# ---------------------------------------------------------------- catalog
+
+def test_catalog_of_layers(spark):
+    from threadlake.operators.catalog import build_catalog
+    conversations = spark.createDataFrame([
+        ("capture", 0, 0, "c1", "New", None, "chat", None, None), ("imported", 1, 0, "c1", "Old", "kept", "chat", 5, 50),
+        ("imported", 1, 1, "recovered", "Catch all", None, "recovered", None, None),
+    ], "layer string, source_rank int, line_no bigint, id string, title string, preview string, kind string, created_ms bigint, updated_ms bigint")
+    messages = spark.createDataFrame([
+        ("capture", 0, 0, "c1", "a1", "assistant", "m1", "answer", 2000), ("capture", 0, 1, "c1", "u1", "user", None, "ask", 1000),
+        ("imported", 1, 0, "c1", "x", "user", None, "from an import", 1), ("imported", 1, 1, "c2", "y", "user", None, "other", 7),
+        ("recovery", 2, 0, "recovered", "a1", "assistant", None, "answer", 2000),
+    ], "layer string, source_rank int, line_no bigint, conversation_id string, id string, role string, model string, text string, created_ms bigint")
+    fields = ("layer string, source_rank int, line_no bigint, stable_id string, local_id string, source_name string, available boolean, conversation_id string, "
+              "message_id string, kind string, file_name string, prompt string, model string, disposition string, source string, created_ms bigint, path string, "
+              "sha string, bytes bigint, mime_type string, status string, archive_source string, original_path string, format_corrected boolean")
+    def item(layer, rank, line, key, message, disposition, path, sha, source="s", kind="image"):
+        return (layer, rank, line, key, key, "n", path is not None, "c1", message, kind, f"{key}.png", None, None, disposition, source, None, path, sha, 3,
+                "image/png", "materialized" if path else "metadata-only", layer, None, False)
+    media = spark.createDataFrame([
+        item("capture", 0, 0, "in-user", "u1", "input", "p1", "h1"), item("capture", 0, 1, "in-assistant", "a1", "input", "p2", "h2"),
+        item("capture", 0, 2, "out", "a1", "output", "p3", "h3"), item("capture", 0, 3, "placeholder", "a1", None, None, None),
+        item("imported", 1, 0, "no-bytes", "u1", None, None, None, kind="video"), item("recovery", 2, 0, "out", "a1", "output", "p9", "h3"),
+    ], fields)
+    built = build_catalog(conversations, messages, media)
+    assert [(r.id, r.conversation_id) for r in built.messages.orderBy("seq").collect()] == [("u1", "c1"), ("a1", "c1"), ("y", "c2")]
+    shown = {r.file_name: (r.display_message_id, r.disposition, r.model, r.prompt) for r in built.media.collect()}
+    assert shown == {"in-user.png": ("u1", "input", None, "ask"), "in-assistant.png": ("u1", "input", None, "answer"), "out.png": ("a1", "output", "m1", "answer")}
+    got = {r.id: r for r in built.conversations.collect()}
+    assert set(got) == {"c1", "c2"}
+    assert (got["c1"].title, got["c1"].preview, got["c1"].message_count, got["c1"].media_count, got["c1"].models, got["c1"].updated_ms) == (
+        "New", "kept", 2, 3, ["m1"], 50)
+
+
+def test_session_storage_redaction(spark):
+    from threadlake.functions.predicates import redaction
+    df = spark.createDataFrame([("app.session-id",), ("theme",), ("acmeSessionId",), ("x:trace",)], "k string").select(
+        "k", redaction(F.col("k"), session=True)["redacted"].alias("r"), redaction(F.col("k"))["redacted"].alias("plain"))
+    assert {r.k: (r.r, r.plain) for r in df.collect()} == {"app.session-id": (True, False), "theme": (False, False), "acmeSessionId": (True, False), "x:trace": (True, False)}

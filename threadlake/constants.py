@@ -110,6 +110,8 @@ SENSITIVE_KEY = (
 )
 SENSITIVE_WALLET = r"(?i)walletconnect|wagmi\.store"
 SENSITIVE_EXACT = "encryptionKey"
+SENSITIVE_SESSION_KEY = r"(?i)(^|[-_.:])(session[-_.]?id|session[-_.]?token|attestation|trace)($|[-_.:])"
+SENSITIVE_SESSION_NAME = "(?i)^[a-z]+Session(Id|StartTime)$"
 VOLATILE_KEY = (
     r"(?i)posthog|sentry|analytics|telemetry|amplitude|mixpanel|segment|previous[-_.:]?trace|survey"
 )
@@ -118,6 +120,7 @@ SENSITIVE_FIELD = (
     "(?i)^(accessToken|refreshToken|idToken|authToken|oauthToken|password|secret|privateKey|credential)$"
 )
 SENSITIVE_REASON = "Authentication or credential state is intentionally excluded."
+SENSITIVE_SESSION_REASON = "Session, authentication, or telemetry identifier intentionally excluded."
 VOLATILE_REASON = "Volatile telemetry state is intentionally excluded."
 
 # -- ordering and labels -------------------------------------------------------------

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from threadlake import constants as K
 
 
-def redaction(key: Column) -> Column:
-    """Struct of redacted and reason for a storage key."""
+def redaction(key: Column, session: bool = False) -> Column:
+    """Struct of redacted and reason for a storage key; session storage also hides session identifiers."""
     sensitive = (key == K.SENSITIVE_EXACT) | key.rlike(K.SENSITIVE_KEY) | key.rlike(K.SENSITIVE_WALLET)
+    if session:
+        sensitive = sensitive | key.rlike(K.SENSITIVE_SESSION_KEY) | key.rlike(K.SENSITIVE_SESSION_NAME)
     volatile = key.rlike(K.VOLATILE_KEY) | key.rlike(K.VOLATILE_SESSIONS)
+    reason = K.SENSITIVE_SESSION_REASON if session else K.SENSITIVE_REASON
     return F.struct(
         (sensitive | volatile).alias("redacted"),
-        F.when(sensitive, K.SENSITIVE_REASON).when(volatile, K.VOLATILE_REASON).alias("reason"),
+        F.when(sensitive, reason).when(volatile, K.VOLATILE_REASON).alias("reason"),
     )
 
 

@@ -113,13 +113,17 @@ def context_chain(records: DataFrame, turns: DataFrame, sessions: DataFrame, fie
 def resolve_settings(owners: DataFrame, candidates: Sequence[str], settings: DataFrame, key: str) -> DataFrame:
     """Settings record of each row: first owner candidate that has one, else the default record.
 
-    settings: owner_id (unique), is_default, line_no, payload columns.  The default is the only record,
-    or the first flagged one, or the first; it is one row, read as scalars.
+    settings: owner_id, key (its own id), is_default, line_no, payload columns; a candidate may name a
+    record by owner or by id, the first record wins.  The default is the only record, or the first flagged
+    one, or the first; it is one row, read as a scalar.
     """
-    payload = [c for c in settings.columns if c not in ("owner_id", "is_default", "line_no")]
+    payload = [c for c in settings.columns if c not in {"owner_id", key, "is_default", "line_no"}]
+    names = F.explode(F.array_distinct(F.array(F.col("owner_id"), F.col(key)))).alias("_name")
+    named = first_of_group(
+        settings.select("*", names).where("_name is not null"), ["_name"], ["line_no"], payload)
     rows = owners
     for i, name in enumerate(candidates):
-        side = settings.select(F.col("owner_id").alias(name), F.struct(*payload).alias(f"_m{i}"))
+        side = named.select(F.col("_name").alias(name), F.struct(*payload).alias(f"_m{i}"))
         rows = rows.join(side, name, "left")
     flagged = F.struct((~F.coalesce("is_default", F.lit(False))).alias("d"), F.col("line_no").alias("n"))
     default = settings.agg(F.min_by(F.struct(*payload), flagged).alias("s")).scalar()

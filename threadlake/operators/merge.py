@@ -69,9 +69,10 @@ def skip_imported(rows: DataFrame, captures: DataFrame, id_column: str, recovere
 
     rows carry ``layer`` (capture, imported or recovery); captures: distinct captured ids.
     """
-    imported = F.col("layer") == "imported"
+    has_capture = captures.agg(F.count("*") > 0).scalar()
+    flagged = rows.withColumn("_imported", F.col("layer") == "imported")
+    flagged = flagged.where(~(F.col("_imported") & (F.col(id_column).cast("string") == recovered) & has_capture))
     captured = captures.select(F.col("id").alias(id_column)).distinct().withColumn("_imported", F.lit(True))
-    flagged = rows.withColumn("_imported", imported).where(~(F.col("_imported") & (F.col(id_column).cast("string") == recovered)))
     return flagged.join(captured, [id_column, "_imported"], "left_anti").drop("_imported")
 
 

@@ -340,3 +340,30 @@ def support_messages(t: Tables):
         F.when(~plain, F.col("p_name")).alias("question"), F.when(~plain, F.col("p_type")).alias("answer"),
         F.col("p_brand").alias("content"), F.lit("Human").alias("role"), F.col("p_partkey").alias("created"))
     return N.support_messages(records).drop("created")
+
+
+@query("H1_catalog", """
+    with named as (select id, coalesce(case when id % 2 = 0 then title end, 'Old ' || cast(id as varchar)) as title from {convs})
+    select m.conversation_id as id, coalesce(any_value(n.title), 'Recovered conversation') as title, count(*) as message_count,
+       arg_min(substring(m.text, 1, 260), m.seq) filter (where m.text <> '') as preview, max(m.created_ms) as updated_ms
+    from (select cast(conversation_id as varchar) as conversation_id, conversation_id as c, seq, text, created_ms from {msgs}) m left join named n on n.id = m.c group by 1""")
+def catalog(t: Tables):
+    """A capture with every second conversation over a recovery layer with all of them."""
+    from threadlake.operators.catalog import build_catalog
+    layer = lambda df, name, rank, line: df.withColumns({"layer": F.lit(name), "source_rank": F.lit(rank), "line_no": F.col(line)})
+    none = lambda kind: F.lit(None).cast(kind)
+    convs = t.convs.select(F.col("id").cast("string").alias("id"), F.col("id").alias("n"), "title", none("string").alias("preview"), "kind",
+                           none("bigint").alias("created_ms"), none("bigint").alias("updated_ms"))
+    conversations = layer(convs.where("n % 2 = 0"), "capture", 0, "n").unionByName(
+        layer(convs.withColumn("title", F.concat(F.lit("Old "), "id")), "recovery", 1, "n")).drop("n")
+    said = t.msgs.select(F.col("conversation_id").cast("string").alias("conversation_id"), "id", "role", "model", "text", "created_ms", "seq",
+                         F.col("conversation_id").alias("n"))
+    messages = layer(said.where("n % 2 = 0"), "capture", 0, "seq").unionByName(
+        layer(said.withColumn("text", F.when(F.col("n") % 2 == 0, "stale").otherwise(F.col("text"))), "recovery", 1, "seq")).drop("seq", "n")
+    media = layer(t.files.withColumn("line", F.col("media_id")), "capture", 0, "line").select(
+        "layer", "source_rank", "line_no", F.col("media_id").cast("string").alias("stable_id"), F.col("media_id").cast("string").alias("local_id"),
+        F.lit("capture").alias("source_name"), "available", F.col("conversation_id").cast("string").alias("conversation_id"), "message_id", "kind", "file_name",
+        "prompt", none("string").alias("model"), "disposition", "source", "created_ms", F.when(F.col("available"), F.col("sha")).alias("path"), "sha", "bytes",
+        "mime_type", "status", "archive_source", none("string").alias("original_path"), "format_corrected")
+    built = build_catalog(conversations, messages, media)
+    return built.conversations.where("message_count > 0").select("id", "title", "message_count", "preview", "updated_ms")
