@@ -436,7 +436,7 @@ def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth:
     saved = F.when(F.schema_of_variant("value") == "STRING", F.trim(R.as_text(F.col("value"))))
     found = F.coalesce(R.bind(saved, of_text), R.bind(R.fields(F.col("value")), of_object))
     return rows.select(*keys, "path", "trail", found.alias("found")).where("found.base64 <> ''").select(
-        *keys, "path", "trail", "found.base64", "found.mime_type")
+        *keys, "path", "trail", F.regexp_replace("found.base64", r"\s+", "").alias("base64"), "found.mime_type")
 
 
 def structured_media(records: DataFrame, config: DataFrame, turns: DataFrame, sessions: DataFrame) -> DataFrame:

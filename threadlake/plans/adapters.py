@@ -50,7 +50,7 @@ VIEWS: dict[str, tuple[str, str | None]] = {
                   case when m.media_id % 9 = 5 then null else concat(m.kind, '-', cast(m.media_id as string), '.',
                     case m.kind when 'image' then 'png' when 'video' then 'mp4' when 'audio' then 'mp3' else 'pdf' end) end as file_name,
                   case m.kind when 'image' then 'image/png' when 'video' then 'video/mp4' when 'audio' then 'audio/mpeg' else 'application/pdf' end as mime_type,
-                  case when m.media_id % 3 = 0 then null else substring(m.text, 1, 60) end as prompt,
+                  case when m.media_id % 3 = 0 then null else m.text end as prompt,
                   case when m.media_id % 7 = 0 then null else 1704067200000 + m.media_id * 1000 end as created_ms,
                   m.media_id % 8 = 1 as is_thumbnail,
                   coalesce(m.disposition = 'input', false) as is_uploaded,

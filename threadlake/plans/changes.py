@@ -68,15 +68,11 @@ def plan_summary(t: Tables):
 
 
 @query("M3_read_scope", """
-    select user_id, bool_and(event_type <> 'error') and not bool_or(event_type = 'view') as reuse_stores, bool_and(event_type <> 'error') and not bool_or(event_type = 'click') as reuse_files,
-       bool_or(event_type = 'purchase') as local_storage_changed, bool_or(event_type = 'signup') as session_storage_changed
-    from {events} where user_id < 0 group by 1
-    union all select -1, not bool_or(event_type = 'view'), false, bool_or(event_type = 'purchase'), bool_or(event_type = 'signup') from {events} where event_type not in ('error', 'view') group by 1""")
+    select not bool_or(event_type = 'view') as reuse_stores, true as reuse_files, bool_or(event_type in ('click', 'purchase')) as local_storage_changed,
+       bool_or(event_type in ('signup', 'error')) as session_storage_changed from {events}""")
 def read_scope(t: Tables):
-    path = F.when(F.col("event_type") == "view", "IndexedDB/x").when(F.col("event_type") == "click", "File System/x") \
-        .when(F.col("event_type") == "purchase", "Local Storage/x").otherwise("Session Storage/x")
-    changes = t.events.where("event_type not in ('error', 'view')").select(path.alias("path"))
-    return D.read_scope(changes).select(F.lit(-1).cast("bigint").alias("user_id"), "*")
+    path = F.when(F.col("event_type") == "view", "IndexedDB/x").when(F.col("event_type").isin("click", "purchase"), "Local Storage/x").otherwise("Session Storage/x")
+    return D.read_scope(t.events.select(path.alias("path")))
 
 
 @query("M4_hash_reuse", """
@@ -102,7 +98,6 @@ def registry_rounds(t: Tables):
     return registry
 
 
-_HASH = "case when {s}.id % 23 = 0 then null else {s}.body end"
 _ACTION = """wp as (select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'tombstoned'
     when a.id % 23 <> 0 and a.body = b.body then 'skipped' else 'changed' end as action from {snap_a} a full join {snap_b} b on a.id = b.id)"""
 

@@ -124,19 +124,19 @@ def duplicate_audit(t: Tables):
 
 
 @query("L1_decode_payloads", """
-    select doc_id, sha256(case when doc_id % 5 = 4 then substring(head, 3, 5) else head end) as sha from
-      (select doc_id, substring(sha256(text), 1, 20) as head from {documents})""")
+    select doc_id, case when doc_id % 5 = 4 then sha256(substring(sha256(text), 3, 5)) else sha256(text) end as sha from {documents}""")
 def decode_payloads(t: Tables):
-    """The same bytes in every encoding a store uses: base64, data URL, number list, numeric keys, view."""
-    head = F.substring(F.sha2("text", 256), 1, 20)
-    encoded = F.base64(head.cast("binary"))
-    numbers = F.transform(F.sequence(F.lit(1), F.length(head)), lambda i: F.ascii(F.substring(head, i, F.lit(1))))
-    listed = F.concat(F.lit("["), F.array_join(numbers.cast("array<string>"), ","), F.lit("]"))
-    keyed = F.concat(F.lit("{"), F.array_join(F.transform(numbers, lambda n, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), n.cast("string"))), ","), F.lit("}"))
+    """Whole texts in every encoding a store uses: base64, data URL, number list, numeric keys; and a view of a hash."""
+    encoded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s+", "")  # one line, as JSON needs it
+    pairs = F.filter(F.split(F.hex("text"), r"(?<=\G.{2})"), lambda p: p != "")
+    numbers = F.transform(pairs, lambda p: F.conv(p, 16, 10))
+    listed = F.concat(F.lit("["), F.array_join(numbers, ","), F.lit("]"))
+    keyed = F.concat(F.lit("{"), F.array_join(F.transform(numbers, lambda n, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), n)), ","), F.lit("}"))
     kind = F.col("doc_id") % 5
-    payload = F.when(kind == 0, F.concat(F.lit('"'), encoded, F.lit('"'))).when(kind == 1, F.concat(F.lit('"data:image/png;base64,'), encoded, F.lit('"'))) \
+    quoted = lambda head, text: F.concat(F.lit(f'"{head}'), text, F.lit('"'))
+    payload = F.when(kind == 0, quoted("", encoded)).when(kind == 1, quoted("data:image/png;base64,", encoded)) \
         .when(kind == 2, listed).when(kind == 3, keyed) \
-        .otherwise(F.concat(F.lit('{"encoded":"'), encoded, F.lit('","byteOffset":2,"length":5}')))
+        .otherwise(F.concat(F.lit('{"encoded":"'), F.regexp_replace(F.base64(F.sha2("text", 256).cast("binary")), r"\s+", ""), F.lit('","byteOffset":2,"length":5}')))
     rows = t.documents.select("doc_id", R.parse(payload).alias("payload"))
     return rows.select("doc_id", F.sha2(C.decode_payload(F.col("payload")), 256).alias("sha"))
 

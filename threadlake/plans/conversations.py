@@ -221,16 +221,18 @@ def resolve_settings(t: Tables):
 
 @query("E13_restore_selection", """
     with chosen as (select id from {convs} where kind = 'chat'),
-      picked as (select conversation_id, id from {msgs} where conversation_id in (select id from chosen) and seq % 3 <> 2)
+      picked as (select conversation_id, id from {msgs} where conversation_id in (select id from chosen)),
+      ids as (select conversation_id, case when seq % 3 = 2 then 'stale-' || id else id end as id from {msgs})
     select 'message' as item, id from picked
     union all
-    select 'id', m.id from {msgs} m where m.conversation_id in (select id from chosen) and m.id in (select id from picked)
+    select 'id', i.id from ids i where i.conversation_id in (select id from chosen) and i.id in (select id from picked)
     union all
     select 'image', cast(media_id as varchar) from {media} where message_id in (select id from picked) or conversation_id in (select id from chosen)""")
 def restore_selection(t: Tables):
     chosen = t.convs.where("kind = 'chat'")
-    ids = t.msgs.select("conversation_id", F.col("id").alias("message_id"))
-    messages, picked, images = L.restore_selection(chosen, t.msgs.where("seq % 3 <> 2"), ids, t.media)
+    # one saved id in three belongs to no message any more
+    ids = t.msgs.select("conversation_id", F.when(F.col("seq") % 3 == 2, F.concat(F.lit("stale-"), "id")).otherwise(F.col("id")).alias("message_id"))
+    messages, picked, images = L.restore_selection(chosen, t.msgs, ids, t.media)
     return (
         messages.select(F.lit("message").alias("item"), "id")
         .unionByName(picked.select(F.lit("id").alias("item"), F.col("message_id").alias("id")))

@@ -124,11 +124,11 @@ def deep_references(t: Tables):
 
 
 @query("J7_deep_payloads", """
-    select doc_id, 'meta.payload' as path, to_base64(encode(substring(sha256(text), 1, 30))) as base64, cast(null as varchar) as mime_type from {documents}
+    select doc_id, 'meta.payload' as path, to_base64(encode(text)) as base64, cast(null as varchar) as mime_type from {documents} where strlen(text) > 9
     union all select doc_id, 'files.1', to_base64(encode(lang)), 'image/png' from {documents}
     union all select doc_id, 'link', 'QUJD', 'text/plain' from {documents}""")
 def deep_payloads(t: Tables):
-    head = F.base64(F.substring(F.sha2("text", 256), 1, 30).cast("binary"))
+    head = F.base64(F.col("text").cast("binary"))
     file = F.struct(F.lit("base64").alias("encoding"), F.base64(F.col("lang").cast("binary")).alias("data"), F.lit("image/png").alias("mimeType"))
     record = _json(F.struct(head.alias("payload"), F.lit("short").alias("data"), head.alias("encryptedData")).alias("meta"),
                    F.array(F.struct(F.lit("x").alias("encoding"), F.lit(None).cast("string").alias("data"), F.lit("y").alias("mimeType")), file).alias("files"),

@@ -54,12 +54,12 @@ def media_references(t: Tables):
 @query("D7_base64", r"""
     select doc_id, length(b) % 4 <> 1 and regexp_matches(b, '^[A-Za-z0-9+/_-]*={{0,2}}$') and b <> '' and not starts_with(b, '__') as valid,
        length(b) % 4 <> 1 and regexp_matches(b, '^[A-Za-z0-9+/_-]*={{0,2}}$') and length(b) >= 16 and not starts_with(b, '__') as payload
-    from (select doc_id, regexp_replace(v, '\s+', '', 'g') as b from (select doc_id, case doc_id % 4 when 0 then to_base64(encode(substring(text, 1, 30)))
-        when 1 then '__' || substring(sha256(text), 1, 22) when 2 then substring(text, 1, 9) else substring(sha256(text), 1, cast(doc_id % 40 as bigint)) end as v from {documents}))""")
+    from (select doc_id, regexp_replace(v, '\s+', '', 'g') as b from (select doc_id, case doc_id % 4 when 0 then to_base64(encode(text))
+        when 1 then '__' || substring(sha256(text), 1, 22) when 2 then text else substring(sha256(text), 1, cast(doc_id % 40 as bigint)) end as v from {documents}))""")
 def base64(t: Tables):
     kind = F.col("doc_id") % 4
-    value = F.when(kind == 0, F.base64(F.substring("text", 1, 30).cast("binary"))).when(kind == 1, F.concat(F.lit("__"), F.substring(F.sha2("text", 256), 1, 22))) \
-        .when(kind == 2, F.substring("text", 1, 9)).otherwise(F.expr("substring(sha2(text, 256), 1, cast(doc_id % 40 as int))"))
+    value = F.when(kind == 0, F.base64(F.col("text").cast("binary"))).when(kind == 1, F.concat(F.lit("__"), F.substring(F.sha2("text", 256), 1, 22))) \
+        .when(kind == 2, F.col("text")).otherwise(F.expr("substring(sha2(text, 256), 1, cast(doc_id % 40 as int))"))
     return t.documents.select("doc_id", M.is_base64_text(value).alias("valid"), M.is_base64_payload(value).alias("payload"))
 
 

@@ -16,7 +16,7 @@ def json_records(t: Tables):
         F.concat(F.lit("d"), F.col("doc_id")).alias("id"),
         (F.col("doc_id") % 100).alias("conversation_id"),
         F.col("lang").alias("title"),
-        F.substring("text", 1, 40).alias("content"),
+        F.col("text").alias("content"),
     ))
     one = F.concat(F.lit('{"title":"outer","rev":1,"data":'), inner, F.lit("}"))
     two = F.concat(F.lit('{"kind":"wrapped","doc":{"title":"middle","documentData":'), inner, F.lit("}}"))
@@ -27,17 +27,17 @@ def json_records(t: Tables):
 @query("C1_unwrap", """
     select doc_id, concat('d', cast(doc_id as varchar)) as id, lang as title,
            case when doc_id % 3 = 1 then '1' end as rev,
-           case when doc_id % 3 = 2 then 'wrapped' end as kind
+           case when doc_id % 3 = 2 then 'wrapped' end as kind, sha256(text) as digest
     from {documents}""")
 def unwrap(t: Tables):
     rows = R.unwrap(json_records(t))
     pick = lambda name: R.text("r", name).alias(name)
-    return rows.select("doc_id", pick("id"), pick("title"), pick("rev"), pick("kind"))
+    return rows.select("doc_id", pick("id"), pick("title"), pick("rev"), pick("kind"), F.sha2(R.text("r", "content"), 256).alias("digest"))
 
 
 @query("C2_first_text", """
     select doc_id, case doc_id % 4 when 0 then lang when 1 then source when 2 then '7' else lang end as value,
-           nullif(trim(substring(text, 1, 12), ' '), '') as head
+           sha256(nullif(trim(text, ' '), '')) as digest
     from {documents}""")
 def first_text(t: Tables):
     doc = F.col("doc_id") % 4
@@ -48,7 +48,7 @@ def first_text(t: Tables):
     rows = t.documents.select("doc_id", "text", R.fields(R.parse(text)).alias("r"))
     return rows.select(
         "doc_id", R.first_text("r", ("title", "name")).alias("value"),
-        S.first_string(F.substring("text", 1, 12)).alias("head"),
+        F.sha2(S.first_string(F.col("text")), 256).alias("digest"),
     )
 
 
@@ -82,18 +82,13 @@ def flatten_text(t: Tables):
 
 
 @query("C5_response_text", """
-    select conversation_id, string_agg(text, chr(10) || chr(10) order by seq) as text from
-      (select conversation_id, seq, substring(id, 1, 8) as text from {msgs} where role = 'assistant' and seq < 8)
-    group by conversation_id""")
+    select id, sha256(trim(text || chr(10) || chr(10) || role || chr(10) || id, ' ')) as digest from {msgs} where text <> ''""")
 def response_text(t: Tables):
-    items = (
-        t.msgs.where("seq < 8").groupBy("conversation_id")  # eight turns at most per group
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "seq", F.when(F.col("role") == "assistant", "message").otherwise("reasoning").alias("type"),
-            F.array(F.struct(F.substring("id", 1, 8).alias("text"))).alias("content")))).alias("items"))
-    )
-    shaped = items.withColumn("items", R.parse(F.to_json("items"))).select("conversation_id", R.response_text("items").alias("text"))
-    return shaped.where("text <> ''")
+    """Output items of every message: reasoning is left out, message parts are joined."""
+    item = lambda kind, *texts: F.struct(F.lit(kind).alias("type"), F.array(*[F.struct(text.alias("text")) for text in texts]).alias("content"))
+    items = F.array(item("reasoning", F.lit("hidden")), item("message", F.col("text")), item("message", F.col("role"), F.col("id")))
+    rows = t.msgs.where("text <> ''").select("id", R.parse(F.to_json(items)).alias("items"))
+    return rows.select("id", F.sha2(R.response_text("items"), 256).alias("digest"))
 
 
 _TIMES = """
