@@ -71,3 +71,73 @@ def bpe(spark, sf_dir):
     coded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return coded.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+DECONTAMINATION_SQL = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), iw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), ip as (
+  select item_id, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as p from iw where len(w) > 0
+), windows as (
+  select distinct cast(item_id as varchar) as item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') as s from ip
+), lengths as (
+  select distinct n from windows
+), dp as (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from dw, lengths where len(w) >= n
+), spots as (
+  select doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') as s from dp
+), found as (
+  select s.doc_id, s.n, s.p, w.item_id from spots s join windows w on s.n = w.n and s.s = w.s
+), hits as (
+  select doc_id, count(distinct p + k) as n_hit from (select doc_id, p, unnest(range(0, n)) as k from (select distinct doc_id, n, p from found)) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from found) group by doc_id
+)
+select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(n.n_items, 0) as n_items,
+       sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from dw d left join hits h using (doc_id) left join named n using (doc_id)
+"""
+
+
+@query("op7_decontamination", DECONTAMINATION_SQL)
+def decontamination(spark, sf_dir):
+    from threadlake.llm.fm_index import find_passages
+
+    found = find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + (s["last"] - s["first"] + 1))
+    return found.select(
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op8_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    from threadlake.llm.substring_dedup import drop_repeated_substrings
+
+    cut = drop_repeated_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return cut.select(
+        "doc.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_pii")
+def personal_data(spark, sf_dir):
+    from threadlake.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.get(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    return found.select("doc.doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+@query("op2_jaccard_join")
+def jaccard_join(spark, sf_dir):
+    from threadlake.llm.set_join import jaccard_components
+
+    joined = jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
