@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import bounded, packed
+from threadlake.llm.common import Words, bounded, list_array, packed, text_bytes
 from threadlake.session import configure
 
 LEAF = 32_768
-MEMO_WORDS = 200_000
-SPACES = str.maketrans("\n\t\r", "   ")
+#: Words whose ids a worker remembers, about 30 bytes each.
+MEMO_WORDS = 1 << 20
+SPACES = (0x20, 0x09, 0x0A, 0x0D)
+SPACE = re.compile("[ \t\n\r]")
 
 
 class Encoder:
-    """One tokenizer per worker, with the ids of recent words.
+    """One tokenizer per worker, with the ids of the words it has met.
 
     Words between spaces are encoded on their own: the normalizer and the pre-tokenizer of the vocabulary never look
-    across a space, tab or line break, so the ids of a text are those of its words in order.
+    across a space, tab or line break, so the ids of a text are those of its words in order.  A word is known by its
+    64-bit fingerprint.
     """
 
     _held: dict[str, "Encoder"] = {}
@@ -30,7 +34,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, list[int]] = {}
+        self.words = Words(SPACES, fold=False)
+        self._remember(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     @classmethod
     def of(cls, definition: str) -> "Encoder":
@@ -42,58 +47,84 @@ class Encoder:
             cls._held[definition] = cls(definition)
         return cls._held[definition]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        split = [[w for w in t.translate(SPACES).split(" ") if w] for t in texts]
-        fresh = {w for words in split for w in words if w not in self.memo}
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo = {}
-            fresh = {w for words in split for w in words}
-        fresh = list(fresh)
-        for word, got in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.memo[word] = got.ids
-        known = self.memo
-        return [list(chain.from_iterable([known[w] for w in words])) for words in split]
-
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
-
-
-def join_pieces(encoder: Encoder, left: str, right: str, left_ids: list[int], right_ids: list[int], width: int = 64) -> list[int]:
+    def _remember(self, known, count, flat) -> None:
+        start = np.cumsum(count) - count
+        order = np.argsort(known)
+        self.known, self.start, self.count, self.flat = known[order], start[order], count[order], flat
+
+    def _learn(self, fresh: np.ndarray, words: list[str], used: np.ndarray) -> None:
+        if len(self.known) + len(fresh) > MEMO_WORDS:
+            at = np.flatnonzero(np.isin(self.known, used))
+            count = self.count[at]
+            self._remember(self.known[at], count, self.flat[_ranges(self.start[at], count)])
+        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((i for x in got for i in x), np.int32, int(count.sum()))
+        start = np.concatenate((self.start, np.cumsum(count) - count + len(self.flat)))
+        known = np.concatenate((self.known, fresh))
+        order = np.argsort(known)
+        self.known, self.start, self.count = known[order], start[order], np.concatenate((self.count, count))[order]
+        self.flat = np.concatenate((self.flat, flat))
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each text has."""
+        hashes, owner, begin, end = self.words.split(texts)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        missing = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        missing[inside] = self.known[at[inside]] != distinct[inside]
+        if missing.any():
+            at = first[missing]
+            self._learn(distinct[missing], [texts[o][a:b].decode() for o, a, b in zip(owner[at], begin[at], end[at])], distinct)
+            at = np.searchsorted(self.known, distinct)
+        start, count = self.start[at][place], self.count[at][place]
+        sizes = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+        return self.flat[_ranges(start, count)], sizes
+
+    def one(self, text: str) -> np.ndarray:
+        return self.ids([text.encode()])[0]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for ``count[0]`` places, then those of the next."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def join_pieces(encoder: Encoder, left: str, right: str, left_ids: np.ndarray, right_ids: np.ndarray, width: int = 64) -> np.ndarray:
     """Ids of ``left + right`` from the ids of both.
 
-    A window around the join is encoded again.  The window grows until, on each side, it starts (ends) at a space
-    and its first (last) tokens up to another space nearer to the join are those the side had: there both sides agree
-    exactly, and what lies beyond is not changed by the join.
+    A window around the join is encoded again.  It grows until it starts and ends at a white space (or an end of the
+    text) and what each side had inside the window is exactly the tail or head of that side's ids; there both sides
+    agree, and what lies beyond is not changed by the join.
     """
     text = left + right
     cut = len(left)
     while True:
         lo, hi = max(0, cut - width), min(len(text), cut + width)
-        begin = 0 if lo == 0 else text.find(" ", lo, cut)
-        end = len(text) if hi == len(text) else text.rfind(" ", cut, hi)
-        if begin < 0 or end < 0:
-            width *= 2
-            continue
-        window = encoder.ids([text[begin:end]])[0]
-        tail, head = encoder.ids([left[begin:], right[:end - cut]])
-        # the sides without what the window covers
-        if left_ids[len(left_ids) - len(tail):] == tail and right_ids[:len(head)] == head:
-            return left_ids[:len(left_ids) - len(tail)] + window + right_ids[len(head):]
-        if begin == 0 and end == len(text):
-            return window
+        spaces = [m.start() for m in SPACE.finditer(text, lo, hi)]
+        begin = 0 if lo == 0 else next((x for x in spaces if x < cut), -1)
+        end = len(text) if hi == len(text) else next((x for x in reversed(spaces) if x >= cut), -1)
+        if begin >= 0 and end >= 0:
+            tail, head = encoder.one(left[begin:]), encoder.one(right[:end - cut])
+            keep = len(left_ids) - len(tail)
+            if np.array_equal(left_ids[keep:], tail) and np.array_equal(right_ids[:len(head)], head):
+                return np.concatenate((left_ids[:keep], encoder.one(text[begin:end]), right_ids[len(head):]))
         width *= 2
 
 
-def tree_ids(encoder: Encoder, pieces: list[str], ids: list[list[int]]) -> list[int]:
+def tree_ids(encoder: Encoder, pieces: list[str], ids: list[np.ndarray]) -> np.ndarray:
     """Joins neighbours level by level until one sequence is left."""
     while len(pieces) > 1:
-        joined = [
+        ids = [
             join_pieces(encoder, pieces[i], pieces[i + 1], ids[i], ids[i + 1]) if i + 1 < len(pieces) else ids[i]
             for i in range(0, len(pieces), 2)
         ]
         pieces = ["".join(pieces[i:i + 2]) for i in range(0, len(pieces), 2)]
-        ids = joined
-    return ids[0] if ids else []
+    return ids[0]
 
 
 def encode_texts(docs: DataFrame, definition: str, text_column: str = "text", leaf: int = LEAF) -> DataFrame:
@@ -109,34 +140,33 @@ def encode_texts(docs: DataFrame, definition: str, text_column: str = "text", le
     * repeated rows stay repeated; an empty table gives an empty table; other columns may have any name.
     """
     configure(docs.sparkSession)
-    rows = packed(docs, (text_column,), text=text_column).withColumn("text", F.translate(F.coalesce("text", F.lit("")), "\n\t\r", "   "))
+    rows = packed(docs, (text_column,), text=text_column).withColumn("text", F.coalesce("text", F.lit("")))
     out = T.StructType([rows.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    names = ["doc", "ids", "decoded"]
 
-    def finish(encoder, doc, ids):
-        decoded = [encoder.decode(x) for x in ids]
-        return pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names)
+    def finish(encoder, doc, flat, sizes):
+        decoded = [encoder.decode(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        return pa.RecordBatch.from_arrays([doc, list_array(flat, sizes, pa.int32()), pa.array(decoded, pa.string())], ["doc", "ids", "decoded"])
 
     def short(batches):
         encoder = Encoder.of(definition)
         for batch in batches:
             for part in bounded(batch, "text"):
-                yield finish(encoder, part.column("doc"), encoder.ids(part.column("text").to_pylist()))
+                yield finish(encoder, part.column("doc"), *encoder.ids(text_bytes(part.column("text"))))
 
     def leaves(batches):
         encoder = Encoder.of(definition)
         for batch in batches:
-            ids = encoder.ids(batch.column("piece").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("at"), batch.column("piece"), pa.array(ids, pa.list_(pa.int32()))], ["key", "at", "piece", "ids"])
+            ids = list_array(*encoder.ids(text_bytes(batch.column("piece"))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("at"), batch.column("piece"), ids], ["key", "at", "piece", "ids"])
 
     def joined(batches):
         encoder = Encoder.of(definition)
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = batch.column("parts")[i].as_py()
-                ids = tree_ids(encoder, [p["piece"] for p in parts], [p["ids"] for p in parts])
-                yield finish(encoder, batch.column("doc").slice(i, 1), [ids])
+                parts = batch.column("parts")[i].values
+                ids = [np.asarray(x.values, np.int32) for x in parts.field("ids")]
+                flat = tree_ids(encoder, parts.field("piece").to_pylist(), ids)
+                yield finish(encoder, batch.column("doc").slice(i, 1), flat, np.array([len(flat)]))
 
     is_long = F.char_length("text") > leaf
     near = rows.where(~is_long).mapInArrow(short, out)

@@ -56,14 +56,15 @@ def power_table(base: int, size: int) -> np.ndarray:
 class Words:
     """Words of many byte strings at once: 64-bit fingerprints, places, owning text.
 
-    ``separators`` are the byte values between words; A-Z is lowered first.
+    ``separators`` are the byte values between words; A-Z is lowered first unless ``fold`` is false.
     """
 
     BASE = 0xD6E8FEB86659FD93 | 1
 
-    def __init__(self, separators):
+    def __init__(self, separators, fold: bool = True):
         self.lower = np.arange(256, dtype=np.uint8)
-        self.lower[65:91] += 32
+        if fold:
+            self.lower[65:91] += 32
         self.sep = np.zeros(256, bool)
         self.sep[list(separators)] = True
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)[self.lower]

@@ -69,7 +69,7 @@ def bpe(spark, sf_dir):
     from threadlake.llm.bpe import encode_texts
 
     coded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
