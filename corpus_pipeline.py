@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlake.llm import bpe, common, line_dedup
 from threadlake.llm.queries import vocabulary
-from threadlake.session import configure, materialize
+from threadlake.session import materialize
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in order to ``documents``."""
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import Words, bounded, list_array, packed, text_bytes
-from threadlake.session import configure
+from threadlake.llm.common import Words, bounded, list_array, packed, prepared, text_bytes
 
 LEAF = 32_768
 #: Words whose ids a worker remembers, about 30 bytes each.
@@ -139,7 +138,7 @@ def encode_texts(docs: DataFrame, definition: str, text_column: str = "text", le
       neighbours are joined as a binary tree, each join encoding a growing window around it again;
     * repeated rows stay repeated; an empty table gives an empty table; other columns may have any name.
     """
-    configure(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows = packed(docs, (text_column,), text=text_column).withColumn("text", F.coalesce("text", F.lit("")))
     out = T.StructType([rows.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 

@@ -9,10 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from threadlake.session import materialize
+from threadlake.session import configure, materialize
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+
+
+def prepared(spark):
+    """The session with the library's settings and Arrow batches bounded in bytes, whatever the length of a row's text."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def packed(df: DataFrame, without: tuple[str, ...] = (), **wanted: str) -> DataFrame:
@@ -53,6 +59,17 @@ def power_table(base: int, size: int) -> np.ndarray:
     return out
 
 
+def prefix_sums(value: np.ndarray, data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """0 and the running sums of value[data[i]] * powers[i], in one array."""
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    body = total[1:]
+    np.take(value, data, out=body)
+    body *= powers[:len(data)]
+    np.cumsum(body, out=body)
+    return total
+
+
 class Words:
     """Words of many byte strings at once: 64-bit fingerprints, places, owning text.
 
@@ -91,7 +108,7 @@ class Words:
         edge = np.flatnonzero(np.diff(np.concatenate(([True], sep)).view(np.int8)))
         starts, ends = edge[0::2], edge[1::2]
         powers, inverse = self._tables(len(data) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value[data] * powers[:len(data)], dtype=np.uint64)))
+        total = prefix_sums(self.value, data, powers)
         hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
         owner = np.searchsorted(offsets, starts, side="right") - 1
         return hashes, owner, starts - offsets[owner], ends - offsets[owner]

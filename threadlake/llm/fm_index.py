@@ -6,8 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import Words, bounded, list_array, packed, text_bytes
-from threadlake.session import configure
+from threadlake.llm.common import Words, bounded, list_array, packed, prepared, text_bytes
 
 #: Bytes between words once A-Z is lowered: ASCII other than digits and letters.
 SEPARATORS = (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
@@ -237,7 +236,7 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text_colu
     ``block_words`` words, so what one pass broadcasts is bounded whatever the benchmark's size; the passes follow
     each other without a shuffle.  Words are compared by 64-bit fingerprints.
     """
-    spark = configure(docs.sparkSession).sparkContext
+    spark = prepared(docs.sparkSession).sparkContext
 
     def fingerprints(batches):
         words = Words(SEPARATORS)

@@ -6,8 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from threadlake.llm.common import arrow_map, packed
-from threadlake.session import configure
+from threadlake.llm.common import arrow_map, packed, prepared
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +47,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     keys meet the (document, key) rows in an equi-join that adaptive execution can split; each document gets the
     frequent keys it holds, and its lines are kept or dropped by position.  The text is shuffled once.
     """
-    configure(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows = packed(docs, (text_column,), id=id_column, text=text_column).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.split("text", "\n", -1)
     rows = rows.withColumn("hashes", F.transform(lines, lambda x: F.xxhash64(line_key(x))))

@@ -6,8 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadlake.llm.common import packed
-from threadlake.session import configure
+from threadlake.llm.common import packed, prepared
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -73,12 +72,20 @@ def valid(kind: str, text: Column) -> Column:
     if kind == "ip":
         return text.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
     if kind == "card":
-        return F.char_length(digits).between(16, 19) & F.luhn_check(digits)
+        return F.char_length(digits).between(16, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.char_length(digits).between(8, 15)
     return F.lit(True)
 
 
+def _strict(kind: str):
+    return lambda m: valid(kind, m["match"])
+
+
+def _numbered(i: int):
+    return lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+
+
 def _features(kind: Column, text: Column, before: Column, after: Column) -> list[Column]:
     """Format and context as small numbers, none of them a strict rule itself."""
     count = lambda chars: F.char_length(text) - F.char_length(F.translate(text, chars, ""))
@@ -228,7 +235,7 @@ def find_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame:
     * where no proposal satisfies a strict rule there is nothing to learn from, and nothing is added;
     * an empty table gives an empty table; other columns are carried in ``doc`` under any name.
     """
-    configure(docs.sparkSession)
+    prepared(docs.sparkSession)
     rows = packed(docs, (text_column,), text=text_column).withColumn("text", F.coalesce("text", F.lit("")))
     models = fit(candidates(rows.select("text")))
     has_digit = F.col("text").rlike("[0-9]")
@@ -237,8 +244,8 @@ def find_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame:
     base = []
     for i, kind in enumerate(KINDS):
         rows = matches(rows, kind, BASE[kind], wanted[kind])
-        held = F.filter(kind, lambda m, kind=kind: valid(kind, m["match"]))
-        base.append(F.transform(held, lambda m, i=i: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))))
+        held = F.filter(kind, _strict(kind))
+        base.append(F.transform(held, _numbered(i)))
     rows = rows.withColumn("base", F.concat(*base).cast(span)).drop(*KINDS)
     live = {kind: model for kind, model in models.items() if model.threshold is not None}
     if not live:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.session import configure
+from threadlake.llm.common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         QUERIES[name] = run
         if oracle is not None:
@@ -131,11 +131,44 @@ def personal_data(spark, sf_dir):
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.get(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    numbers = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(numbers, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return found.select("doc.doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
-@query("op2_jaccard_join")
+REACH_SQL = """
+, both_ways as (
+  select x, y from links union all select y, x from links
+), reach as (
+  select x as node, x as seen from both_ways
+  union
+  select r.node, b.y from reach r join both_ways b on r.seen = b.x
+), least as (
+  select node, min(seen) as component_id from reach group by node
+)
+"""
+
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), p as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from w where len(w) > 0
+), s as (
+  select distinct doc_id, array_to_string(list_slice(w, p, p + 4), ' ') as s from p
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)
+)""" + REACH_SQL + """
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(l.component_id, w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join least l on l.node = w.doc_id
+"""
+
+
+@query("op2_jaccard_join", JACCARD_SQL)
 def jaccard_join(spark, sf_dir):
     from threadlake.llm.set_join import jaccard_components
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadlake.llm.common import GOLDEN, Words, bounded, components, list_array, mix, packed, text_bytes
-from threadlake.session import configure, materialize
+from threadlake.llm.common import GOLDEN, Words, bounded, components, list_array, mix, packed, prepared, text_bytes
+from threadlake.session import materialize
 
 SEPARATORS = (0x20, *range(9, 14))
 STEP = np.uint64(0x9FB21C651E98DF25)
@@ -169,7 +169,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     list in different components, which are verified exactly.  No link between components can be missed, and a
     group of copies costs one verification per member.  Shingles are compared by 64-bit fingerprints.
     """
-    spark = configure(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     rows = packed(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def signatures(batches):

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import GOLDEN, bounded, mix, packed, power_table, text_bytes
-from threadlake.session import configure
+from threadlake.llm.common import GOLDEN, bounded, mix, packed, power_table, prefix_sums, prepared, text_bytes
+from threadlake.session import materialize
 
 PIECE_BYTES = 1 << 20
 LONE, SELF, DONE = 0, 1, 2
@@ -46,7 +46,7 @@ class Buckets:
             size = max(len(data) + 1, PIECE_BYTES + (1 << 16))
             self.powers = power_table(self.BASE, size)
             self.inverse = power_table(pow(self.BASE, -1, 1 << 64), size)
-        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value[data] * self.powers[:len(data)], dtype=np.uint64)))
+        self.total = prefix_sums(self.value, data, self.powers)
         self.size = len(data)
 
     def strings(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -245,7 +245,7 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
 
     Strings are compared by 64-bit identifiers (128 bits for whole runs).
     """
-    configure(docs.sparkSession)
+    prepared(docs.sparkSession)
     least_id = F.lit(LEAST_ID).cast("long")
     rows = packed(docs, (text_column,), id=id_column, text=text_column).select(
         "doc", F.coalesce(F.col("id").cast("long"), least_id).alias("id"), F.col("text").cast("binary").alias("text"))
@@ -288,8 +288,6 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
     def per_document(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy("id").agg(F.collect_list(F.struct("place", "size")).alias(name))
 
-    from threadlake.session import materialize
-
     found = materialize(resolved(rows.select("id", "text").mapInArrow(runs, ROWS)), "runs")
     texts = rows.select("id", "text")
     finer = texts.join(per_document(found.where("open"), "open"), "id").mapInArrow(windows, ROWS)
