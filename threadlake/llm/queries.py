@@ -174,3 +174,13 @@ def jaccard_join(spark, sf_dir):
 
     joined = jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=80)
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op10_toxicity")
+def toxicity(spark, sf_dir):
+    from threadlake.llm.toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc.doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc.doc_id", held_out.alias("held_out"), "score", "predicted")
