@@ -16,8 +16,12 @@ BATCH_BYTES = 1 << 20
 
 
 def prepared(spark):
-    """The session with the library's settings and Arrow batches bounded in bytes, whatever the length of a row's text."""
+    """The session with the library's settings, Arrow batches bounded in bytes and shuffle files removed after each query.
+
+    Steps are cut by written tables, so the shuffles of an earlier step are never read again.
+    """
     configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

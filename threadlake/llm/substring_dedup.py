@@ -1,15 +1,15 @@
 """Exact substring deduplication by bucket-pointer refinement of sampled suffixes.
 
 Every byte position has a bucket identifier of its q-gram (q is a quarter of the match length).  Identifiers of longer
-strings come from those of later offsets: b(2q, p) from b(q, p) and b(q, p + q), and once more for 4q.  Three rounds
-spend sorting only where a bucket is not settled:
+strings come from those of later offsets: b(2q, p) from b(q, p) and b(q, p + q), and once more for 4q.  Each round sorts
+only what the round before has not settled:
 
 1. Runs of windows that share their least q-gram identifier are one sampled suffix each (about one in 38 positions for
    100 bytes).  They are sorted by that identifier and by the identifier of all their bytes.  Runs equal to an earlier run
    are repeated as a whole; buckets with one run in them are settled.
-2. Runs that share a bucket with a different run are refined to single windows, sorted by their full identifier;
-   all but the first of a bucket are repeated.
-3. Repeated windows go back to their document and are cut out of it.
+2. Runs that share a bucket with a different run are open.  The same is done again inside them with 2q-grams.
+3. What is open then is refined to single windows, sorted by their full identifier; all but the first are repeated.
+4. Repeated windows go back to their document and are cut out of it.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Buckets:
     def __init__(self, length: int):
         if length % 4:
             raise ValueError("the match length must be a multiple of 4")
-        self.length, self.q = length, length // 4
+        self.length = length
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         self.powers = self.inverse = np.zeros(0, np.uint64)
 
@@ -52,17 +52,15 @@ class Buckets:
     def strings(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return mix((self.total[start + length] - self.total[start]) * self.inverse[start] + length.astype(np.uint64) * GOLDEN)
 
-    def q_grams(self) -> np.ndarray:
-        n = max(0, self.size - self.q + 1)
-        return mix((self.total[self.q:] - self.total[:n]) * self.inverse[:n])
-
-    def refined(self, grams: np.ndarray) -> np.ndarray:
-        """Identifiers of full windows, from those of half and quarter windows at later offsets."""
-        reach = self.q
-        while reach < self.length:
-            grams = mix(grams[:len(grams) - reach] * GOLDEN + grams[reach:]) if len(grams) > reach else grams[:0]
+    def grams(self, length: int) -> np.ndarray:
+        """Identifiers of all strings of a quarter, half or whole window; longer ones from two at later offsets."""
+        reach = self.length // 4
+        n = max(0, self.size - reach + 1)
+        found = mix((self.total[reach:] - self.total[:n]) * self.inverse[:n])
+        while reach < length:
+            found = mix(found[:len(found) - reach] * GOLDEN + found[reach:]) if len(found) > reach else found[:0]
             reach *= 2
-        return grams
+        return found
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -75,10 +73,10 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:len(values) - rest], values[rest:]) if rest else values
 
 
-def pieces(ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Groups of about a megabyte: (id, offset in the text, bytes); long texts in pieces that overlap by a window less one."""
+def pieces(ids: list[int], bases: list[int], texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Groups of about a megabyte: (id, offset in the document, bytes); long texts in pieces that overlap by a window less one."""
     own, base, parts, held = [], [], [], 0
-    for key, text in zip(ids, texts):
+    for key, start, text in zip(ids, bases, texts):
         for at in range(0, max(1, len(text) - length + 1), PIECE_BYTES):
             part = text[at:at + PIECE_BYTES + length - 1]
             if len(part) < length:
@@ -87,7 +85,7 @@ def pieces(ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple[np
                 yield np.array(own, np.int64), np.array(base, np.int64), parts
                 own, base, parts, held = [], [], [], 0
             own.append(key)
-            base.append(at)
+            base.append(start + at)
             parts.append(part)
             held += len(part)
     if parts:
@@ -104,25 +102,30 @@ def _places(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return valid, offsets
 
 
-def runs_of(buckets: Buckets, own: np.ndarray, base: np.ndarray, parts: list[bytes]):
+def runs_of(buckets: Buckets, q: int, own: np.ndarray, base: np.ndarray, parts: list[bytes]):
     """Runs of windows with one least q-gram: (least, identifier of all bytes, id, place, windows, repeats inside)."""
-    joined = b"".join(parts)
-    length, width = buckets.length, buckets.length - buckets.q + 1
+    length, width = buckets.length, buckets.length - q + 1
     valid, offsets = _places(parts, length)
-    buckets.load(joined)
-    grams = buckets.q_grams()
+    buckets.load(b"".join(parts))
+    grams = buckets.grams(q)
     least = sliding(grams, width, np.minimum)
     valid = valid[:len(least)]
-    # a q-gram place is the least of some window when the largest minimum of the windows that hold it is its own
-    padded = np.concatenate((np.zeros(width - 1, np.uint64), np.where(valid, least, np.uint64(0)), np.zeros(width - 1, np.uint64)))
-    chosen = np.concatenate(([0], np.cumsum(sliding(padded, width, np.maximum) == grams)))
-    first = valid.copy()
-    first[1:] &= ~(valid[:-1] & (least[1:] == least[:-1]))
+    changed = np.flatnonzero(least[1:] != least[:-1]) + 1
+    first, last = valid.copy(), valid.copy()
+    first[1:] &= ~valid[:-1]
+    last[:-1] &= ~valid[1:]
+    first[changed] = valid[changed]
+    last[changed - 1] = valid[changed - 1]
     starts = np.flatnonzero(first)
-    last = valid.copy()
-    last[:-1] &= ~(valid[1:] & (least[1:] == least[:-1]))
     count = np.flatnonzero(last) - starts + 1
-    places = chosen[starts + count + width - 1] - chosen[starts]
+    # a q-gram place is the least of some window when the largest minimum of the windows that hold it is its own;
+    # a run that has its least q-gram at two places may hold equal windows
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(sliding(np.concatenate((edge, np.where(valid, least, np.uint64(0)), edge)), width, np.maximum) == grams)
+    lo, hi = np.searchsorted(chosen, starts), np.searchsorted(chosen, starts + count + width - 1)
+    run = np.repeat(np.arange(len(starts)), hi - lo)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    places = np.bincount(run[grams[chosen[place]] == least[starts[run]]], minlength=len(starts))
     owner = np.searchsorted(offsets, starts, side="right") - 1
     return least[starts], buckets.strings(starts, count + length - 1), own[owner], starts - offsets[owner] + base[owner], count, places > 1
 
@@ -131,7 +134,7 @@ def windows_of(buckets: Buckets, own: np.ndarray, base: np.ndarray, parts: list[
     """(full identifier, id, place) of every window of the pieces."""
     valid, offsets = _places(parts, buckets.length)
     buckets.load(b"".join(parts))
-    full = buckets.refined(buckets.q_grams())
+    full = buckets.grams(buckets.length)
     at = np.flatnonzero(valid[:len(full)])
     owner = np.searchsorted(offsets, at, side="right") - 1
     return full[at], own[owner], at - offsets[owner] + base[owner]
@@ -250,37 +253,26 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
     rows = packed(docs, (text_column,), id=id_column, text=text_column).select(
         "doc", F.coalesce(F.col("id").cast("long"), least_id).alias("id"), F.col("text").cast("binary").alias("text"))
 
-    def runs(batches):
-        buckets = Buckets(length)
+    def groups(batches):
         for batch in batches:
             for part in bounded(batch, "text"):
-                for group in pieces(part.column("id").to_pylist(), text_bytes(part.column("text")), length):
-                    bucket, whole, own, place, count, inside = runs_of(buckets, *group)
-                    if len(bucket):
-                        yield from _with_local(bucket, whole, own, place, count, np.where(inside, SELF, LONE))
+                yield from pieces(part.column("id").to_pylist(), part.column("base").to_pylist(), text_bytes(part.column("text")), length)
+
+    def runs(q):
+        def run(batches):
+            buckets = Buckets(length)
+            for group in groups(batches):
+                bucket, whole, own, place, count, inside = runs_of(buckets, q, *group)
+                if len(bucket):
+                    yield from _with_local(bucket, whole, own, place, count, np.where(inside, SELF, LONE))
+        return run
 
     def windows(batches):
         buckets = Buckets(length)
-        for batch in batches:
-            for part in bounded(batch, "text"):
-                own, base, parts = [], [], []
-                for i, (key, text) in enumerate(zip(part.column("id").to_pylist(), text_bytes(part.column("text")))):
-                    for at, size in _stretches(part, "open", i):
-                        for start in range(at, at + size, PIECE_BYTES):
-                            own.append(key)
-                            base.append(start)
-                            parts.append(text[start:min(at + size, start + PIECE_BYTES) + length - 1])
-                # rows that share an id hold each other's stretches: what ends before a window is full has none
-                kept = [j for j, x in enumerate(parts) if len(x) >= length]
-                held, size = [], 0
-                for n, j in enumerate(kept):
-                    held.append(j)
-                    size += len(parts[j])
-                    if size >= PIECE_BYTES or n == len(kept) - 1:
-                        full, ids, place = windows_of(buckets, np.array([own[x] for x in held], np.int64), np.array([base[x] for x in held], np.int64), [parts[x] for x in held])
-                        if len(full):
-                            yield from _with_local(full, full, ids, place, np.ones(len(full), np.int64), np.zeros(len(full), np.int64))
-                        held, size = [], 0
+        for group in groups(batches):
+            full, own, place = windows_of(buckets, *group)
+            if len(full):
+                yield from _with_local(full, full, own, place, np.ones(len(full), np.int64), np.zeros(len(full), np.int64))
 
     def resolved(frame: DataFrame) -> DataFrame:
         return frame.repartition("bucket").sortWithinPartitions("bucket", "refined", "id", "place").mapInArrow(_resolve, FOUND)
@@ -288,10 +280,33 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
     def per_document(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy("id").agg(F.collect_list(F.struct("place", "size")).alias(name))
 
-    found = materialize(resolved(rows.select("id", "text").mapInArrow(runs, ROWS)), "runs")
-    texts = rows.select("id", "text")
-    finer = texts.join(per_document(found.where("open"), "open"), "id").mapInArrow(windows, ROWS)
-    repeated = found.where("not open").unionByName(resolved(finer).where("not open"))
+    def narrow(batches):
+        """The bytes of the open stretches, neighbours merged."""
+        for batch in batches:
+            own, base, parts = [], [], []
+            for i, (key, start, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("base").to_pylist(), text_bytes(batch.column("text")))):
+                stretches = sorted((a, n) for a, n in _stretches(batch, "open", i) if start <= a and a - start + length <= len(text))
+                ends: list[list[int]] = []
+                for a, n in stretches:
+                    if ends and a <= ends[-1][1]:
+                        ends[-1][1] = max(ends[-1][1], a + n)
+                    else:
+                        ends.append([a, a + n])
+                for a, b in ends:
+                    own.append(key)
+                    base.append(a)
+                    parts.append(text[a - start:b - start + length - 1])
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(base, pa.int64()), pa.array(parts, pa.binary())], ["id", "base", "text"])
+
+    texts = rows.select("id", F.lit(0).cast("long").alias("base"), "text")
+    repeated = []
+    for q in (length // 4, length // 2):
+        found = materialize(resolved(texts.mapInArrow(runs(q), ROWS)), "runs")
+        repeated.append(found.where("not open"))
+        texts = materialize(texts.join(per_document(found.where("open"), "open"), "id").mapInArrow(narrow, "id long, base long, text binary"), "open")
+    repeated.append(materialize(resolved(texts.mapInArrow(windows, ROWS)).where("not open"), "windows"))
+    repeated = repeated[0].unionByName(repeated[1]).unionByName(repeated[2])
     joined = rows.join(per_document(repeated, "repeated"), "id", "left")
 
     def cut(batches):
