@@ -61,6 +61,11 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def beyond_prefix(size, percent: int):
+    """Shingles of a set that are not in its prefix."""
+    return -(-percent * size // 100) - 1
+
+
 def overlap_needed(a, b, percent: int):
     """Least intersection of sets of sizes a and b that link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -119,13 +124,15 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Over list rows sorted by shingle and size: pairs of one list whose sets are in different components.
 
-    What is kept is the entries that can still have a partner of the sizes to come.
+    Each comes with the number of lists that hold both, the least number a link needs, and whether one of them holds
+    both early enough to be their first common shingle.  What is kept from batch to batch is the entries that can still
+    have a partner of the sizes to come.
     """
     held: tuple = ()
     last = None
     for batch in batches:
         token, size, node, pos, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        left, right = [], []
+        left, right, least, early = [], [], [], []
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))).tolist() + [len(token)]
         for a, b in zip(cuts, cuts[1:]):
             s, v, p, c = size[a:b], node[a:b], pos[a:b], comp[a:b]
@@ -138,18 +145,21 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 for i in range(max(known, 1), len(s)):
                     j = np.arange(begin[i], i)
                     j = j[c[j] != c[i]]
-                    need = overlap_needed(s[j], s[i], percent)
-                    j = j[(p[j] <= s[j] - need) & (p[i] <= s[i] - need)]
                     if len(j):
+                        need = overlap_needed(s[j], s[i], percent)
                         left.append(v[j])
                         right.append(np.full(len(j), v[i]))
+                        least.append(need - np.maximum(beyond_prefix(s[j], percent), beyond_prefix(s[i], percent)))
+                        early.append((p[j] <= s[j] - need) & (p[i] <= s[i] - need))
             last = token[a]
             still = s * 100 >= percent * s[-1]
             held = (s[still], v[still], p[still], c[still])
         if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            a, b, need, soon = (np.concatenate(x) for x in (left, right, least, early))
+            pairs, first, which, shared = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            starts = np.bincount(which.ravel(), weights=soon, minlength=len(pairs)) > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared, pa.int64()), pa.array(need[first], pa.int64()), pa.array(starts)], ["a", "b", "shared", "least", "early"])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -166,8 +176,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     most repeated shingles of the corpus come last in the order).  Lists are cut by size into blocks and entries are
     skipped by position.  First every set is verified against the pivot of its block only.  A set that links has the
     answers of its pivot's component, so all pairs inside a component are skipped; what remains are pairs of one
-    list in different components, which are verified exactly.  No link between components can be missed, and a
-    group of copies costs one verification per member.  Shingles are compared by 64-bit fingerprints.
+    list in different components.  Linked sets share all but a known number of their prefix shingles' lists, so pairs
+    are counted over the lists first and verified exactly where the count suffices.  No link between components can
+    be missed, and a group of copies costs one verification per member.  Shingles are compared by 64-bit fingerprints.
     """
     spark = prepared(docs.sparkSession)
     rows = packed(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -236,8 +247,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         entries.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
             lambda batches: _lists(batches, percent), "token long, size long, node long, pos long, pivot long, pivot_size long, pivot_pos long"), "lists")
 
-    wanted = lists.select("node").distinct().join(classes, "node").select("id", "node")
-
     def full_sets(batches):
         shingler = Shingler(words)
 
@@ -251,27 +260,33 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
         return _in_batches(batches, build)
 
-    sets = materialize(rows.join(wanted, "id").select("node", "text").mapInArrow(full_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Pairs with the exact answer; only the sets that stand in a pair are read."""
+        pairs = materialize(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("id", "node")
+        sets = materialize(rows.join(wanted, "id").select("node", "text").mapInArrow(full_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        return pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", (common * 100 >= union * percent).alias("links"))
-
-    total = F.col("size") + F.col("pivot_size")
-    need = F.ceil(total * percent / (100 + percent))
-    first = lists.where("node <> pivot").where((F.col("pos") <= F.col("size") - need) & (F.col("pivot_pos") <= F.col("pivot_size") - need))
-    first = first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = materialize(verified(first), "pivot_links")
+        return materialize(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", (common * 100 >= union * percent).alias("links")), label)
+
+    # first the pivots: a pair that shares few lists is not worth a look yet
+    need = F.ceil((F.col("size") + F.col("pivot_size")) * percent / (100 + percent))
+    beyond = F.ceil(F.greatest("size", "pivot_size") * percent / 100) - 1
+    early = (F.col("pos") <= F.col("size") - need) & (F.col("pivot_pos") <= F.col("pivot_size") - need)
+    first = lists.where("node <> pivot").groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(need - beyond).alias("least"), F.max(early).alias("early"))
+    first = verified(first.where("early and 2 * shared >= least").select("a", "b"), "pivot_links")
     linked = components(first.where("links"))
 
+    # then all pairs of lists that still hold more than one component; links share at least ``least`` lists
     entries = lists.join(linked, "node", "left").select("token", "size", "node", "pos", F.coalesce("component", "node").alias("component"))
     open_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     across = entries.join(open_lists, "token").repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
-        lambda batches: _across(batches, percent), "a long, b long").distinct()
-    across = across.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(verified(across), "links")
+        lambda batches: _across(batches, percent), "a long, b long, shared long, least long, early boolean")
+    across = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.max("early").alias("early"))
+    across = across.where("early and shared >= least").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = verified(across, "links")
 
     joined = components(first.where("links").select("a", "b").unionByName(second.where("links").select("a", "b")))
     named = classes.join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
