@@ -184,3 +184,35 @@ def toxicity(spark, sf_dir):
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc.doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc.doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+EMBEDDING_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+), ok as (
+  select * from v
+  where e is not null and label is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_sum(list_transform(e, lambda x: abs(x))) > 0
+), links as (
+  select a.vec_id as x, b.vec_id as y from ok a join ok b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93
+), counted as (
+  select x, count(*) as n from (select x from links union all select y from links) group by x
+)""" + REACH_SQL + """
+select v.vec_id, coalesce(c.n, 0) as n_links, coalesce(l.component_id, v.vec_id) as component_id, coalesce(l.component_id, v.vec_id) = v.vec_id as kept
+from v left join counted c on c.x = v.vec_id left join least l on l.node = v.vec_id
+"""
+
+
+@query("op6_embedding_dedup", EMBEDDING_SQL)
+def embedding_dedup(spark, sf_dir):
+    from threadlake.llm.pivot_index import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query("op1_html_extraction")
+def html_extraction(spark, sf_dir):
+    from threadlake.llm.html_extract import extract_pages
+
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("doc.page_id", "doc.url", "text", F.char_length("text").cast("long").alias("n_chars"))
