@@ -216,3 +216,13 @@ def html_extraction(spark, sf_dir):
 
     found = extract_pages(table(spark, sf_dir, "pages"))
     return found.select("doc.page_id", "doc.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_lm_score")
+def lm_score(spark, sf_dir):
+    from threadlake.llm.lm_score import score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    scored = score_documents(docs, train(docs, good))
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
