@@ -88,7 +88,10 @@ REFERENCE_EXTENSIONS = (
     "png|jpe?g|gif|webp|svg|bmp|avif|heic|heif|tiff|mp4|mov|webm|m4v|avi|mkv|ogv|mpeg|mpg|"
     "mp3|wav|ogg|m4a|aac|flac|opus|pdf"
 )
-ATTACHMENT_EXTENSIONS = REFERENCE_EXTENSIONS.removesuffix("|pdf")
+ATTACHMENT_EXTENSIONS = (
+    "png|jpe?g|gif|webp|svg|bmp|avif|heic|heif|tiff|mp4|mov|webm|m4v|avi|mkv|ogv|mpeg|mpg|"
+    "mp3|wav|ogg|m4a|aac|flac|opus"
+)
 REFERENCE_HINTS = "image|video|audio|media|asset|attachment|file|download|preview|source|output|result|render|recording"
 ATTACHMENT_HINTS = "attachment|file|media|asset|image|video|audio|upload|blob|download|preview|render|recording"
 ATTACHMENT_TYPES = "attachment|file|media|asset|image|video|audio|upload|blob|document"
@@ -111,11 +114,12 @@ SENSITIVE_KEY = (
 SENSITIVE_WALLET = r"(?i)walletconnect|wagmi\.store"
 SENSITIVE_EXACT = "encryptionKey"
 SENSITIVE_SESSION_KEY = r"(?i)(^|[-_.:])(session[-_.]?id|session[-_.]?token|attestation|trace)($|[-_.:])"
-SENSITIVE_SESSION_NAME = "(?i)^[a-z]+Session(Id|StartTime)$"
+# after the name of a site, which the caller gives
+SENSITIVE_SESSION_NAMES = "Session(Id|StartTime)$"
 VOLATILE_KEY = (
     r"(?i)posthog|sentry|analytics|telemetry|amplitude|mixpanel|segment|previous[-_.:]?trace|survey"
 )
-VOLATILE_SESSIONS = r"(?i)^[a-z]+ActiveSessions$"
+VOLATILE_SESSIONS = "ActiveSessions$"
 SENSITIVE_FIELD = (
     "(?i)^(accessToken|refreshToken|idToken|authToken|oauthToken|password|secret|privateKey|credential)$"
 )
@@ -128,3 +132,16 @@ DISPOSITION_ORDER = (("input", 0), ("output", 1), ("media", 2))
 COMPARE_STATUS_ORDER = (("restore", 0), ("conflict", 1), ("backup-new", 2), ("synced", 3))
 SCHEMA_VERSION = "1.0.0"
 EMPTY_MESSAGE = "No readable content captured for this message."
+
+# -- generation settings: label and field ----------------------------------------------
+VIDEO_SETTINGS = (
+    ("Duration", "duration"), ("Aspect Ratio", "aspectRatio"), ("Resolution", "resolution"),
+    ("Audio", "audio"), ("Variants", "variants"),
+)
+IMAGE_SETTINGS = (
+    ("Aspect Ratio", "aspectRatio"), ("Resolution", "resolution"), ("Format", "format"), ("Steps", "steps"),
+    ("CFG Scale", "cfgScale"), ("Variants", "variants"), ("Style Preset", "stylePreset"), ("Seed", "customSeed"),
+    ("Creativity", "enhanceCreativity"), ("Replication", "replication"), ("Auto Enhance", "autoEnhance"),
+    ("Upscale Enhance", "upscaleEnhance"), ("Upscale Scale", "upscaleScale"), ("Negative Prompt", "negativePrompt"),
+    ("Web Search", "enableWebSearch"), ("Hide Watermark", "hideWatermark"),
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from threadlake import constants as K
 
 
-def redaction(key: Column, session: bool = False) -> Column:
-    """Struct of redacted and reason for a storage key; session storage also hides session identifiers."""
+def redaction(key: Column, session: bool = False, site: str | None = None) -> Column:
+    """Struct of redacted and reason for a storage key; session storage also hides session identifiers.
+
+    ``site`` is the name that keys of the site itself start with.
+    """
+    own = lambda rest: key.rlike(rf"(?i)^{re.escape(site)}{rest}") if site else F.lit(False)
     sensitive = (key == K.SENSITIVE_EXACT) | key.rlike(K.SENSITIVE_KEY) | key.rlike(K.SENSITIVE_WALLET)
     if session:
-        sensitive = sensitive | key.rlike(K.SENSITIVE_SESSION_KEY) | key.rlike(K.SENSITIVE_SESSION_NAME)
-    volatile = key.rlike(K.VOLATILE_KEY) | key.rlike(K.VOLATILE_SESSIONS)
+        sensitive = sensitive | key.rlike(K.SENSITIVE_SESSION_KEY) | own(K.SENSITIVE_SESSION_NAMES)
+    volatile = key.rlike(K.VOLATILE_KEY) | own(K.VOLATILE_SESSIONS)
     reason = K.SENSITIVE_SESSION_REASON if session else K.SENSITIVE_REASON
     return F.struct(
         (sensitive | volatile).alias("redacted"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadlake import constants as K
 
@@ -136,16 +139,69 @@ def _flat(value: str, depth: int) -> str:
     return f"coalesce(get(transform(array({value}), {v} -> {body}), 0), '')"
 
 
-def readable_text(name: str, depth: int = 4) -> Column:
-    """Readable text of a VARIANT column: a string, an array of parts or an object, to a fixed depth."""
-    return F.expr(_flat(name, depth))
+def _flattened(value) -> str:
+    """:func:`readable_text` of a parsed value, however deep it is nested."""
+    stack: list = [("open", value)]
+    parts: list[list[str]] = [[]]  # texts of the arrays that are open, the outermost first
+    while stack:
+        step, value = stack.pop()
+        if step == "close":
+            done = "\n".join(p for p in parts.pop() if p)
+            parts[-1].append(done)
+        elif isinstance(value, str):
+            parts[-1].append(value)
+        elif isinstance(value, list):
+            parts.append([])
+            stack.append(("close", None))
+            for item in reversed(value):
+                inner = item
+                if isinstance(item, dict):
+                    inner = next((item[n] for n in ("text", "content") if item.get(n) is not None), item)
+                stack.append(("open", inner))
+        elif isinstance(value, dict):
+            stack.append(("open", next((value[n] for n in ("text", "content", "value", "summary") if value.get(n) is not None), None)))
+    return "".join(parts[0])
+
+
+@F.pandas_udf(StringType())
+def _deep_text(saved: pd.Series) -> pd.Series:
+    return saved.map(lambda j: None if j is None else _flattened(json.loads(j)))
+
+
+@F.pandas_udf(StringType())
+def _deep_response(saved: pd.Series) -> pd.Series:
+    def text(items):
+        found = (_flattened(i.get("content")) for i in items if isinstance(i, dict) and i.get("type") == "message")
+        return "\n\n".join(t for t in found if t).strip(" ")
+
+    return saved.map(lambda j: None if j is None else text(json.loads(j)))
+
+
+NATIVE_DEPTH = 4
+
+
+def _deeper(name: str, depth: int) -> Column:
+    """JSON text of values that may be nested deeper than native expressions look; null for all others."""
+    saved = F.to_json(F.col(name))
+    return F.when(F.length(saved) - F.length(F.translate(saved, "[{", "")) > depth, saved)
+
+
+def readable_text(name: str) -> Column:
+    """Readable text of a VARIANT column: a string, an array of parts or an object, nested to any depth.
+
+    Values with few containers are read by native expressions, the others by a vectorized function.
+    """
+    return F.coalesce(_deep_text(_deeper(name, NATIVE_DEPTH)), F.expr(_flat(name, NATIVE_DEPTH)))
 
 
 def response_text(name: str) -> Column:
-    """Text of the items of type ``message`` only, joined by a blank line."""
+    """Text of the items of type ``message`` only, joined by a blank line, nested to any depth."""
     messages = f"filter(try_variant_get({name}, '$', 'array<variant>'), m -> try_variant_get(m, '$.type', 'string') = 'message')"
-    texts = f"transform({messages}, m -> {_flat(_child('m', 'content'), 2)})"
-    return F.expr(f"trim(array_join(filter({texts}, t -> t <> ''), '\\n\\n'))")
+    texts = f"transform({messages}, m -> {_flat(_child('m', 'content'), NATIVE_DEPTH)})"
+    native = F.expr(f"trim(array_join(filter({texts}, t -> t <> ''), '\\n\\n'))")
+    is_list = F.expr(f"try_variant_get({name}, '$', 'array<variant>') is not null")
+    # the list, an item and its content stand above the first value looked at
+    return F.coalesce(_deep_response(F.when(is_list, _deeper(name, NATIVE_DEPTH + 2))), native)
 
 
 def canonical_json(value: Column) -> Column:

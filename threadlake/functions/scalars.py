@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadlake import constants as K
 
@@ -119,13 +124,16 @@ def slug(title: Column, fallback: str = "untitled-conversation") -> Column:
     return F.when(short == "", fallback).otherwise(short)
 
 
-# accented Latin letters and the plain letter that remains without the accent
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD) without combining accents."""
+    return text.map(lambda t: None if t is None else re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t)))
 
 
 def _fold(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"[̀-ͯ]", "")
+    """Letters without accents, ligatures and other forms taken apart; plain ASCII stays on the JVM."""
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, text).otherwise(_decomposed(F.when(~plain, text)))
 
 
 def safe_identifier(value: Column, fallback: str = "id") -> Column:
@@ -189,16 +197,23 @@ def shown_tokens(output_tokens: Column, total: Column, text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key: case-insensitive, digit runs padded so that 2 comes before 10."""
-    padded = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(\d+)", "0000000000$1")
-    return F.regexp_replace(padded, r"\d*(\d{10})", "$1")
+    """Sort key: case-insensitive, digit runs by value, so that 2 comes before 10, whatever their length.
+
+    A run becomes its number of digits without leading zeros, in ten places, and those digits.
+    """
+    parts = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda part: F.ltrim(part, F.lit("0"))
+    keyed = lambda part: F.concat(F.lpad(F.length(digits(part)).cast("string"), 10, "0"), digits(part))
+    return F.array_join(F.transform(parts, lambda part: F.when(part.rlike("^[0-9]"), keyed(part)).otherwise(part)), "")
 
 
 def schema_compatibility(version: Column, supported: str = K.SCHEMA_VERSION) -> Column:
     """current, migration-required, unsupported-newer or invalid."""
     text = clean(version)
-    parts = F.transform(F.split(text, r"\."), lambda p: p.try_cast("int"))
-    goal = F.array(*[F.lit(int(p)) for p in supported.split(".")])
+    # numbers of any length: more digits, or the same number of larger ones
+    sized = lambda p: F.struct(F.length(F.ltrim(p, F.lit("0"))), F.ltrim(p, F.lit("0")))
+    parts = F.transform(F.split(text, r"\."), sized)
+    goal = F.transform(F.split(F.lit(supported), r"\."), sized)
     return (
         F.when(~text.rlike(r"^\d+\.\d+\.\d+$"), "invalid")
         .when(parts < goal, "migration-required")

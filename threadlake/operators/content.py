@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,14 @@ def _base64_bytes(text: Column) -> Column:
     return F.unbase64(F.regexp_replace(standard, "^((?:.{4})*).$", "$1"))
 
 
+def _whole(number: Column) -> Column:
+    """A VARIANT number without its fraction; what is no number is 0."""
+    return F.coalesce(F.try_variant_get(number, "$", "double").try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def _number_bytes(numbers: Column) -> Column:
-    """Bytes of an array of numbers, each taken modulo 256."""
-    digits = F.transform(numbers, lambda n: F.lpad(F.hex(n.cast("bigint").bitwiseAND(255)), 2, "0"))
+    """Bytes of an array of whole numbers, each taken modulo 256."""
+    digits = F.transform(numbers, lambda n: F.lpad(F.hex(n.bitwiseAND(255)), 2, "0"))
     return F.unhex(F.array_join(digits, ""))
 
 
@@ -46,38 +52,58 @@ def decode_payload(value: Column) -> Column:
 
     def keyed(v: Column) -> Column:
         """Numbers of an object with numeric keys, in key order."""
-        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,int>"))
+        entries = F.map_entries(R.fields(v))
         numeric = F.filter(entries, lambda e: e["key"].rlike(r"^\d+$"))
-        ordered = F.array_sort(F.transform(numeric, lambda e: F.struct(e["key"].cast("int").alias("k"), e["value"].alias("n"))))
+        ordered = F.array_sort(F.transform(numeric, lambda e: F.struct(e["key"].try_cast("decimal(38,0)").alias("k"), _whole(e["value"]).alias("n"))))
         return F.when(F.size(numeric) > 0, _number_bytes(F.transform(ordered, lambda e: e["n"])))
 
     def decode(v: Column) -> Column:
         kind = R.kind_of(v)
         return (
             F.when(kind == "string", _base64_bytes(R.as_text(v)))
-            .when(kind == "array", _number_bytes(F.try_variant_get(v, "$", "array<int>")))
+            .when(kind == "array", _number_bytes(F.transform(F.try_variant_get(v, "$", "array<variant>"), _whole)))
             .when(kind == "object", F.coalesce(view(v), keyed(v)))
         )
 
     return R.bind(value, decode)
 
 
+# JPEG markers (fixed values): start of image, end of image, start of scan; those without a length; frame headers
+_END, _SCAN = 0xD9, 0xDA
+_BARE = frozenset((0x01, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, _END))
+_FRAMES = frozenset((0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF))
+
+
+def jpeg_segments(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and parameters of every segment in front of the first scan.
+
+    A marker is 0xFF, any number of fill bytes 0xFF, and a code that is not 0.  Its parameters follow with their length
+    in front, unless the code is one of those that stand alone.
+    """
+    place = 0
+    while (place := content.find(b"\xff", place)) >= 0:
+        rest = content[place:place + 64].lstrip(b"\xff") or content[place:].lstrip(b"\xff")
+        if not rest:
+            return
+        code = rest[0]
+        place = content.index(rest[:1], place + 1) + 1
+        if code in (_END, _SCAN):
+            return
+        if code == 0 or code in _BARE:
+            continue
+        if len(content) < place + 2:
+            return
+        (length,) = struct.unpack_from(">H", content, place)
+        yield code, content[place + 2:place + length]
+        place += max(length, 2)
+
+
 def jpeg_size(content: bytes) -> tuple[int | None, int | None]:
-    """Width and height from the first frame header of a JPEG, by walking its segments."""
-    frames = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
-    at, end = 2, len(content)
-    while at + 9 < end:
-        if content[at] != 0xFF:
-            at += 1
-        elif content[at + 1] in (0xD8, 0xD9):
-            at += 2
-        else:
-            size = int.from_bytes(content[at + 2:at + 4], "big")
-            if size < 2 or at + size + 2 > end:
-                break
-            if content[at + 1] in frames:
-                return int.from_bytes(content[at + 7:at + 9], "big"), int.from_bytes(content[at + 5:at + 7], "big")
-            at += size + 2
+    """Width and height of a JPEG: the lines and samples per line of its first frame header."""
+    for code, parameters in jpeg_segments(content):
+        if code in _FRAMES and len(parameters) >= 5:
+            _, lines, samples = struct.unpack_from(">BHH", parameters)
+            return samples, lines
     return None, None
 
 
@@ -90,7 +116,7 @@ def jpeg_dimensions(content: pd.Series) -> pd.DataFrame:
 def inspect_objects(objects: DataFrame, content: str, file_name: str, mime: str) -> DataFrame:
     """Detected type and size of each object: by its bytes, else by its name, else by the reported type.
 
-    Only JPEG files need a scan of their segments; they alone meet Python.
+    Only JPEG files need a scan of their segments; the content of others does not leave the JVM.
     """
     blank = F.lit("")
     staged = objects.withColumns({"_head": M.leading_hex(F.col(content)), "_size": F.length(content)}).withColumn(
@@ -98,18 +124,16 @@ def inspect_objects(objects: DataFrame, content: str, file_name: str, mime: str)
     named = F.nullif(M.extension_of(F.coalesce(F.col(file_name), blank)), blank)
     staged = staged.withColumns({"_named": named, "_hinted": M.extension_of_mime(F.col(mime))})
     known = lambda field: F.coalesce(*[M.type_of_extension(F.col(c), field) for c in ("_proved", "_named", "_hinted")])
+    jpeg = F.col("_proved").eqNullSafe(".jpg")
     found = staged.withColumns({
+        "_s": jpeg_dimensions(F.when(jpeg, F.col(content))),
         "extension": F.coalesce("_proved", "_named", "_hinted", F.lit(".bin")),
         "detected_mime": F.coalesce(known("mime_type"), F.lit("application/octet-stream")),
         "detected_kind": F.coalesce(known("kind"), F.lit("file")),
     })
     side = lambda axis: M.header_size(F.col("_head"), F.col("_size"), F.col("_proved"), axis)
-    fields = [*objects.columns, "extension", "detected_mime", "detected_kind"]
-    jpeg = F.col("_proved").eqNullSafe(".jpg")
-    plain = found.where(~jpeg).select(*fields, side("width").alias("width"), side("height").alias("height"))
-    scanned = found.where(jpeg).withColumn("_s", jpeg_dimensions(F.col(content))).select(
-        *fields, F.col("_s.width").alias("width"), F.col("_s.height").alias("height"))
-    return plain.unionByName(scanned)
+    size = lambda axis: F.when(jpeg, F.col(f"_s.{axis}")).otherwise(side(axis)).alias(axis)
+    return found.select(*objects.columns, "extension", "detected_mime", "detected_kind", size("width"), size("height"))
 
 
 def reconcile(media: DataFrame, objects: DataFrame) -> DataFrame:
@@ -178,7 +202,7 @@ def link_materialized(items: DataFrame, messages: DataFrame) -> DataFrame:
     """Conversation, time, prompt and model of the linked message fill what an item lacks."""
     said = messages.select(
         F.col("id").alias("message_id"), F.col("conversation_id").alias("_conversation"), F.col("created_ms").alias("_created"),
-        F.substring("text", 1, 2000).alias("_text"), F.when(F.col("role") == "assistant", F.col("model")).alias("_model"))
+        F.col("text").alias("_text"), F.when(F.col("role") == "assistant", F.col("model")).alias("_model"))
     joined = items.join(said, "message_id", "left")
     return joined.select(
         *[c for c in items.columns if c not in ("conversation_id", "created_ms", "prompt", "model")],

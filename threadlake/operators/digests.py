@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.operators.ordered import block_of
+from threadlake.operators.ordered import block_of, position
 from threadlake.session import materialize
 
 FANOUT = 4096
@@ -16,13 +16,15 @@ FANOUT = 4096
 def ordered_digest(records: DataFrame, keys: Sequence[str], ordinal: str, digest: str, out: str = "digest", fanout: int = FANOUT) -> DataFrame:
     """SHA-256 over the record digests of each group in ordinal order.
 
-    The digests of ``fanout`` consecutive ordinals are hashed together, then those
+    Records are numbered densely first, so gaps between ordinals change nothing.  The
+    digests of ``fanout`` consecutive records are hashed together, then those
     results, and so on: a tree whose every node has at most ``fanout`` children, so
-    no task ever holds a whole store.  Three levels cover fanout^3 ordinals; the
-    last step joins what is left, one digest per fanout^3 ordinals.
+    no task ever holds a whole store.  Three levels cover fanout^3 records; the
+    last step joins what is left, one digest per fanout^3 records.
     """
     keys = list(keys)
-    level = records.select(*keys, F.col(ordinal).cast("bigint").alias("_n"), F.col(digest).alias("_d"))
+    rows = records.select(*keys, F.col(ordinal).cast("bigint").alias("_o"), F.col(digest).alias("_d"))
+    level = position(rows, keys, "_o", "_n").drop("_o")
     for _ in range(3):
         level = (
             level.withColumn("_b", block_of("_n", fanout)).groupBy(*keys, "_b")

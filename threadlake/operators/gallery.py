@@ -246,7 +246,7 @@ def gallery_rows(items: DataFrame, messages: DataFrame, conversations: DataFrame
     """
     said = messages.select(
         "conversation_id", F.col("id").alias("message_id"), F.col("created_ms").alias("_created"),
-        F.col("model").alias("_model"), F.col("role").alias("_role"), F.substring("text", 1, 260).alias("_text"))
+        F.col("model").alias("_model"), F.col("role").alias("_role"), F.col("text").alias("_text"))
     about = conversations.select(F.col("id").alias("conversation_id"), F.col("title").alias("_title"))
     rows = items.join(said, ["conversation_id", "message_id"], "left").join(about, "conversation_id", "left")
     name = F.trim(F.coalesce("file_name", F.lit("")))

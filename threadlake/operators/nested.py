@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlake import constants as K
 from threadlake.functions import media as M
@@ -366,11 +367,17 @@ def deep_search_text(parts: list[Column], candidates: Column | None = None, segm
 
 # ---------------------------------------------------------------- deep walks
 
-def walk(df: DataFrame, keys: list[str], record: str, depth: int, skip: tuple[str, ...] = ("__encryptedData",)) -> DataFrame:
-    """Every scalar below a record, with its path, the key it stands under and its depth.
+NATIVE_ROUNDS = 6
 
-    One narrow pass: each round opens the containers left and passes scalars through.
-    Objects of more than 64 numeric keys are byte blobs and are not opened.
+
+def walk(df: DataFrame, keys: list[str], record: str, depth: int | None = None, skip: tuple[str, ...] = ("__encryptedData",),
+         closed: str | None = None, blobs: bool = False, empty: bool = False) -> DataFrame:
+    """Every scalar below a record, with its path, the key it stands under and its depth; to the end unless ``depth`` says less.
+
+    ``closed`` is a pattern: what stands under a key that matches it (without ``-``, ``_`` and ``.``) is one row and is not
+    opened.  With ``blobs`` objects of more than 64 numeric keys are byte blobs and not opened either; with ``empty``
+    empty containers are rows.  A few rounds open containers in one narrow pass and pass scalars through; records that
+    are nested deeper go on in a vectorized function, with the same rows.
     """
     spark = df.sparkSession
     rows = df.select(
@@ -378,12 +385,20 @@ def walk(df: DataFrame, keys: list[str], record: str, depth: int, skip: tuple[st
         F.array().cast("array<int>").alias("trail"), F.lit(0).alias("depth"))
     columns = ", ".join(f"t.{k}" for k in keys)
     skipped = ", ".join(f"'{name}'" for name in skip)
-    for _ in range(depth):
+
+    def to_open(rows: DataFrame) -> DataFrame:
         members = F.col("members")
-        blob = (F.size(members) > 64) & F.forall(F.map_keys(members), lambda k: k.rlike(r"^\d+$"))
-        listed = F.try_variant_get("value", "$", "array<variant>").isNotNull()
-        opened = rows.withColumn("members", R.fields(F.col("value"))).withColumn("open", F.when(
-            listed | (members.isNotNull() & ~blob & ~_typed_payload(members)), F.col("value")))
+        shut = _typed_payload(members)
+        if blobs:
+            shut = shut | ((F.size(members) > 64) & F.forall(F.map_keys(members), lambda k: k.rlike(r"^\d+$")))
+        listed = F.try_variant_get("value", "$", "array<variant>")
+        some = (F.size(listed) > 0) | (F.size(members) > 0) if empty else F.lit(True)
+        wanted = (listed.isNotNull() | (members.isNotNull() & ~shut)) & some
+        if closed:
+            wanted = wanted & ~F.regexp_replace("hint", "[-_.]", "").rlike(closed)
+        return rows.withColumn("members", R.fields(F.col("value"))).withColumn("open", F.when(wanted, F.col("value")))
+
+    for _ in range(NATIVE_ROUNDS if depth is None else depth):
         rows = spark.sql(f"""
             select {columns},
                    case when t.open is null then t.value else e.value end as value,
@@ -394,8 +409,78 @@ def walk(df: DataFrame, keys: list[str], record: str, depth: int, skip: tuple[st
                    case when t.open is null then t.depth else t.depth + 1 end as depth
             from {{opened}} t, lateral variant_explode_outer(t.open) e
             where t.open is null or e.pos is not null and coalesce(e.key, '') not in ({skipped})
-        """, opened=opened)
-    return rows
+        """, opened=to_open(rows))
+    if depth is not None:
+        return rows
+    # one function over all rows keeps the pass narrow; only what is still a container is handed to it
+    names = [*keys, "path", "hint", "trail", "depth"]
+    staged = to_open(rows).select(*names, "value", F.to_json("open").alias("_more"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in staged.select(*names).schema), T.StructField("_value", T.StringType())])
+    deeper = staged.where(F.col("_more").isNotNull()).select(*names, "_more").mapInArrow(_opened(names, skip, closed, blobs, empty), schema)
+    return staged.where(F.col("_more").isNull()).select(*keys, "value", "path", "hint", "trail", "depth").unionByName(
+        deeper.withColumn("value", F.parse_json("_value")).drop("_value"))
+
+
+class _Saved(str):
+    """A number as it is written."""
+
+
+def _opened(names: list[str], skip: tuple[str, ...], closed: str | None, blobs: bool, empty: bool):
+    """Function that opens the containers of JSON text to the end, for :func:`walk`."""
+    import json
+    import re
+
+    def shut(value, hint: str) -> bool:
+        if closed and re.search(closed, re.sub("[-_.]", "", hint)):
+            return True
+        if isinstance(value, list):
+            return empty and not value
+        if not isinstance(value, dict):
+            return True
+        if empty and not value:
+            return True
+        if value.get("encoding") == "base64" and isinstance(value.get("data"), (str, int, float, bool)):
+            return True
+        return blobs and len(value) > 64 and all(re.fullmatch("[0-9]+", k) for k in value)
+
+    def text(value) -> str:
+        if isinstance(value, _Saved):
+            return str(value)
+        if isinstance(value, dict):
+            return "{" + ",".join(json.dumps(k) + ":" + text(v) for k, v in value.items()) + "}"
+        if isinstance(value, list):
+            return "[" + ",".join(map(text, value)) + "]"
+        return json.dumps(value)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            which, path, hint, trail, depth, found = [], [], [], [], [], []
+            for i in range(batch.num_rows):
+                first = json.loads(batch.column("_more")[i].as_py(), parse_float=_Saved, parse_int=_Saved)
+                stack = [(first, batch.column("path")[i].as_py(), batch.column("hint")[i].as_py(), batch.column("trail")[i].as_py(), batch.column("depth")[i].as_py())]
+                while stack:
+                    value, at, under, steps, level = stack.pop()
+                    if isinstance(value, _Saved) or shut(value, under):
+                        which.append(i)
+                        path.append(at)
+                        hint.append(under)
+                        trail.append(steps)
+                        depth.append(level)
+                        found.append(text(value))
+                        continue
+                    members = enumerate(value.items()) if isinstance(value, dict) else ((p, (None, v)) for p, v in enumerate(value))
+                    inner = [
+                        (v, ".".join(filter(None, (at, key if key is not None else str(p)))), key if key is not None else under, [*steps, p], level + 1)
+                        for p, (key, v) in members if key not in skip]
+                    stack.extend(reversed(inner))
+            made = {"path": path, "hint": hint, "trail": pa.array(trail, pa.list_(pa.int32())), "depth": pa.array(depth, pa.int32())}
+            kept = batch.take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(made[n], batch.schema.field(n).type) if n in made else kept.column(n) for n in names), pa.array(found, pa.string())], [*names, "_value"])
+
+    return run
 
 
 def _typed_payload(members: Column) -> Column:
@@ -404,18 +489,18 @@ def _typed_payload(members: Column) -> Column:
     return F.coalesce((text("encoding") == "base64") & text("data").isNotNull(), F.lit(False))
 
 
-def deep_references(df: DataFrame, keys: list[str], record: str = "record", depth: int = 6) -> DataFrame:
-    """Distinct media references anywhere in a record, first occurrence kept."""
+def deep_references(df: DataFrame, keys: list[str], record: str = "record", depth: int | None = None) -> DataFrame:
+    """Distinct media references anywhere in a record, first occurrence kept; byte blobs are not opened."""
     from threadlake.operators.ordered import first_of_group
-    texts = walk(df, keys, record, depth).where(R.kind_of(F.col("value")) == "string") \
+    texts = walk(df, keys, record, depth, blobs=True).where(R.kind_of(F.col("value")) == "string") \
         .withColumn("url", R.as_text(F.col("value"))).drop("value")
     found = texts.where(R.bind(F.col("url"), lambda url: M.looks_like_reference(url, F.col("hint"))))
     return first_of_group(found, [*keys, "url"], ["trail"], ["hint", "path", "trail"])
 
 
-def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth: int = 8) -> DataFrame:
-    """Embedded payloads anywhere in a record, with their path and MIME type."""
-    rows = walk(df, keys, record, depth, ("__encryptedData", "__archiveRedacted"))
+def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth: int | None = None, tag: str = "__archive") -> DataFrame:
+    """Embedded payloads anywhere in a record, with their path and MIME type; ``tag`` starts the format's own keys."""
+    rows = walk(df, keys, record, depth, ("__encryptedData", f"{tag}Redacted"))
     key = F.lower("hint")
     closed = key.contains("opaque") | key.contains("encrypted")
     may_hold = key.rlike("data|blob|file|payload|bytes|binary|base64|result|content")
@@ -496,9 +581,9 @@ def store_media_records(df: DataFrame, default_kinds: dict[str, str]) -> DataFra
 
 # ---------------------------------------------------------------- transport values
 
-def decode_transport(value: Column, tag: str = "__archiveType") -> Column:
-    """Struct with the typed value of a tagged transport object."""
-    kind = R.as_text(R.child(value, tag))
+def decode_transport(value: Column, tag: str = "__archive") -> Column:
+    """Struct with the typed value of a tagged transport object; ``tag`` starts the format's own keys."""
+    kind = R.as_text(R.child(value, f"{tag}Type"))
     text = R.as_text(R.child(value, "value"))
     encoded = R.as_text(R.child(value, "data"))
     number = F.when(kind == "number", text.try_cast("double")).when(R.kind_of(value) == "number", R.as_text(value).try_cast("double"))
@@ -515,10 +600,10 @@ def decode_transport(value: Column, tag: str = "__archiveType") -> Column:
     )
 
 
-def redacted_fields(df: DataFrame, keys: list[str], record: str = "record", depth: int = 6) -> DataFrame:
-    """Scalars of a record by path; values of credential fields are blanked."""
+def redacted_fields(df: DataFrame, keys: list[str], record: str = "record", depth: int | None = None) -> DataFrame:
+    """Scalars and empty containers of a record by path; the whole value under a credential key is one blank row."""
     from threadlake.functions.predicates import sensitive_field
-    rows = walk(df, keys, record, depth)
+    rows = walk(df, keys, record, depth, closed=K.SENSITIVE_FIELD, empty=True)
     hit = sensitive_field(F.col("hint"))
     return rows.select(*keys, "path", hit.alias("redacted"), F.when(~hit, R.as_text(F.col("value"))).alias("value"))
 
@@ -537,19 +622,6 @@ def _setting_text(value: Column) -> Column:
     )
 
 
-_VIDEO_SETTINGS = (
-    ("Duration", "duration"), ("Aspect Ratio", "aspectRatio"), ("Resolution", "resolution"),
-    ("Audio", "audio"), ("Variants", "variants"),
-)
-_IMAGE_SETTINGS = (
-    ("Aspect Ratio", "aspectRatio"), ("Resolution", "resolution"), ("Format", "format"), ("Steps", "steps"),
-    ("CFG Scale", "cfgScale"), ("Variants", "variants"), ("Style Preset", "stylePreset"), ("Seed", "customSeed"),
-    ("Creativity", "enhanceCreativity"), ("Replication", "replication"), ("Auto Enhance", "autoEnhance"),
-    ("Upscale Enhance", "upscaleEnhance"), ("Upscale Scale", "upscaleScale"), ("Negative Prompt", "negativePrompt"),
-    ("Web Search", "enableWebSearch"), ("Hide Watermark", "hideWatermark"),
-)
-
-
 def settings_entries(kind: Column, settings: Column) -> Column:
     """Label and value pairs of generation settings; blank values are dropped."""
     listed = lambda pairs: F.array(*[F.struct(F.lit(label).alias("label"), F.lit(name).alias("name")) for label, name in pairs])
@@ -573,7 +645,7 @@ def settings_entries(kind: Column, settings: Column) -> Column:
         sized = F.coalesce(F.try_element_at(m, F.lit("width")), F.try_element_at(m, F.lit("height"))).isNotNull()
         canvas = F.when(sized & (kind != "video"), F.concat(side(m, "width"), F.lit(" x "), side(m, "height")))
         head = F.array(F.struct(F.lit("Canvas").alias("label"), canvas.alias("value")))
-        pairs = F.when(kind == "video", listed(_VIDEO_SETTINGS)).otherwise(listed(_IMAGE_SETTINGS))
+        pairs = F.when(kind == "video", listed(K.VIDEO_SETTINGS)).otherwise(listed(K.IMAGE_SETTINGS))
         rest = F.transform(pairs, lambda p: F.struct(
             p["label"].alias("label"), R.bind(F.try_element_at(m, p["name"]), lambda v: shown(p["name"], v)).alias("value")))
         return F.filter(F.concat(head, rest), lambda e: F.coalesce(e["value"], F.lit("")) != "")

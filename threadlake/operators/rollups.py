@@ -78,14 +78,14 @@ def filter_conversations(rows: DataFrame, query: str = "", kind: str = "all") ->
 
 
 def list_conversations(rows: DataFrame, sort: str = "recent", limit: int = 60) -> DataFrame:
-    """Top rows of a listing; ids break ties; the limit is kept between 1 and 200."""
+    """Top rows of a listing; ids break ties."""
     updated = F.coalesce("updated_ms", F.lit(-1))
     order = {
         "recent": [updated.desc()], "oldest": [updated.asc()], "title": [F.lower("title").asc()],
         "messages": [F.col("message_count").desc()], "media": [F.col("media_count").desc()],
         "created": [F.coalesce("created_ms", F.lit(-1)).desc()],
     }[sort]
-    return rows.orderBy(*order, F.col("id").asc()).limit(min(200, max(1, limit)))
+    return rows.orderBy(*order, F.col("id").asc()).limit(max(1, limit))
 
 
 def viewer_meta(messages: DataFrame, media: DataFrame, tokens: list[str]) -> DataFrame:

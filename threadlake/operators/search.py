@@ -12,7 +12,6 @@ from threadlake.functions import text as T
 from threadlake.operators.ordered import first_of_group
 from threadlake.session import materialize
 
-RESULT_CAP = 300
 K1, B = 1.2, 0.75
 
 
@@ -51,7 +50,7 @@ def page(found: DataFrame, kind: str = "all", limit: int = 100) -> DataFrame:
     """First hits in catalog order: conversations, messages, media; newest first inside a type."""
     rows = found if kind == "all" else found.where(F.col("type") == kind)
     rank = reduce(lambda c, p: c.when(F.col("type") == p[1], p[0]), enumerate(("conversation", "message", "media")), F.when(F.lit(False), -1))
-    return rows.orderBy(rank, F.coalesce("at_ms", F.lit(-1)).desc(), "id").limit(min(RESULT_CAP, limit))
+    return rows.orderBy(rank, F.coalesce("at_ms", F.lit(-1)).desc(), "id").limit(max(1, limit))
 
 
 def query_terms(spark, queries: Sequence[str]) -> DataFrame:
@@ -91,7 +90,7 @@ def ranked_batch(documents: DataFrame, doc_id: str, text: Column, queries: Seque
     Only words of the query batch leave the scan.  The batch and its per-term counts
     are as small as the given list, so they are broadcast.
     """
-    limit = min(200, max(1, limit))
+    limit = max(1, limit)
     wanted = query_terms(documents.sparkSession, queries)
     vocabulary = sorted({term for query in queries for token in T.search_tokens(query) for term in _split(token)})
     words = documents.select(F.col(doc_id).alias("doc_id"), T.tokens(text).alias("words"))

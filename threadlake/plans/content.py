@@ -29,7 +29,7 @@ def write_objects(t: Tables):
     return first.unionByName(second).select("doc_id", "sha", "status", pooled.alias("pooled"))
 
 
-_DIGEST = """l0 as (select {store} as store, {ordinal} as n, sha256({record}) as d from {table}),
+_DIGEST = """l0 as (select {store} as store, row_number() over (partition by {store} order by {ordinal}) - 1 as n, sha256({record}) as d from {table}),
     l1 as (select store, n // 4096 as n, sha256(string_agg(d, '' order by n)) as d from l0 group by 1, 2),
     l2 as (select store, n // 4096 as n, sha256(string_agg(d, '' order by n)) as d from l1 group by 1, 2),
     l3 as (select store, n // 4096 as n, sha256(string_agg(d, '' order by n)) as d from l2 group by 1, 2),
@@ -57,6 +57,21 @@ def conversation_hash(t: Tables):
     return H.ordered_digest(t.msgs.withColumn("sha", F.sha2(record, 256)), ["conversation_id"], "seq", "sha", "record_hash")
 
 
+@query("F11_hash_ignores_gaps", """
+    select conversation_id, count(*) < 2 as swapped_same, true as gaps_same, false as edited_same from {msgs} group by 1""")
+def hash_ignores_gaps(t: Tables):
+    """The same records under other ordinals give the same digest, swapped or edited ones another."""
+    rows = t.msgs.select("conversation_id", "seq", F.sha2(F.concat_ws("|", "id", "text"), 256).alias("sha"))
+    digest = lambda df, name: H.ordered_digest(df, ["conversation_id"], "seq", "sha", name)
+    plain = digest(rows, "plain")
+    for name, df in (
+        ("gaps_same", rows.withColumn("seq", F.col("seq") * 5000 + 7)), ("swapped_same", rows.withColumn("seq", -F.col("seq"))),
+        ("edited_same", rows.withColumn("sha", F.when(F.col("seq") == 0, F.sha2("sha", 256)).otherwise(F.col("sha")))),
+    ):
+        plain = plain.join(digest(df, "_other"), "conversation_id").withColumn(name, F.col("plain") == F.col("_other")).drop("_other")
+    return plain.drop("plain")
+
+
 @query("F11_canonical_hash", """
     select event_id, sha256('{{"k":' || json_extract_string(props, '$.k') || '}}') as record_hash from {events}""")
 def canonical_hash(t: Tables):

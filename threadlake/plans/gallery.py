@@ -66,7 +66,7 @@ def gallery_summary(t: Tables):
      r as (select coalesce(path, cast(media_id as varchar)) as key, media_id, case when kind in ('image', 'video', 'audio') then kind else 'attachment' end as kind,
          case when file_name is not null then file_name else substring(sha, 1, 12) || '.' || case mime_type when 'image/png' then 'png' when 'video/mp4' then 'mp4' when 'audio/mpeg' then 'mp3' else 'pdf' end end as name,
          coalesce(title, '') as conversation_title, coalesce(created_ms, said_ms) as created_ms, coalesce(model, '') as model,
-         sha256(trim(coalesce(nullif(prompt, ''), case when role <> 'assistant' then substring(text, 1, 260) end, ''), ' ')) as prompt_digest,
+         sha256(trim(coalesce(nullif(prompt, ''), case when role <> 'assistant' then text end, ''), ' ')) as prompt_digest,
          path is not null as local, path is null as review from g)
     select * exclude (rn) from (select *, row_number() over (partition by key order by media_id) as rn from r) where rn = 1""")
 def gallery_rows(t: Tables):

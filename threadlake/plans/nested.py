@@ -112,27 +112,35 @@ def message_blocks(t: Tables):
 
 @query("J6_deep_references", """
     select distinct page_id, 'https://h' || href || '.png' as url, 'links' as hint from {refs}
-    union all select page_id, 'https://h/p' || cast(page_id as varchar), 'previewUrl' from {pages}""")
+    union all select page_id, 'https://h/p' || cast(page_id as varchar), 'previewUrl' from {pages}
+    union all select page_id, 'https://h/deep' || cast(page_id as varchar) || '.png', 'imageUrl' from {pages}""")
 def deep_references(t: Tables):
-    """References anywhere in nested records; encrypted parts are not opened, repeats count once."""
+    """References anywhere in nested records, 12 levels down too; encrypted parts and byte blobs are not opened, repeats count once."""
     hrefs = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
     links = F.transform(hrefs, lambda h: F.concat(F.lit("https://h"), h, F.lit(".png")))
     record = _json(F.struct(F.struct(F.concat(links, links).alias("links"), F.lit("no link").alias("note")).alias("deep"),
                             F.concat(F.lit("https://h/p"), "page_id").alias("previewUrl")).alias("body"),
                    F.struct(F.lit("https://h/secret.png").alias("imageUrl")).alias("__encryptedData"))
+    blob = "{" + ",".join(f'"{i}":"https://h/blob{i}.png"' for i in range(70)) + "}"
+    deep = F.concat(F.lit('"deep":' + '{"a":[' * 5 + '{"__encryptedData":{"imageUrl":"https://h/hidden.png"},"imageUrl":"https://h/deep'), "page_id", F.lit('.png"}' + "]}" * 5 + ',"blob":' + blob + ","))
+    record = F.concat(F.lit("{"), deep, F.substring(record, 2, 1 << 30))
     return N.deep_references(t.pages.select("page_id", R.parse(record).alias("record")), ["page_id"]).select("page_id", "url", "hint")
 
 
 @query("J7_deep_payloads", """
     select doc_id, 'meta.payload' as path, to_base64(encode(text)) as base64, cast(null as varchar) as mime_type from {documents} where strlen(text) > 9
     union all select doc_id, 'files.1', to_base64(encode(lang)), 'image/png' from {documents}
-    union all select doc_id, 'link', 'QUJD', 'text/plain' from {documents}""")
+    union all select doc_id, 'link', 'QUJD', 'text/plain' from {documents}
+    union all select doc_id, 'many.' || '{a}.payload', to_base64(encode(text)), null from {documents} where strlen(text) > 9""".replace("{a}", ".".join(["69", *"aaaaaaaaaaa"])))
 def deep_payloads(t: Tables):
     head = F.base64(F.col("text").cast("binary"))
     file = F.struct(F.lit("base64").alias("encoding"), F.base64(F.col("lang").cast("binary")).alias("data"), F.lit("image/png").alias("mimeType"))
     record = _json(F.struct(head.alias("payload"), F.lit("short").alias("data"), head.alias("encryptedData")).alias("meta"),
                    F.array(F.struct(F.lit("x").alias("encoding"), F.lit(None).cast("string").alias("data"), F.lit("y").alias("mimeType")), file).alias("files"),
                    F.lit("data:text/plain;base64,QUJD").alias("link"))
+    # an object of 70 numeric keys, and twelve levels below its last one
+    many = F.concat(F.lit('"many":{' + ",".join(f'"{i}":{i}' for i in range(69)) + ',"69":' + '{"a":' * 11 + '{"payload":"'), F.regexp_replace(head, r"\s+", ""), F.lit('"}' + "}" * 11 + "},"))
+    record = F.concat(F.lit("{"), many, F.substring(record, 2, 1 << 30))
     return N.deep_payloads(t.documents.select("doc_id", R.parse(record).alias("record")), ["doc_id"]).select("doc_id", "path", "base64", "mime_type")
 
 
@@ -196,11 +204,23 @@ def transport_values(t: Tables):
         F.array_join(F.transform("d.entries", lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("null")))), ";").alias("entries"), F.array_join("d.members", ";").alias("members"))
 
 
-@query("J12_redacted_fields", """
-    select event_id, unnest(['k', 'session.access-token', 'session.user', 'list.0.Password', 'list.1']) as path, unnest([false, true, false, true, false]) as redacted,
-      unnest([json_extract_string(props, '$.k'), null, event_type, null, 'true']) as value from {events}""")
+_REDACTED = {
+    "k": "json_extract_string(props, '$.k')", "session.access-token": None, "session.user": "event_type", "list.0.Password": None, "list.1": "'true'",
+    "password": None, "secret": None, ".".join(["deep", *"abcdefgh", "private_key"]): None, ".".join(["deep", *"abcdefgh", "ok", "0"]): "event_type",
+    "none": "'{}'", "nil": "'[]'",
+}
+
+
+@query("J12_redacted_fields", "select event_id, " + ", ".join(
+    f"unnest([{', '.join(values)}]) as {name}" for name, values in (
+        ("path", [f"'{path}'" for path in _REDACTED]), ("redacted", [str(v is None).lower() for v in _REDACTED.values()]),
+        ("value", [v or "null" for v in _REDACTED.values()]))).replace("{", "{{").replace("}", "}}") + " from {events}")
 def redacted_fields(t: Tables):
-    text = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"session":{"access-token":"t","user":"'), "event_type", F.lit('"},"list":[{"Password":"p"},true]}'))
+    """A credential closes its whole value, an object or a list too, at any depth; empty containers are rows."""
+    text = F.concat(
+        F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"session":{"access-token":"t","user":"'), "event_type", F.lit('"},"list":[{"Password":"p"},true],'),
+        F.lit('"password":{"v":"s3cret","w":[1,{"x":"s3cret"}]},"secret":[{"a":"s3cret"}],"none":{},"nil":[],"deep":' + "".join(f'{{"{c}":' for c in "abcdefgh")
+              + '{"private_key":{"v":{"v":"s3cret"}},"ok":["'), "event_type", F.lit('"]}' + "}" * 8 + "}"))
     return N.redacted_fields(t.events.select("event_id", R.parse(text).alias("record")), ["event_id"])
 
 

@@ -13,7 +13,8 @@ from threadlake.plans.conversations import ROLLUP, rolled
 from threadlake.plans.registry import Tables, query
 
 _LISTED = """files_m as (select f.*, case when f.media_id % 6 <> 2 then concat('model-', cast(f.media_id % 4 as varchar)) end as model from {files} f)"""
-_NATURAL = r"regexp_replace(regexp_replace(lower(coalesce(file_name, '')), '(\d+)', '0000000000\1', 'g'), '\d*(\d{{10}})', '\1', 'g')"
+_NATURAL = r"""array_to_string(list_transform(regexp_extract_all(lower(coalesce(file_name, '')), '[0-9]+|[^0-9]+'),
+    lambda p: case when p[1] between '0' and '9' then lpad(cast(length(ltrim(p, '0')) as varchar), 10, '0') || ltrim(p, '0') else p end), '')"""
 
 
 def listed(t: Tables):

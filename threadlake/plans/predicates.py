@@ -9,17 +9,17 @@ from threadlake.plans.registry import Tables, query
 
 _KEYS = """select event_id, case event_id % 8
     when 0 then concat(event_type, '.access_token') when 1 then 'posthog-' || event_type when 2 then event_type || ':theme'
-    when 3 then 'encryptionKey' when 4 then 'walletconnect_' || event_type when 5 then 'chatActiveSessions'
+    when 3 then 'encryptionKey' when 4 then 'walletconnect_' || event_type when 5 then case when event_id % 16 = 5 then 'chatActiveSessions' else 'otherActiveSessions' end
     when 6 then 'my-tokens-' || event_type else 'PASSWORD' end as key from {events}"""
 
 
 @query("D4_redact_keys", "select event_id, key, " + """
-    event_id % 8 in (0, 1, 3, 4, 5, 7) as redacted,
+    event_id % 8 in (0, 1, 3, 4, 7) or event_id % 16 = 5 as redacted,
     case when event_id % 8 in (0, 3, 4, 7) then 'Authentication or credential state is intentionally excluded.'
-         when event_id % 8 in (1, 5) then 'Volatile telemetry state is intentionally excluded.' end as reason
+         when event_id % 8 = 1 or event_id % 16 = 5 then 'Volatile telemetry state is intentionally excluded.' end as reason
     from (""" + _KEYS + ")")
 def redact_keys(t: Tables):
-    return t.sql(_KEYS).select("event_id", "key", P.redaction(F.col("key")).alias("r")).select("event_id", "key", "r.*")
+    return t.sql(_KEYS).select("event_id", "key", P.redaction(F.col("key"), site="chat").alias("r")).select("event_id", "key", "r.*")
 
 
 @query("D5_thumbnails", """

@@ -66,28 +66,29 @@ def record_id(t: Tables):
 
 
 @query("C4_flatten_text", """
-    select doc_id, case doc_id % 4 when 0 then lang when 1 then concat(lang, chr(10), source)
-                        when 2 then concat(source, chr(10), 'tail') else lang end as text
+    select doc_id, case doc_id % 5 when 0 then lang when 1 then concat(lang, chr(10), source)
+                        when 2 then concat(source, chr(10), 'tail') when 3 then lang else concat(lang, chr(10), source, chr(10), 'end') end as text
     from {documents}""")
 def flatten_text(t: Tables):
-    doc = F.col("doc_id") % 4
+    doc = F.col("doc_id") % 5
     lang, source = F.to_json(F.array("lang")), F.to_json(F.array("source"))
     quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
     lang, source = quoted("lang"), quoted("source")
     text = F.when(doc == 0, lang) \
         .when(doc == 1, F.concat(F.lit("["), lang, F.lit(',{"text":'), source, F.lit("}]"))) \
         .when(doc == 2, F.concat(F.lit('[{"content":['), source, F.lit(']},"tail"]'))) \
-        .otherwise(F.concat(F.lit('{"value":{"summary":'), lang, F.lit("}}")))
+        .when(doc == 3, F.concat(F.lit('{"value":{"summary":'), lang, F.lit("}}"))) \
+        .otherwise(F.concat(F.lit('[' * 6 + '{"text":{"value":[' * 3), lang, F.lit(","), source, F.lit(']}}' * 3 + ']' * 5 + ',"end"]')))
     return t.documents.withColumn("record", R.parse(text)).select("doc_id", R.readable_text("record").alias("text"))
 
 
 @query("C5_response_text", """
-    select id, sha256(trim(text || chr(10) || chr(10) || role || chr(10) || id, ' ')) as digest from {msgs} where text <> ''""")
+    select id, sha256(trim(text || chr(10) || chr(10) || role || chr(10) || id, ' ')) as digest from {msgs}""")
 def response_text(t: Tables):
     """Output items of every message: reasoning is left out, message parts are joined."""
     item = lambda kind, *texts: F.struct(F.lit(kind).alias("type"), F.array(*[F.struct(text.alias("text")) for text in texts]).alias("content"))
     items = F.array(item("reasoning", F.lit("hidden")), item("message", F.col("text")), item("message", F.col("role"), F.col("id")))
-    rows = t.msgs.where("text <> ''").select("id", R.parse(F.to_json(items)).alias("items"))
+    rows = t.msgs.select("id", R.parse(F.to_json(items)).alias("items"))
     return rows.select("id", F.sha2(R.response_text("items"), 256).alias("digest"))
 
 

@@ -60,7 +60,7 @@ def search(t: Tables):
 
 @query("K2_search_messages", _ITEMS + f"""
     select type, id, conversation_id, title, {_excerpt("coalesce(body, '')", "conversation 1")} as excerpt, at_ms from items
-    where contains(lower(haystack), 'conversation 1') and type = 'message' order by coalesce(at_ms, -1) desc, id limit 300""")
+    where contains(lower(haystack), 'conversation 1') and type = 'message' order by coalesce(at_ms, -1) desc, id limit 900""")
 def search_messages(t: Tables):
     return K.page(K.hits(items(t), '"Conversation 1"'), "message", 900)
 
@@ -133,7 +133,7 @@ def search_captures(t: Tables):
 
 @query("K8_deep_search_text", """
     select id, sha256(concat_ws(' ', id, role, model, text, concat('m', cast(seq as varchar), ' f.png image/png message.attachments'),
-       trim(concat('tool web_search ', role, ' T h text ', model)))) as digest from {msgs} where text <> ''""")
+       trim(concat('tool web_search ', role, ' T h text ', model)))) as digest from {msgs}""")
 def deep_search_text(t: Tables):
     none = F.lit(None).cast("string")
     candidates = F.array(F.struct(F.concat(F.lit("m"), "seq").alias("id"), F.lit("f.png").alias("file_name"), F.lit("image/png").alias("mime_type"), F.lit("message.attachments").alias("source")))
@@ -143,4 +143,4 @@ def deep_search_text(t: Tables):
     empty = F.array().cast("array<struct<url:string,title:string>>")
     segments = F.array(segment("tool", F.lit("web_search"), F.col("role"), none, sources), segment("text", none, none, F.col("model"), empty))
     parts = [F.col("id"), F.col("role"), F.col("model"), F.col("text")]
-    return t.msgs.where("text <> ''").select("id", F.sha2(N.deep_search_text(parts, candidates, segments), 256).alias("digest"))
+    return t.msgs.select("id", F.sha2(N.deep_search_text(parts, candidates, segments), 256).alias("digest"))

@@ -31,7 +31,7 @@ def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
 def record_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Stream of store lines; each new file is one step of the source checkpoint."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return lines.where(F.trim("value") != "").select(R.parse("value").alias("record"))
+    return lines.where(F.trim("value") != "").select("value", R.parse("value").alias("record"))
 
 
 def run(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -39,9 +39,20 @@ def run(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], No
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest(stream: DataFrame, normalize: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """New records become normalized rows; nothing already written is touched."""
-    return run(stream, checkpoint, lambda df, batch_id: _write_batch(normalize(df), table, batch_id))
+def ingest(stream: DataFrame, normalize: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, quarantine: str | None = None) -> StreamingQuery:
+    """New records become normalized rows; nothing already written is touched.
+
+    Malformed lines (no ``record``) go to the table ``quarantine``; without one they stop the query.
+    """
+    def apply(df: DataFrame, batch_id: int) -> None:
+        good = df.where("record is not null").drop("value")
+        if quarantine is not None:
+            _write_batch(df.where("record is null").select("value"), quarantine, batch_id)
+        else:
+            good = df.select(F.parse_json("value").alias("record"))
+        _write_batch(normalize(good), table, batch_id)
+
+    return run(stream, checkpoint, apply)
 
 
 def additive_dedup(stream: DataFrame, key: str, order: Sequence[str], table: str, checkpoint: str) -> StreamingQuery:
@@ -57,13 +68,18 @@ def additive_dedup(stream: DataFrame, key: str, order: Sequence[str], table: str
     return run(stream, checkpoint, apply)
 
 
+class Unstable(RuntimeError):
+    """The source did not stand still; nothing was accepted."""
+
+
 def stability_gate(
     stream: DataFrame, inventory: Callable[[], DataFrame], table: str, receipts: str, checkpoint: str,
     key: str = "path", signature: str = "signature", passes: int = 6,
 ) -> StreamingQuery:
     """Accepts a batch only when the source inventory is the same before and after it was read.
 
-    At most ``passes`` attempts; a batch that never settles leaves a receipt and no rows.
+    At most ``passes`` attempts.  A batch that never settles leaves a receipt and stops the query with
+    :class:`Unstable` before its offsets are committed, so the next run is offered the same batch again.
     """
     from threadlake.operators.verify import inventory_guard
     from threadlake.session import materialize
@@ -78,7 +94,9 @@ def stability_gate(
                 _write_batch(staged, table, batch_id)
             if accepted or attempt == passes:
                 _write_batch(guard, receipts, batch_id)
+            if accepted:
                 return
+        raise Unstable(f"batch {batch_id}: the source kept changing while it was read {passes} times")
 
     return run(stream, checkpoint, apply)
 
