@@ -14,8 +14,9 @@ from threadlake.session import materialize
 SEPARATORS = (0x20, *range(9, 14))
 STEP = np.uint64(0x9FB21C651E98DF25)
 #: Number of the most repeated shingles that are put last in every set.  They only set the order of the shingles, which
-#: may be any; the bound keeps what is broadcast at half a megabyte.
-LATE_SHINGLES = 1 << 16
+#: may be any; the bound keeps what is broadcast at eight megabytes.
+LATE_SHINGLES = 1 << 20
+GROUP = 1 << 22
 
 
 class Shingler:
@@ -194,19 +195,31 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         return _in_batches(batches, build)
 
     def repeated(batches):
-        shingler = Shingler(words)
+        """Shingles that several sets of a group have; a group is as many sets of a task as hold ``GROUP`` shingles."""
+        shingler, held, n = Shingler(words), {}, 0
 
-        def build(part):
-            distinct = {set_id(x): x for x in shingler.sets(text_bytes(part.column("text")))}
-            token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct.values()]), return_counts=True)
+        def counted():
+            token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *held.values()]), return_counts=True)
             many = count > 1
             return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many], pa.int64())], ["token", "n"])
 
-        return _in_batches(batches, build)
+        for batch in batches:
+            for part in bounded(batch, "text"):
+                for found in shingler.sets(text_bytes(part.column("text"))):
+                    held[set_id(found)] = found
+                    n += len(found)
+                if n >= GROUP:
+                    yield counted()
+                    held, n = {}, 0
+        yield counted()
 
     late = rows.select("text").mapInArrow(repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    late = [r.token for r in late.orderBy(F.desc("n"), "token").limit(LATE_SHINGLES).collect()]
-    sent = spark.sparkContext.broadcast(np.array(late, np.int64).view(np.uint64))
+    late = materialize(late, "late")
+    # the count that leaves no more than the bound above it
+    common = late.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).limit(LATE_SHINGLES).collect()
+    least = next((r.n + 1 for r, total in zip(common, np.cumsum([r.m for r in common])) if total > LATE_SHINGLES), 0)
+    late = late.where(F.col("n") >= least).select("token", "n").toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+    sent = spark.sparkContext.broadcast(late.column("token").to_numpy().view(np.uint64))
 
     def postings(batches):
         shingler = Shingler(words)
@@ -274,9 +287,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     need = F.ceil((F.col("size") + F.col("pivot_size")) * percent / (100 + percent))
     beyond = F.ceil(F.greatest("size", "pivot_size") * percent / 100) - 1
     early = (F.col("pos") <= F.col("size") - need) & (F.col("pivot_pos") <= F.col("pivot_size") - need)
-    first = lists.where("node <> pivot").groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(
+    first = lists.where("node <> pivot").groupBy("node", "pivot").agg(
         F.count("*").alias("shared"), F.max(need - beyond).alias("least"), F.max(early).alias("early"))
-    first = verified(first.where("early and 2 * shared >= least").select("a", "b"), "pivot_links")
+    # each set meets two pivots: the one it shares most lists with, and the smallest, which most sets of a group have
+    first = first.where("early and 2 * shared >= least").groupBy("node").agg(
+        F.array_distinct(F.array(F.max_by("pivot", F.struct("shared", "pivot")), F.min("pivot"))).alias("pivots"))
+    first = first.select("node", F.explode("pivots").alias("pivot"))
+    first = first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    first = verified(first, "pivot_links")
     linked = components(first.where("links"))
 
     # then all pairs of lists that still hold more than one component; links share at least ``least`` lists
