@@ -504,3 +504,13 @@ def test_session_storage_redaction(spark):
     df = spark.createDataFrame([("app.session-id",), ("theme",), ("acmeSessionId",), ("x:trace",)], "k string").select(
         "k", redaction(F.col("k"), session=True)["redacted"].alias("r"), redaction(F.col("k"))["redacted"].alias("plain"))
     assert {r.k: (r.r, r.plain) for r in df.collect()} == {"app.session-id": (True, False), "theme": (False, False), "acmeSessionId": (True, False), "x:trace": (True, False)}
+
+
+def test_ranked_search_phrases_accents_and_snippets(spark):
+    rows = [("a", "le de la", None), ("b", "de le", "le xx de"), ("c", "Café du coin", "x " * 30 + "le DE fin " + "y " * 30), ("d", "no", "cafes")]
+    items = spark.createDataFrame([("message", i, "1", title, body) for i, title, body in rows], "type string, id string, conversation_id string, title string, body string")
+    got = {}
+    for r in K.ranked_items(items, ["le_de", "cafe", "le de"], 300).collect():
+        got.setdefault(r.query_id, {})[r.id] = r.excerpt
+    assert set(got[0]) == {"a", "c"} and set(got[1]) == {"c"} and set(got[2]) == {"a", "b", "c"}
+    assert got[0]["c"].startswith("…") and "[le] [DE] fin" in got[0]["c"] and got[0]["c"].endswith("…") and got[0]["a"] == ""

@@ -118,7 +118,7 @@ def short_preview(text: Column, fallback: str = "No preview available") -> Colum
 
 def slug(title: Column, fallback: str = "untitled-conversation") -> Column:
     """Lower-case ASCII slug of at most 80 characters."""
-    ascii_text = _fold(clean(title))
+    ascii_text = fold(clean(title))
     dashed = F.lower(F.regexp_replace(F.regexp_replace(ascii_text, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
     short = F.regexp_replace(F.substring(dashed, 1, 80), "-+$", "")
     return F.when(short == "", fallback).otherwise(short)
@@ -130,7 +130,7 @@ def _decomposed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t)))
 
 
-def _fold(text: Column) -> Column:
+def fold(text: Column) -> Column:
     """Letters without accents, ligatures and other forms taken apart; plain ASCII stays on the JVM."""
     plain = ~text.rlike(r"[^\x00-\x7F]")
     return F.when(plain, text).otherwise(_decomposed(F.when(~plain, text)))
@@ -177,7 +177,7 @@ def fnv1a32(text: Column) -> Column:
 def store_path(name: Column) -> Column:
     """File of a source store; the hash keeps clashing names apart."""
     text = F.trim(F.coalesce(name, F.lit("")))
-    dashed = F.regexp_replace(F.regexp_replace(_fold(text), "[^a-zA-Z0-9._-]+", "-"), "^-+|-+$", "")
+    dashed = F.regexp_replace(F.regexp_replace(fold(text), "[^a-zA-Z0-9._-]+", "-"), "^-+|-+$", "")
     short = F.substring(dashed, 1, 140)
     safe = F.when(short == "", "unknown-store").otherwise(short)
     return F.concat(F.lit("stores/store--"), safe, F.lit("--"), fnv1a32(text), F.lit(".json"))

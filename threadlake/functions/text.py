@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadlake.functions.scalars import fold
+
 
 def search_terms(query: str) -> list[str]:
     """Quoted phrases or words of one query, lower case, distinct, in order."""
@@ -82,3 +84,31 @@ def highlight(text: Column, terms: Sequence[str], whole: bool = False) -> Column
 def tokens(text: Column) -> Column:
     """Lower-case letter and digit runs, the way the ranked index splits text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def folded_tokens(text: Column) -> Column:
+    """The same without accents."""
+    return tokens(fold(F.lower(F.coalesce(text, F.lit("")))))
+
+
+# accented letters of Latin-1 and the plain letter that remains without the accent
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def fold_latin(text: Column) -> Column:
+    """Lower-case Latin-1 letters without accents, on the JVM; enough to mark hits."""
+    return F.translate(text, _ACCENTED, _PLAIN)
+
+
+def snippet(text: Column, phrases: Sequence[tuple[str, ...]], words: int = 18) -> Column:
+    """About ``words`` words of a text from a few before the first hit on, hits in brackets, an ellipsis at cut sides."""
+    text = F.coalesce(text, F.lit(""))
+    parts = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), F.lit(1))
+    plain = F.transform(parts, lambda p: fold_latin(F.lower(F.regexp_extract(p, r"^[\p{L}\p{N}]+", 0))))
+    hit = lambda i: reduce(lambda a, b: a | b, [F.coalesce(F.get(plain, i) == w, F.lit(False)) for phrase in phrases for w in phrase])
+    places = F.filter(F.transform(parts, lambda p, i: i), hit)
+    start = F.greatest(F.lit(0), F.coalesce(F.get(places, F.lit(0)), F.lit(0)) - words // 4)
+    marked = F.transform(parts, lambda p, i: F.when(hit(i), F.regexp_replace(p, r"^([\p{L}\p{N}]+)", "[$1]")).otherwise(p))
+    body = F.trim(F.array_join(F.slice(marked, start + 1, words), ""))
+    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + words < F.size(parts), "…").otherwise(""))

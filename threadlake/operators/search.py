@@ -53,30 +53,40 @@ def page(found: DataFrame, kind: str = "all", limit: int = 100) -> DataFrame:
     return rows.orderBy(rank, F.coalesce("at_ms", F.lit(-1)).desc(), "id").limit(max(1, limit))
 
 
-def query_terms(spark, queries: Sequence[str]) -> DataFrame:
-    """Table (query_id, term) of a batch of queries; its size is that of the given list."""
-    rows = []
-    for i, query in enumerate(queries):
-        terms = {t for token in T.search_tokens(query) for t in _split(token)}
-        if not terms:
-            raise ValueError("enter at least one searchable word")
-        rows += [(i, term, len(terms)) for term in sorted(terms)]
-    return spark.createDataFrame(rows, "query_id int, term string, needed int")
+def query_phrases(query: str) -> list[tuple[str, ...]]:
+    """Phrases of a query: a token with ``_`` or ``-`` inside is a phrase of its parts, any other a phrase of one word."""
+    phrases = [tuple(_split(token)) for token in T.search_tokens(query)]
+    phrases = list(dict.fromkeys(p for p in phrases if p))
+    if not phrases:
+        raise ValueError("enter at least one searchable word")
+    return phrases
 
 
 def _split(token: str) -> list[str]:
     import regex
-    return regex.findall(r"[\p{L}\p{N}]+", token.lower())
+    import unicodedata
+    return regex.findall(r"[\p{L}\p{N}]+", regex.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", token.lower())))
+
+
+def _occurrences(words: Column, phrase: tuple[str, ...]) -> Column:
+    """How often a phrase occurs in a list of words, overlaps included."""
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda w: w == phrase[0]))
+    rest = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase) if k])
+    return F.size(F.filter(words, lambda w, i: (w == phrase[0]) & rest(i)))
 
 
 def postings(documents: DataFrame, doc_id: str, text: Column) -> DataFrame:
     """Inverted index: term, document, term frequency, document length.
 
-    Equal words of a document meet on the map side before the shuffle.
+    Words are counted inside their row: the words of a document are sorted and a run of equal ones is one posting, so
+    nothing is shuffled.
     """
-    words = documents.select(F.col(doc_id).alias("doc_id"), T.tokens(text).alias("words"))
-    return words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(
-        "doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    words = documents.select(F.col(doc_id).alias("doc_id"), F.array_sort(T.tokens(text)).alias("words"))
+    starts = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("at"))), lambda s: (s["at"] == 0) | (F.get("words", s["at"] - 1) != s["term"]))
+    runs = words.select("doc_id", F.size("words").alias("length"), starts.alias("starts"))
+    counted = F.transform("starts", lambda s, i: F.struct(s["term"].alias("term"), (F.coalesce(F.get("starts", i + 1)["at"], F.col("length")) - s["at"]).cast("bigint").alias("tf")))
+    return runs.select("doc_id", "length", F.explode(counted).alias("p")).select("doc_id", "length", "p.term", "p.tf")
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -84,31 +94,50 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
-def ranked_batch(documents: DataFrame, doc_id: str, text: Column, queries: Sequence[str], limit: int = 25) -> DataFrame:
-    """BM25 ranking of many queries in one pass over the text; all terms must occur.
+def ranked_batch(documents: DataFrame, doc_id: str, texts: Column | Sequence[Column], queries: Sequence[str], limit: int = 25) -> DataFrame:
+    """BM25 ranking of many queries in one pass over the text columns; all phrases of a query must occur.
 
-    Only words of the query batch leave the scan.  The batch and its per-term counts
-    are as small as the given list, so they are broadcast.
+    Accents are folded and case is ignored.  Phrases are counted inside each row, in every column; the length of a
+    row is that of all its columns.  The batch and its per-phrase counts are as small as the given list, so they are
+    broadcast; the only shuffle before the top rows brings the phrases of a row together.
     """
-    limit = max(1, limit)
-    wanted = query_terms(documents.sparkSession, queries)
-    vocabulary = sorted({term for query in queries for token in T.search_tokens(query) for term in _split(token)})
-    words = documents.select(F.col(doc_id).alias("doc_id"), T.tokens(text).alias("words"))
-    # the text is split once; what is kept per document is its length and the words asked for
-    kept = materialize(words.select(
-        "doc_id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(vocabulary)).alias("hits")), "hits")
+    texts = [texts] if isinstance(texts, Column) else list(texts)
+    wanted = [query_phrases(query) for query in queries]
+    phrases = sorted({p for one in wanted for p in one})
+    lists = documents.select(F.col(doc_id).alias("doc_id"), *[T.folded_tokens(text).alias(f"w{i}") for i, text in enumerate(texts)])
+    total_of = lambda count: reduce(lambda a, b: a + b, [count(F.col(f"w{i}")) for i in range(len(texts))])
+    hits = F.array(*[F.struct(F.lit(n).alias("phrase"), total_of(lambda w, p=p: _occurrences(w, p)).alias("tf")) for n, p in enumerate(phrases)])
+    # the text is split once; what is kept per row is its length and the phrases it has
+    kept = materialize(lists.select("doc_id", total_of(F.size).alias("length"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits")), "hits")
     stats = kept.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    found = kept.select("doc_id", "length", F.explode("hits").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    spread = found.groupBy("term").agg(F.count("*").alias("df"))
+    found = kept.select("doc_id", "length", F.explode("hits").alias("h")).select("doc_id", "length", "h.phrase", "h.tf")
+    spread = found.groupBy("phrase").agg(F.count("*").alias("df"))
     total, average = stats.select("n").scalar(), stats.select("avg_length").scalar()
-    # a term in more than half of the rows still scores a little
+    # a phrase in more than half of the rows still scores a little
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weights = wanted.join(spread, "term").select("query_id", "term", "needed", idf.alias("idf"))
-    scored = found.join(F.broadcast(weights), "term").withColumn(
+    asked = documents.sparkSession.createDataFrame(
+        [(q, phrases.index(p), len(one)) for q, one in enumerate(wanted) for p in one], "query_id int, phrase int, needed int")
+    weights = asked.join(spread, "phrase").select("query_id", "phrase", "needed", idf.alias("idf"))
+    scored = found.join(F.broadcast(weights), "phrase").withColumn(
         "part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average)))
     matched = scored.groupBy("query_id", "doc_id").agg(
-        F.sum("part").alias("score"), F.count("*").alias("_terms"), F.max("needed").alias("_needed")).where("_terms = _needed")
-    return top_per_query(matched.select("query_id", "doc_id", F.round("score", 6).alias("score")), limit)
+        F.sum("part").alias("score"), F.count("*").alias("_phrases"), F.max("needed").alias("_needed")).where("_phrases = _needed")
+    return top_per_query(matched.select("query_id", "doc_id", F.round("score", 6).alias("score")), max(1, limit))
+
+
+def ranked_items(items: DataFrame, queries: Sequence[str], limit: int = 25) -> DataFrame:
+    """Ranked search over the title and body of conversations, messages and media, with a marked snippet.
+
+    items: type, id, conversation_id, title, body.  The rows found are few (``limit`` per query), so their texts are
+    fetched by a join after the ranking.
+    """
+    keyed = items.withColumn("_key", F.concat_ws(":", "type", F.coalesce("id", F.lit("")), F.coalesce("conversation_id", F.lit(""))))
+    best = ranked_batch(keyed, "_key", [F.col("title"), F.col("body")], queries, limit)
+    rows = best.join(keyed.withColumnRenamed("_key", "doc_id"), "doc_id")
+    shown = F.lit(None).cast("string")
+    for q, query in enumerate(queries):
+        shown = F.when(F.col("query_id") == q, T.snippet(F.col("body"), query_phrases(query))).otherwise(shown)
+    return rows.select("query_id", "rank", "score", "type", "id", "conversation_id", "title", shown.alias("excerpt"))
 
 
 def top_per_query(matched: DataFrame, limit: int) -> DataFrame:

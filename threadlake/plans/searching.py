@@ -88,26 +88,46 @@ def highlight(t: Tables):
     return t.msgs.select("id", F.sha2(T.highlight(F.col("text"), ["on", "tion"]), 256).alias("digest"))
 
 
-_RANKED = r"""words as (select doc_id, unnest(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}]+)', 1)) as term from {documents}),
-    lengths as (select d.doc_id, count(w.term) as length from {documents} d left join words w on w.doc_id = d.doc_id group by 1),
+_BM25 = r"""asked(query_id, first, second, needed) as (values {values}),
+    lengths as (select *, len(l) as length from words),
     stats as (select count(*) as n, avg(length) as average from lengths),
-    q(query_id, term, needed) as (values (0, 'the', 2), (0, 'on', 2), (1, 'la', 1), (2, 'le', 2), (2, 'de', 2)),
-    found as (select doc_id, term, count(*) as tf from words where term in (select term from q) group by 1, 2),
-    spread as (select term, count(*) as df from found group by 1),
-    scored as (select q.query_id, f.doc_id, round(sum(greatest(ln((s.n - p.df + 0.5) / (p.df + 0.5)), 0.000001) * f.tf * 2.2
-          / (f.tf + 1.2 * (0.25 + 0.75 * l.length / s.average))), 6) as score
-        from q join found f on f.term = q.term join spread p on p.term = q.term join lengths l on l.doc_id = f.doc_id, stats s
-        group by q.query_id, f.doc_id, q.needed having count(*) = q.needed)"""
-
-
-@query("K6_ranked_search", "with " + _RANKED + """
-    select query_id, doc_id, cast(round(score * 10000) as bigint) as score, rank from
-      (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from scored) where rank <= 20""")
+    found as (select * from (select query_id, first, second, needed, id, length, {count} as tf from lengths, asked) where tf > 0),
+    spread as (select query_id, first, second, count(*) as df from found group by 1, 2, 3),
+    scored as (select f.query_id, f.id, round(sum(greatest(ln((s.n - p.df + 0.5) / (p.df + 0.5)), 0.000001) * f.tf * 2.2
+          / (f.tf + 1.2 * (0.25 + 0.75 * f.length / s.average))), 6) as score
+        from found f join spread p on p.query_id = f.query_id and p.first = f.first and p.second is not distinct from f.second, stats s
+        group by f.query_id, f.id, f.needed having count(*) = f.needed),
+    ranked as (select query_id, id, cast(round(score * 10000) as bigint) as score, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from scored)"""
+
+
+def _bm25(values: str, *lists: str) -> str:
+    """Ranking in SQL; ``words`` has the lists of words to count phrases in, ``l`` all of them."""
+    count = " + ".join(
+        f"len(list_filter(range(1, len({l}) + 1), lambda i: {l}[i] = first and (second is null or {l}[i + 1] = second)))" for l in lists)
+    return _BM25.replace("{values}", values).replace("{count}", count)
+
+
+_SPLIT = r"regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '([\p{{{{L}}}}\p{{{{N}}}}]+)', 1)"
+
+
+@query("K6_ranked_search", "with words as (select doc_id as id, " + _SPLIT.format("text") + " as l from {documents}), " + _bm25(
+    "(0, 'the', null, 2), (0, 'on', null, 2), (1, 'la', null, 1), (2, 'le', 'de', 1), (3, 'ete', null, 1), (4, 'de', 'la', 2), (4, 'en', null, 2)", "l") + """
+    select query_id, id as doc_id, score, rank from ranked where rank <= 20""")
 def ranked_search(t: Tables):
-    best = K.ranked_batch(t.documents, "doc_id", F.col("text"), ["The on", "la", "de_le"], 20)
+    """A token with an underscore or hyphen is a phrase, accents are folded on both sides."""
+    best = K.ranked_batch(t.documents, "doc_id", F.col("text"), ["The on", "la", "le_de", "Été", "de-la EN"], 20)
     return best.withColumn("score", F.round(F.col("score") * 10000).cast("bigint"))
 
 
+@query("K6_ranked_items", _ITEMS + ", words as (select concat_ws(':', type, id, coalesce(conversation_id, '')) as id, " + _SPLIT.format("title") + " as lt, "
+       + _SPLIT.format("body") + " as lb, list_concat(lt, lb) as l from items), " + _bm25("(0, 'conversation', '1', 1), (1, 'the', null, 2), (1, 'conversation', null, 2)", "lt", "lb") + """
+    select r.query_id, r.rank, r.score, i.type, i.id, i.conversation_id, i.title from ranked r join items i on concat_ws(':', i.type, i.id, coalesce(i.conversation_id, '')) = r.id where rank <= 60""")
+def ranked_items(t: Tables):
+    """Titles and bodies of conversations, messages and media in one ranking."""
+    best = K.ranked_items(items(t), ["Conversation-1", "the conversation"], 60)
+    return best.withColumn("score", F.round(F.col("score") * 10000).cast("bigint")).drop("excerpt")
+
+
 @query("K6_inverted_index", r"""
     select term, count(*) as documents, cast(sum(tf) as bigint) as occurrences, cast(max(length) as bigint) as longest from
       (select doc_id, term, count(*) as tf, any_value(n) as length from
