@@ -56,7 +56,8 @@ def greedy_pages(sizes, max_rows, max_bytes):
 
 
 @pytest.mark.parametrize("block_rows,max_rows,max_bytes", [(5, 5, 100), (8, 3, 60), (16, 10, 45), (1 << 20, 10, 45)])
-def test_pages(spark, block_rows, max_rows, max_bytes):
+def test_pages(spark, monkeypatch, block_rows, max_rows, max_bytes):
+    monkeypatch.setattr(B, "SECTION", 3)
     rng = random.Random(block_rows)
     # sizes include rows larger than a page and empty rows
     data = [("s%d" % (n % 3 if n % 2 else 0), n, rng.choice([0, 1, 10, 20, 30, 44, 200])) for n in range(240)]

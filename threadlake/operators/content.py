@@ -214,19 +214,26 @@ def link_materialized(items: DataFrame, messages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- duplicates
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """Contents with more than one copy: copies, layers, categories and repeated bytes.
+    """Contents with more than one copy: copies, number of layers and categories, repeated bytes.
 
-    files: sha, bytes, layer, category.
+    files: sha, bytes, layer, category.  :func:`duplicate_members` lists where the copies are.
     """
     return (
         files.groupBy("sha").agg(
             F.count("*").alias("copies"), F.first("bytes").alias("bytes"),
-            F.array_sort(F.collect_set("layer")).alias("layers"), F.array_sort(F.collect_set("category")).alias("categories"))
+            F.countDistinct("layer").alias("layers"), F.countDistinct("category").alias("categories"))
         .where("copies > 1")
         .withColumn("repeated_bytes", (F.col("copies") - 1) * F.col("bytes")).orderBy(F.col("repeated_bytes").desc(), "sha")
     )
 
 
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """One row per repeated content, layer and category with its copies there; no list holds them."""
+    placed = files.groupBy("sha", "layer", "category").agg(F.count("*").alias("copies"))
+    repeated = placed.groupBy("sha").agg(F.sum("copies").alias("_all")).where("_all > 1")
+    return placed.join(repeated, "sha").drop("_all")
+
+
 def duplicate_summary(files: DataFrame, pool: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Totals of a file set: distinct contents, repeated bytes, what a shared pool already holds."""
     per_hash = files.groupBy(*by, "sha").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))

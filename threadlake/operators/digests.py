@@ -51,15 +51,16 @@ def unordered_digest(records: DataFrame, keys: Sequence[str], record: Column, ou
 def global_rank(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     """Dense 1-based rank over a whole table without a single-task window.
 
-    Rows are range-partitioned by ``order`` and that layout is written once, so the
-    partition numbers stay the same however often tasks are repeated.  Each
-    partition ranks its rows; offsets come from one count per partition.
+    Rows are range-partitioned and sorted by ``order``, numbered inside their partition and
+    written once, so the numbers stay the same however often tasks are repeated.
+    Offsets come from one count per partition; nothing is shuffled a second time.
     """
     spark = rows.sparkSession
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
-    fixed = materialize(ranged, "ranked")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranged = rows.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # the upper bits of the number are the partition, the lower 33 the place in it
+    fixed = materialize(ranged, "ranked").withColumn("_part", F.shiftright("_id", 33))
+    place = F.col("_id").bitwiseAND((1 << 33) - 1) + 1
     # one row per partition: at most as many as there are shuffle partitions
     offsets = (
         fixed.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -67,6 +68,6 @@ def global_rank(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame
             Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     )
     return (
-        fixed.withColumn("_local", local).join(F.broadcast(offsets), "_part")
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint")).drop("_local", "_offset", "_part")
+        fixed.join(F.broadcast(offsets), "_part")
+        .withColumn(out, (place + F.col("_offset")).cast("bigint")).drop("_id", "_offset", "_part")
     )

@@ -527,14 +527,14 @@ def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth:
 def structured_media(records: DataFrame, config: DataFrame, turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """Media of structured studio stores: references, or one embedded placeholder per record.
 
-    records: store, record_id, record, inline; config (a fixed table): store, label, default_kind,
+    records: store, record_id, record, inline; config: store, label, default_kind,
     metadata_only; turns: store, turn_id, session_id, conversation_id; sessions: store, session_id, conversation_id.
     """
     keys = ["store", "record_id"]
     refs = deep_references(records, keys)
     v = F.col("record")
     base = (
-        records.join(F.broadcast(config), "store")
+        records.join(config, "store")
         .select(*keys, "label", "default_kind", "metadata_only", "inline",
                 R.as_text(R.child(v, "turnId")).alias("turn_id"), R.as_text(R.child(v, "sessionId")).alias("session_id"),
                 R.as_text(R.child(v, "conversationId")).alias("own_conversation"),

@@ -49,8 +49,7 @@ def retention_plan(snapshots: DataFrame, keep: int) -> DataFrame:
     snapshots: snapshot_id (sorts by time), verified, managed.  Nothing is deleted.
     """
     eligible = F.col("verified") & F.col("managed")
-    # a top-k: at most ``keep`` rows, so they can be broadcast
     kept = snapshots.where(eligible).orderBy(F.col("snapshot_id").desc()).limit(keep).select("snapshot_id", F.lit(True).alias("_kept"))
-    return snapshots.join(F.broadcast(kept), "snapshot_id", "left").select(
+    return snapshots.join(kept, "snapshot_id", "left").select(
         "snapshot_id", "verified", "managed",
         F.when(~eligible, "untouched").when(F.col("_kept"), "keep").otherwise("prune").alias("action"))

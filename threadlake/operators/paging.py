@@ -4,9 +4,11 @@ Greedy paging is sequential: a page ends where the next row would exceed a bound
 It still runs in parallel.  A store is cut into blocks of consecutive rows.  A page
 has at most ``max_rows`` rows, so a block can only be entered at one of its first
 ``max_rows`` rows.  Step one computes, for each of these entries, where the page
-chain enters the next block and how many pages start on the way.  Step two follows
-one entry per block along each store.  Step three numbers the pages of each block
-from its true entry.  No task holds more than one block and ``max_rows`` rows.
+chain enters the next block and how many pages start on the way.  Step two finds the
+entry of every block: the steps of ``SECTION`` blocks are composed, one entry per
+section is followed along each store, then one per block inside its section.  Step
+three numbers the pages of each block from its true entry.  No task holds more than
+one block, or ``max_rows`` rows for each block of a section.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from threadlake.operators.ordered import position
 
 
+SECTION = 256
+
+
 def _next_starts(sizes: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray:
     """For each row the first row after a page that starts there, by two pointers."""
     prefix = np.concatenate([[0], np.cumsum(sizes)])
@@ -60,17 +65,42 @@ def pages(
     table = with_lead.groupBy("store", "block").applyInPandas(
         entries, f"store {store_type}, block bigint, entry bigint, exit bigint, pages bigint")
 
-    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = {(b, e): (x, p) for b, e, x, p in pdf[["block", "entry", "exit", "pages"]].itertuples(index=False)}
-        out, entry, page = [], 0, 0
-        for block in range(int(pdf["block"].max()) + 1):
-            out.append((key[0], block, entry, page))
-            entry, count = steps.get((block, entry), (0, 0))
+    def followed(pdf: pd.DataFrame, step: str, entry: int, page: int) -> list[tuple]:
+        """(step, entry, first page) along consecutive steps of one store."""
+        ways = {(b, e): (x, p) for b, e, x, p in pdf[[step, "entry", "exit", "pages"]].itertuples(index=False)}
+        out = []
+        for at in range(int(pdf[step].min()), int(pdf[step].max()) + 1):
+            out.append((at, entry, page))
+            entry, count = ways.get((at, entry), (0, 0))
             page += count
-        return pd.DataFrame(out, columns=["store", "block", "entry", "first_page"])
+        return out
+
+    # blocks are chained in groups: what a group does to each entry, then one entry per group, then one per block
+    grouped = table.withColumn("section", F.floor(F.col("block") / SECTION).cast("bigint"))
+
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ways = {b: g.set_index("entry") for b, g in pdf.groupby("block")}
+        entry, total = np.arange(max_rows), np.zeros(max_rows, dtype=np.int64)
+        for block in sorted(ways):
+            way = ways[block][["exit", "pages"]].reindex(entry).fillna(0).astype(np.int64)
+            total, entry = total + way["pages"].to_numpy(), way["exit"].to_numpy()
+        return pd.DataFrame({"store": key[0], "section": key[1], "entry": np.arange(max_rows), "exit": entry, "pages": total})
+
+    sections = grouped.groupBy("store", "section").applyInPandas(
+        compose, f"store {store_type}, section bigint, entry bigint, exit bigint, pages bigint")
+
+    def enter(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], *row) for row in followed(pdf, "section", 0, 0)]
+        return pd.DataFrame(rows, columns=["store", "section", "entry", "first_page"])
+
+    entered = sections.groupBy("store").applyInPandas(enter, f"store {store_type}, section bigint, entry bigint, first_page bigint")
+
+    def inside(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], *row) for row in followed(pdf, "block", int(start["entry"].iloc[0]), int(start["first_page"].iloc[0]))]
+        return pd.DataFrame(rows, columns=["store", "block", "entry", "first_page"])
 
-    starts = table.groupBy("store").applyInPandas(
-        follow, f"store {store_type}, block bigint, entry bigint, first_page bigint")
+    starts = grouped.groupBy("store", "section").cogroup(entered.groupBy("store", "section")).applyInPandas(
+        inside, f"store {store_type}, block bigint, entry bigint, first_page bigint")
 
     def number(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)

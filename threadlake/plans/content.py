@@ -118,11 +118,16 @@ def duplicates_by_layer(t: Tables):
 
 
 @query("F9_duplicate_groups", """
-    select sha, count(*) as copies, min(bytes) as bytes, array_to_string(list_sort(list(distinct layer)), ',') as layers,
-       array_to_string(list_sort(list(distinct category)), ',') as categories, cast((count(*) - 1) * min(bytes) as bigint) as repeated_bytes
+    select sha, count(*) as copies, min(bytes) as bytes, count(distinct layer) as layers, count(distinct category) as categories, cast((count(*) - 1) * min(bytes) as bigint) as repeated_bytes
     from {payloads} group by 1 having count(*) > 1""")
 def duplicate_groups(t: Tables):
-    return C.duplicate_groups(t.payloads).withColumns({"layers": F.array_join("layers", ","), "categories": F.array_join("categories", ",")})
+    return C.duplicate_groups(t.payloads)
+
+
+@query("F9_duplicate_members", """
+    select sha, layer, category, count(*) as copies from {payloads} where sha in (select sha from {payloads} group by 1 having count(*) > 1) group by 1, 2, 3""")
+def duplicate_members(t: Tables):
+    return C.duplicate_members(t.payloads)
 
 
 @query("L9_duplicate_audit", "with " + _POOL + """,
