@@ -24,6 +24,8 @@ OBSERVED = len(CUTS) + 1
 SHRINK = 5.0
 #: Least likelihood ratio statistic of a feature.
 SURE = 18.0
+#: Least share of the toxic documents that have a feature; what only copies of a few texts share is left out.
+SUPPORT = 0.02
 TOXIC_EVIDENCE = 2.0
 ROUNDS = 8
 BLOCK = 64
@@ -156,24 +158,25 @@ def _observe(evidence: np.ndarray) -> np.ndarray:
 
 
 def _document(model: Model, tokens: Tokens, texts: list[bytes]):
-    """Per document: sum and maximum of the toxic marginals; per token: owner, places, marginal."""
+    """Per document: sum of the marginals of toxic tokens and largest marginal; per token: owner, places, marginal."""
     owner, begin, end, place, distinct, parts = tokens.read(texts)
     observed = _observe(tokens.evidence(distinct, parts, model))[place]
     toxic = marginals(model.field, observed, _opens(owner))[0][:, 1]
-    total = np.bincount(owner, weights=toxic, minlength=len(texts))
+    # a token counts when it is more likely toxic than not; the many others of a long clean text add up to nothing
+    total = np.bincount(owner, weights=np.where(toxic >= 0.5, toxic, 0.0), minlength=len(texts))
     most = np.zeros(len(texts))
     np.maximum.at(most, owner, toxic)
-    return total, most, owner, begin, end, toxic
+    return (total, most), owner, begin, end, toxic
 
 
 def _design(total: np.ndarray, most: np.ndarray) -> np.ndarray:
-    return np.stack((np.ones(len(total)), np.log(total + 1e-3), most), 1)
+    return np.stack((np.ones(len(total)), np.log(total + 0.1), most), 1)
 
 
 def _logistic(design: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted logistic regression by Newton steps with a small ridge."""
     w = np.zeros(design.shape[1])
-    ridge = np.diag([0.01, 1.0, 1.0])
+    ridge = np.diag([0.01, 0.2, 0.2])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         slope = design.T @ (weight * (label - p)) - ridge @ w
@@ -245,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, id
     # what chance alone brings about among many rare features is left out by the likelihood ratio
     sure = 2 * (part(F.col("bad"), both * share) + part(F.col("good"), both * (1 - share)))
     lexicon = lexicon.withColumn("evidence", F.log((F.col("bad") + SHRINK * share) / (F.col("good") + SHRINK * (1 - share))) - float(np.log(share / (1 - share))))
-    lexicon = lexicon.where((F.col("evidence") >= float(CUTS[0])) & (sure >= SURE)).orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()
+    lexicon = lexicon.where((F.col("evidence") >= float(CUTS[0])) & (sure >= SURE) & (F.col("bad") >= SUPPORT * n_toxic)).orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()
     known = np.array([r.feature for r in lexicon], np.int64).view(np.uint64)
     order = np.argsort(known)
     model = Model(known[order], np.array([r.evidence for r in lexicon])[order], None, np.zeros(3), prior)
@@ -270,15 +273,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, id
         tokens = Tokens()
         for batch in batches:
             for part in bounded(batch, "text"):
-                total, most, *_ = _document(sent.value, tokens, text_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(most), part.column("toxic")], ["total", "most", "toxic"])
+                found, *_ = _document(sent.value, tokens, text_bytes(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), part.column("toxic")], ["total", "most", "toxic"])
 
     got = rows.where("scored").select("text", "toxic").mapInArrow(measure, "total double, most double, toxic int").collect()
     label = np.array([r.toxic for r in got], float)
     if len(set(label)) < 2:
         return empty
     weight = np.where(label == 1, counts[1][1] / counts[1][0], counts[0][1] / counts[0][0])
-    model.weights = _logistic(_design(np.array([r.total for r in got]), np.array([r.most for r in got])), label, weight / weight.mean())
+    model.weights = _logistic(_design(*(np.array([r[x] for r in got]) for x in ("total", "most"))), label, weight / weight.mean())
     return model
 
 
@@ -346,8 +349,8 @@ def score_documents(docs: DataFrame, model: Model, text_column: str = "text") ->
                 if sent.value.field is None:
                     scores = np.full(len(texts), sent.value.prior)
                 else:
-                    total, most, owner, begin, end, toxic = _document(sent.value, tokens, texts)
-                    scores = 1 / (1 + np.exp(-np.clip(_design(total, most) @ sent.value.weights, -30, 30)))
+                    found, owner, begin, end, toxic = _document(sent.value, tokens, texts)
+                    scores = 1 / (1 + np.exp(-np.clip(_design(*found) @ sent.value.weights, -30, 30)))
                     bad = np.flatnonzero(toxic >= 0.5)
                     fresh = np.ones(len(bad), bool)
                     fresh[1:] = (np.diff(bad) > 1) | (owner[bad[1:]] != owner[bad[:-1]])
