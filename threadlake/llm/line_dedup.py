@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threadlake.llm.common import arrow_map, packed, prepared
+from threadlake.session import materialize
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,6 +57,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         lambda k: F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit("line"), k).alias("g"))))
     pairs = rows.select("id", F.explode(keys).alias("k")).select("id", "k.h", "k.g")
     frequent = pairs.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
+    # written, so that the rows of a very frequent line meet it in a join whose shuffle can be split
+    frequent = materialize(frequent, "frequent")
     drop = pairs.join(frequent, ["h", "g"]).groupBy("id").agg(F.collect_set("h").alias("drop"))
     drop = drop.withColumnRenamed("id", "drop_id")
     joined = rows.join(drop, F.col("id").eqNullSafe(F.col("drop_id")), "left").select(
