@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from threadlake.llm.common import GOLDEN, Words, bounded, components, list_array, mix, packed, prepared, text_bytes
 from threadlake.session import materialize
@@ -17,6 +17,8 @@ STEP = np.uint64(0x9FB21C651E98DF25)
 #: may be any; the bound keeps what is broadcast at eight megabytes.
 LATE_SHINGLES = 1 << 20
 GROUP = 1 << 22
+#: Pivots of a size block of a list besides the earliest, and pivots a set is verified against before the rest.
+HASHED_PIVOTS, PIVOTS = 3, 4
 
 
 class Shingler:
@@ -54,8 +56,8 @@ class Shingler:
 
 def set_id(found: np.ndarray) -> int:
     """Fingerprint of a whole set."""
-    value = mix(np.array([np.sum(mix(found ^ STEP), dtype=np.uint64) + np.uint64(len(found)) * GOLDEN], np.uint64))
-    return int(value.view(np.int64)[0])
+    total = np.array([len(found)], np.uint64) * GOLDEN + np.sum(mix(found ^ STEP), dtype=np.uint64)
+    return int(mix(total).view(np.int64)[0])
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -80,46 +82,31 @@ def _in_batches(batches, schema_builder) -> Iterator[pa.RecordBatch]:
                 yield out
 
 
-def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by shingle, size, set: lists of two sets or more, each entry with a pivot of its size block.
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by shingle, size, set: the lists of two sets or more, each set once.
 
-    A block starts at a pivot and holds the sets that are no larger than a partner of the pivot can be.  Only the
-    pivot of the open block is kept from row to row, so a list may have any length.
+    Only the last row is kept from batch to batch, so a list may have any length.
     """
-    last_token = None
-    alone = pivot = None
+    last = None  # the row before, and whether it has been handed on
     for batch in batches:
-        token, size, node, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        n = len(token)
-        if not n:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if not batch.num_rows:
             continue
-        same = np.zeros(n, bool)
-        same[1:] = token[1:] == token[:-1]
-        same[0] = token[0] == last_token if last_token is not None else False
-        last_token = token[-1]
-        busy = same.copy()
-        busy[:-1] |= same[1:]
-        busy[-1] = True  # the list may go on in the next batch
-        rows = []
-        for i in np.flatnonzero(busy).tolist():
-            entry = (int(token[i]), int(size[i]), int(node[i]), int(pos[i]))
-            if not same[i]:
-                alone = pivot = entry
-                continue
-            if alone is not None:
-                if entry[2] == alone[2]:
-                    continue
-                rows.append((*alone, alone[2], alone[1], alone[3]))
-                before, alone = alone, None
-            elif entry[2] == before[2]:
-                continue
-            if pivot[1] * 100 < percent * entry[1]:
-                pivot = entry
-            rows.append((*entry, pivot[2], pivot[1], pivot[3]))
-            before = entry
-        if rows:
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "size", "node", "pos", "pivot", "pivot_size", "pivot_pos"])
+        if last is not None:
+            columns = [np.concatenate(([x], y)) for x, y in zip(last[0], columns)]
+        token, _, node, _ = columns
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, size, node, pos = (x[fresh] for x in columns)
+        listed = np.zeros(len(token), bool)
+        listed[1:] = token[1:] == token[:-1]
+        listed[:-1] |= listed[1:]
+        handed = bool(listed[-1]) or (last is not None and len(token) == 1 and last[1])
+        if last is not None and last[1]:
+            listed[0] = False
+        last = [x[-1] for x in (token, size, node, pos)], handed
+        if listed.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[listed]) for x in (token, size, node, pos)], ["token", "size", "node", "pos"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -132,29 +119,32 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     held: tuple = ()
     last = None
     for batch in batches:
-        token, size, node, pos, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        token, size, node, pos, comp, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         left, right, least, early = [], [], [], []
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))).tolist() + [len(token)]
         for a, b in zip(cuts, cuts[1:]):
-            s, v, p, c = size[a:b], node[a:b], pos[a:b], comp[a:b]
+            s, v, p, c, f = size[a:b], node[a:b], pos[a:b], comp[a:b], first[a:b]
             known = 0
             if held and last == token[a]:
                 known = len(held[0])
-                s, v, p, c = (np.concatenate((x, y)) for x, y in zip(held, (s, v, p, c)))
+                s, v, p, c, f = (np.concatenate((x, y)) for x, y in zip(held, (s, v, p, c, f)))
             if len(s) > 1 and (c != c[0]).any():
                 begin = np.searchsorted(s * 100, percent * s, side="left")
                 for i in range(max(known, 1), len(s)):
                     j = np.arange(begin[i], i)
                     j = j[c[j] != c[i]]
+                    # the first common shingle is no earlier than the first of either set that is in a list
+                    need = overlap_needed(s[j], s[i], percent)
+                    able = (f[j] <= s[j] - need) & (f[i] <= s[i] - need)
+                    j, need = j[able], need[able]
                     if len(j):
-                        need = overlap_needed(s[j], s[i], percent)
                         left.append(v[j])
                         right.append(np.full(len(j), v[i]))
                         least.append(need - np.maximum(beyond_prefix(s[j], percent), beyond_prefix(s[i], percent)))
                         early.append((p[j] <= s[j] - need) & (p[i] <= s[i] - need))
             last = token[a]
             still = s * 100 >= percent * s[-1]
-            held = (s[still], v[still], p[still], c[still])
+            held = (s[still], v[still], p[still], c[still], f[still])
         if left:
             a, b, need, soon = (np.concatenate(x) for x in (left, right, least, early))
             pairs, first, which, shared = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
@@ -175,9 +165,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     Equal sets are one node from the start.  Prefix lists hold only as many shingles of a set as a link needs (the
     most repeated shingles of the corpus come last in the order).  Lists are cut by size into blocks and entries are
-    skipped by position.  First every set is verified against the pivot of its block only.  A set that links has the
+    skipped by position.  First every set is verified against a few pivots of its blocks only.  A set that links has the
     answers of its pivot's component, so all pairs inside a component are skipped; what remains are pairs of one
-    list in different components.  Linked sets share all but a known number of their prefix shingles' lists, so pairs
+    list in different components whose first shared shingle can stand early enough.  Linked sets share all but a known number of their prefix shingles' lists, so pairs
     are counted over the lists first and verified exactly where the count suffices.  No link between components can
     be missed, and a group of copies costs one verification per member.  Shingles are compared by 64-bit fingerprints.
     """
@@ -258,7 +248,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     entries = rows.where("id is not null").select("text").mapInArrow(postings, "token long, size long, node long, pos long")
     lists = materialize(
         entries.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
-            lambda batches: _lists(batches, percent), "token long, size long, node long, pos long, pivot long, pivot_size long, pivot_pos long"), "lists")
+            _lists, "token long, size long, node long, pos long"), "lists")
 
     def full_sets(batches):
         shingler = Shingler(words)
@@ -283,24 +273,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         return materialize(pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", (common * 100 >= union * percent).alias("links")), label)
 
-    # first the pivots: a pair that shares few lists is not worth a look yet
+    # first the pivots of each size block of a list: the set that has the shingle earliest, which differs least from the
+    # others, and some by the order of a hash, which is the same in all lists
+    listed = lists.withColumn("block", F.floor(F.log("size") / float(np.log(100 / percent))))
+    entry = [F.col(x) for x in ("node", "size", "pos")]
+    chosen = [F.min(F.struct(F.col("pos").alias("order"), *entry)), *(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("order"), *entry)) for i in range(HASHED_PIVOTS))]
+    pivots = listed.groupBy("token", "block").agg(F.array(*chosen).alias("p"))
+    first = listed.join(pivots, ["token", "block"]).select("token", "node", "size", "pos", F.explode("p").alias("p")).where("node <> p.node")
+    first = first.select("token", "node", "size", "pos", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.pos").alias("pivot_pos")).distinct()
     need = F.ceil((F.col("size") + F.col("pivot_size")) * percent / (100 + percent))
     beyond = F.ceil(F.greatest("size", "pivot_size") * percent / 100) - 1
     early = (F.col("pos") <= F.col("size") - need) & (F.col("pivot_pos") <= F.col("pivot_size") - need)
-    first = lists.where("node <> pivot").groupBy("node", "pivot").agg(
-        F.count("*").alias("shared"), F.max(need - beyond).alias("least"), F.max(early).alias("early"))
-    # each set meets two pivots: the one it shares most lists with, and the smallest, which most sets of a group have
-    first = first.where("early and 2 * shared >= least").groupBy("node").agg(
-        F.array_distinct(F.array(F.max_by("pivot", F.struct("shared", "pivot")), F.min("pivot"))).alias("pivots"))
-    first = first.select("node", F.explode("pivots").alias("pivot"))
+    first = first.groupBy("node", "pivot").agg(F.count("*").alias("shared"), F.max(need - beyond).alias("least"), F.max(early).alias("early"))
+    # each set meets the pivots it shares most lists with; a pair that shares few is not worth a look yet
+    best = Window.partitionBy("node").orderBy(F.desc("shared"), "pivot")
+    first = first.where("early and 2 * shared >= least").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS)
     first = first.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     first = verified(first, "pivot_links")
     linked = components(first.where("links"))
 
     # then all pairs of lists that still hold more than one component; links share at least ``least`` lists
     entries = lists.join(linked, "node", "left").select("token", "size", "node", "pos", F.coalesce("component", "node").alias("component"))
+    entries = materialize(entries, "entries")
     open_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    across = entries.join(open_lists, "token").repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
+    entries = entries.join(open_lists, "token")
+    across = entries.join(entries.groupBy("node").agg(F.min("pos").alias("first")), "node").select("token", "size", "node", "pos", "component", "first")
+    across = across.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
         lambda batches: _across(batches, percent), "a long, b long, shared long, least long, early boolean")
     across = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.max("early").alias("early"))
     across = across.where("early and shared >= least").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
