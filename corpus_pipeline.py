@@ -49,8 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ten words or more that a benchmark item has are cut out; documents stay."""
-    found = fm_index.find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    return _with_length(common.with_text(fm_index.remove_spans(found), docs))
+    found = fm_index.find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, cut=True)
+    return _with_length(common.with_text(found, docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

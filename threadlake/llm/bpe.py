@@ -12,7 +12,9 @@ from threadlake.llm.common import Words, bounded, list_array, packed, prepared,
 
 LEAF = 32_768
 #: Words whose ids a worker remembers, about 30 bytes each.
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 19
+#: Words that are encoded in one call; their intermediate objects are large.
+CALL_WORDS = 1 << 12
 SPACES = (0x20, 0x09, 0x0A, 0x0D)
 SPACE = re.compile("[ \t\n\r]")
 
@@ -56,9 +58,12 @@ class Encoder:
             at = np.flatnonzero(np.isin(self.known, used))
             count = self.count[at]
             self._remember(self.known[at], count, self.flat[_ranges(self.start[at], count)])
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(count.sum()))
+        counts, flats = [], []
+        for at in range(0, len(words), CALL_WORDS):
+            got = [e.ids for e in self.tokenizer.encode_batch(words[at:at + CALL_WORDS], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flats.append(np.fromiter((i for x in got for i in x), np.int32, int(counts[-1].sum())))
+        count, flat = np.concatenate(counts), np.concatenate(flats)
         start = np.concatenate((self.start, np.cumsum(count) - count + len(self.flat)))
         known = np.concatenate((self.known, fresh))
         order = np.argsort(known)

@@ -183,7 +183,15 @@ def _spans(hit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def _searched(batch: pa.RecordBatch, phrases: Phrases, words: Words) -> pa.RecordBatch:
+def _without(text: str, spans: list[dict]) -> str:
+    at, parts = 0, []
+    for span in spans:
+        parts.append(text[at:span["start"]])
+        at = span["end"]
+    return "".join(parts) + text[at:]
+
+
+def _searched(batch: pa.RecordBatch, phrases: Phrases, words: Words, cut: bool) -> pa.RecordBatch:
     texts = text_bytes(batch.column("text"))
     hashes, owner, begin, end = words.split(texts)
     n_words = np.bincount(owner, minlength=len(texts))
@@ -214,18 +222,22 @@ def _searched(batch: pa.RecordBatch, phrases: Phrases, words: Words) -> pa.Recor
             "start": len(to_point[:begin[a]].decode()), "end": len(to_point[:end[b]].decode()),
         })
     kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
+    text = batch.column("text")
+    if cut and any(spans):
+        text = pa.array([_without(t, s) if s else t for t, s in zip(text.to_pylist(), spans)], pa.string())
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in named], pa.list_(pa.string()))],
+        [batch.column("doc"), text, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in named], pa.list_(pa.string()))],
         ["doc", "text", "n_words", "spans", "items"])
 
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """Every row with the places where it repeats windows of benchmark items.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lowered.  A window is ``window`` consecutive words of an
     item; an item of fewer words, but not none, is one window.  Returns ``doc`` (the input columns without the text),
     ``text``, ``n_words``, ``spans`` (maximal hit runs: first and last word, start and end in code points) and
-    ``items`` (sorted ids, as strings, of items with occurring windows).
+    ``items`` (sorted ids, as strings, of items with occurring windows).  With ``cut`` the spans are cut out of the text;
+    their places are those in the whole text.
 
     * null and empty texts have no words and no hits; null or empty items have no window;
     * repeated items count once; an item without an id still marks words but is not listed;
@@ -256,28 +268,11 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = 10, text_colu
         own = listed.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block)
         sent = spark.broadcast([(r.item, r.words) for r in own.collect()])
 
-        def search(batches, sent=sent):
+        def search(batches, sent=sent, cut=cut and block == blocks - 1):
             phrases, words = Phrases(sent.value, window), Words(SEPARATORS)
             for batch in batches:
                 for part in bounded(batch, "text", SHARD_BYTES):
-                    yield _searched(part, phrases, words)
+                    yield _searched(part, phrases, words, cut)
 
         state = state.mapInArrow(search, schema)
     return state
-
-
-def remove_spans(found: DataFrame) -> DataFrame:
-    """The result of ``find_passages`` with the hit spans cut out of the text."""
-    def cut(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                at, parts = 0, []
-                for span in spans:
-                    parts.append(texts[i][at:span["start"]])
-                    at = span["end"]
-                if spans:
-                    texts[i] = "".join(parts) + texts[i][at:]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-    return found.mapInArrow(cut, found.schema)
