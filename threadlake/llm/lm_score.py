@@ -15,8 +15,8 @@ SEPARATORS = (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 MIN_WORDS, MIN_PAIRS = 3, 4
 #: Weight of the word model inside the pair model.
 BACK_OFF = 40.0
-#: Entries of a model up to which it is broadcast (24 bytes each); a larger one is joined.
-BROADCAST_ENTRIES = 1 << 21
+#: Entries of both models up to which they are broadcast (16 bytes each, 64 MB in all); larger ones are joined.
+BROADCAST_ENTRIES = 1 << 22
 #: Tokens a task counts together before it hands them on.
 GROUP = 1 << 20
 
@@ -49,14 +49,15 @@ class Counts:
 
     def __init__(self, known: np.ndarray, target: np.ndarray, background: np.ndarray):
         order = np.argsort(known)
-        self.known, self.counts = known[order], np.stack((target, background), 1)[order].astype(np.float64)
+        kind = np.uint32 if max(target.max(initial=0), background.max(initial=0)) < 1 << 32 else np.uint64
+        self.known, self.counts = known[order], np.stack((target.astype(kind), background.astype(kind)), 1)[order]
 
     def of(self, wanted: np.ndarray) -> np.ndarray:
         """Counts of both models, 0 for what is not known."""
         if not len(self.known):
             return np.zeros((len(wanted), 2))
         at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
-        return self.counts[at] * (self.known[at] == wanted)[:, None]
+        return self.counts[at].astype(np.float64) * (self.known[at] == wanted)[:, None]
 
 
 def losses(pair: np.ndarray, word: np.ndarray, history: np.ndarray, totals: np.ndarray, vocabulary: int) -> np.ndarray:
