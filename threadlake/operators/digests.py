@@ -43,6 +43,24 @@ def store_inventory(records: DataFrame, store: str, ordinal: str, record: Column
     return counts.join(ordered_digest(hashed, [store], ordinal, "_sha", "fingerprint"), store)
 
 
+def store_manifest(records: DataFrame, store: str, ordinal: str, record: Column, expected: DataFrame) -> DataFrame:
+    """Inventory of an export beside what was expected, and one digest over all of its stores.
+
+    expected: store, expected_records, encrypted.  A store is complete when it has the expected number of records; one
+    that nobody expected is not.  ``export_sha256`` covers names and fingerprints in the order of the names (an
+    export has as many of them as its source has stores).
+    """
+    stores = store_inventory(records, store, ordinal, record).withColumnRenamed(store, "store")
+    named = F.array_sort(F.collect_list(F.struct("store", "fingerprint")))
+    lines = F.transform(named, lambda s: F.concat_ws(":", s["store"], s["fingerprint"]))
+    export = stores.agg(F.sha2(F.array_join(lines, "\n"), 256)).scalar()
+    rows = stores.join(expected, "store", "left")
+    return rows.select(
+        "store", "records", "bytes", F.col("fingerprint").alias("sha256"), "expected_records",
+        F.coalesce(F.col("records") == F.col("expected_records"), F.lit(False)).alias("complete"),
+        F.coalesce("encrypted", F.lit(False)).alias("encrypted"), export.alias("export_sha256"))
+
+
 def unordered_digest(records: DataFrame, keys: Sequence[str], record: Column, out: str = "digest") -> DataFrame:
     """Order-free digest of a record set: the sum of 64-bit hashes, exact in decimals."""
     return records.groupBy(*keys).agg(F.sum(F.xxhash64(record).cast("decimal(38,0)")).cast("string").alias(out))

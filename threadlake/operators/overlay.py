@@ -43,6 +43,17 @@ def select_tree(tree: DataFrame, prefix: str) -> DataFrame:
     return tree.where(F.col("path").startswith(prefix))
 
 
+def restore_plan(tree: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
+    """What a restore below a path prefix writes: every file with the object that holds its bytes.
+
+    tree: path, sha, bytes; objects: sha, object_path, object_bytes, one row per content.  A file whose object is
+    missing or has another size can't be restored.
+    """
+    rows = select_tree(tree, prefix).join(objects, "sha", "left")
+    status = F.when(F.col("object_path").isNull(), "missing object").when(F.col("object_bytes") != F.col("bytes"), "wrong size").otherwise("ready")
+    return rows.select("path", "sha", "bytes", "object_path", status.alias("status"))
+
+
 def retention_plan(snapshots: DataFrame, keep: int) -> DataFrame:
     """Which managed snapshots stay: the latest ``keep``; only verified ones may go.
 

@@ -63,6 +63,22 @@ def count_mismatches(declared: DataFrame, actual: DataFrame, key: str, value: st
     return violation(joined.where(~F.col("_d").eqNullSafe(F.col("_a"))), check, F.col(key), F.col("_d"), F.col("_a"))
 
 
+def record_hash_violations(declared: DataFrame, records: DataFrame, key: str, ordinal: str, record: Column) -> DataFrame:
+    """Groups whose declared hash (``key``, ``record_hash``) is not the digest of their records in order."""
+    from threadlake.operators.digests import ordered_digest
+    actual = ordered_digest(records.select(key, ordinal, F.sha2(record, 256).alias("_sha")), [key], ordinal, "_sha", "record_hash")
+    return count_mismatches(declared, actual, key, "record_hash", "record hash")
+
+
+def file_hash_violations(declared: DataFrame, files: DataFrame) -> DataFrame:
+    """Files whose bytes differ from the declared hash, or that are on one side only.
+
+    declared: path, sha256; files: path, content.  Only hashes are shuffled.
+    """
+    actual = files.select("path", F.sha2("content", 256).alias("sha256"))
+    return count_mismatches(declared, actual, "path", "sha256", "file hash")
+
+
 def duplicate_ids(rows: DataFrame, keys: Sequence[str], check: str = "duplicate id") -> DataFrame:
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     return violation(counted, check, F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), F.lit(1), F.col("_n"))

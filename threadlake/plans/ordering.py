@@ -217,6 +217,17 @@ def tree_selection(t: Tables):
     return V.select_tree(generations(t)[1], "media/12").select("path", "gen_id", "sha", "bytes")
 
 
+@query("L12_restore_plan", "with " + _GENERATIONS + """
+    select path, sha, bytes, case when sha % 5 <> 1 then 'objects/' || cast(sha as varchar) end as object_path,
+       case when sha % 5 = 1 then 'missing object' when sha % 5 = 2 then 'wrong size' else 'ready' end as status from entries where starts_with(path, 'media/1')""")
+def restore_plan(t: Tables):
+    entries = generations(t)[1]
+    sizes = entries.groupBy("sha").agg(F.max("bytes").alias("n"))
+    objects = sizes.where("sha % 5 <> 1").select(
+        "sha", F.concat(F.lit("objects/"), "sha").alias("object_path"), (F.col("n") + F.when(F.col("sha") % 5 == 2, 1).otherwise(0)).alias("object_bytes"))
+    return V.restore_plan(entries, objects, "media/1")
+
+
 @query("H9_snapshot_retention", """
     with s as (select distinct strftime(ts, '%Y%m%d') as snapshot_id from {events}),
       f as (select snapshot_id, cast(snapshot_id as int) % 3 <> 0 as verified, cast(snapshot_id as int) % 7 <> 1 as managed from s)

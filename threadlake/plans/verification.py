@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadlake.operators import verify as V
+from threadlake.plans.content import _digest as digest_sql
 from threadlake.plans.registry import Tables, query
 
 _DECLARED = """d as (select event_type as name, count(*) + case when event_type = 'click' then 1 else 0 end as records,
@@ -82,6 +83,22 @@ def verify_archive(t: Tables):
     return violations(t)
 
 
+@query("L8_content_hashes", "with " + digest_sql("conversation_id", "seq", "concat_ws('|', id, role, text)", "msgs") + """
+    select 'record hash' as "check", cast(store as varchar) as entity, 'x' || digest as expected, digest as actual from l4 where store % 7 = 2
+    union all select 'file hash', 'media/' || cast(doc_id as varchar), case when doc_id % 20 = 4 then 'wrong' when doc_id % 20 = 5 then null else sha256(text) end,
+       case when doc_id % 20 <> 6 then sha256(text) end from {documents} where doc_id % 20 in (4, 5, 6)""")
+def content_hashes(t: Tables):
+    """Hashes are computed again from records and bytes; some declared ones are wrong, missing or without a file."""
+    from threadlake.operators.digests import ordered_digest
+    record = F.concat_ws("|", "id", "role", "text")
+    declared = ordered_digest(t.msgs.withColumn("sha", F.sha2(record, 256)), ["conversation_id"], "seq", "sha", "record_hash")
+    declared = declared.withColumn("record_hash", F.when(F.col("conversation_id") % 7 == 2, F.concat(F.lit("x"), "record_hash")).otherwise(F.col("record_hash")))
+    doc, path = F.col("doc_id") % 20, F.concat(F.lit("media/"), "doc_id").alias("path")
+    listed = t.documents.where(doc != 5).select(path, F.when(doc == 4, "wrong").otherwise(F.sha2("text", 256)).alias("sha256"))
+    files = t.documents.where(doc != 6).select(path, F.col("text").cast("binary").alias("content"))
+    return V.record_hash_violations(declared, t.msgs, "conversation_id", "seq", record).unionByName(V.file_hash_violations(listed, files))
+
+
 @query("F14_quality_summary", "with " + _VIOLATIONS + """
     select "check", count(*) as findings, case when "check" = 'duplicate id' then 'warning' else 'error' end as severity from v group by 1""")
 def quality_summary(t: Tables):

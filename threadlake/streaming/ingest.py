@@ -102,23 +102,26 @@ def stability_gate(
 
 
 def detect_changes(stream: DataFrame, table: str, states: str, checkpoint: str, width: int = 65_536) -> StreamingQuery:
-    """Appends change events of a stream (key, seq, state) and the last state per key and batch.
+    """Appends change events of a stream (key, seq, state) and keeps the last state of every key.
 
     Inside a batch rows meet the row before them block by block, so a hot key is
-    spread over tasks.  The first row of a key meets the last state of earlier
-    batches, which lives in a table and not in memory.
+    spread over tasks.  The first row of a key meets its last state of earlier
+    batches, which lives in a table and not in memory.  Each batch writes the whole
+    state after it as a version of its own and reads only the version before, so
+    what is read does not grow with the number of batches.
     """
     def apply(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         last = last_of_group(df.select("key", "seq", "state"), ["key"], ["seq"], ["seq", "state"])
         compared = last_before(df.select("key", "seq", "state"), ["key"], "seq", ["state"], "_before", width=width)
         if batch_id > 0:
-            earlier = read_batches(spark, states, last.schema, batch_id).join(df.select("key").distinct(), "key", "left_semi")
-            kept = last_of_group(earlier, ["key"], ["batch_id"], ["state"]).withColumnRenamed("state", "_kept")
-            compared = compared.join(kept, "key", "left")
+            earlier = spark.read.schema(last.schema).parquet(f"{states}/batch_id={batch_id - 1}")
+            compared = compared.join(earlier.select("key", F.col("state").alias("_kept")), "key", "left")
+            state = last.unionByName(earlier.join(last.select("key"), "key", "left_anti"))
         else:
             compared = compared.withColumn("_kept", F.lit(None).cast("string"))
-        _write_batch(last, states, batch_id)
+            state = last
+        _write_batch(state, states, batch_id)
         _write_batch(change_events(compared.withColumn("_previous", F.coalesce("_before.state", "_kept"))), table, batch_id)
 
     return run(stream, checkpoint, apply)
