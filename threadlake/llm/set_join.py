@@ -64,11 +64,6 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def beyond_prefix(size, percent: int):
-    """Shingles of a set that are not in its prefix."""
-    return -(-percent * size // 100) - 1
-
-
 def overlap_needed(a, b, percent: int):
     """Least intersection of sets of sizes a and b that link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -112,45 +107,38 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Over list rows sorted by shingle and size: pairs of one list whose sets are in different components.
 
-    Each comes with the number of lists that hold both, the least number a link needs, and whether one of them holds
-    both early enough to be their first common shingle.  What is kept from batch to batch is the entries that can still
-    have a partner of the sizes to come.
+    Both sets must have the shingle early enough for it to be the first they share.  What is kept from batch to batch
+    is the entries that can still have a partner of the sizes to come.
     """
     held: tuple = ()
     last = None
     for batch in batches:
-        token, size, node, pos, comp, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        left, right, least, early = [], [], [], []
+        token, size, node, pos, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        left, right = [], []
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))).tolist() + [len(token)]
         for a, b in zip(cuts, cuts[1:]):
-            s, v, p, c, f = size[a:b], node[a:b], pos[a:b], comp[a:b], first[a:b]
+            s, v, p, c = size[a:b], node[a:b], pos[a:b], comp[a:b]
             known = 0
             if held and last == token[a]:
                 known = len(held[0])
-                s, v, p, c, f = (np.concatenate((x, y)) for x, y in zip(held, (s, v, p, c, f)))
+                s, v, p, c = (np.concatenate((x, y)) for x, y in zip(held, (s, v, p, c)))
             if len(s) > 1 and (c != c[0]).any():
                 begin = np.searchsorted(s * 100, percent * s, side="left")
                 for i in range(max(known, 1), len(s)):
                     j = np.arange(begin[i], i)
                     j = j[c[j] != c[i]]
-                    # the first common shingle is no earlier than the first of either set that is in a list
                     need = overlap_needed(s[j], s[i], percent)
-                    able = (f[j] <= s[j] - need) & (f[i] <= s[i] - need)
-                    j, need = j[able], need[able]
+                    j = j[(p[j] <= s[j] - need) & (p[i] <= s[i] - need)]
                     if len(j):
                         left.append(v[j])
                         right.append(np.full(len(j), v[i]))
-                        least.append(need - np.maximum(beyond_prefix(s[j], percent), beyond_prefix(s[i], percent)))
-                        early.append((p[j] <= s[j] - need) & (p[i] <= s[i] - need))
             last = token[a]
             still = s * 100 >= percent * s[-1]
-            held = (s[still], v[still], p[still], c[still], f[still])
+            held = (s[still], v[still], p[still], c[still])
         if left:
-            a, b, need, soon = (np.concatenate(x) for x in (left, right, least, early))
-            pairs, first, which, shared = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-            starts = np.bincount(which.ravel(), weights=soon, minlength=len(pairs)) > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared, pa.int64()), pa.array(need[first], pa.int64()), pa.array(starts)], ["a", "b", "shared", "least", "early"])
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -167,8 +155,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     most repeated shingles of the corpus come last in the order).  Lists are cut by size into blocks and entries are
     skipped by position.  First every set is verified against a few pivots of its blocks only.  A set that links has the
     answers of its pivot's component, so all pairs inside a component are skipped; what remains are pairs of one
-    list in different components whose first shared shingle can stand early enough.  Linked sets share all but a known number of their prefix shingles' lists, so pairs
-    are counted over the lists first and verified exactly where the count suffices.  No link between components can
+    list in different components whose first shared shingle can be that of the list.  What their prefixes share bounds
+    what they share in all, so only pairs with enough of it are verified exactly.  No link between components can
     be missed, and a group of copies costs one verification per member.  Shingles are compared by 64-bit fingerprints.
     """
     spark = prepared(docs.sparkSession)
@@ -292,16 +280,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     first = verified(first, "pivot_links")
     linked = components(first.where("links"))
 
-    # then all pairs of lists that still hold more than one component; links share at least ``least`` lists
+    # then all pairs of lists that still hold more than one component
     entries = lists.join(linked, "node", "left").select("token", "size", "node", "pos", F.coalesce("component", "node").alias("component"))
     entries = materialize(entries, "entries")
     open_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    entries = entries.join(open_lists, "token")
-    across = entries.join(entries.groupBy("node").agg(F.min("pos").alias("first")), "node").select("token", "size", "node", "pos", "component", "first")
-    across = across.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
-        lambda batches: _across(batches, percent), "a long, b long, shared long, least long, early boolean")
-    across = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"), F.max("early").alias("early"))
-    across = across.where("early and shared >= least").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    across = entries.join(open_lists, "token").repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
+        lambda batches: _across(batches, percent), "a long, b long").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    # what two prefixes share bounds what the sets share: beyond its prefix a set has a known number of shingles
+    prefixes = lists.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens"))
+    side = lambda name: prefixes.select(F.col("node").alias(name), F.struct("size", "tokens").alias(f"{name}_"))
+    across = across.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_.tokens", "b_.tokens"))
+    need = F.ceil((F.col("a_.size") + F.col("b_.size")) * percent / (100 + percent))
+    beyond = F.ceil(F.greatest("a_.size", "b_.size") * percent / 100) - 1
+    across = across.where(shared >= need - beyond).select("a", "b")
     second = verified(across, "links")
 
     joined = components(first.where("links").select("a", "b").unionByName(second.where("links").select("a", "b")))
