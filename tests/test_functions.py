@@ -129,8 +129,9 @@ def test_thumbnails(evaluate):
 
 def test_redaction(evaluate):
     keys = ["encryptionKey", "my-access_token", "tokens", "posthog_x", "chatActiveSessions", "theme", "wagmi.store", "idtoken"]
-    got = evaluate(keys, P.redaction)
+    got = evaluate(keys, lambda key: P.redaction(key, site="chat"))
     assert [g.redacted for g in got] == [True, True, False, True, True, False, True, True]
+    assert not evaluate(["chatActiveSessions"], P.redaction)[0].redacted
     assert got[0].reason.startswith("Authentication") and got[3].reason.startswith("Volatile")
 
 

@@ -508,7 +508,7 @@ def test_catalog_of_layers(spark):
 def test_session_storage_redaction(spark):
     from threadlake.functions.predicates import redaction
     df = spark.createDataFrame([("app.session-id",), ("theme",), ("acmeSessionId",), ("x:trace",)], "k string").select(
-        "k", redaction(F.col("k"), session=True)["redacted"].alias("r"), redaction(F.col("k"))["redacted"].alias("plain"))
+        "k", redaction(F.col("k"), session=True, site="acme")["redacted"].alias("r"), redaction(F.col("k"))["redacted"].alias("plain"))
     assert {r.k: (r.r, r.plain) for r in df.collect()} == {"app.session-id": (True, False), "theme": (False, False), "acmeSessionId": (True, False), "x:trace": (True, False)}
 
 
