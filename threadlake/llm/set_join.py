@@ -107,26 +107,28 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Over list rows sorted by shingle and size: pairs of one list whose sets are in different components.
 
-    Both sets must have the shingle early enough for it to be the first they share.  What is kept from batch to batch
-    is the entries that can still have a partner of the sizes to come.
+    Both sets must have the shingle early enough for it to be the first they share.  A pair whose sets have the same
+    listed shingle right before this one has met in that list already.  What is kept from batch to batch is the
+    entries that can still have a partner of the sizes to come.
     """
     held: tuple = ()
     last = None
     for batch in batches:
-        token, size, node, pos, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        token, size, node, pos, comp, prior = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         left, right = [], []
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))).tolist() + [len(token)]
         for a, b in zip(cuts, cuts[1:]):
-            s, v, p, c = size[a:b], node[a:b], pos[a:b], comp[a:b]
+            s, v, p, c, f = size[a:b], node[a:b], pos[a:b], comp[a:b], prior[a:b]
             known = 0
             if held and last == token[a]:
                 known = len(held[0])
-                s, v, p, c = (np.concatenate((x, y)) for x, y in zip(held, (s, v, p, c)))
+                s, v, p, c, f = (np.concatenate((x, y)) for x, y in zip(held, (s, v, p, c, f)))
             if len(s) > 1 and (c != c[0]).any():
                 begin = np.searchsorted(s * 100, percent * s, side="left")
                 for i in range(max(known, 1), len(s)):
                     j = np.arange(begin[i], i)
-                    j = j[c[j] != c[i]]
+                    # without a shingle before it, ``prior`` is the shingle itself
+                    j = j[(c[j] != c[i]) & ((f[j] != f[i]) | (f[i] == token[a]))]
                     need = overlap_needed(s[j], s[i], percent)
                     j = j[(p[j] <= s[j] - need) & (p[i] <= s[i] - need)]
                     if len(j):
@@ -134,7 +136,7 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                         right.append(np.full(len(j), v[i]))
             last = token[a]
             still = s * 100 >= percent * s[-1]
-            held = (s[still], v[still], p[still], c[still])
+            held = (s[still], v[still], p[still], c[still], f[still])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
@@ -284,7 +286,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     entries = lists.join(linked, "node", "left").select("token", "size", "node", "pos", F.coalesce("component", "node").alias("component"))
     entries = materialize(entries, "entries")
     open_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    across = entries.join(open_lists, "token").repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("pos"))
+    entries = entries.join(open_lists, "token").withColumn("prior", F.coalesce(before, "token"))
+    across = entries.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(
         lambda batches: _across(batches, percent), "a long, b long").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     # what two prefixes share bounds what the sets share: beyond its prefix a set has a known number of shingles
     prefixes = lists.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens"))
