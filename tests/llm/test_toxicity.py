@@ -61,6 +61,41 @@ def test_accuracy_and_spans(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_rare_toxic_words_are_found(spark):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    clean, bad = [word("abcdefgh") for _ in range(400)], [word("mnopqrstuvwxyz") for _ in range(150)]
+    rows = []
+    for i in range(10_000):
+        words = [rng.choice(clean) for _ in range(rng.randint(6, 20))]
+        for _ in range(2 * (i % 2)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(bad))
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = score_documents(docs, fit(docs, labels)).where("crc32(cast(doc.doc_id as string)) % 5 = 0").select("doc.doc_id", "predicted").collect()
+    assert sum(r.predicted == 1 for r in got if r.doc_id % 2) >= 0.98 * sum(r.doc_id % 2 for r in got)
+    assert sum(r.predicted for r in got if r.doc_id % 2 == 0) <= 0.01 * len(got)
+
+
+def test_near_copies_are_one_document():
+    rng = np.random.default_rng(3)
+    words = lambda: " ".join("w%d" % x for x in rng.integers(0, 5000, 80))
+    base, texts = words(), []
+    for i in range(40):
+        w = base.split()
+        w[i] = "changed%d" % i
+        texts.append(" ".join(w))
+    texts += [base, base] + [words() for _ in range(20)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    found = [b.column("sketch").to_pylist() for b in toxicity._sketches([batch])]
+    sketches = np.frombuffer(b"".join(x for part in found for x in part), np.uint64).reshape(-1, toxicity.SKETCH)
+    group = toxicity.copy_groups(sketches)
+    assert len(set(group[:42])) == 1 and len(set(group[41:])) == 21
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     from pyspark.sql import functions as F
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import Words, bounded, packed, prepared, text_bytes
+from threadlake.llm.common import GOLDEN, Words, bounded, mix, packed, prepared, text_bytes
 from threadlake.session import materialize
 
 #: Bytes between words once A-Z is lowered: ASCII other than letters and digits.
@@ -24,8 +24,8 @@ OBSERVED = len(CUTS) + 1
 SHRINK = 5.0
 #: Least likelihood ratio statistic of a feature.
 SURE = 18.0
-#: Least share of the toxic documents that have a feature; what only copies of a few texts share is left out.
-SUPPORT = 0.02
+#: Least-hash sketch of the word triples of a text, its bands, and the share of equal entries from which texts are copies.
+SKETCH, BANDS, COPY = 64, 16, 0.5
 TOXIC_EVIDENCE = 2.0
 ROUNDS = 8
 BLOCK = 64
@@ -204,11 +204,56 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, id_column:
     return materialize(rows, "labelled"), counts
 
 
+def _sketches(batches):
+    """(key, sketch) of each text: the least hash of its word triples under each of some mixings."""
+    words = Words(SEPARATORS)
+    salts = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
+    for batch in batches:
+        for part in bounded(batch, "text"):
+            hashes, owner, _, _ = words.split(text_bytes(part.column("text")))
+            cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            out = []
+            for a, b in zip(cut[:-1], cut[1:]):
+                w, least = hashes[a:b], np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+                w = mix(mix(w[:-2] * GOLDEN + w[1:-1]) * GOLDEN + w[2:]) if len(w) > 2 else mix(w)
+                for at in range(0, len(w), 4096):
+                    np.minimum(least, mix(w[at:at + 4096, None] ^ salts[None]).min(axis=0), out=least)
+                out.append(least.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.binary())], ["key", "sketch"])
+
+
+def copy_groups(sketches: np.ndarray) -> np.ndarray:
+    """Number of the group of near copies of each row of sketches: rows that agree in a band and in ``COPY`` of all entries."""
+    parent = np.arange(len(sketches))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for band in np.split(sketches, BANDS, axis=1):
+        bucket = np.unique(band, axis=0, return_inverse=True)[1].reshape(-1)
+        left = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+        # each round links rows to the first one left of their bucket; what is unlike it waits for the next
+        while len(left):
+            _, first, place = np.unique(bucket[left], return_index=True, return_inverse=True)
+            head = left[first][place.reshape(-1)]
+            alike = (sketches[left] == sketches[head]).mean(axis=1) >= COPY
+            for i, j in zip(left[alike].tolist(), head[alike].tolist()):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+            left = left[~alike]
+    return np.array([root(i) for i in range(len(parent))], np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Lexicon, field and document weights from labelled rows outside the held-out fold.
 
     Token labels come from the document labels: every token of a clean document is clean; a token of a toxic one is
-    toxic when a word, prefix or suffix of it is found far more often in toxic documents.
+    toxic when a word, prefix or suffix of it is found far more often in toxic documents.  Near copies of one text count
+    as one document of their label: a feature is counted once for all of them, so what only copies share is no evidence,
+    and what few documents have is, once they are many enough for the likelihood ratio.
     """
     rows, counts = training_rows(docs, labels, per_class, id_column, text_column)
     all_rows = counts[0][1] + counts[1][1]
@@ -217,11 +262,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, id
     if not counts[0][0] or not counts[1][0]:
         return empty
 
+    part_rows = rows.where("not scored").select(F.xxhash64("text").alias("key"), "text", "toxic")
+    sketched = part_rows.mapInArrow(_sketches, "key long, sketch binary").groupBy("key").agg(F.first("sketch").alias("sketch"), F.count("*").alias("n")).orderBy("key").collect()
+    keys = np.array([r.key for r in sketched], np.int64)
+    group = copy_groups(np.frombuffer(b"".join(bytes(r.sketch) for r in sketched), np.uint64).reshape(-1, SKETCH))
+    several = np.bincount(group, weights=[r.n for r in sketched], minlength=len(keys))[group] > 1 if len(keys) else np.zeros(0, bool)
+    copies = docs.sparkSession.sparkContext.broadcast((keys[several], group[several]))
+
+    def groups_of(key):
+        """Group of near copies of each row, -1 for texts without any."""
+        known, group = copies.value
+        if not len(known):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return np.where(known[at] == key, group[at], -1)
+
+    def grouped(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(groups_of(np.asarray(batch.column("key"))), pa.int64())], ["toxic", "copies"])
+
     def count(batches):
         tokens = Tokens()
         for batch in batches:
             for part in bounded(batch, "text"):
                 texts, toxic = text_bytes(part.column("text")), np.asarray(part.column("toxic"))
+                own = groups_of(np.asarray(part.column("key")))
                 owner, _, _, place, distinct, parts = tokens.read(texts)
                 seen = np.unique(np.stack((owner, place), 1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
                 which, found = tokens.features(distinct, parts)
@@ -233,22 +298,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, id
                 size = many[seen[:, 1]]
                 at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[seen[:, 1]], size)
                 pairs = np.unique(np.stack((np.repeat(seen[:, 0], size).astype(np.uint64), found[at]), 1), axis=0)
+                row = pairs[:, 0].astype(np.int64)
                 for label in (0, 1):
-                    value, n = np.unique(pairs[toxic[pairs[:, 0].astype(np.int64)] == label, 1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(value), label), pa.int32()), pa.array(n, pa.int64())], ["feature", "toxic", "n"])
-
-    n_clean, n_toxic = (rows.where(f"not scored and toxic = {x}").count() for x in (0, 1))
+                    for lone in (True, False):
+                        at = (toxic[row] == label) & ((own[row] < 0) == lone)
+                        value, n = np.unique(np.stack((own[row[at]].view(np.uint64), pairs[at, 1]), 1), axis=0, return_counts=True)
+                        value = np.ascontiguousarray(value.T).view(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(value[1]), pa.array(np.full(len(n), label), pa.int32()), pa.array(value[0]), pa.array(n, pa.int64())], ["feature", "toxic", "copies", "n"])
+
+    once = F.when(F.col("copies") < 0, F.col("n")).otherwise(1)
+    sides = part_rows.select("key", "toxic").mapInArrow(grouped, "toxic int, copies long").groupBy("toxic", "copies").agg(F.count("*").alias("n")).groupBy("toxic").agg(F.sum(once).alias("n"))
+    sides = {r.toxic: r.n for r in sides.collect()}
+    n_clean, n_toxic = sides.get(0, 0), sides.get(1, 0)
     if not n_clean or not n_toxic:
         return empty
     share = n_toxic / (n_clean + n_toxic)
-    lexicon = rows.where("not scored").select("text", "toxic").mapInArrow(count, "feature long, toxic int, n long").groupBy("feature").agg(
+    lexicon = part_rows.mapInArrow(count, "feature long, toxic int, copies long, n long").groupBy("feature", "toxic", "copies").agg(F.sum("n").alias("n"))
+    lexicon = lexicon.withColumn("n", once).groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     both = F.col("bad") + F.col("good")
     part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
     # what chance alone brings about among many rare features is left out by the likelihood ratio
     sure = 2 * (part(F.col("bad"), both * share) + part(F.col("good"), both * (1 - share)))
     lexicon = lexicon.withColumn("evidence", F.log((F.col("bad") + SHRINK * share) / (F.col("good") + SHRINK * (1 - share))) - float(np.log(share / (1 - share))))
-    lexicon = lexicon.where((F.col("evidence") >= float(CUTS[0])) & (sure >= SURE) & (F.col("bad") >= SUPPORT * n_toxic)).orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()
+    lexicon = lexicon.where((F.col("evidence") >= float(CUTS[0])) & (sure >= SURE)).orderBy(F.desc("evidence"), "feature").limit(LEXICON).collect()
     known = np.array([r.feature for r in lexicon], np.int64).view(np.uint64)
     order = np.argsort(known)
     model = Model(known[order], np.array([r.evidence for r in lexicon])[order], None, np.zeros(3), prior)
