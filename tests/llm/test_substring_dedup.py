@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from threadlake.llm import substring_dedup
@@ -66,6 +67,26 @@ def test_edges(spark):
     assert drop_repeated_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_a_repeated_row_keeps_its_only_copy(spark, parts):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    alone, inside, copied = text(400), "a" * 300, text(150)
+    rows = [(1, alone)] * 3 + [(2, inside)] * 2 + [(3, copied)] * 2 + [(4, copied)] * 2 + [(None, alone[:120] + "!")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id or 0, bytes(r.kept).decode()) for r in drop_repeated_substrings(docs).select("doc.doc_id", "kept").collect())
+    assert got == sorted([(0, alone[:120] + "!")] * 2 + [(1, alone[120:])] * 3 + [(2, "a")] * 2 + [(3, copied)] * 2 + [(4, "")] * 2)
+
+
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_starts_are_counted_once_over_batches(size):
+    rows = [(1, 5, 1, 0), (1, 5, 1, 0), (1, 5, 1, 0), (2, 6, 1, 9), (2, 6, 1, 9), (2, 6, 2, 0), (2, 6, 2, 0), (3, 7, 1, 3), (3, 8, 1, 4)]
+    columns = [np.array(x, np.int64) for x in zip(*rows)] + [np.full(len(rows), 4, np.int64)]
+    batch = substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array(x) for x in columns], ["bucket", "refined", "id", "place", "size"])
+    found = [tuple(r.values()) for b in substring_dedup._resolve(batch.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+    assert sorted(found) == [(1, 3, 1, True), (1, 4, 1, True), (2, 0, 1, False)]
+
+
 def test_query(spark):
     import hashlib
 

@@ -33,6 +33,12 @@ def test_lines(spark):
     assert {r.n_lines for r in got if r.text == ""} >= {1}
 
 
+def test_repeated_rows_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "own\nshared", "", 0)] * 5 + [(i, "shared", "", 0) for i in (2, 3)] + [(4, "own", "", 0)], SCHEMA)
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in drop_frequent_lines(docs, min_docs=3).select("doc.doc_id", "text", "n_dropped").collect())
+    assert got == [(1, "own", 1)] * 5 + [(2, "", 1), (3, "", 1), (4, "own", 0)]
+
+
 def test_lines_null_ids_and_empty(spark):
     docs = spark.createDataFrame([(None, "q\nz", "", 0), (None, "q", "", 0), (1, "q", "", 0)], SCHEMA)
     assert sorted(r.text for r in drop_frequent_lines(docs, min_docs=3).collect()) == ["", "", "z"]

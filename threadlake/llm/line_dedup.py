@@ -34,17 +34,18 @@ def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    r"""Every row with its text without the lines whose key occurs in ``min_docs`` rows or more.
+    r"""Every row with its text without the lines whose key occurs in ``min_docs`` documents or more.
 
     Lines are split at \n; the key is the line without white space at both ends and with A-Z lowered.  Keys shorter
     than ``min_chars`` stay.  Returns ``doc`` (the input columns without the text), ``text``, ``n_lines`` (before), ``n_dropped``.
 
     * null or empty text: one empty line, which stays; a text whose lines all go becomes empty;
-    * every row counts as one document, repeated rows and ids included; a null id is an id like any other;
+    * rows with the same id count as one document; a null id names none, so each such row is a document of its own;
     * a key that occurs several times in one document counts once;
     * an empty table gives an empty table; further columns are carried in ``doc`` and may have any name.
 
-    Plan: distinct keys of a row are exploded as two 64-bit hashes and counted with map-side sums; the frequent
+    Plan: distinct keys of a row are exploded as two 64-bit hashes, made distinct per id
+    where an id stands several times, and counted with map-side sums; the frequent
     keys meet the (document, key) rows in an equi-join that adaptive execution can split; each document gets the
     frequent keys it holds, and its lines are kept or dropped by position.  The text is shuffled once.
     """
@@ -56,7 +57,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars),
         lambda k: F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit("line"), k).alias("g"))))
     pairs = rows.select("id", F.explode(keys).alias("k")).select("id", "k.h", "k.g")
-    frequent = pairs.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
+    # rows of one id are one document; only the keys of ids that stand several times need a distinct
+    again = materialize(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    if again.isEmpty():
+        counted = pairs
+    else:
+        counted = pairs.join(again, "id", "left_anti").unionByName(pairs.join(again, "id", "left_semi").distinct())
+    frequent = counted.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h", "g")
     # written, so that the rows of a very frequent line meet it in a join whose shuffle can be split
     frequent = materialize(frequent, "frequent")
     drop = pairs.join(frequent, ["h", "g"]).groupBy("id").agg(F.collect_set("h").alias("drop"))

@@ -170,8 +170,12 @@ def _rows(bucket, refined, own, place, count, kind) -> pa.RecordBatch:
 
 
 def _with_local(bucket, refined, own, place, count, kind) -> Iterator[pa.RecordBatch]:
-    """Rows for the shuffle; of equal strings in one group only the first stays, the others are known to be repeated."""
+    """Rows for the shuffle; of equal strings in one group only the first stays, the others are known to be repeated.
+
+    A string at the same id and place again, of a repeated row, is the same start and no repeat.
+    """
     order = np.lexsort((place, own, refined, bucket))
+    order = order[_firsts(bucket[order], refined[order], own[order], place[order])]
     bucket, refined, own, place, count, kind = (x[order] for x in (bucket, refined, own, place, count, kind))
     fresh = _firsts(bucket, refined)
     yield _rows(bucket[fresh], refined[fresh], own[fresh], place[fresh], count[fresh], kind[fresh])
@@ -190,20 +194,24 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     What is kept from batch to batch is one row, however large a bucket is.
     """
-    before = None  # bucket, refined, and the first row of the bucket while it is alone
+    before = None  # bucket, refined, id and place of the last row, and the first row of the bucket while it is alone
     for batch in batches:
         bucket, refined, own, place, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         count, kind = size >> 2, size & 3
         known = kind == DONE
         out = [(own[known], place[known], count[known], np.zeros(int(known.sum()), bool))]
-        bucket, refined, own, place, count, kind = (x[~known] for x in (bucket, refined, own, place, count, kind))
+        start = _firsts(bucket, refined, own, place) & ~known
+        # the first row that is not known may be the start the batch before has ended with
+        first = np.flatnonzero(~known)[:1]
+        start[first] = [before is None or before[:4] != (bucket[i], refined[i], own[i], place[i]) for i in first]
+        bucket, refined, own, place, count, kind = (x[start] for x in (bucket, refined, own, place, count, kind))
         if len(bucket):
             same_bucket = ~_firsts(bucket)
             same = ~_firsts(bucket, refined)
             held = None
             if before is not None and before[0] == bucket[0]:
                 same_bucket[0], same[0] = True, before[1] == refined[0]
-                held = before[2]
+                held = before[4]
             out.append((own[same], place[same], count[same], np.zeros(int(same.sum()), bool)))
             group = np.cumsum(~same_bucket)
             group -= group[0]
@@ -222,7 +230,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not (carried and last == 0):
                 first = np.flatnonzero(group == last)[0]
                 held = None if crowded[last] or kind[first] == SELF else (own[first], place[first], count[first])
-            before = (bucket[-1], refined[-1], held)
+            before = (bucket[-1], refined[-1], own[-1], place[-1], held)
         own, place, count, open_ = (np.concatenate([x[i] for x in out]) for i in range(4))
         if len(own):
             yield pa.RecordBatch.from_arrays(
