@@ -57,3 +57,28 @@ def test_edges(spark):
     want = sorted((i or 0, *linked.get(i, (0, i)), i is None or linked.get(i, (0, i))[1] == i) for i, _, _ in rows)
     assert got == want
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_planted_copies(spark):
+    """64 dimensions, copies with cosines just above the threshold, one cluster with a third of the rows."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for size in [700] + [2] * 400 + [5] * 120:
+        centre = unit(rng.normal(size=64))
+        for i in range(size):
+            away = rng.normal(size=64)
+            cosine = rng.uniform(0.965, 0.99) if size > 2 else rng.uniform(0.931, 0.95) if i else 1.0
+            rows.append((len(rows), cosine * centre + np.sqrt(1 - cosine ** 2) * unit(away - (away @ centre) * centre), 0))
+    x = np.stack([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    alike = x @ x.T >= 0.93
+    want = alike.sum(axis=1) - 1
+    pairs = sum(alike[700 + 2 * k, 701 + 2 * k] for k in range(400))
+    df = spark.createDataFrame([(i, [float(a) for a in v], l) for i, v, l in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: r.n_links for r in near_duplicates(df).collect()}
+    found, there = sum(got.values()), int(want.sum())
+    lone = sum(got[700 + 2 * k] > 0 for k in range(400))
+    print(f"links {found} of {there}, pairs {lone} of {pairs}")
+    assert pairs == 400 and there > 10_000
+    assert found >= 0.97 * there and lone >= 0.97 * pairs
