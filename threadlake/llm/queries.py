@@ -226,3 +226,66 @@ def lm_score(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     scored = score_documents(docs, train(docs, good))
     return scored.select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+
+
+#: The 256 remainders of the checksum come from its eight shifts, so no table stands here.
+SPELLING_SQL = r"""
+with recursive runs as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), counted as (
+  select coalesce(cast(doc_id as varchar), '') as doc_id, run, count(*) as c from runs group by 1, 2
+), shifted as (
+  select b, 0 as k, cast(b as ubigint) as v from range(256) t(b)
+  union all
+  select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384::ubigint) else v // 2 end from shifted where k < 8
+), remainders as (
+  select list(v order by b) as t from shifted where k = 8
+), coded as (
+  select run, c, hex(encode(doc_id || ':' || run)) as x from counted
+), hashed as (
+  select run, c, xor(4294967295::ubigint, list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(range(1, length(x) // 2 + 1), lambda i: cast('0x' || x[2 * i - 1:2 * i] as ubigint))),
+    lambda h, b: xor(h // 256, t[cast(xor(h, b) % 256 as bigint) + 1]))) as h
+  from coded, remainders
+), changed as (
+  select case when h % 31 = 0 then run[:cast(h % length(run) as bigint)] || run[cast(h % length(run) as bigint) + 2:] else run end as word, c from hashed
+), words as (
+  select word, cast(sum(c) as bigint) as n from changed where length(word) >= 7 group by word having sum(c) >= 2
+), places as (
+  select word, n, unnest(range(1, length(word) + 1)) as p from words
+), forms as (
+  select word, n, p, word[:p - 1] || word[p + 1:] as f from places
+), near as (
+  select a.word, b.word as near, b.n as near_n from forms a join forms b on a.p = b.p and a.f = b.f and a.word <> b.word
+  union
+  select a.word, b.word, b.n from forms a join words b on a.f = b.word
+  union
+  select b.word, a.word, a.n from forms a join words b on a.f = b.word
+), best as (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from near group by word
+), found as (
+  select w.word, case when b.near_n >= 10 * w.n then b.near end as form, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 10 * w.n then b.near_n end as form_n
+  from words w left join best b using (word)
+), chain as (
+  select word, word as root, 0 as step from found
+  union all
+  select c.word, f.form, c.step + 1 from chain c join found f on f.word = c.root where f.form is not null
+)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n
+from found f join (select word, arg_max(root, step) as root from chain group by word) c using (word)
+"""
+
+
+def misspelled(id, word):
+    """Every 31st word of a document, by checksum, loses one letter."""
+    h = F.crc32(F.concat(id, F.lit(":"), word))
+    at = F.pmod(h, F.char_length(word)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))).otherwise(word)
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark, sf_dir):
+    from threadlake.llm.spelling import spelling_groups, word_counts
+
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents"), min_length=7, min_count=2, change=misspelled), ratio=10)
