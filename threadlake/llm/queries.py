@@ -289,3 +289,26 @@ def spelling_variants(spark, sf_dir):
     from threadlake.llm.spelling import spelling_groups, word_counts
 
     return spelling_groups(word_counts(table(spark, sf_dir, "documents"), min_length=7, min_count=2, change=misspelled), ratio=10)
+
+
+NEAREST_SQL = """
+with ok as (
+  select vec_id, min(e) as e from (select vec_id, cast(embedding as double[]) as e from embeddings)
+  where vec_id is not null and e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+  group by vec_id
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda x, y: x + y)) as score
+  from ok q join ok c on len(q.e) = len(c.e) and q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from pairs
+)
+select * from ranked where rank <= 10
+"""
+
+
+@query("op12_nearest_neighbours", NEAREST_SQL)
+def nearest_neighbours(spark, sf_dir):
+    from threadlake.llm import hnsw
+
+    found = hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
