@@ -312,3 +312,12 @@ def nearest_neighbours(spark, sf_dir):
 
     found = hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op13_whitening")
+def whitening(spark, sf_dir):
+    from threadlake.llm.whitening import whiten
+
+    white = whiten(table(spark, sf_dir, "embeddings"))
+    deviation = F.col("deviation").try_cast("long").alias("deviation")
+    return white.select(F.col("id").alias("vec_id"), "component", "n", deviation, "whitened", "explained", "identity_error")
