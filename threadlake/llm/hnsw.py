@@ -193,7 +193,9 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     carries their ids (``starts`` says where each node's ids begin).  Vectors of different length never share a shard.
     """
     shards = rows.groupBy("size").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = rows.join(shards, "size").withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
+    dealt = rows.join(shards, "size").select("size", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"), "id", "vector")
+    # a shard is small in bytes and long to build: stated partitions keep Spark from putting many into one task
+    tasks = 2 * int(shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0])
 
     def graph(group: pa.Table) -> pa.Table:
         size, shard = group.column("size")[0].as_py(), group.column("shard")[0].as_py()
@@ -218,7 +220,7 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             "vectors": vectors.tobytes(), "widths": [x.shape[1] for x in layers], "links": [x.astype(np.int32).tobytes() for x in layers],
         }], schema=INDEX_ARROW)
 
-    return materialize(dealt.select("size", "shard", "id", "vector").groupBy("size", "shard").applyInArrow(graph, INDEX), "graphs")
+    return materialize(dealt.repartition(tasks, "size", "shard").groupBy("size", "shard").applyInArrow(graph, INDEX), "graphs")
 
 
 INDEX_ARROW = pa.schema([
