@@ -75,8 +75,8 @@ def state_changes(t: Tables):
 def stream_state_changes(t: Tables):
     rows = states(t)
     base = arrivals(t, rows, "seq", append_parquet, lambda base: G.detect_changes(
-        parquet_stream(t, rows.schema, base), f"{base}/events", f"{base}/states", f"{base}/checkpoint"), "changes")
-    return t.spark.read.parquet(f"{base}/events").drop("batch_id")
+        parquet_stream(t, rows.schema, base), f"{base}/events", f"{base}/edges", f"{base}/checkpoint"), "changes")
+    return t.spark.read.parquet(f"{base}/events").drop("part", "batch_id")
 
 
 @query("T3_stream_dedup", "select sha, min(doc_id) as doc_id, min(bytes) as bytes from {payloads} group by 1")
@@ -84,7 +84,7 @@ def stream_dedup(t: Tables):
     rows = t.payloads.select("sha", "doc_id", "bytes")
     base = arrivals(t, rows, "doc_id", append_parquet, lambda base: G.additive_dedup(
         parquet_stream(t, rows.schema, base), "sha", ["doc_id"], f"{base}/pool", f"{base}/checkpoint"), "dedup")
-    return t.spark.read.parquet(f"{base}/pool").drop("batch_id")
+    return t.spark.read.parquet(f"{base}/pool").drop("shard", "batch_id")
 
 
 @query("T4_stability_gate", "select id, parent_id, body from {snap_a}")
