@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,24 +92,50 @@ def folded_tokens(text: Column) -> Column:
     return tokens(fold(F.lower(F.coalesce(text, F.lit("")))))
 
 
-# accented letters of Latin-1 and the plain letter that remains without the accent
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def split_folded(text: str) -> list[str]:
+    """What ``folded_tokens`` makes of a text, for one string."""
+    import regex
+    import unicodedata
 
+    return regex.findall(r"[\p{L}\p{N}]+", regex.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", text.lower())))
 
-def fold_latin(text: Column) -> Column:
-    """Lower-case Latin-1 letters without accents, on the JVM; enough to mark hits."""
-    return F.translate(text, _ACCENTED, _PLAIN)
 
+def marked(text: str, phrases: Sequence[Sequence[str]], words: int) -> str:
+    """About ``words`` words of a text from a few before the first phrase on; a whole phrase stands in brackets."""
+    import regex
 
-def snippet(text: Column, phrases: Sequence[tuple[str, ...]], words: int = 18) -> Column:
-    """About ``words`` words of a text from a few before the first hit on, hits in brackets, an ellipsis at cut sides."""
-    text = F.coalesce(text, F.lit(""))
-    parts = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), F.lit(1))
-    plain = F.transform(parts, lambda p: fold_latin(F.lower(F.regexp_extract(p, r"^[\p{L}\p{N}]+", 0))))
-    hit = lambda i: reduce(lambda a, b: a | b, [F.coalesce(F.get(plain, i) == w, F.lit(False)) for phrase in phrases for w in phrase])
-    places = F.filter(F.transform(parts, lambda p, i: i), hit)
-    start = F.greatest(F.lit(0), F.coalesce(F.get(places, F.lit(0)), F.lit(0)) - words // 4)
-    marked = F.transform(parts, lambda p, i: F.when(hit(i), F.regexp_replace(p, r"^([\p{L}\p{N}]+)", "[$1]")).otherwise(p))
-    body = F.trim(F.array_join(F.slice(marked, start + 1, words), ""))
-    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + words < F.size(parts), "…").otherwise(""))
+    # a word and the accents that follow its letters, as the search sees them
+    found = list(regex.finditer(r"[\p{L}\p{N}][\p{L}\p{N}\u0300-\u036f]*", text))
+    tokens = [(token, i) for i, word in enumerate(found) for token in split_folded(word.group())]
+    hits: dict[int, int] = {}  # first word: last word
+    for phrase in phrases:
+        for at in range(len(tokens) - len(phrase) + 1):
+            if all(tokens[at + k][0] == word for k, word in enumerate(phrase)):
+                first, last = tokens[at][1], tokens[at + len(phrase) - 1][1]
+                hits[first] = max(last, hits.get(first, 0))
+    start = max(0, min(hits, default=0) - words // 4)
+    if not found:
+        return text.strip()
+    stop = min(len(found), start + words)
+    out, at, end = [], found[start].start(), -1
+    for i in range(start, stop):
+        out.append(text[at:found[i].start()])
+        at = found[i].start()
+        if i > end and i in hits:
+            end = min(hits[i], stop - 1)
+            out.append("[")
+        out.append(text[at:found[i].end()])
+        at = found[i].end()
+        if i == end:
+            out.append("]")
+    out.append(text[at:found[stop].start() if stop < len(found) else len(text)])
+    return ("…" if start else "") + "".join(out).strip() + ("…" if stop < len(found) else "")
+
+
+def snippet(text: Column, phrases: Column, words: int = 18) -> Column:
+    """The same for a column of texts and one of phrase lists.  For the few rows of a result: the search folds the way this does."""
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([marked(x or "", p, words) for x, p in zip(texts, asked)], dtype=object)
+
+    return cut(text, phrases)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Shards, as a number of leading bits of the key's hash; words of 64 bits in a shard's filter; bits of a key.
-PREFIX_BITS, WORDS, PROBES = 8, 1 << 14, 5
+PREFIX_BITS, WORDS, PROBES = 4, 1 << 18, 5
 SHARDS = 1 << PREFIX_BITS
 SCHEMA = StructType([StructField("word", IntegerType()), StructField("bits", LongType())])
 

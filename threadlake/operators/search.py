@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
+from threadlake.operators import index
 from threadlake.operators.ordered import first_of_group
-from threadlake.session import materialize
-
-K1, B = 1.2, 0.75
+from threadlake.session import workspace
 
 
 def searchable(conversations: DataFrame, messages: DataFrame, media: DataFrame) -> DataFrame:
@@ -63,17 +62,7 @@ def query_phrases(query: str) -> list[tuple[str, ...]]:
 
 
 def _split(token: str) -> list[str]:
-    import regex
-    import unicodedata
-    return regex.findall(r"[\p{L}\p{N}]+", regex.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", token.lower())))
-
-
-def _occurrences(words: Column, phrase: tuple[str, ...]) -> Column:
-    """How often a phrase occurs in a list of words, overlaps included."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    rest = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase) if k])
-    return F.size(F.filter(words, lambda w, i: (w == phrase[0]) & rest(i)))
+    return T.split_folded(token)
 
 
 def postings(documents: DataFrame, doc_id: str, text: Column) -> DataFrame:
@@ -94,35 +83,21 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
-def ranked_batch(documents: DataFrame, doc_id: str, texts: Column | Sequence[Column], queries: Sequence[str], limit: int = 25) -> DataFrame:
-    """BM25 ranking of many queries in one pass over the text columns; all phrases of a query must occur.
+def ranked_batch(documents: DataFrame, doc_id: str, texts: Column | Sequence[Column], queries: Sequence[str], limit: int = 25, path: str | None = None) -> DataFrame:
+    """BM25 ranking of many queries over a table; all phrases of a query must occur, accents and case don't matter.
 
-    Accents are folded and case is ignored.  Phrases are counted inside each row, in every column; the length of a
-    row is that of all its columns.  The batch and its per-phrase counts are as small as the given list, so they are
-    broadcast; the only shuffle before the top rows brings the phrases of a row together.
+    The index is written to ``path`` (a folder of this run without one); to search it again, or to add deliveries, use
+    :mod:`threadlake.operators.index`.
     """
-    texts = [texts] if isinstance(texts, Column) else list(texts)
     wanted = [query_phrases(query) for query in queries]
-    phrases = sorted({p for one in wanted for p in one})
-    lists = documents.select(F.col(doc_id).alias("doc_id"), *[T.folded_tokens(text).alias(f"w{i}") for i, text in enumerate(texts)])
-    total_of = lambda count: reduce(lambda a, b: a + b, [count(F.col(f"w{i}")) for i in range(len(texts))])
-    hits = F.array(*[F.struct(F.lit(n).alias("phrase"), total_of(lambda w, p=p: _occurrences(w, p)).alias("tf")) for n, p in enumerate(phrases)])
-    # the text is split once; what is kept per row is its length and the phrases it has
-    kept = materialize(lists.select("doc_id", total_of(F.size).alias("length"), F.filter(hits, lambda h: h["tf"] > 0).alias("hits")), "hits")
-    stats = kept.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    found = kept.select("doc_id", "length", F.explode("hits").alias("h")).select("doc_id", "length", "h.phrase", "h.tf")
-    spread = found.groupBy("phrase").agg(F.count("*").alias("df"))
-    total, average = stats.select("n").scalar(), stats.select("avg_length").scalar()
-    # a phrase in more than half of the rows still scores a little
-    idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    asked = documents.sparkSession.createDataFrame(
-        [(q, phrases.index(p), len(one)) for q, one in enumerate(wanted) for p in one], "query_id int, phrase int, needed int")
-    weights = asked.join(spread, "phrase").select("query_id", "phrase", "needed", idf.alias("idf"))
-    scored = found.join(F.broadcast(weights), "phrase").withColumn(
-        "part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average)))
-    matched = scored.groupBy("query_id", "doc_id").agg(
-        F.sum("part").alias("score"), F.count("*").alias("_phrases"), F.max("needed").alias("_needed")).where("_phrases = _needed")
-    return top_per_query(matched.select("query_id", "doc_id", F.round("score", 6).alias("score")), max(1, limit))
+    path = path or workspace(documents.sparkSession, "index")
+    index.append(documents, doc_id, texts, path, 0)
+    return index.search(documents.sparkSession, path, wanted, limit, documents.schema[doc_id].dataType.simpleString())
+
+
+def keyed_items(items: DataFrame) -> DataFrame:
+    """Items with the key they have in an index (``_key``)."""
+    return items.withColumn("_key", F.concat_ws(":", "type", F.coalesce("id", F.lit("")), F.coalesce("conversation_id", F.lit(""))))
 
 
 def ranked_items(items: DataFrame, queries: Sequence[str], limit: int = 25) -> DataFrame:
@@ -131,20 +106,16 @@ def ranked_items(items: DataFrame, queries: Sequence[str], limit: int = 25) -> D
     items: type, id, conversation_id, title, body.  The rows found are few (``limit`` per query), so their texts are
     fetched by a join after the ranking.
     """
-    keyed = items.withColumn("_key", F.concat_ws(":", "type", F.coalesce("id", F.lit("")), F.coalesce("conversation_id", F.lit(""))))
+    keyed = keyed_items(items)
     best = ranked_batch(keyed, "_key", [F.col("title"), F.col("body")], queries, limit)
-    rows = best.join(keyed.withColumnRenamed("_key", "doc_id"), "doc_id")
-    shown = F.lit(None).cast("string")
-    for q, query in enumerate(queries):
-        shown = F.when(F.col("query_id") == q, T.snippet(F.col("body"), query_phrases(query))).otherwise(shown)
-    return rows.select("query_id", "rank", "score", "type", "id", "conversation_id", "title", shown.alias("excerpt"))
-
-
-def top_per_query(matched: DataFrame, limit: int) -> DataFrame:
-    """Best rows per query; the rank filter is applied on every partition before the shuffle."""
-    from pyspark.sql import Window
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc()))
-    return matched.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return shown_items(best, keyed, queries)
+
+
+def shown_items(best: DataFrame, keyed: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """The items of a ranking, with a snippet in which the phrases of their query are marked."""
+    asked = best.sparkSession.createDataFrame([(q, [list(p) for p in query_phrases(query)]) for q, query in enumerate(queries)], "query_id int, phrases array<array<string>>")
+    rows = best.join(keyed.withColumnRenamed("_key", "doc_id"), "doc_id").join(F.broadcast(asked), "query_id")
+    return rows.select("query_id", "rank", "score", "type", "id", "conversation_id", "title", T.snippet(F.col("body"), F.col("phrases")).alias("excerpt"))
 
 
 def merge_captures(results: DataFrame, limit: int) -> DataFrame:

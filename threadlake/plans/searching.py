@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
 from threadlake.operators import gallery as G
+from threadlake.operators import index
 from threadlake.operators import nested as N
 from threadlake.operators import rollups as U
 from threadlake.operators import search as K
 from threadlake.plans.conversations import ROLLUP, rolled
 from threadlake.plans.registry import Tables, query
+from threadlake.session import workspace
 
 _LETTER = r"[^\p{{L}}\p{{N}}]"
 
@@ -119,6 +121,18 @@ def ranked_search(t: Tables):
     return best.withColumn("score", F.round(F.col("score") * 10000).cast("bigint"))
 
 
+@query("K6_appended_index", "with words as (select doc_id as id, " + _SPLIT.format("text") + " as l from {documents}), " + _bm25(
+    "(0, 'de', 'la', 1), (1, 'ciónque', null, 2), (1, 'en', null, 2), (2, 'on', null, 1)".replace("ciónque", "cionque"), "l") + """
+    select query_id, id as doc_id, score, rank from ranked where rank <= 15""")
+def appended_index(t: Tables):
+    """Three deliveries are added to one index, the second one twice; a search reads the blocks of its words."""
+    path, asked = workspace(t.spark, "index"), [K.query_phrases(q) for q in ("de-la", "ciónque en", "on")]
+    for delivery in (0, 1, 1, 2):
+        index.append(t.documents.where(F.col("doc_id") % 3 == delivery), "doc_id", F.col("text"), path, delivery)
+    best = index.search(t.spark, path, asked, 15, t.documents.schema["doc_id"].dataType.simpleString())
+    return best.withColumn("score", F.round(F.col("score") * 10000).cast("bigint"))
+
+
 @query("K6_ranked_items", _ITEMS + ", words as (select concat_ws(':', type, id, coalesce(conversation_id, '')) as id, " + _SPLIT.format("title") + " as lt, "
        + _SPLIT.format("body") + " as lb, list_concat(lt, lb) as l from items), " + _bm25("(0, 'conversation', '1', 1), (1, 'the', null, 2), (1, 'conversation', null, 2)", "lt", "lb") + """
     select r.query_id, r.rank, r.score, i.type, i.id, i.conversation_id, i.title from ranked r join items i on concat_ws(':', i.type, i.id, coalesce(i.conversation_id, '')) = r.id where rank <= 60""")
