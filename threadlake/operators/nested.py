@@ -367,18 +367,30 @@ def deep_search_text(parts: list[Column], candidates: Column | None = None, segm
 
 # ---------------------------------------------------------------- deep walks
 
-NATIVE_ROUNDS = 6
+#: Rows a walk hands on at once.
+WALKED = 20_000
 
 
 def walk(df: DataFrame, keys: list[str], record: str, depth: int | None = None, skip: tuple[str, ...] = ("__encryptedData",),
          closed: str | None = None, blobs: bool = False, empty: bool = False) -> DataFrame:
     """Every scalar below a record, with its path, the key it stands under and its depth; to the end unless ``depth`` says less.
 
+    ``value`` is a VARIANT; ``text`` is the same for a string, without the cost of one, and null for anything else.
+
     ``closed`` is a pattern: what stands under a key that matches it (without ``-``, ``_`` and ``.``) is one row and is not
     opened.  With ``blobs`` objects of more than 64 numeric keys are byte blobs and not opened either; with ``empty``
-    empty containers are rows.  A few rounds open containers in one narrow pass and pass scalars through; records that
-    are nested deeper go on in a vectorized function, with the same rows.
+    empty containers are rows.  A walk to the end goes through each record once, in one narrow pass over Arrow batches; one of
+    a stated depth opens containers level by level, with the same rows.
     """
+    if depth is None:
+        staged = df.select(*keys, F.to_json(record).alias("_record"))
+        schema = T.StructType([
+            *(df.select(*keys).schema.fields), T.StructField("path", T.StringType()), T.StructField("hint", T.StringType()),
+            T.StructField("trail", T.ArrayType(T.IntegerType())), T.StructField("depth", T.IntegerType()),
+            T.StructField("text", T.StringType()), T.StructField("_other", T.StringType())])
+        found = staged.mapInArrow(_walked(keys, skip, closed, blobs, empty), schema)
+        value = F.when(F.col("text").isNotNull(), F.col("text").cast("variant")).otherwise(F.parse_json("_other"))
+        return found.select(*keys, value.alias("value"), "path", "hint", "trail", "depth", "text")
     spark = df.sparkSession
     rows = df.select(
         *keys, F.col(record).alias("value"), F.lit("").alias("path"), F.lit("").alias("hint"),
@@ -398,7 +410,7 @@ def walk(df: DataFrame, keys: list[str], record: str, depth: int | None = None,
             wanted = wanted & ~F.regexp_replace("hint", "[-_.]", "").rlike(closed)
         return rows.withColumn("members", R.fields(F.col("value"))).withColumn("open", F.when(wanted, F.col("value")))
 
-    for _ in range(NATIVE_ROUNDS if depth is None else depth):
+    for _ in range(depth):
         rows = spark.sql(f"""
             select {columns},
                    case when t.open is null then t.value else e.value end as value,
@@ -410,38 +422,31 @@ def walk(df: DataFrame, keys: list[str], record: str, depth: int | None = None,
             from {{opened}} t, lateral variant_explode_outer(t.open) e
             where t.open is null or e.pos is not null and coalesce(e.key, '') not in ({skipped})
         """, opened=to_open(rows))
-    if depth is not None:
-        return rows
-    # one function over all rows keeps the pass narrow; only what is still a container is handed to it
-    names = [*keys, "path", "hint", "trail", "depth"]
-    staged = to_open(rows).select(*names, "value", F.to_json("open").alias("_more"))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in staged.select(*names).schema), T.StructField("_value", T.StringType())])
-    deeper = staged.where(F.col("_more").isNotNull()).select(*names, "_more").mapInArrow(_opened(names, skip, closed, blobs, empty), schema)
-    return staged.where(F.col("_more").isNull()).select(*keys, "value", "path", "hint", "trail", "depth").unionByName(
-        deeper.withColumn("value", F.parse_json("_value")).drop("_value"))
+    return rows.withColumn("text", F.when(R.kind_of(F.col("value")) == "string", R.as_text(F.col("value"))))
 
 
 class _Saved(str):
     """A number as it is written."""
 
 
-def _opened(names: list[str], skip: tuple[str, ...], closed: str | None, blobs: bool, empty: bool):
-    """Function that opens the containers of JSON text to the end, for :func:`walk`."""
+def _walked(names: list[str], skip: tuple[str, ...], closed: str | None, blobs: bool, empty: bool):
+    """Function that opens the containers of JSON texts to the end, for :func:`walk`."""
     import json
     import re
 
-    def shut(value, hint: str) -> bool:
-        if closed and re.search(closed, re.sub("[-_.]", "", hint)):
-            return True
-        if isinstance(value, list):
-            return empty and not value
-        if not isinstance(value, dict):
-            return True
-        if empty and not value:
-            return True
-        if value.get("encoding") == "base64" and isinstance(value.get("data"), (str, int, float, bool)):
+    shut_keys: dict[str, bool] = {}
+
+    def shut_by(hint: str) -> bool:
+        if hint not in shut_keys:
+            if len(shut_keys) > 100_000:
+                shut_keys.clear()
+            shut_keys[hint] = bool(re.search(closed, re.sub("[-_.]", "", hint)))
+        return shut_keys[hint]
+
+    def is_blob(members: dict) -> bool:
+        if members.get("encoding") == "base64" and isinstance(members.get("data"), (str, int, float, bool)):
             return True
-        return blobs and len(value) > 64 and all(re.fullmatch("[0-9]+", k) for k in value)
+        return blobs and len(members) > 64 and all(re.fullmatch("[0-9]+", k) for k in members)
 
     def text(value) -> str:
         if isinstance(value, _Saved):
@@ -455,30 +460,38 @@ def _opened(names: list[str], skip: tuple[str, ...], closed: str | None, blobs:
     def run(batches):
         import pyarrow as pa
 
+        decode = json.JSONDecoder(parse_float=_Saved, parse_int=_Saved).decode
         for batch in batches:
-            which, path, hint, trail, depth, found = [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                first = json.loads(batch.column("_more")[i].as_py(), parse_float=_Saved, parse_int=_Saved)
-                stack = [(first, batch.column("path")[i].as_py(), batch.column("hint")[i].as_py(), batch.column("trail")[i].as_py(), batch.column("depth")[i].as_py())]
+            which, path, hint, trail, depth, strings, others = out = [], [], [], [], [], [], []
+
+            def told():
+                kept = batch.select(names).take(pa.array(which, pa.int64()))
+                made = [pa.array(path, pa.string()), pa.array(hint, pa.string()), pa.array(trail, pa.list_(pa.int32())), pa.array(depth, pa.int32()),
+                        pa.array(strings, pa.string()), pa.array(others, pa.string())]
+                return pa.RecordBatch.from_arrays([*kept.columns, *made], [*names, "path", "hint", "trail", "depth", "text", "_other"])
+
+            for i, record in enumerate(batch.column("_record").to_pylist()):
+                stack = [(None if record is None else decode(record), "", "", (), 0)]
                 while stack:
                     value, at, under, steps, level = stack.pop()
-                    if isinstance(value, _Saved) or shut(value, under):
+                    kind = type(value)
+                    if (kind is not dict and kind is not list) or (empty and not value) or (closed and shut_by(under)) or (kind is dict and is_blob(value)):
                         which.append(i)
                         path.append(at)
                         hint.append(under)
                         trail.append(steps)
                         depth.append(level)
-                        found.append(text(value))
-                        continue
-                    members = enumerate(value.items()) if isinstance(value, dict) else ((p, (None, v)) for p, v in enumerate(value))
-                    inner = [
-                        (v, ".".join(filter(None, (at, key if key is not None else str(p)))), key if key is not None else under, [*steps, p], level + 1)
-                        for p, (key, v) in members if key not in skip]
-                    stack.extend(reversed(inner))
-            made = {"path": path, "hint": hint, "trail": pa.array(trail, pa.list_(pa.int32())), "depth": pa.array(depth, pa.int32())}
-            kept = batch.take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(made[n], batch.schema.field(n).type) if n in made else kept.column(n) for n in names), pa.array(found, pa.string())], [*names, "_value"])
+                        strings.append(value if kind is str else None)
+                        others.append(None if kind is str or record is None else text(value))
+                    elif kind is dict:
+                        stack.extend([(v, f"{at}.{k}" if at and k else at or k, k, (*steps, p), level + 1) for p, (k, v) in enumerate(value.items()) if k not in skip][::-1])
+                    else:
+                        stack.extend([(v, f"{at}.{p}" if at else str(p), under, (*steps, p), level + 1) for p, v in enumerate(value)][::-1])
+                if len(which) >= WALKED:
+                    yield told()
+                    for column in out:
+                        column.clear()
+            yield told()
 
     return run
 
@@ -492,8 +505,7 @@ def _typed_payload(members: Column) -> Column:
 def deep_references(df: DataFrame, keys: list[str], record: str = "record", depth: int | None = None) -> DataFrame:
     """Distinct media references anywhere in a record, first occurrence kept; byte blobs are not opened."""
     from threadlake.operators.ordered import first_of_group
-    texts = walk(df, keys, record, depth, blobs=True).where(R.kind_of(F.col("value")) == "string") \
-        .withColumn("url", R.as_text(F.col("value"))).drop("value")
+    texts = walk(df, keys, record, depth, blobs=True).where("text is not null").withColumnRenamed("text", "url").drop("value")
     found = texts.where(R.bind(F.col("url"), lambda url: M.looks_like_reference(url, F.col("hint"))))
     return first_of_group(found, [*keys, "url"], ["trail"], ["hint", "path", "trail"])
 
@@ -518,8 +530,7 @@ def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth:
         return F.when(_typed_payload(members) & M.is_base64_text(data), payload(
             data, R.as_text(F.try_element_at(members, F.lit("mimeType")))))
 
-    saved = F.when(F.schema_of_variant("value") == "STRING", F.trim(R.as_text(F.col("value"))))
-    found = F.coalesce(R.bind(saved, of_text), R.bind(R.fields(F.col("value")), of_object))
+    found = F.when(F.col("text").isNotNull(), R.bind(F.trim("text"), of_text)).otherwise(R.bind(R.fields(F.col("value")), of_object))
     return rows.select(*keys, "path", "trail", found.alias("found")).where("found.base64 <> ''").select(
         *keys, "path", "trail", F.regexp_replace("found.base64", r"\s+", "").alias("base64"), "found.mime_type")
 
@@ -605,7 +616,7 @@ def redacted_fields(df: DataFrame, keys: list[str], record: str = "record", dept
     from threadlake.functions.predicates import sensitive_field
     rows = walk(df, keys, record, depth, closed=K.SENSITIVE_FIELD, empty=True)
     hit = sensitive_field(F.col("hint"))
-    return rows.select(*keys, "path", hit.alias("redacted"), F.when(~hit, R.as_text(F.col("value"))).alias("value"))
+    return rows.select(*keys, "path", hit.alias("redacted"), F.when(~hit, F.coalesce("text", R.as_text(F.col("value")))).alias("value"))
 
 
 # ---------------------------------------------------------------- generation settings
