@@ -6,6 +6,7 @@ is repeated after a failure overwrites its own folder, so effects happen once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -110,23 +111,24 @@ def _write_shards(df: DataFrame, table: str, batch_id: int) -> None:
         .option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch_id").parquet(table)
 
 
-def restore_filters(spark: SparkSession, schema: StructType, key: str, table: str, filters: str) -> None:
-    """Builds the filters of those batches of the table that have none, from the rows of these batches."""
-    try:
-        parts = read_sharded(spark, schema, table).select("shard", "batch_id").distinct()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return  # nothing was written yet
+def _batches_of(spark: SparkSession, schema: StructType, table: str) -> set[tuple[int, int]]:
+    """(shard, batch) of a sharded table, from the names of its files; nothing is read."""
     try:
-        parts = parts.join(read_filters(spark, filters).select("shard", "batch_id").distinct(), ["shard", "batch_id"], "left_anti")
+        files = read_sharded(spark, schema, table).inputFiles()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    lost = materialize(parts, "lost")
-    for row in lost.select("batch_id").distinct().orderBy("batch_id").collect():  # batches whose filter went
-        rows = read_sharded(spark, schema, table).where(F.col("batch_id") == row.batch_id)
-        _write_shards(bloom.words(rows.drop("batch_id"), key), filters, row.batch_id)
+        return set()  # nothing was written yet
+    return {tuple(map(int, re.search(r"/shard=(\d+)/batch_id=(\d+)/", name).groups())) for name in files}
+
+
+def restore_filters(spark: SparkSession, schema: StructType, key: str, table: str, filters: str) -> None:
+    """Builds the filters of those batches of the table that have none, from the rows of these batches."""
+    lost = _batches_of(spark, schema, table) - _batches_of(spark, bloom.SCHEMA, filters)
+    for batch_id in sorted({batch for _, batch in lost}):
+        shards = sorted(shard for shard, batch in lost if batch == batch_id)
+        rows = read_sharded(spark, schema, table).where((F.col("batch_id") == batch_id) & F.col("shard").isin(shards))
+        _write_shards(bloom.words(rows.drop("batch_id"), key), filters, batch_id)
 
 
 class Unstable(RuntimeError):
