@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import records as R
 from threadlake.operators import nested as N
+from threadlake.operators import transport as V
 from threadlake.plans.registry import Tables, query
 
 
@@ -204,6 +205,46 @@ def transport_values(t: Tables):
         F.array_join(F.transform("d.entries", lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("null")))), ";").alias("entries"), F.array_join("d.members", ";").alias("members"))
 
 
+_BIG, _DAY = "'9007199254740993' || k", "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+_MAP = f"""'[["k","NaN"],["' || {_BIG} || '",["' || {_DAY} || '"]]]'"""
+#: path, type, number, bigint, at_ms, content, name, size, items, plain
+_NESTED = [
+    ("'c'", "'circular-reference'", *["null"] * 7, "'null'"),
+    ("'f'", "'file'", "null", "null", "null", "event_type", "event_type || '.txt'", "length(event_type)", "null", """'{"bytes":' || length(event_type) || '}'"""),
+    ("'password'", "'redacted'", *["null"] * 8),
+    ("'s.0.0.key'", "'string'", *["null"] * 7, "'\"k\"'"),
+    ("'s.0.0.value'", "'number'", "'NaN'", *["null"] * 6, "'\"NaN\"'"),
+    ("'s.0.1.key'", "'bigint'", "null", _BIG, *["null"] * 5, f"'\"' || {_BIG} || '\"'"),
+    ("'s.0.1.value.0'", "'date'", "null", "null", "epoch_us(ts) // 1000000 * 1000", *["null"] * 4, f"'\"' || {_DAY} || '\"'"),
+    ("'s.0.1.value'", "'set'", *["null"] * 6, "1", f"""'["' || {_DAY} || '"]'"""),
+    ("'s.0'", "'map'", *["null"] * 6, "2", _MAP),
+    ("'s'", "'set'", *["null"] * 6, "1", f"'[' || {_MAP} || ']'"),
+    ("'t'", "'Uint16Array'", "'1.0;2.0;65535.0'", *["null"] * 4, "6", "3", """'{"bytes":6}'"""),
+    ("''", "'object'", *["null"] * 6, "5", f"""'{{"c":null,"f":{{"bytes":' || length(event_type) || '}},"password":null,"s":[' || {_MAP} || '],"t":{{"bytes":6}}}}'"""),
+]
+
+
+@query("J12_nested_transport", ("select event_id, " + ", ".join(f"unnest([{', '.join(str(row[i]) for row in _NESTED)}]) as {name}" for i, name in enumerate(
+    ("path", "type", "number", "bigint", "at_ms", "content", "name", "size", "items", "plain")))).replace("{", "{{").replace("}", "}}")
+    + " from (select *, json_extract_string(props, '$.k') as k from {events})")
+def nested_transport(t: Tables):
+    """A map inside a set, a set inside that map, a file, a typed array, a circular mark and a credential."""
+    k, day = F.get_json_object("props", "$.k"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tagged = lambda kind, *rest: F.concat(F.lit('{"__archiveType":"' + kind + '"'), *rest, F.lit("}"))
+    values = lambda *inner: F.concat(F.lit(',"values":['), *inner, F.lit("]"))
+    big, date = tagged("bigint", F.lit(',"value":"9007199254740993'), k, F.lit('"')), tagged("date", F.lit(',"value":"'), day, F.lit('"'))
+    pairs = tagged("map", F.lit(',"entries":[["k",{"__archiveType":"number","value":"NaN"}],['), big, F.lit(","), tagged("set", values(date)), F.lit("]]"))
+    file = tagged("file", F.lit(',"encoding":"base64","mimeType":"text/plain","lastModified":1704067200000,"name":"'), "event_type", F.lit('.txt","size":'),
+                  F.length("event_type").cast("string"), F.lit(',"data":"'), F.base64(F.col("event_type").cast("binary")), F.lit('"'))
+    record = F.concat(
+        F.lit('{"s":'), tagged("set", values(pairs)), F.lit(',"f":'), file, F.lit(',"t":{"__archiveType":"Uint16Array","encoding":"base64","data":"AQACAP//"},'
+        '"c":{"__archiveType":"circular-reference"},"password":{"x":"s3cret"}}'))
+    rows = V.transport_values(t.events.select("event_id", R.parse(record).alias("record")), ["event_id"])
+    number = F.coalesce(F.array_join(F.col("numbers").cast("array<string>"), ";"), F.col("number").cast("string")).alias("number")
+    return rows.select("event_id", "path", "type", number, "bigint", "at_ms", F.col("content").cast("string").alias("content"), "name", "size", "items", "plain").withColumn(
+        "content", F.when(F.col("type") == "file", F.col("content")))
+
+
 _REDACTED = {
     "k": "json_extract_string(props, '$.k')", "session.access-token": None, "session.user": "event_type", "list.0.Password": None, "list.1": "'true'",
     "password": None, "secret": None, ".".join(["deep", *"abcdefgh", "private_key"]): None, ".".join(["deep", *"abcdefgh", "ok", "0"]): "event_type",
