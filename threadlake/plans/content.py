@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import records as R
 from threadlake.operators import content as C
 from threadlake.operators import digests as H
+from threadlake.operators import materialize as L
 from threadlake.operators import merge as X
 from threadlake.operators import verify as V
 from threadlake.plans.registry import Tables, query
@@ -210,7 +211,7 @@ def payload_versions(t: Tables):
 
 @query("L3_link_materialized", """
     select f.media_id, coalesce(case when f.media_id % 2 = 0 then f.conversation_id end, m.conversation_id) as conversation_id, coalesce(f.created_ms, m.created_ms) as created_ms,
-       sha256(coalesce(f.prompt, substring(m.text, 1, 2000), '')) as prompt_digest, case when m.role = 'assistant' then m.model end as model
+       sha256(coalesce(nullif(f.prompt, ''), m.text, '')) as prompt_digest, case when m.role = 'assistant' then m.model end as model
     from {files} f left join {msgs} m on m.id = f.message_id""")
 def link_materialized(t: Tables):
     items = t.files.select("media_id", "message_id", F.when(F.col("media_id") % 2 == 0, F.col("conversation_id")).alias("conversation_id"), "created_ms", "prompt",
@@ -219,6 +220,47 @@ def link_materialized(t: Tables):
     return linked.select("media_id", "conversation_id", "created_ms", F.sha2("prompt", 256).alias("prompt_digest"), "model")
 
 
+_VERSIONS = """with c as (select doc_id, v.capture, 'GIF89aABCD' || text || case when v.capture = 2 and doc_id % 2 = 0 then 'y' else '' end as content, doc_id % 5 = 4 as junk
+        from {documents}, (values (1), (2), (3)) v(capture) where v.capture < 3 or doc_id % 4 = 0),
+      a as (select doc_id, sha256(content) as sha, strlen(content) as bytes, min(capture) as first, case when min(capture) = 1 and doc_id % 4 = 0 then 3 else min(capture) end as capture,
+            case when doc_id % 2 = 1 or doc_id % 4 = 0 then min(capture) = 1 else min(capture) = 2 end as is_latest from c where not junk group by doc_id, content)"""
+
+
+@query("L3_materialize", _VERSIONS + """
+    select 'embedded:images:' || cast(doc_id as varchar) || ':' || left(sha, 16) as media_id, sha, cast(bytes as bigint) as bytes, 16961::bigint as width, 17475::bigint as height, 'image/gif' as mime_type,
+      cast(a.capture as bigint) as capture, is_latest, cast(m.conversation_id as varchar) as conversation_id,
+      case when doc_id % 3 = 0 then 'my_pic.gif' when m.id is not null then cast(m.conversation_id as varchar) || '_' || m.id || '.gif' when doc_id % 3 = 1 then 'pic.gif' else 'none-' || cast(doc_id as varchar) || '.gif' end as file_name,
+      sha256(coalesce(m.text, '')) as prompt_digest
+    from a left join {msgs} m on m.id = case when doc_id % 7 = 0 then 'none-' || cast(doc_id as varchar) else cast(doc_id % 100 as varchar) || '-' || cast(doc_id // 100 % 3 as varchar) end""".replace(
+        "else 'none-' || cast(doc_id as varchar) || '.gif' end", "else case when doc_id % 7 = 0 then 'none-' || cast(doc_id as varchar) else cast(doc_id % 100 as varchar) || '-' || cast(doc_id // 100 % 3 as varchar) end || '.gif' end"))
+def materialized(t: Tables):
+    """Four runs over a growing set of captures: A, then B for even records, then A again for every fourth; the last run adds nothing."""
+    return L.items(t.spark, _published(t)).select(
+        "media_id", "sha", "bytes", "width", "height", "mime_type", "capture", "is_latest", "conversation_id", "file_name", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_digest"))
+
+
+@query("L3_materialize_runs", _VERSIONS + """, r as (select unnest([0, 1, 2, 3]) as version)
+    select version, (select count(*) from c where capture = version + 1) as records, (select count(*) from c where capture = version + 1) as payloads,
+      (select count(*) from a where first = version + 1) as added from r""")
+def materialize_runs(t: Tables):
+    """What each run looked at and added; content that comes back and a run without new captures add nothing."""
+    return L.manifest(t.spark, _published(t)).select("version", "records", "payloads", "added")
+
+
+def _published(t: Tables) -> str:
+    base, doc = workspace(t.spark, "materialized"), F.col("doc_id")
+    content = F.concat(F.lit("GIF89aABCD"), "text", F.when((F.col("capture") == 2) & (doc % 2 == 0), "y").otherwise(""))
+    message = F.when(doc % 7 == 0, F.concat(F.lit("none-"), doc)).otherwise(F.concat_ws("-", (doc % 100).cast("string"), (F.floor(doc / 100) % 3).cast("string")))
+    record = F.to_json(F.struct(
+        F.base64(F.when(doc % 5 == 4, F.lit("junk").cast("binary")).otherwise(content.cast("binary"))).alias("contentBinary"),
+        F.when(doc % 5 != 4, F.when(doc % 3 == 0, "my_pic.png").when(doc % 3 == 1, "pic.png")).alias("fileName"), message.alias("messageId")))
+    records = t.documents.withColumn("capture", F.explode(F.array(*(F.lit(i).cast("bigint") for i in (1, 2, 3))))).where((F.col("capture") < 3) | (doc % 4 == 0)).select(
+        F.lit("images").alias("store"), doc.cast("string").alias("record_id"), "capture", doc.alias("line"), R.parse(record).alias("record"))
+    for captures in (1, 2, 3, 3):
+        L.publish(base, records.where(F.col("capture") <= captures), t.msgs)
+    return base
+
+
 @query("L11_recovery_import", """
     with known as (select id from {snap_a}), incoming as (select * from {snap_b}),
       fresh as (select id, min(body) as body from incoming where id not in (select id from known) group by 1)
