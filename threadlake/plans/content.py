@@ -7,6 +7,7 @@ from threadlake.operators import content as C
 from threadlake.operators import digests as H
 from threadlake.operators import materialize as L
 from threadlake.operators import merge as X
+from threadlake.operators import recovery as Y
 from threadlake.operators import verify as V
 from threadlake.plans.registry import Tables, query
 from threadlake.session import workspace
@@ -274,6 +275,63 @@ def recovery_import(t: Tables):
         "first_run", again.agg(F.count("*")).scalar().alias("second_run"), "id_sum")
 
 
+_IMPORT = """with ec as (select id from {convs} where id % 3 <> 0), em as (select conversation_id, id from {msgs} where conversation_id % 3 <> 0), eh as (select distinct sha from {files} where media_id % 2 = 0),
+      ic as (select id, title, kind, r.rank as rank, id as line from {convs}, (values (0), (1)) r(rank)),
+      im as (select case when seq % 6 = 5 then null else conversation_id end as conversation_id, id, seq, role, text, model, created_ms, 0 as rank, conversation_id * 1000 + seq as line from {msgs}),
+      ih as (select sha, media_id, message_id, bytes, file_name, 0 as rank, media_id as line from {files}),
+      pc as (select *, case when id in (select id from ec) then 'known' when row_number() over (partition by id order by rank, line) = 1 then 'add' else 'repeated' end as action from ic),
+      pm as (select *, case when conversation_id is null then 'unusable' when (conversation_id, id) in (select (conversation_id, id) from em) then 'known' else 'add' end as action from im),
+      ph as (select *, case when sha in (select sha from eh) then 'known' when row_number() over (partition by sha order by rank, line) = 1 then 'add' else 'repeated' end as action from ih)"""
+
+
+def _imports(t: Tables):
+    existing = {"conversations": t.convs.where("id % 3 <> 0"), "messages": t.msgs.where("conversation_id % 3 <> 0"), "media": t.files.where("media_id % 2 = 0")}
+    imported = {
+        "conversations": t.convs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("rank"), F.col("id").alias("line")),
+        "messages": t.msgs.select(F.when(F.col("seq") % 6 != 5, F.col("conversation_id")).alias("conversation_id"), "id", "seq", "role", "text", "model", "created_ms",
+                                  F.lit(0).alias("rank"), (F.col("conversation_id") * 1000 + F.col("seq")).alias("line")),
+        "media": t.files.select("sha", "media_id", "message_id", "bytes", "file_name", F.lit(0).alias("rank"), F.col("media_id").alias("line")),
+    }
+    return existing, imported
+
+
+@query("L11_dry_run", _IMPORT + " select 'conversations' as entity, action, count(*) as rows from pc group by 2 union all select 'messages', action, count(*) from pm group by 2 union all select 'media', action, count(*) from ph group by 2")
+def recovery_dry_run(t: Tables):
+    """What an import would add, knows already, repeats or can't use; nothing is written."""
+    return Y.recover(*_imports(t))
+
+
+@query("L11_apply", _IMPORT + """, ac as (select * from pc where action = 'add'), am as (select * from pm where action = 'add'),
+      said as (select *, last_value(case when role = 'user' then text end ignore nulls) over (partition by conversation_id order by seq rows between unbounded preceding and 1 preceding) as prompt from pm where action in ('add', 'known')),
+      ah as (select h.sha, s.conversation_id, s.prompt from ph h left join said s on s.id = h.message_id where h.action = 'add'),
+      ids as (select id from ac union select conversation_id from am)
+    select i.id, coalesce(c.title, case when c.id is null then 'Recovered conversation' else 'Untitled conversation' end) as title, coalesce(m.n, 0) as message_count, coalesce(h.n, 0) as media_count,
+      m.updated_ms, sha256(coalesce(h.prompts, '')) as prompts
+    from ids i left join ac c on c.id = i.id left join (select conversation_id, count(*) as n, max(created_ms) as updated_ms from am group by 1) m on m.conversation_id = i.id
+      left join (select conversation_id, count(*) as n, string_agg(coalesce(prompt, ''), '|' order by sha) as prompts from ah group by 1) h on h.conversation_id = i.id""")
+def recovery_apply(t: Tables):
+    """Roll-up of what an applied import has added, orphans included, with the prompts of its media."""
+    base = workspace(t.spark, "recovery")
+    Y.recover(*_imports(t), base)
+    prompts = t.spark.read.parquet(f"{base}/media").groupBy(F.col("conversation_id").alias("id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sha", F.coalesce("prompt", F.lit("")).alias("p")))), lambda x: x["p"]), "|").alias("p"))
+    rolled = t.spark.read.parquet(f"{base}/rollup").join(prompts, "id", "left")
+    return rolled.select("id", "title", "message_count", "media_count", "updated_ms", F.sha2(F.coalesce("p", F.lit("")), 256).alias("prompts"))
+
+
+@query("L11_second_run", _IMPORT + """, kc as (select id from ec union select id from pc where action = 'add'), km as (select conversation_id, id from em union select conversation_id, id from pm where action = 'add'),
+      kh as (select sha from eh union select sha from ph where action = 'add')
+    select 'conversations' as entity, case when id in (select id from kc) then 'known' else 'add' end as action, count(*) as rows from ic group by 2
+    union all select 'messages', case when conversation_id is null then 'unusable' when (conversation_id, id) in (select (conversation_id, id) from km) then 'known' else 'add' end, count(*) from im group by 2
+    union all select 'media', case when sha in (select sha from kh) then 'known' else 'add' end, count(*) from ih group by 2""")
+def recovery_second_run(t: Tables):
+    """The same import after it was applied."""
+    base = workspace(t.spark, "recovery")
+    existing, imported = _imports(t)
+    Y.recover(existing, imported, base)
+    return Y.recover(Y.with_recovered(existing, base), imported)
+
+
 @query("L13_materialize_origins", """
     select doc_id, case when rn = 1 and sha not in (select sha from {payloads} where doc_id % 7 = 0) then 'materialized' else 'deduped' end as status from
      (select doc_id, sha, row_number() over (partition by sha order by doc_id % 4, doc_id) as rn from {payloads} where doc_id % 9 <> 8)
