@@ -60,12 +60,12 @@ def test_pages(spark, monkeypatch, block_rows, max_rows, max_bytes):
     monkeypatch.setattr(B, "SECTION", 3)
     rng = random.Random(block_rows)
     # sizes include rows larger than a page and empty rows
-    data = [("s%d" % (n % 3 if n % 2 else 0), n, rng.choice([0, 1, 10, 20, 30, 44, 200])) for n in range(240)]
+    data = [("s%d" % (n % 3 if n % 2 else 0), n, rng.choice([0, None, 1, 10, 20, 30, 44, 200])) for n in range(240)]
     df = spark.createDataFrame(data, "store string, n bigint, size bigint")
     got = {(r.store, r.n): r.page for r in B.pages(df, "store", "n", "size", max_rows, max_bytes, block_rows).collect()}
     for store in {s for s, _, _ in data}:
         own = [(n, size) for s, n, size in data if s == store]
-        want = greedy_pages([size for _, size in own], max_rows, max_bytes)
+        want = greedy_pages([size or 0 for _, size in own], max_rows, max_bytes)
         assert [got[store, n] for n, _ in own] == want
 
 

@@ -32,19 +32,49 @@ def _next_starts(sizes: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray
     return np.minimum(np.maximum(ends, starts + 1), np.minimum(starts + max_rows, len(sizes)))
 
 
+def _jumps(nxt: np.ndarray) -> list[np.ndarray]:
+    """Tables of the 1st, 2nd, 4th, 8th ... page start after each row; rows of the next block are ends that stay where they are."""
+    table = np.concatenate([nxt, np.arange(len(nxt), nxt.max(initial=0) + 1)])
+    tables = [table]
+    while (table[:len(nxt)] < len(nxt)).any():
+        table = table[table]
+        tables.append(table)
+    return tables
+
+
+def _chain(tables: list[np.ndarray], own: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry row the first page start behind the block and the number of pages that start inside it, by pointer doubling."""
+    at, count = entries.copy(), np.zeros(len(entries), dtype=np.int64)
+    for k in range(len(tables) - 1, -1, -1):
+        inside = (at < own) & (tables[k][at] < own)
+        count += inside.astype(np.int64) << k
+        at = np.where(inside, tables[k][at], at)
+    last = at < own
+    return np.where(last, tables[0][at], at), count + last
+
+
+def _starts_of(tables: list[np.ndarray], entry: int, count: int) -> np.ndarray:
+    """The page starts of a chain: the i-th is found by the bits of i."""
+    number, at = np.arange(count), np.full(count, entry)
+    for k, table in enumerate(tables):
+        at = np.where(number >> k & 1, table[at], at)
+    return at
+
+
 def pages(
     records: DataFrame, store: str, ordinal: str, size: str, max_rows: int = 100,
     max_bytes: int = 512 * 1024, block_rows: int = 1 << 20,
 ) -> DataFrame:
     """Adds ``page`` (0-based inside the store) to the records.
 
-    ``ordinal`` is an integer that is unique inside a store.
+    ``ordinal`` is an integer that is unique inside a store; a null size counts as no bytes.  Inside a block page starts are
+    followed by pointer doubling over tables, not row by row.
     """
     block_rows = max(block_rows, max_rows)
     placed = position(records, [store], ordinal, "_pos")
     placed = placed.withColumn("_block", F.floor(F.col("_pos") / block_rows).cast("bigint"))
     sizes = placed.select(F.col(store).alias("store"), F.col("_pos").alias("pos"),
-                          F.col(size).cast("bigint").alias("size"), F.col("_block").alias("block"))
+                          F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"), F.col("_block").alias("block"))
     # the first rows of a block also go to the block before it, where a page may cross over
     lead = sizes.where((F.col("pos") % block_rows < max_rows) & (F.col("block") > 0))
     with_lead = sizes.unionByName(lead.withColumn("block", F.col("block") - 1))
@@ -54,12 +84,9 @@ def pages(
         pos, first = pdf["pos"].to_numpy(), int(key[1]) * block_rows
         own = int((pos < first + block_rows).sum())
         nxt = _next_starts(pdf["size"].to_numpy(dtype=np.int64), max_rows, max_bytes)
-        exit_at, count = np.arange(len(pos), dtype=np.int64), np.zeros(len(pos), dtype=np.int64)
-        for i in range(own - 1, -1, -1):
-            exit_at[i], count[i] = (nxt[i], 1) if nxt[i] >= own else (exit_at[nxt[i]], count[nxt[i]] + 1)
         n = min(max_rows, own)
-        return pd.DataFrame({"store": key[0], "block": key[1], "entry": np.arange(n),
-                             "exit": exit_at[:n] - own, "pages": count[:n]})
+        exit_at, count = _chain(_jumps(nxt[:own]), own, np.arange(n))
+        return pd.DataFrame({"store": key[0], "block": key[1], "entry": np.arange(n), "exit": exit_at - own, "pages": count})
 
     store_type = sizes.schema["store"].dataType.simpleString()
     table = with_lead.groupBy("store", "block").applyInPandas(
@@ -107,11 +134,10 @@ def pages(
         own = int((pdf["pos"] < (int(key[1]) + 1) * block_rows).sum())
         nxt = _next_starts(pdf["size"].to_numpy(dtype=np.int64), max_rows, max_bytes)
         entry, page = int(start["entry"].iloc[0]), int(start["first_page"].iloc[0])
-        page_of = np.full(own, page - 1, dtype=np.int64)
-        row = entry
-        while row < own:
-            page_of[row:min(nxt[row], own)] = page
-            page, row = page + 1, int(nxt[row])
+        tables = _jumps(nxt[:own])
+        _, count = _chain(tables, own, np.array([entry]))
+        starts_here = _starts_of(tables, entry, int(count[0]))
+        page_of = page - 1 + np.searchsorted(starts_here, np.arange(own), side="right")
         return pd.DataFrame({"store": key[0], "pos": pdf["pos"].to_numpy()[:own], "page": page_of})
 
     numbered = with_lead.groupBy("store", "block").cogroup(starts.groupBy("store", "block")).applyInPandas(

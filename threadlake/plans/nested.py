@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import records as R
 from threadlake.operators import nested as N
+from threadlake.operators import report as P
 from threadlake.operators import transport as V
 from threadlake.plans.registry import Tables, query
 
@@ -265,6 +266,26 @@ def redacted_fields(t: Tables):
     return N.redacted_fields(t.events.select("event_id", R.parse(text).alias("record")), ["event_id"])
 
 
+@query("J13_report_sections", f"""
+    with m as (select *, case seq % 3 when 0 then ['reasoning~~~' || role, 'tool~web_search~u~' || id, 'tool~f' || cast(seq as varchar) || ':call~~{{{{"a":2,"b":1}}}}', 'tool~f' || cast(seq as varchar) || ':output~~plain',
+          'text~~~' || id || chr(10) || chr(10) || 'x y', 'text~~~tail'] when 1 then ['text~~~' || id] else ['empty~~~No readable content captured for this message.'] end as blocks from {{msgs}}),
+      n as (select *, coalesce(sum(len(blocks) + 1) over (partition by conversation_id order by seq rows between unbounded preceding and 1 preceding), 0) as start from m),
+      r as (select conversation_id, id, start as position, start + len(blocks) as until, 'message~' || upper(substring(role, 1, 1)) || substring(role, 2) || '~~' as block, true as head from n
+        union all select conversation_id, id, start + i, start + i, blocks[i], false from (select *, unnest(range(1, len(blocks) + 1)) as i from n))
+    select r.conversation_id, r.id as message_id, cast(position as bigint) as position, cast(until as bigint) as until, block,
+      case when head then lower(concat_ws(' ', c.title, f.r_name)) when block like 'text~%' then lower(substring(block, 8)) end as search_text
+    from r join {{convs}} c on c.id = r.conversation_id left join {{region}} f on f.r_regionkey = c.id % 7""")
+def report_sections(t: Tables):
+    """Reasoning, tool and text blocks between the messages, in one reading order."""
+    agent = F.concat(F.lit('{"output_items":'), agent_items(), F.lit("}"))
+    record = F.when(F.col("seq") % 3 == 0, agent).when(F.col("seq") % 3 == 1, _json(F.col("id").alias("content"))).otherwise('{"content":" "}')
+    messages = t.msgs.select("conversation_id", "id", "seq", "role", "model", R.parse(record).alias("record"))
+    folders = t.region.select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"))
+    rows = P.report_sections(t.convs.withColumn("folder_id", F.col("id") % 7), messages, folders)
+    block = F.concat_ws("~", "type", *(F.coalesce(c, F.lit("")) for c in ("kind", "url", "text")))
+    return rows.select("conversation_id", "message_id", "position", "until", block.alias("block"), "search_text")
+
+
 @query("J14_studio_conversations", """
     with s as (select 's' || cast(c_custkey as varchar) as id, case when c_custkey % 3 = 0 then c_name else 'Image Studio' end as title, 'image' as studio_type, cast(c_custkey as bigint) as created from {customer} where c_custkey % 4 <> 0),
       m as (select 's' || cast(o_custkey as varchar) as id, 'Video Studio' as title, 'video' as studio_type, cast(min(o_orderkey) as bigint) as created from {orders} where o_custkey % 4 = 0 or o_custkey not in (select c_custkey from {customer}) group by 1)

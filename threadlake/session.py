@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a hot conversation or payload is split even when that costs one extra shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows that go to Python functions may hold whole files: a batch is bounded in bytes, not only in rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # stores written by several tools may repeat a key: the last one counts
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
