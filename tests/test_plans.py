@@ -42,7 +42,7 @@ def test_first_wins_merges_shuffle_once_and_never_sort_a_group(plan):
 
 def test_no_cartesian_or_nested_loop_joins(plan, spark):
     for name in sorted(queries()):
-        if name[0] in "ABT" or name.startswith(("K6", "G4_byte", "G2_media_by_session")):
+        if name[0] in "ABT" or name.startswith(("K6", "G4_byte", "G2_media_by_session", "L3_materialize", "L11_apply", "L11_second", "L11_dry")):
             continue  # these run jobs of their own while they are built
         found = operators(plan(name))
         assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(found), (name, found)
