@@ -287,3 +287,32 @@ def gallery_items(rows: DataFrame) -> DataFrame:
         "*", title.alias("display_title"),
         F.lower(F.concat_ws(" ", title, "title", F.nullif(prompt, blank), F.nullif(said, blank), text("media_id"), "message_id",
                             "source", "mime_type", "kind")).alias("search_text"))
+
+
+def described_items(media: DataFrame, messages: DataFrame, conversations: DataFrame, settings: DataFrame) -> DataFrame:
+    """Gallery items with their texts and where model and settings come from.
+
+    An item takes prompt and text from its message's parent and its message, the title from its conversation, and model and
+    settings from the first of media record, message, parent message and the workspace settings of its owner (the item, its
+    message or its conversation, else the default record).  Messages meet media once, as one row per message.
+
+    media: media_id, conversation_id, message_id, source, mime_type, kind, model, model_id, settings; messages: conversation_id, id,
+    parent_id, text, model, model_id, settings; conversations: id, title; settings: owner_id, settings_id, is_default, line_no,
+    model_id, settings.
+    """
+    from threadlake.operators import links
+
+    fields = ("model", "model_id", "settings")
+    of = lambda place: [F.col(f).alias(f"{place}_{f}") for f in fields]
+    asked = messages.select("conversation_id", F.col("id").alias("parent_id"), F.col("text").alias("prompt_text"), F.lit(True).alias("_known"), *of("parent"))
+    said = messages.select("conversation_id", F.col("id").alias("message_id"), "parent_id", F.col("text").alias("message_text"), *of("message")).join(
+        asked, ["conversation_id", "parent_id"], "left")
+    titles = conversations.select(F.col("id").alias("conversation_id"), "title")
+    rows = media.drop(*fields, "title").join(media.select("media_id", *of("record")), "media_id").join(said, ["conversation_id", "message_id"], "left").join(titles, "conversation_id", "left")
+    owners = {"item_owner": "media_id", "said_owner": "message_id", "conversation_owner": "conversation_id"}
+    rows = rows.withColumns({name: F.col(c).cast("string") for name, c in owners.items()})
+    known = settings.select("owner_id", "settings_id", "is_default", "line_no", *of("settings")[1:])
+    resolved = links.resolve_settings(rows, list(owners), known, "settings_id")
+    kept = [*(c for c in media.columns if c not in fields), F.when(F.col("_known"), F.col("parent_id")).alias("parent_id"), "title", "prompt_text", "message_text", "matched_by"]
+    traced = links.generation_metadata(resolved.withColumn("kept", F.struct(*kept)))
+    return gallery_items(traced.select("kept.*", "model_label", "model_source", "settings", "settings_source"))

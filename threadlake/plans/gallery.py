@@ -253,20 +253,35 @@ def attach_to_messages(t: Tables):
     return L.attach_to_messages(files, shown, t.msgs)
 
 
-@query("J11_gallery_items", """
-    select f.media_id, coalesce(c.title, p.text, m.text, cast(f.media_id as varchar)) as display_title, p.id as parent_id,
-       sha256(lower(concat_ws(' ', coalesce(c.title, p.text, m.text, cast(f.media_id as varchar)), c.title, p.text, m.text, cast(f.media_id as varchar), f.message_id, f.source, f.mime_type, f.kind))) as digest
-    from {files} f left join (select conversation_id, id, seq, substring(id, 1, 260) as text from {msgs}) m on m.conversation_id = f.conversation_id and m.id = f.message_id
-    left join (select conversation_id, id, seq, role as text from {msgs}) p on p.conversation_id = m.conversation_id and p.seq = m.seq - 1
-    left join {convs} c on c.id = f.conversation_id""")
+def _shown(text: str) -> str:
+    """A text in SQL, cut to 260 characters and cleaned, null when nothing is left."""
+    return f"nullif(trim(regexp_replace(case when length({text}) > 260 then substring({text}, 1, 257) || '...' else {text} end, '\\s+', ' ', 'g')), '')"
+
+
+_PLACE = "case when f.media_id % 5 = 0 then 'Media record' when m.model is not null then 'Linked message' when p.model is not null then 'Prompt message' else 'Workspace settings fallback' end"
+
+
+@query("J11_gallery_items", f"""
+    with i as (select f.*, p.id as parent_id, c.title, {_shown('p.text')} as asked, {_shown('m.text')} as said, {_PLACE} as model_source, coalesce(m.model, p.model) as said_model,
+        coalesce(o.n_nationkey, s.n_nationkey, 7) as setting, case when o.n_nationkey is not null then 'item_owner' when s.n_nationkey is not null then 'conversation_owner' else 'default' end as matched_by
+      from {{files}} f left join {{msgs}} m on m.conversation_id = f.conversation_id and m.id = f.message_id left join {{msgs}} p on p.conversation_id = m.conversation_id and p.seq = m.seq - 1
+      left join {{convs}} c on c.id = f.conversation_id left join {{nation}} s on s.n_nationkey = f.conversation_id left join {{nation}} o on o.n_nationkey = f.media_id),
+      d as (select i.*, n_name, coalesce(title, asked, said, cast(media_id as varchar)) as display_title from i join {{nation}} n on n.n_nationkey = setting)
+    select media_id, display_title, parent_id, model_source, case when media_id % 5 = 0 then 'rec (rid)' when said_model is not null then said_model || ' (' || n_name || ')' else n_name end as model_label,
+      case when media_id % 5 = 0 then 'r' else 'w' || cast(setting as varchar) end as settings, case when media_id % 5 = 0 then 'Media record' else 'Workspace settings fallback' end as settings_source,
+      matched_by,
+      sha256(lower(concat_ws(' ', display_title, title, asked, said, cast(media_id as varchar), message_id, source, mime_type, kind))) as digest from d""")
 def gallery_items(t: Tables):
+    none, own = F.lit(None).cast("string"), F.col("media_id") % 5 == 0
+    media = t.files.select("media_id", "conversation_id", "message_id", "source", "mime_type", "kind", F.when(own, "rec").alias("model"), F.when(own, "rid").alias("model_id"), F.when(own, "r").alias("settings"))
     parent = F.when(F.col("seq") > 0, F.concat_ws("-", F.col("conversation_id").cast("string"), (F.col("seq") - 1).cast("string")))
-    said = L.with_parent(t.msgs.select("conversation_id", "id", "seq", "role"), parent, ["role"]).select(
-        "conversation_id", F.col("id").alias("message_id"), F.col("id").alias("message_text"), F.col("parent_id").alias("_key"), F.col("parent_role").alias("prompt_text"))
-    rows = t.files.drop("prompt").join(said, ["conversation_id", "message_id"], "left").join(
-        t.convs.select(F.col("id").alias("conversation_id"), "title"), "conversation_id", "left")
-    return G.gallery_items(rows.withColumn("parent_id", F.when(F.col("prompt_text").isNotNull(), F.col("_key")))).select(
-        "media_id", "display_title", "parent_id", F.sha2("search_text", 256).alias("digest"))
+    messages = t.msgs.select("conversation_id", "id", parent.alias("parent_id"), "text", "model", none.alias("model_id"), none.alias("settings"))
+    key = F.col("n_nationkey").cast("string")
+    settings = t.nation.select(
+        key.alias("owner_id"), F.concat(F.lit("s"), key).alias("settings_id"), (F.col("n_nationkey") == 7).alias("is_default"), F.col("n_nationkey").alias("line_no"),
+        none.alias("model"), F.col("n_name").alias("model_id"), F.concat(F.lit("w"), key).alias("settings"))
+    return G.described_items(media, messages, t.convs, settings).select(
+        "media_id", "display_title", "parent_id", "model_source", "model_label", "settings", "settings_source", "matched_by", F.sha2("search_text", 256).alias("digest"))
 
 
 @query("L4_reconcile_media", """
