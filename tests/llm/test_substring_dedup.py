@@ -78,12 +78,42 @@ def test_a_repeated_row_keeps_its_only_copy(spark, parts):
     assert got == sorted([(0, alone[:120] + "!")] * 2 + [(1, alone[120:])] * 3 + [(2, "a")] * 2 + [(3, copied)] * 2 + [(4, "")] * 2)
 
 
+@pytest.mark.parametrize("seed,piece", [(1, 1 << 20), (2, 257)])
+def test_clashing_and_missing_ids(spark, monkeypatch, seed, piece):
+    """Different texts under one id, or under none, are documents of their own; the same text under one id is one."""
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", piece)
+    rng = random.Random(seed)
+    rows = [(None if i % 5 == 0 else rng.randint(0, 6), t) for i, (_, t) in enumerate(corpus(seed))]
+    rows += rng.sample(rows, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    print_of = {r.text: r.p for r in docs.selectExpr("text", "xxhash64(text) as p").collect()}
+    key = lambda k, t: (k is not None, k or 0, print_of[t])
+    want = brute([(key(k, t), t) for k, t in rows], 100)
+    keyed = docs.withColumn("named", docs.text)
+    got = [(key(r.doc_id, r.named), bytes(r.kept), len(r.spans)) for r in drop_repeated_substrings(keyed).select("doc.doc_id", "doc.named", "kept", "spans").collect()]
+    assert sorted(got) == sorted((key(k, t), *want[key(k, t)]) for k, t in rows)
+
+
+def test_no_text_is_lost_from_every_row(spark):
+    rng = random.Random(4)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    docs = spark.createDataFrame([(0, a), (1, a), (1, b), (2, c), (None, c), (None, c[:50] + a), (5, b)], "doc_id long, text string")
+    kept = b"\n".join(bytes(r.kept) for r in drop_repeated_substrings(docs).select("kept").collect())
+    assert all(x.encode() in kept for x in (a, b, c))
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        drop_repeated_substrings(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("size", [1, 2, 100])
 def test_starts_are_counted_once_over_batches(size):
     rows = [(1, 5, 1, 0), (1, 5, 1, 0), (1, 5, 1, 0), (2, 6, 1, 9), (2, 6, 1, 9), (2, 6, 2, 0), (2, 6, 2, 0), (3, 7, 1, 3), (3, 8, 1, 4)]
-    columns = [np.array(x, np.int64) for x in zip(*rows)] + [np.full(len(rows), 4, np.int64)]
-    batch = substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array(x) for x in columns], ["bucket", "refined", "id", "place", "size"])
-    found = [tuple(r.values()) for b in substring_dedup._resolve(batch.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+    bucket, refined, own, place = (np.array(x, np.int64) for x in zip(*rows))
+    columns = [bucket, refined, own, own * 7, place, np.full(len(rows), 4, np.int64)]
+    batch = substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array(x) for x in columns], ["bucket", "refined", "id", "print", "place", "size"])
+    found = [(r["id"], r["place"], r["size"], r["open"]) for b in substring_dedup._resolve(batch.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
     assert sorted(found) == [(1, 3, 1, True), (1, 4, 1, True), (2, 0, 1, False)]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from threadlake.session import configure, materialize
 
@@ -34,6 +34,13 @@ def packed(df: DataFrame, without: tuple[str, ...] = (), **wanted: str) -> DataF
     return df.select(F.struct(*held).alias("doc"), *(df[c].alias(k) for k, c in wanted.items()))
 
 
+def whole_ids(df: DataFrame, column: str) -> None:
+    """Refuses an id column that is not of a whole-number type; a table without a type for it (all null) is let through."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"ids must be whole numbers, and {column} is {kind.simpleString()}")
+
+
 def with_text(df: DataFrame, like: DataFrame, text_column: str = "text") -> DataFrame:
     """The columns of ``like`` from a packed result whose text stands beside ``doc``."""
     return df.select(*(

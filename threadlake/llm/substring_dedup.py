@@ -10,6 +10,8 @@ only what the round before has not settled:
 2. Runs that share a bucket with a different run are open.  The same is done again inside them with 2q-grams.
 3. What is open then is refined to single windows, sorted by their full identifier; all but the first are repeated.
 4. Repeated windows go back to their document and are cut out of it.
+
+A document is an id with a fingerprint of its text, so places found in one text never cut another one under the same id.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import GOLDEN, bounded, mix, packed, power_table, prefix_sums, prepared, text_bytes
+from threadlake.llm.common import GOLDEN, bounded, mix, packed, power_table, prefix_sums, prepared, text_bytes, whole_ids
 from threadlake.session import materialize
 
 PIECE_BYTES = 1 << 20
@@ -73,23 +75,34 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:len(values) - rest], values[rest:]) if rest else values
 
 
-def pieces(ids: list[int], bases: list[int], texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Groups of about a megabyte: (id, offset in the document, bytes); long texts in pieces that overlap by a window less one."""
-    own, base, parts, held = [], [], [], 0
-    for key, start, text in zip(ids, bases, texts):
+class Names:
+    """The documents of a group of pieces, (id, fingerprint) in order; a piece holds the rank of its document."""
+
+    def __init__(self, ids: list[int], prints: list[int]):
+        known = np.zeros(len(ids), [("id", np.int64), ("print", np.int64)])
+        known["id"], known["print"] = ids, prints
+        known, self.rank = np.unique(known, return_inverse=True)
+        self.id, self.print = known["id"].copy(), known["print"].copy()
+
+
+def pieces(ids: list[int], prints: list[int], bases: list[int], texts: list[bytes], length: int) -> Iterator[tuple[Names, np.ndarray, list[bytes]]]:
+    """Groups of about a megabyte: (documents, offset in the document, bytes); long texts in pieces that overlap by a window less one."""
+    own, marks, base, parts, held = [], [], [], [], 0
+    for key, mark, start, text in zip(ids, prints, bases, texts):
         for at in range(0, max(1, len(text) - length + 1), PIECE_BYTES):
             part = text[at:at + PIECE_BYTES + length - 1]
             if len(part) < length:
                 continue
             if held and held + len(part) > PIECE_BYTES:
-                yield np.array(own, np.int64), np.array(base, np.int64), parts
-                own, base, parts, held = [], [], [], 0
+                yield Names(own, marks), np.array(base, np.int64), parts
+                own, marks, base, parts, held = [], [], [], [], 0
             own.append(key)
+            marks.append(mark)
             base.append(start + at)
             parts.append(part)
             held += len(part)
     if parts:
-        yield np.array(own, np.int64), np.array(base, np.int64), parts
+        yield Names(own, marks), np.array(base, np.int64), parts
 
 
 def _places(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +115,8 @@ def _places(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return valid, offsets
 
 
-def runs_of(buckets: Buckets, q: int, own: np.ndarray, base: np.ndarray, parts: list[bytes]):
-    """Runs of windows with one least q-gram: (least, identifier of all bytes, id, place, windows, repeats inside)."""
+def runs_of(buckets: Buckets, q: int, names: Names, base: np.ndarray, parts: list[bytes]):
+    """Runs of windows with one least q-gram: (least, identifier of all bytes, document, place, windows, repeats inside)."""
     length, width = buckets.length, buckets.length - q + 1
     valid, offsets = _places(parts, length)
     buckets.load(b"".join(parts))
@@ -127,17 +140,17 @@ def runs_of(buckets: Buckets, q: int, own: np.ndarray, base: np.ndarray, parts:
     place = np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
     places = np.bincount(run[grams[chosen[place]] == least[starts[run]]], minlength=len(starts))
     owner = np.searchsorted(offsets, starts, side="right") - 1
-    return least[starts], buckets.strings(starts, count + length - 1), own[owner], starts - offsets[owner] + base[owner], count, places > 1
+    return least[starts], buckets.strings(starts, count + length - 1), names.rank[owner], starts - offsets[owner] + base[owner], count, places > 1
 
 
-def windows_of(buckets: Buckets, own: np.ndarray, base: np.ndarray, parts: list[bytes]):
-    """(full identifier, id, place) of every window of the pieces."""
+def windows_of(buckets: Buckets, names: Names, base: np.ndarray, parts: list[bytes]):
+    """(full identifier, document, place) of every window of the pieces."""
     valid, offsets = _places(parts, buckets.length)
     buckets.load(b"".join(parts))
     full = buckets.grams(buckets.length)
     at = np.flatnonzero(valid[:len(full)])
     owner = np.searchsorted(offsets, at, side="right") - 1
-    return full[at], own[owner], at - offsets[owner] + base[owner]
+    return full[at], names.rank[owner], at - offsets[owner] + base[owner]
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -162,57 +175,57 @@ def _merged(own: np.ndarray, place: np.ndarray, count: np.ndarray):
     return own[starts], place[starts], end[stops] - place[starts]
 
 
-def _rows(bucket, refined, own, place, count, kind) -> pa.RecordBatch:
+def _rows(names: Names, bucket, refined, own, place, count, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(bucket, np.uint64).view(np.int64)), pa.array(np.asarray(refined, np.uint64).view(np.int64)), pa.array(own, pa.int64()),
-         pa.array(place, pa.int64()), pa.array(np.asarray(count, np.int64) * 4 + kind, pa.int64())],
-        ["bucket", "refined", "id", "place", "size"])
+        [pa.array(np.asarray(bucket, np.uint64).view(np.int64)), pa.array(np.asarray(refined, np.uint64).view(np.int64)),
+         pa.array(names.id[own]), pa.array(names.print[own]), pa.array(place, pa.int64()), pa.array(np.asarray(count, np.int64) * 4 + kind, pa.int64())],
+        ["bucket", "refined", "id", "print", "place", "size"])
 
 
-def _with_local(bucket, refined, own, place, count, kind) -> Iterator[pa.RecordBatch]:
+def _with_local(names: Names, bucket, refined, own, place, count, kind) -> Iterator[pa.RecordBatch]:
     """Rows for the shuffle; of equal strings in one group only the first stays, the others are known to be repeated.
 
-    A string at the same id and place again, of a repeated row, is the same start and no repeat.
+    A string at the same place of the same document again, of a repeated row, is the same start and no repeat.
     """
     order = np.lexsort((place, own, refined, bucket))
     order = order[_firsts(bucket[order], refined[order], own[order], place[order])]
     bucket, refined, own, place, count, kind = (x[order] for x in (bucket, refined, own, place, count, kind))
     fresh = _firsts(bucket, refined)
-    yield _rows(bucket[fresh], refined[fresh], own[fresh], place[fresh], count[fresh], kind[fresh])
+    yield _rows(names, bucket[fresh], refined[fresh], own[fresh], place[fresh], count[fresh], kind[fresh])
     if not fresh.all():
         own, place, count = _merged(own[~fresh], place[~fresh], count[~fresh])
-        spread = mix(own.view(np.uint64) * GOLDEN + place.view(np.uint64))
-        yield _rows(spread, spread, own, place, count, np.full(len(own), DONE))
+        spread = mix((names.id[own] ^ names.print[own]).view(np.uint64) * GOLDEN + place.view(np.uint64))
+        yield _rows(names, spread, spread, own, place, count, np.full(len(own), DONE))
 
 
-ROWS = "bucket long, refined long, id long, place long, size long"
-FOUND = "id long, place long, size long, open boolean"
+ROWS = "bucket long, refined long, id long, print long, place long, size long"
+FOUND = "id long, print long, place long, size long, open boolean"
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket, refined, id, place: repeated stretches, and open ones that need a finer look.
+    """Over rows sorted by bucket, refined, id, print, place: repeated stretches, and open ones that need a finer look.
 
     What is kept from batch to batch is one row, however large a bucket is.
     """
-    before = None  # bucket, refined, id and place of the last row, and the first row of the bucket while it is alone
+    before = None  # bucket, refined, id, print and place of the last row, and the first row of the bucket while it is alone
     for batch in batches:
-        bucket, refined, own, place, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        bucket, refined, own, mark, place, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         count, kind = size >> 2, size & 3
         known = kind == DONE
-        out = [(own[known], place[known], count[known], np.zeros(int(known.sum()), bool))]
-        start = _firsts(bucket, refined, own, place) & ~known
+        out = [(own[known], mark[known], place[known], count[known], np.zeros(int(known.sum()), bool))]
+        start = _firsts(bucket, refined, own, mark, place) & ~known
         # the first row that is not known may be the start the batch before has ended with
         first = np.flatnonzero(~known)[:1]
-        start[first] = [before is None or before[:4] != (bucket[i], refined[i], own[i], place[i]) for i in first]
-        bucket, refined, own, place, count, kind = (x[start] for x in (bucket, refined, own, place, count, kind))
+        start[first] = [before is None or before[:5] != (bucket[i], refined[i], own[i], mark[i], place[i]) for i in first]
+        bucket, refined, own, mark, place, count, kind = (x[start] for x in (bucket, refined, own, mark, place, count, kind))
         if len(bucket):
             same_bucket = ~_firsts(bucket)
             same = ~_firsts(bucket, refined)
             held = None
             if before is not None and before[0] == bucket[0]:
                 same_bucket[0], same[0] = True, before[1] == refined[0]
-                held = before[4]
-            out.append((own[same], place[same], count[same], np.zeros(int(same.sum()), bool)))
+                held = before[5]
+            out.append((own[same], mark[same], place[same], count[same], np.zeros(int(same.sum()), bool)))
             group = np.cumsum(~same_bucket)
             group -= group[0]
             stays = ~same
@@ -225,16 +238,16 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(tuple(np.array([x]) for x in held) + (np.array([True]),))
                     held = None
             open_ = stays & (crowded[group] | (kind == SELF))
-            out.append((own[open_], place[open_], count[open_], np.ones(int(open_.sum()), bool)))
+            out.append((own[open_], mark[open_], place[open_], count[open_], np.ones(int(open_.sum()), bool)))
             last = group[-1]
             if not (carried and last == 0):
                 first = np.flatnonzero(group == last)[0]
-                held = None if crowded[last] or kind[first] == SELF else (own[first], place[first], count[first])
-            before = (bucket[-1], refined[-1], own[-1], place[-1], held)
-        own, place, count, open_ = (np.concatenate([x[i] for x in out]) for i in range(4))
+                held = None if crowded[last] or kind[first] == SELF else (own[first], mark[first], place[first], count[first])
+            before = (bucket[-1], refined[-1], own[-1], mark[-1], place[-1], held)
+        own, mark, place, count, open_ = (np.concatenate([x[i] for x in out]) for i in range(5))
         if len(own):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int64()), pa.array(place, pa.int64()), pa.array(count, pa.int64()), pa.array(open_, pa.bool_())], ["id", "place", "size", "open"])
+                [*(pa.array(x, pa.int64()) for x in (own, mark, place, count)), pa.array(open_, pa.bool_())], ["id", "print", "place", "size", "open"])
 
 
 def _stretches(batch: pa.RecordBatch, name: str, i: int) -> list[tuple[int, int]]:
@@ -245,26 +258,29 @@ def _stretches(batch: pa.RecordBatch, name: str, i: int) -> list[tuple[int, int]
 def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row without the bytes covered by a ``length``-byte string that also starts earlier.
 
-    Texts are UTF-8 bytes (null is empty).  Earlier is a smaller id, or a smaller start in the same document; strings
-    are judged on the input.  Returns ``doc`` (the input columns without the text), ``n_bytes``, ``kept`` (binary,
+    Texts are UTF-8 bytes (null is empty).  Ids are whole numbers; others are refused.  Earlier is a smaller id, or a smaller
+    start in the same document; strings are judged on the input.  Returns ``doc`` (the input columns without the text), ``n_bytes``, ``kept`` (binary,
     the remaining bytes), ``spans`` (maximal removed runs: start and end in bytes).
 
     * texts shorter than ``length`` keep everything; so does an empty or null text;
-    * rows with the same id count as one document: a start is earlier when its offset is smaller, equal offsets are
-      the same start.  A null id comes before all others;
+    * rows with the same id and the same text count as one document, each of them is cut like the others: equal offsets
+      are the same start.  Different texts under one id, or under no id, are documents of their own, ordered by a fingerprint
+      of the text.  A null id comes before all others;
     * an empty table gives an empty table; other columns are carried in ``doc`` under any name.
 
     Strings are compared by 64-bit identifiers (128 bits for whole runs).
     """
     prepared(docs.sparkSession)
     least_id = F.lit(LEAST_ID).cast("long")
+    whole_ids(docs, id_column)
     rows = packed(docs, (text_column,), id=id_column, text=text_column).select(
-        "doc", F.coalesce(F.col("id").cast("long"), least_id).alias("id"), F.col("text").cast("binary").alias("text"))
+        "doc", F.coalesce(F.col("id").cast("long"), least_id).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"),
+        F.col("text").cast("binary").alias("text"))
 
     def groups(batches):
         for batch in batches:
             for part in bounded(batch, "text"):
-                yield from pieces(part.column("id").to_pylist(), part.column("base").to_pylist(), text_bytes(part.column("text")), length)
+                yield from pieces(*(part.column(name).to_pylist() for name in ("id", "print", "base")), text_bytes(part.column("text")), length)
 
     def runs(q):
         def run(batches):
@@ -272,7 +288,7 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
             for group in groups(batches):
                 bucket, whole, own, place, count, inside = runs_of(buckets, q, *group)
                 if len(bucket):
-                    yield from _with_local(bucket, whole, own, place, count, np.where(inside, SELF, LONE))
+                    yield from _with_local(group[0], bucket, whole, own, place, count, np.where(inside, SELF, LONE))
         return run
 
     def windows(batches):
@@ -280,19 +296,19 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
         for group in groups(batches):
             full, own, place = windows_of(buckets, *group)
             if len(full):
-                yield from _with_local(full, full, own, place, np.ones(len(full), np.int64), np.zeros(len(full), np.int64))
+                yield from _with_local(group[0], full, full, own, place, np.ones(len(full), np.int64), np.zeros(len(full), np.int64))
 
     def resolved(frame: DataFrame) -> DataFrame:
-        return frame.repartition("bucket").sortWithinPartitions("bucket", "refined", "id", "place").mapInArrow(_resolve, FOUND)
+        return frame.repartition("bucket").sortWithinPartitions("bucket", "refined", "id", "print", "place").mapInArrow(_resolve, FOUND)
 
     def per_document(frame: DataFrame, name: str) -> DataFrame:
-        return frame.groupBy("id").agg(F.collect_list(F.struct("place", "size")).alias(name))
+        return frame.groupBy("id", "print").agg(F.collect_list(F.struct("place", "size")).alias(name))
 
     def narrow(batches):
         """The bytes of the open stretches, neighbours merged."""
         for batch in batches:
-            own, base, parts = [], [], []
-            for i, (key, start, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("base").to_pylist(), text_bytes(batch.column("text")))):
+            own, marks, base, parts = [], [], [], []
+            for i, (key, mark, start, text) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("id", "print", "base")), text_bytes(batch.column("text")))):
                 stretches = sorted((a, n) for a, n in _stretches(batch, "open", i) if start <= a and a - start + length <= len(text))
                 ends: list[list[int]] = []
                 for a, n in stretches:
@@ -302,20 +318,21 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
                         ends.append([a, a + n])
                 for a, b in ends:
                     own.append(key)
+                    marks.append(mark)
                     base.append(a)
                     parts.append(text[a - start:b - start + length - 1])
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(base, pa.int64()), pa.array(parts, pa.binary())], ["id", "base", "text"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (own, marks, base)), pa.array(parts, pa.binary())], ["id", "print", "base", "text"])
 
-    texts = rows.select("id", F.lit(0).cast("long").alias("base"), "text")
+    texts = rows.select("id", "print", F.lit(0).cast("long").alias("base"), "text")
     repeated = []
     for q in (length // 4, length // 2):
         found = materialize(resolved(texts.mapInArrow(runs(q), ROWS)), "runs")
         repeated.append(found.where("not open"))
-        texts = materialize(texts.join(per_document(found.where("open"), "open"), "id").mapInArrow(narrow, "id long, base long, text binary"), "open")
+        texts = materialize(texts.join(per_document(found.where("open"), "open"), ["id", "print"]).mapInArrow(narrow, "id long, print long, base long, text binary"), "open")
     repeated.append(materialize(resolved(texts.mapInArrow(windows, ROWS)).where("not open"), "windows"))
     repeated = repeated[0].unionByName(repeated[1]).unionByName(repeated[2])
-    joined = rows.join(per_document(repeated, "repeated"), "id", "left")
+    joined = rows.join(per_document(repeated, "repeated"), ["id", "print"], "left")
 
     def cut(batches):
         for batch in batches:
