@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadlake.llm.common import GOLDEN, mix, prepared
+from threadlake.llm.common import GOLDEN, mix, prepared, whole_ids
 from threadlake.session import materialize
 
 #: Rows of a shard and queries of a block, on average.
@@ -299,6 +299,7 @@ def nearest_neighbours(vectors: DataFrame, asked: Column, k: int = 10, beam: int
     Candidates come from a graph per shard (``build_index``); the distances of what a search holds at its end are exact.
     """
     prepared(vectors.sparkSession)
+    whole_ids(vectors, id_column)
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
     rows = materialize(rows.withColumn("size", F.size("vector")), "vectors")

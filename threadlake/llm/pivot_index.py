@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadlake.llm.common import components, packed, prepared
+from threadlake.llm.common import components, packed, prepared, whole_ids
 from threadlake.session import materialize
 
 #: Vectors looked at to choose the reference points, at most, and reference points kept, at most.
@@ -97,6 +97,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_column: str
     leaves a task is a count and one edge per vector, not the pairs.
     """
     spark = prepared(vectors.sparkSession)
+    whole_ids(vectors, id_column)
     every = packed(vectors, id=id_column, vector=vector_column, label=label_column).select(F.col("id").cast("long").alias("id"), "vector", "label")
     rows = every.where(F.col("id").isNotNull() & usable(F.col("vector"), F.col("label"))).withColumn("size", F.size("vector"))
     rows = materialize(rows.dropDuplicates(["id", "label", "vector"]), "vectors")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadlake.llm.common import GOLDEN, Words, bounded, components, list_array, mix, packed, prepared, text_bytes
+from threadlake.llm.common import GOLDEN, Words, bounded, components, list_array, mix, packed, prepared, text_bytes, whole_ids
 from threadlake.session import materialize
 
 SEPARATORS = (0x20, *range(9, 14))
@@ -162,6 +162,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     be missed, and a group of copies costs one verification per member.  Shingles are compared by 64-bit fingerprints.
     """
     spark = prepared(docs.sparkSession)
+    whole_ids(docs, id_column)
     rows = packed(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def signatures(batches):
