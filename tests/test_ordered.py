@@ -75,6 +75,38 @@ def test_oversize_record_is_a_page_of_its_own(spark):
     assert pages == {0: 0, 1: 1, 2: 1}
 
 
+def greedy(items, max_items, max_bytes):
+    chosen, left = set(), max_bytes
+    for key, size in sorted(items):
+        if len(chosen) < max_items and size is not None and size <= left:
+            chosen.add(key)
+            left -= size
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bounded_batch_against_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    size = lambda: rng.choice([None, 0, 1, rng.randint(0, 9), rng.randint(0, 100), rng.randint(0, 4000), 2 ** rng.randint(0, 11), 1 << 40])
+    items = [(f"k{i:05d}", size()) for i in rng.sample(range(9999), 700)]
+    frame = spark.createDataFrame(items, "key string, size long").repartition(3)
+    for max_items, max_bytes in ((1_000_000, rng.randint(0, 30_000)), (rng.randint(1, 200), 1 << 62), (rng.randint(0, 60), 4096), (50, 0)):
+        got = {r.key for r in B.bounded_batch(frame, "key", "size", max_items, max_bytes, block_rows=rng.choice([40, 1 << 18])).where("selected").collect()}
+        assert got == greedy(items, max_items, max_bytes), (max_items, max_bytes)
+
+
+def test_bounded_batch_takes_no_list_of_keys(spark):
+    items = spark.range(20_000).selectExpr("id", "case when id % 2 = 0 then 1L << 50 else id % 17 end as size")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("batch", "batch")
+    chosen = B.bounded_batch(items, "id", "size", 1_000_000, 60_000, block_rows=1_000)
+    spark.sparkContext.setJobGroup("later", "later")
+    assert len(jobs.getJobIdsForGroup("batch")) < 200
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count(" IN ") + chosen._jdf.queryExecution().optimizedPlan().toString().count("INSET") == 0
+    taken = chosen.where("selected").agg(F.sum("size"), F.count("*")).first()
+    assert taken[0] <= 60_000 and taken[1] == len(greedy([(r.id, r.size) for r in items.collect()], 1_000_000, 60_000))
+
+
 def test_bounded_batch_passes_over_large_items(spark):
     df = spark.createDataFrame([("a", 60), ("b", 50), ("c", 30), ("d", 20), ("e", 10)], "path string, size bigint")
     batch = lambda items, files, limit: {r.path for r in B.bounded_batch(items, "path", "size", files, limit).where("selected").collect()}

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.operators.ordered import position
+from threadlake.session import materialize
 
 
 SECTION = 256
@@ -151,26 +152,98 @@ def page_summary(paged: DataFrame, store: str, ordinal: str, size: str) -> DataF
         F.count("*").alias("rows"), F.sum(size).cast("bigint").alias("bytes"), F.min(ordinal).alias("first"), F.max(ordinal).alias("last"))
 
 
-def bounded_batch(items: DataFrame, order: str, size: str, max_items: int, max_bytes: int) -> DataFrame:
+def _level(left: int) -> tuple[int, int]:
+    """The largest power of two that is not over what is left (1 for nothing), and the bytes that may go before less than that is left."""
+    step = 1 << max(left.bit_length() - 1, 0)
+    return step, max(left - step, 0)
+
+
+POWERS = np.array([1 << i for i in range(63)], dtype=np.int64)
+
+
+def _classes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each size class of a block (sizes of one bit length): rows, bytes, and the least space that lets one of its items in
+    when all smaller classes before it are taken."""
+    sizes = pdf.sort_values("key")["size"].to_numpy(dtype=np.int64)
+    kind = np.searchsorted(POWERS, sizes, side="right")
+    rows = []
+    for one in np.unique(kind).tolist():
+        own = kind == one
+        before = np.cumsum(np.where(kind < one, sizes, 0))
+        rows.append((key[0], one, int(own.sum()), int(sizes[own].sum()), int((sizes + before)[own].min())))
+    return pd.DataFrame(rows, columns=["block", "kind", "n", "bytes", "least"])
+
+
+def _walk(sizes: np.ndarray, left: int, room: int) -> list[tuple[int, int, bool, int, int]]:
+    """Phases inside a block: (last row, power of two, whether that row is taken for sure, bytes and items left)."""
+    out, at = [], 0
+    while at < len(sizes) and room > 0:
+        step, spare = _level(left)
+        rest = sizes[at:]
+        small = rest < step
+        total, number = np.cumsum(np.where(small, rest, 0)), np.cumsum(small)
+        before = np.where(small, total - rest, total)
+        ends = (rest <= left - before) & (~small | (total > spare) | (number >= room))
+        if not ends.any():
+            out.append((len(sizes) - 1, step, False, left - int(total[-1]), room - int(number[-1])))
+            break
+        end = int(np.argmax(ends))
+        left -= int(before[end] + rest[end])
+        room -= int(number[end]) + (not small[end])
+        at += end + 1
+        out.append((at - 1, step, True, left, room))
+    return out
+
+
+def bounded_batch(items: DataFrame, order: str, size: str, max_items: int, max_bytes: int, block_rows: int = 1 << 18) -> DataFrame:
     """Next maintenance batch in ``order``: an item that does not fit is passed over, later smaller ones may fit.
 
-    Adds ``selected``.  Each round reads the next ``max_items`` rows that could fit at
-    all (a distributed top-k) and takes the run that does fit, so at most
-    ``max_items`` rows and ``max_items`` rounds reach the driver.  ``order`` is unique.
+    Adds ``selected``.  While between 2**k and 2**(k+1) bytes are left, every item under 2**k fits, and one of 2**k or more that is
+    taken leaves less than 2**k.  So the batch is a chain of at most 64 phases; in each all items under its power of two are taken,
+    up to the row that ends it.  The block of that row is found by running sums over the size classes of blocks of consecutive rows,
+    the row inside that one block.  The number of jobs depends on neither the items passed over nor ``max_items``.
+
+    ``order`` is unique and not null; an item without a size is never taken; sizes are not negative.
     """
-    chosen: list = []
-    left, after = max_bytes, None
-    while len(chosen) < max_items:
-        rows = items.where(F.col(size) <= left)
-        if after is not None:
-            rows = rows.where(F.col(order) > F.lit(after))
-        head = rows.select(order, size).orderBy(order).limit(max_items - len(chosen)).collect()
-        if not head:
+    known = items.where(F.col(size) <= max_bytes).select(F.col(order).alias("key"), F.col(size).cast("bigint").alias("size"))
+    blocks = max(1, -(-known.count() // block_rows))
+    placed = materialize(known.repartitionByRange(blocks, "key").withColumn("block", F.spark_partition_id()), "items")
+    classes = materialize(placed.groupBy("block").applyInPandas(_classes, "block int, kind int, n bigint, bytes bigint, least bigint"), "classes")
+    key_type = placed.schema["key"].dataType.simpleString()
+    phases: list[tuple] = []  # last key (null for all that follow), power of two, whether the last key itself is taken
+    left, room, at = max_bytes, max_items, -1
+    while room > 0 and left >= 0:
+        step, spare = _level(left)
+        bits = step.bit_length()
+        small = F.col("kind") < bits
+        found = (
+            classes.where((F.col("block") > at) & (F.col("kind") <= bits)).groupBy("block")
+            .agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(small, F.col("bytes"))), F.lit(0)).alias("bytes"),
+                 F.min(F.when(~small, F.col("least"))).alias("least"))
+            .withColumns({"total": F.sum("bytes").over(Window.orderBy("block")), "number": F.sum("n").over(Window.orderBy("block"))})
+            .where((F.col("total") > spare) | (F.col("total") - F.col("bytes") + F.col("least") <= left) | (F.col("number") >= room))
+            .orderBy("block").first())
+        if found is None:
+            phases.append((None, step, False))
             break
-        for row in head:
-            if row[1] > left:
-                break
-            chosen.append(row[0])
-            left -= row[1]
-            after = row[0]
-    return items.withColumn("selected", F.col(order).isin(chosen) if chosen else F.lit(False))
+        at, left, room = found["block"], left - (found["total"] - found["bytes"]), room - (found["number"] - found["n"])
+
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("key")
+            ends = _walk(pdf["size"].to_numpy(dtype=np.int64), left, room)
+            rows = [(i, *end[1:]) for i, end in enumerate(ends)]
+            out = pd.DataFrame(rows, columns=["i", "step", "taken", "left", "room"])
+            return out.assign(key=pdf["key"].iloc[[end[0] for end in ends]].to_numpy())
+
+        walked = placed.where(F.col("block") == at).groupBy("block").applyInPandas(
+            walk, f"i int, key {key_type}, step bigint, taken boolean, left bigint, room bigint")
+        ends = walked.agg(F.sort_array(F.collect_list(F.struct("i", "key", "step", "taken", "left", "room")))).first()[0]
+        phases += [(end["key"], end["step"], end["taken"]) for end in ends]
+        left, room = ends[-1]["left"], ends[-1]["room"]
+    selected = F.lit(False)
+    for last, step, taken in reversed(phases):
+        inside = F.col(size) < step
+        if last is not None:
+            inside = F.when(F.col(order) <= F.lit(last), inside | (F.lit(taken) & (F.col(order) == F.lit(last)))).otherwise(selected)
+        selected = inside
+    return items.withColumn("selected", F.coalesce(selected, F.lit(False)))
