@@ -1,5 +1,6 @@
 """Operators on the small cases the record formats call for."""
 
+import hashlib
 import json
 import time
 
@@ -359,6 +360,20 @@ def test_file_hashes_see_middle_bytes(spark, tmp_path):
     assert {r.bytes for r in I.scan_files(spark, str(tmp_path)).collect()} == {81}
 
 
+def test_a_file_over_two_gigabytes_is_hashed_in_chunks(spark, tmp_path):
+    size = 3 << 30
+    (tmp_path / "part=a b").mkdir()
+    with open(tmp_path / "part=a b" / "100%25.bin", "wb") as sparse:
+        sparse.truncate(size)
+    (tmp_path / "one.bin").write_bytes(b"1")
+    zeros, digest = bytes(1 << 24), hashlib.sha256()
+    for _ in range(size >> 24):
+        digest.update(zeros)
+    hashed = {r.path: (r.bytes, r.sha) for r in I.hash_files(spark, str(tmp_path)).collect()}
+    assert hashed == {"part=a b/100%25.bin": (size, digest.hexdigest()), "one.bin": (1, hashlib.sha256(b"1").hexdigest())}
+    assert I.hash_files(spark, str(tmp_path)).columns == ["path", "bytes", "sha"]
+
+
 def test_capture_layers(spark, rows):
     captures = spark.createDataFrame([("capture-2", True), ("capture-3", False), ("capture-1", True)], "name string, ok boolean")
     layers = spark.createDataFrame([("recovered content",), ("imported archive",), ("unknown",)], "name string")
