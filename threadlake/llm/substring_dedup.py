@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import GOLDEN, bounded, mix, packed, power_table, prefix_sums, prepared, text_bytes, whole_ids
+from threadlake.llm.common import GOLDEN, mix, packed, power_table, prefix_sums, prepared, text_bytes, whole_ids
 from threadlake.session import materialize
 
 PIECE_BYTES = 1 << 20
@@ -250,9 +251,26 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*(pa.array(x, pa.int64()) for x in (own, mark, place, count)), pa.array(open_, pa.bool_())], ["id", "print", "place", "size", "open"])
 
 
-def _stretches(batch: pa.RecordBatch, name: str, i: int) -> list[tuple[int, int]]:
-    value = batch.column(name)[i]
-    return [(x["place"], x["size"]) for x in value.as_py()] if value.is_valid else []
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """For a column of lists of structs: the row of each element, and the elements; a null list is empty."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
+def _covered(column: pa.Array, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the stretches of a column with overlapping or adjacent ones merged; ends reach ``beyond`` further."""
+    row, found = _lists(column)
+    start = found.field("place").to_numpy(zero_copy_only=False)
+    end = start + found.field("size").to_numpy(zero_copy_only=False) + beyond
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    shift = row * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(end + shift) if len(end) else end
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] + shift[1:] > reach[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(row)) - 1 if len(row) else first
+    return row[first], start[first], reach[last] - shift[last]
 
 
 def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -279,8 +297,9 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
 
     def groups(batches):
         for batch in batches:
-            for part in bounded(batch, "text"):
-                yield from pieces(*(part.column(name).to_pylist() for name in ("id", "print", "base")), text_bytes(part.column("text")), length)
+            row, parts = _lists(batch.column("parts"))
+            names = (np.asarray(batch.column(name))[row].tolist() for name in ("id", "print"))
+            yield from pieces(*names, parts.field("base").to_pylist(), text_bytes(parts.field("text")), length)
 
     def runs(q):
         def run(batches):
@@ -305,31 +324,26 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
         return frame.groupBy("id", "print").agg(F.collect_list(F.struct("place", "size")).alias(name))
 
     def narrow(batches):
-        """The bytes of the open stretches, neighbours merged."""
+        """The bytes of the open stretches, neighbours merged: one row per document."""
+        kind = pa.list_(pa.struct([("base", pa.int64()), ("text", pa.binary())]))
         for batch in batches:
-            own, marks, base, parts = [], [], [], []
-            for i, (key, mark, start, text) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("id", "print", "base")), text_bytes(batch.column("text")))):
-                stretches = sorted((a, n) for a, n in _stretches(batch, "open", i) if start <= a and a - start + length <= len(text))
-                ends: list[list[int]] = []
-                for a, n in stretches:
-                    if ends and a <= ends[-1][1]:
-                        ends[-1][1] = max(ends[-1][1], a + n)
-                    else:
-                        ends.append([a, a + n])
-                for a, b in ends:
-                    own.append(key)
-                    marks.append(mark)
-                    base.append(a)
-                    parts.append(text[a - start:b - start + length - 1])
-            if own:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (own, marks, base)), pa.array(parts, pa.binary())], ["id", "print", "base", "text"])
-
-    texts = rows.select("id", "print", F.lit(0).cast("long").alias("base"), "text")
+            of, held = _lists(batch.column("parts"))
+            base, texts = held.field("base").to_numpy(zero_copy_only=False), text_bytes(held.field("text"))
+            parts = [[] for _ in range(batch.num_rows)]
+            for row, a, b in zip(*(x.tolist() for x in _covered(batch.column("open"), 0))):
+                lo, hi = np.searchsorted(of, (row, row + 1))
+                i = lo + int(np.searchsorted(base[lo:hi], a, side="right")) - 1
+                parts[row].append({"base": a, "text": texts[i][a - base[i]:b - base[i] + length - 1]})
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), pa.array(parts, kind)], ["id", "print", "parts"])
+
+    part = F.struct(F.lit(0).cast("long").alias("base"), "text")
+    texts = rows.select("id", "print", F.array(part).alias("parts"))
     repeated = []
     for q in (length // 4, length // 2):
         found = materialize(resolved(texts.mapInArrow(runs(q), ROWS)), "runs")
         repeated.append(found.where("not open"))
-        texts = materialize(texts.join(per_document(found.where("open"), "open"), ["id", "print"]).mapInArrow(narrow, "id long, print long, base long, text binary"), "open")
+        texts = materialize(texts.join(per_document(found.where("open"), "open"), ["id", "print"]).mapInArrow(
+            narrow, "id long, print long, parts array<struct<base: long, text: binary>>"), "open")
     repeated.append(materialize(resolved(texts.mapInArrow(windows, ROWS)).where("not open"), "windows"))
     repeated = repeated[0].unionByName(repeated[1]).unionByName(repeated[2])
     joined = rows.join(per_document(repeated, "repeated"), ["id", "print"], "left")
@@ -337,14 +351,11 @@ def drop_repeated_substrings(docs: DataFrame, length: int = 100, id_column: str
     def cut(batches):
         for batch in batches:
             kept, spans, sizes = [], [], []
+            row, start, end = _covered(batch.column("repeated"), length - 1)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for i, text in enumerate(text_bytes(batch.column("text"))):
-                cover = sorted((a, min(a + n + length - 1, len(text))) for a, n in _stretches(batch, "repeated", i) if a + length <= len(text))
-                ends: list[list[int]] = []
-                for a, b in cover:
-                    if ends and a <= ends[-1][1]:
-                        ends[-1][1] = max(ends[-1][1], b)
-                    else:
-                        ends.append([a, b])
+                own = slice(bounds[i], bounds[i + 1])
+                ends = list(zip(start[own].tolist(), end[own].tolist()))
                 at, parts = 0, []
                 for a, b in ends:
                     parts.append(text[at:a])
