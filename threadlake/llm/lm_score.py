@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadlake.llm.common import GOLDEN, Words, bounded, mix, packed, prepared, text_bytes
+from threadlake.llm.common import GOLDEN, Words, bounded, mix, packed, prepared, text_bytes, whole_ids
 from threadlake.session import materialize
 
 #: Bytes between words once A-Z is lowered: ASCII other than letters and digits.
@@ -60,23 +60,29 @@ class Counts:
         return self.counts[at].astype(np.float64) * (self.known[at] == wanted)[:, None]
 
 
+def matched(totals: tuple[float, float]) -> tuple[float, float]:
+    """Factors that bring the tokens of both sides to those of the smaller one; beside an empty side both models are even."""
+    least = min(totals)
+    return tuple(least / total if total else 0.0 for total in totals)
+
+
 def losses(pair: np.ndarray, word: np.ndarray, history: np.ndarray, totals: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Loss in nats of each token under both models from its counts."""
-    alone = (word + 1.0) / (totals + vocabulary)
-    return -np.log((pair + BACK_OFF * alone) / (history + BACK_OFF))
+    """Loss in nats of each token under both models from its counts, which are scaled to the same number of tokens."""
+    scale = np.array(matched(tuple(totals)))
+    alone = (scale * word + 1.0) / (scale * totals + vocabulary)
+    return -np.log((scale * pair + BACK_OFF * alone) / (scale * history + BACK_OFF))
 
 
 def training_sets(docs: DataFrame, target: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Text and side (0 target, 1 background): all target documents, and as many others, taken by a hash of the id."""
+    """Text and side of every row: 0 for target documents, 1 for all others, rows without an id among them."""
+    whole_ids(docs, id_column)
+    whole_ids(target, target.columns[0])
     ids = target.select(F.col(target.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
     ids = materialize(ids.withColumn("side", F.lit(0)), "target")
-    n_target, n_all = ids.count(), docs.count()
-    share = min(1.0, n_target / max(1, n_all - n_target))
-    if n_target <= BROADCAST_ENTRIES:
+    if ids.count() <= BROADCAST_ENTRIES:
         ids = F.broadcast(ids)
     rows = packed(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = F.pmod(F.xxhash64(F.lit("background"), "id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    return rows.join(ids, "id", "left").withColumn("side", F.when(F.col("side") == 0, 0).when(chosen, 1)).where("side is not null").select("text", "side")
+    return rows.join(ids, "id", "left").select("text", F.coalesce("side", F.lit(1)).alias("side"))
 
 
 def _counted(batches, unit):
@@ -118,8 +124,9 @@ def _collected(table: DataFrame) -> Counts:
 def train(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, tuple[float, float]]:
     """Word and pair counts of both training sets, and the tokens in each.
 
-    The models share the vocabulary: words counted ``MIN_WORDS`` times in the two sets together.  All documents of both
-    sets are counted, so the tables grow with the corpus.
+    The target set is the documents named by ``target``, the background set all others, so every document is counted in
+    one of them and the tables grow with the corpus.  The models share the vocabulary: words counted ``MIN_WORDS`` times
+    in the two sets together.  They are matched in size when they are used (``matched``), not by leaving documents out.
     """
     prepared(docs.sparkSession)
     rows = training_sets(docs, target, id_column, text_column)
@@ -151,15 +158,17 @@ def score_documents(docs: DataFrame, model, id_column: str = "doc_id", text_colu
     """(id, n_tokens, target_loss, background_loss, score) of every row.
 
     Losses are means over the tokens in nats; ``score`` is background loss less target loss: the higher, the more a text
-    is like the target.  A token's probability is its pair count with ``BACK_OFF`` counts of the smoothed word model.
+    is like the target, and 0 where one side has no tokens.  A token's probability is its pair count with ``BACK_OFF`` counts of the smoothed word model.
 
     * null, empty and wordless texts have no tokens and score 0; so does every text when both models are empty;
-    * repeated rows score alike; an empty table gives an empty table; only the two named columns are read.
+    * repeated rows score alike; an empty table gives an empty table; only the two named columns are read;
+    * ids must be whole numbers or null; other types are refused with a TypeError.
 
     Models of up to ``broadcast_entries`` entries are broadcast and documents are scored where they are.  Larger ones are
     joined with the distinct pairs of each document by fingerprint; the result is the same.
     """
     prepared(docs.sparkSession)
+    whole_ids(docs, id_column)
     word_table, pair_table, totals = model
     n_words, n_pairs = word_table.count(), pair_table.count()
     rows = packed(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -212,9 +221,9 @@ def _score_joined(rows: DataFrame, words: DataFrame, pairs: DataFrame, totals, n
     met = tokens.join(side(pairs, "gram", "pair"), "gram", "left").join(side(words, "word", "word"), "word", "left").join(side(words, "before", "history"), "before", "left")
     met = met.na.fill(0, [f"{x}_{y}" for x in ("pair", "word", "history") for y in "tb"])
     loss = {}
-    for i, y in enumerate("tb"):
-        alone = (F.col(f"word_{y}") + 1.0) / (totals[i] + n_words + 1)
-        loss[y] = F.sum(-F.log((F.col(f"pair_{y}") + BACK_OFF * alone) / (F.col(f"history_{y}") + BACK_OFF)) * F.col("n"))
+    for y, scale, total in zip("tb", matched(totals), totals):
+        alone = (scale * F.col(f"word_{y}") + 1.0) / (scale * total + n_words + 1)
+        loss[y] = F.sum(-F.log((scale * F.col(f"pair_{y}") + BACK_OFF * alone) / (scale * F.col(f"history_{y}") + BACK_OFF)) * F.col("n"))
     summed = met.groupBy("text_id").agg(F.sum("n").alias("n_tokens"), loss["t"].alias("t"), loss["b"].alias("b"))
     scored = named.select("id", "text_id").join(summed, "text_id", "left")
     n = F.coalesce("n_tokens", F.lit(0))
