@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from threadlake.llm import queries
-from threadlake.llm.lm_score import BACK_OFF, MIN_PAIRS, MIN_WORDS, score_documents, train
+from threadlake.llm.lm_score import BACK_OFF, MIN_PAIRS, MIN_WORDS, score_corpus, score_documents, train
 
 SCHEMA = "doc_id long, text string, gram string, n int"
 
@@ -47,14 +47,24 @@ def plain(training, texts):
     return out
 
 
-@pytest.mark.parametrize("entries", [1 << 21, 0])
-def test_against_plain_models(spark, entries):
+def score(docs, target, plan):
+    """Scores by small models that are sent, by models that are joined, or block by block."""
+    if plan in ("sent", "joined"):
+        return score_documents(docs, train(docs, target), broadcast_entries=1 << 21 if plan == "sent" else -1)
+    return score_corpus(docs, target, block_bytes=plan)
+
+
+PLANS = ["sent", "joined", 200, 1 << 23]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_against_plain_models(spark, plan):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "g", 1) for i, t in rows], SCHEMA)
     good = spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(None,), (9,)], "doc_id long")
     named = {*range(0, 120, 3), 9}
     training = [(t, 0 if i in named else 1) for i, t in rows]
-    got = sorted((r["id"] is None, r["id"] or 0, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in score_documents(docs, train(docs, good), broadcast_entries=entries).collect())
+    got = sorted((r["id"] is None, r["id"] or 0, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in score(docs, good, plan).collect())
     want = sorted((i is None, i or 0, n, round(a, 9), round(b, 9)) for (i, _), (n, a, b) in zip(rows, plain(training, [t for _, t in rows])))
     assert len(got) == len(want)
     for x, y in zip(got, want):
@@ -71,13 +81,13 @@ def test_held_out_documents_are_told_apart(spark):
     assert right >= 0.95 * sum(x for _, x in held) * sum(not x for _, x in held)
 
 
-@pytest.mark.parametrize("entries", [1 << 21, -1])
-def test_empty_sides(spark, entries):
+@pytest.mark.parametrize("plan", PLANS)
+def test_empty_sides(spark, plan):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
-    got = sorted((r["id"], r.n_tokens, round(r.score, 9)) for r in score_documents(docs, train(docs, none), broadcast_entries=entries).collect())
+    got = sorted((r["id"], r.n_tokens, round(r.score, 9)) for r in score(docs, none, plan).collect())
     assert got == [(1, 2, 0.0), (2, 0, 0.0)]
-    assert score_documents(docs.limit(0), train(docs.limit(0), none), broadcast_entries=entries).count() == 0
+    assert score(docs.limit(0), none, plan).count() == 0
 
 
 def test_one_target_document_among_many(spark):

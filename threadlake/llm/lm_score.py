@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from threadlake.llm.common import GOLDEN, Words, bounded, mix, packed, prepared, text_bytes, whole_ids
 from threadlake.session import materialize
@@ -19,6 +20,8 @@ BACK_OFF = 40.0
 BROADCAST_ENTRIES = 1 << 22
 #: Tokens a task counts together before it hands them on.
 GROUP = 1 << 20
+#: Bytes of text in a block, which is scored with its own part of the models; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 23
 
 
 def pair_id(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -74,7 +77,7 @@ def losses(pair: np.ndarray, word: np.ndarray, history: np.ndarray, totals: np.n
 
 
 def training_sets(docs: DataFrame, target: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Text and side of every row: 0 for target documents, 1 for all others, rows without an id among them."""
+    """Id, text and side of every row: 0 for target documents, 1 for all others, rows without an id among them."""
     whole_ids(docs, id_column)
     whole_ids(target, target.columns[0])
     ids = target.select(F.col(target.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
@@ -82,7 +85,7 @@ def training_sets(docs: DataFrame, target: DataFrame, id_column: str, text_colum
     if ids.count() <= BROADCAST_ENTRIES:
         ids = F.broadcast(ids)
     rows = packed(docs, id=id_column, text=text_column).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(ids, "id", "left").select("text", F.coalesce("side", F.lit(1)).alias("side"))
+    return rows.join(ids, "id", "left").select("id", "text", F.coalesce("side", F.lit(1)).alias("side"))
 
 
 def _counted(batches, unit):
@@ -110,6 +113,7 @@ def _counted(batches, unit):
 
 
 COUNTS = "gram long, target long, background long"
+SCORES = "id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def _summed(frame: DataFrame, least: int) -> DataFrame:
@@ -154,6 +158,114 @@ def train(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_co
     return known, pair_table, (float(totals[0] or 0), float(totals[1] or 0))
 
 
+def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Written rows (id, text, side) with the block each is in: neighbours of one task, up to ``block_bytes`` together."""
+
+    def cut(batches):
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in bounded(batch, "text", min(block_bytes, GROUP)):
+                size = part.column("text").nbytes
+                if held and held + size > block_bytes:
+                    block, held = block + 1, 0
+                held += size
+                yield part.append_column("block", pa.array(np.full(part.num_rows, block)))
+
+    return materialize(rows.mapInArrow(cut, "id long, text string, side int, block long"), "blocks")
+
+
+def _keys(reader: Pairs, texts: list[bytes]):
+    """Keys of words (even) and of pairs (odd, 0 for the first word of a text), and the text each is in."""
+    found, owner = reader.read(texts)
+    before = reader.before(found, owner)
+    pairs = pair_id(before, found) | np.uint64(1)
+    pairs[before == 0] = 0
+    return found & ~np.uint64(1), pairs, before & ~np.uint64(1), owner
+
+
+def _grams(batches):
+    """(gram, block, target, background): words and pairs of a block with their counts on its two sides."""
+    reader, held, sides, n, block = Pairs(), [], [], 0, None
+
+    def summed():
+        found, background = np.concatenate(held), np.concatenate(sides)
+        known, place = np.unique(found, return_inverse=True)
+        both = np.bincount(place, minlength=len(known))
+        second = np.bincount(place[background], minlength=len(known))
+        columns = [known.view(np.int64), np.full(len(known), block), both - second, second]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["gram", "block", "target", "background"])
+
+    for batch in batches:
+        for part in bounded(batch, "text"):
+            numbers = np.asarray(part.column("block"))
+            edges = np.flatnonzero(np.diff(numbers)) + 1
+            for start, end in zip([0, *edges], [*edges, len(numbers)]):
+                if n and (numbers[start] != block or n >= 4 * GROUP):
+                    yield summed()
+                    held, sides, n = [], [], 0
+                block = numbers[start]
+                rows = part.slice(start, end - start)
+                words, pairs, _, owner = _keys(reader, text_bytes(rows.column("text")))
+                behind = np.asarray(rows.column("side"))[owner] == 1
+                inner = pairs != 0
+                held += [words, pairs[inner]]
+                sides += [behind, behind[inner]]
+                n += len(words) + int(inner.sum())
+    if n:
+        yield summed()
+
+
+def score_corpus(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``score_documents(docs, train(docs, target))`` for models of any size, with one shuffle of the grams.
+
+    Documents are dealt to blocks of bounded size.  A block sends each of its words and pairs once, with the block's
+    counts; where a gram's blocks meet, the counts are summed, and what the models know goes back to those blocks.  A
+    block is then scored with its own part of the models, so nothing that grows with the corpus is broadcast, and a task
+    holds one block.  Nulls, empty texts, repeated rows and ids are treated as ``score_documents`` does.
+    """
+    prepared(docs.sparkSession)
+    blocks = _blocks(training_sets(docs, target, id_column, text_column), block_bytes)
+    counted = blocks.mapInArrow(_grams, "gram long, block long, target long, background long")
+    gram = Window.partitionBy("gram")
+    is_word = F.col("gram").bitwiseAND(1) == 0
+    both = F.col("all_target") + F.col("all_background")
+    parts = counted.withColumns({"all_target": F.sum("target").over(gram), "all_background": F.sum("background").over(gram)}).where(is_word | (both >= MIN_PAIRS))
+    # a block's own counts are kept for words, which say how many tokens there are
+    parts = materialize(parts.withColumns({side: F.when(is_word, F.col(side)) for side in ("target", "background")}), "parts")
+    words = parts.where(is_word).groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    held = words.agg(F.sum("target"), F.sum("background"), F.count_if(F.col("target") + F.col("background") >= MIN_WORDS)).first()
+    totals, n_words = np.array([float(held[0] or 0), float(held[1] or 0)]), held[2]
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        reader = Pairs()
+        grams, *counts = (known.column(x).to_numpy() for x in ("gram", "all_target", "all_background"))
+        part = Counts(grams.view(np.uint64), *counts)
+        out = []
+        for batch in texts.combine_chunks().to_batches():
+            for rows in bounded(batch, "text"):
+                word, pair, before, owner = _keys(reader, text_bytes(rows.column("text")))
+                distinct, place = np.unique(np.concatenate((word, pair)), return_inverse=True)
+                found = part.of(distinct)[place]
+                history = np.zeros((len(word), 2))
+                history[1:] = found[:max(0, len(word) - 1)]
+                history[before == 0] = 0
+                at_pair = found[len(word):] * (pair != 0)[:, None]
+                out.append(_means(rows, owner, losses(at_pair, found[:len(word)], history, totals, n_words + 1)))
+        return pa.Table.from_batches(out)
+
+    known = parts.where(~is_word | (both >= MIN_WORDS)).select("block", "gram", "all_target", "all_background")
+    return blocks.select("block", "id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCORES)
+
+
+def _means(rows: pa.RecordBatch, owner: np.ndarray, loss: np.ndarray) -> pa.RecordBatch:
+    """Mean losses of each row's tokens, and the score."""
+    n = np.bincount(owner, minlength=rows.num_rows)
+    mean = [np.bincount(owner, weights=loss[:, i], minlength=rows.num_rows) / np.maximum(n, 1) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(
+        [rows.column("id"), pa.array(n, pa.int64()), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[1] - mean[0])],
+        ["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+
 def score_documents(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every row.
 
@@ -189,13 +301,9 @@ def _score_here(rows: DataFrame, words: Counts, pairs: Counts, totals) -> DataFr
                 found, owner = reader.read(text_bytes(part.column("text")))
                 before = reader.before(found, owner)
                 loss = losses(pairs.of(pair_id(before, found)), words.of(found), words.of(before), both, len(words.known) + 1)
-                n = np.bincount(owner, minlength=part.num_rows)
-                mean = [np.bincount(owner, weights=loss[:, i], minlength=part.num_rows) / np.maximum(n, 1) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[1] - mean[0])],
-                    ["id", "n_tokens", "target_loss", "background_loss", "score"])
+                yield _means(part, owner, loss)
 
-    return rows.mapInArrow(score, "id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.mapInArrow(score, SCORES)
 
 
 def _score_joined(rows: DataFrame, words: DataFrame, pairs: DataFrame, totals, n_words: int) -> DataFrame:

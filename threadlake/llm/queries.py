@@ -220,11 +220,11 @@ def html_extraction(spark, sf_dir):
 
 @query("op9_lm_score")
 def lm_score(spark, sf_dir):
-    from threadlake.llm.lm_score import score_documents, train
+    from threadlake.llm.lm_score import score_corpus
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    scored = score_documents(docs, train(docs, good))
+    scored = score_corpus(docs, good)
     return scored.select(F.col("id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
 
 
