@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,7 +23,9 @@ BROADCAST_ENTRIES = 1 << 22
 #: Tokens a task counts together before it hands them on.
 GROUP = 1 << 20
 #: Bytes of text in a block, which is scored with its own part of the models; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
+#: Rounds in which grams are counted, each those of one remainder of their key; a round shuffles that share of them.
+ROUNDS = 2
 
 
 def pair_id(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -183,8 +187,8 @@ def _keys(reader: Pairs, texts: list[bytes]):
     return found & ~np.uint64(1), pairs, before & ~np.uint64(1), owner
 
 
-def _grams(batches):
-    """(gram, block, target, background): words and pairs of a block with their counts on its two sides."""
+def _grams(batches, remainder: int):
+    """(gram, block, target, background): words and pairs of one round in a block, with their counts on its two sides."""
     reader, held, sides, n, block = Pairs(), [], [], 0, None
 
     def summed():
@@ -207,10 +211,11 @@ def _grams(batches):
                 rows = part.slice(start, end - start)
                 words, pairs, _, owner = _keys(reader, text_bytes(rows.column("text")))
                 behind = np.asarray(rows.column("side"))[owner] == 1
-                inner = pairs != 0
-                held += [words, pairs[inner]]
-                sides += [behind, behind[inner]]
-                n += len(words) + int(inner.sum())
+                for keys in (words, pairs):
+                    wanted = ((keys >> np.uint64(1)) % np.uint64(ROUNDS) == remainder) & (keys != 0)
+                    held.append(keys[wanted])
+                    sides.append(behind[wanted])
+                    n += len(held[-1])
     if n:
         yield summed()
 
@@ -218,20 +223,24 @@ def _grams(batches):
 def score_corpus(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``score_documents(docs, train(docs, target))`` for models of any size, with one shuffle of the grams.
 
-    Documents are dealt to blocks of bounded size.  A block sends each of its words and pairs once, with the block's
+    Documents are dealt to blocks of bounded size.  In ``ROUNDS`` rounds, a block sends each of its words and pairs once, with the block's
     counts; where a gram's blocks meet, the counts are summed, and what the models know goes back to those blocks.  A
     block is then scored with its own part of the models, so nothing that grows with the corpus is broadcast, and a task
     holds one block.  Nulls, empty texts, repeated rows and ids are treated as ``score_documents`` does.
     """
     prepared(docs.sparkSession)
     blocks = _blocks(training_sets(docs, target, id_column, text_column), block_bytes)
-    counted = blocks.mapInArrow(_grams, "gram long, block long, target long, background long")
     gram = Window.partitionBy("gram")
     is_word = F.col("gram").bitwiseAND(1) == 0
     both = F.col("all_target") + F.col("all_background")
-    parts = counted.withColumns({"all_target": F.sum("target").over(gram), "all_background": F.sum("background").over(gram)}).where(is_word | (both >= MIN_PAIRS))
-    # a block's own counts are kept for words, which say how many tokens there are
-    parts = materialize(parts.withColumns({side: F.when(is_word, F.col(side)) for side in ("target", "background")}), "parts")
+
+    def round_of(remainder: int) -> DataFrame:
+        counted = blocks.mapInArrow(lambda batches: _grams(batches, remainder), "gram long, block long, target long, background long")
+        summed = counted.withColumns({f"all_{side}": F.sum(side).over(gram) for side in ("target", "background")}).where(is_word | (both >= MIN_PAIRS))
+        # a block's own counts are kept for words, which say how many tokens there are
+        return materialize(summed.withColumns({side: F.when(is_word, F.col(side)) for side in ("target", "background")}), "parts")
+
+    parts = reduce(DataFrame.unionByName, map(round_of, range(ROUNDS)))
     words = parts.where(is_word).groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     held = words.agg(F.sum("target"), F.sum("background"), F.count_if(F.col("target") + F.col("background") >= MIN_WORDS)).first()
     totals, n_words = np.array([float(held[0] or 0), float(held[1] or 0)]), held[2]
