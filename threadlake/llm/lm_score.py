@@ -220,6 +220,44 @@ def _grams(batches, remainder: int):
         yield summed()
 
 
+def _short(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as one byte each, and those of 255 and more as longs."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _long(short: bytes, more: bytes) -> np.ndarray:
+    out = np.frombuffer(short, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(more, np.int64)
+    return out
+
+
+SENT = "block long, grams binary, target binary, more_target binary, background binary, more_background binary"
+
+
+def _sent(batches):
+    """Known grams of a task, those for one block in one row."""
+    held, n = [], 0
+
+    def rows():
+        block, gram, target, background = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order])) + 1
+        out = []
+        for at in np.split(order, edges):
+            out.append((int(block[at[0]]), gram[at].tobytes(), *_short(target[at]), *_short(background[at])))
+        names = [name.split()[0] for name in SENT.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int64()) for i, x in enumerate(zip(*out))], names)
+
+    for batch in batches:
+        held.append([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        n += batch.num_rows
+        if n >= 2 * GROUP:
+            yield rows()
+            held, n = [], 0
+    if n:
+        yield rows()
+
+
 def score_corpus(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``score_documents(docs, train(docs, target))`` for models of any size, with one shuffle of the grams.
 
@@ -247,8 +285,10 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_column: str = "doc_id",
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         reader = Pairs()
-        grams, *counts = (known.column(x).to_numpy() for x in ("gram", "all_target", "all_background"))
-        part = Counts(grams.view(np.uint64), *counts)
+        sent = [column.to_pylist() for column in known.columns[1:]]
+        grams = np.frombuffer(b"".join(sent[0]), np.uint64)
+        counts = [np.concatenate([np.zeros(0, np.int64), *map(_long, sent[i], sent[i + 1])]) for i in (1, 3)]
+        part = Counts(grams, *counts)
         out = []
         for batch in texts.combine_chunks().to_batches():
             for rows in bounded(batch, "text"):
@@ -263,7 +303,9 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_column: str = "doc_id",
         return pa.Table.from_batches(out)
 
     known = parts.where(~is_word | (both >= MIN_WORDS)).select("block", "gram", "all_target", "all_background")
-    return blocks.select("block", "id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCORES)
+    number = max(1, blocks.select("block").distinct().count())
+    texts, known = (frame.repartition(number, "block").groupBy("block") for frame in (blocks.select("block", "id", "text"), known.mapInArrow(_sent, SENT)))
+    return texts.cogroup(known).applyInArrow(score, SCORES)
 
 
 def _means(rows: pa.RecordBatch, owner: np.ndarray, loss: np.ndarray) -> pa.RecordBatch:
