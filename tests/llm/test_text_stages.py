@@ -75,6 +75,31 @@ def test_bpe_empty(spark):
     assert bpe.encode_texts(docs, queries.vocabulary()).count() == 0
 
 
+def test_bpe_refuses_tokens_with_white_space(spark):
+    docs = spark.createDataFrame([(1, "hello  world foo")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="white space"):
+        bpe.encode_texts(docs, queries.vocabulary("byte_bpe_50k.json"))
+
+
+def test_bpe_joins_at_digits(library):
+    """Long text without white space: windows end at digits, so little is encoded again and the ids are the library's."""
+    import base64
+    import random
+
+    text = base64.b64encode(random.Random(3).randbytes(60_000)).decode() + "héÉ9ſt'9s'1t9\u03019\u0345" * 40
+    encoder = bpe.Encoder.of(queries.vocabulary())
+    pieces = [text[i:i + 1000] for i in range(0, len(text), 1000)]
+    ids = [encoder.one(piece) for piece in pieces]
+    again, one = [], encoder.one
+    encoder.one = lambda part: again.append(len(part)) or one(part)
+    try:
+        got = bpe.tree_ids(encoder, pieces, ids)
+    finally:
+        del encoder.one
+    assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(again) < len(text) / 2
+
+
 def test_bpe_query(spark, library):
     from public_tokenizers import path  # noqa: F401
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,38 @@ MEMO_WORDS = 1 << 19
 #: Words that are encoded in one call; their intermediate objects are large.
 CALL_WORDS = 1 << 12
 SPACES = (0x20, 0x09, 0x0A, 0x0D)
-SPACE = re.compile("[ \t\n\r]")
+#: Text put on both sides of a place to see whether a definition looks across it.
+PROBES = ("a", "Zz", "it's", "'", "7", "42", "é", "e\u0301", "\u0301", "ΑΣ", "日本", "ß", "_", "...", "<|", "|>", "🙂", "\u200d", "\xa0", "\x1c")
+#: First steps that drop white space.
+DROPS_SPACE = ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+
+
+@lru_cache(maxsize=4)
+def joints(definition: str) -> re.Pattern:
+    """Characters before which a text may be cut without changing its ids: white space, and digits if they stand alone.
+
+    Refused with a ValueError are definitions whose ids depend on white space (byte-level ones keep it in their tokens):
+    the first step must remove it, no added token may hold it, and ids of probes on both sides of it must be those of
+    the probes alone.
+    """
+    from tokenizers import Tokenizer
+
+    held = json.loads(definition)
+    steps = held.get("pre_tokenizer") or {}
+    first = (steps.get("pretokenizers") or [steps])[0]
+    drops = first.get("type") in DROPS_SPACE or (first.get("type") == "Split" and first.get("behavior") == "Removed")
+    whole = not any(re.search(r"\s", token["content"]) for token in held.get("added_tokens", []))
+    tokenizer = Tokenizer.from_str(definition)
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    alone = {text: ids(text) for text in ("", *PROBES)}
+
+    def free(between: str) -> bool:
+        own = ids(between)
+        return all(ids(a + between + b) == alone[a] + own + alone[b] for a, b in product(alone, alone))
+
+    if not (drops and whole and all(not ids(x) and free(x) for x in (" ", "\t", "\n", "\r", "  ", " \n\t"))):
+        raise ValueError("ids of this tokenizer depend on white space; it must be dropped by the first step of its pre-tokenizer")
+    return re.compile("[ \t\n\r0-9]" if all(map(free, "0123456789")) else "[ \t\n\r]")
 
 
 class Encoder:
@@ -35,6 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.joints = joints(definition)
         self.words = Words(SPACES, fold=False)
         self._remember(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
@@ -101,15 +136,15 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def join_pieces(encoder: Encoder, left: str, right: str, left_ids: np.ndarray, right_ids: np.ndarray, width: int = 64) -> np.ndarray:
     """Ids of ``left + right`` from the ids of both.
 
-    A window around the join is encoded again.  It grows until it starts and ends at a white space (or an end of the
-    text) and what each side had inside the window is exactly the tail or head of that side's ids; there both sides
+    A window around the join is encoded again.  It grows until it starts and ends before a joint (white space, a digit
+    that is a token of its own, or an end of the text) and what each side had inside the window is exactly the tail or head of that side's ids; there both sides
     agree, and what lies beyond is not changed by the join.
     """
     text = left + right
     cut = len(left)
     while True:
         lo, hi = max(0, cut - width), min(len(text), cut + width)
-        spaces = [m.start() for m in SPACE.finditer(text, lo, hi)]
+        spaces = [m.start() for m in encoder.joints.finditer(text, lo, hi)]
         begin = 0 if lo == 0 else next((x for x in spaces if x < cut), -1)
         end = len(text) if hi == len(text) else next((x for x in reversed(spaces) if x >= cut), -1)
         if begin >= 0 and end >= 0:
@@ -141,8 +176,10 @@ def encode_texts(docs: DataFrame, definition: str, text_column: str = "text", le
     * texts of up to ``leaf`` code points are encoded where they are.  Longer ones are cut into leaves of that many
       code points at whatever place that is, the leaves are spread over the cluster and encoded in parallel, and
       neighbours are joined as a binary tree, each join encoding a growing window around it again;
+    * a definition whose ids depend on white space is refused with a ValueError (``joints``);
     * repeated rows stay repeated; an empty table gives an empty table; other columns may have any name.
     """
+    joints(definition)
     prepared(docs.sparkSession)
     rows = packed(docs, (text_column,), text=text_column).withColumn("text", F.coalesce("text", F.lit("")))
     out = T.StructType([rows.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
