@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "conversations", "scalars", "predicates", "ordering", "gallery", "searching",
-    "content", "changes", "ingestion", "nested", "verification", "streams",
+    "content", "changes", "ingestion", "nested", "verification", "streams", "statements",
 )
 
 
