@@ -56,6 +56,11 @@ def latest(spark: SparkSession, base: str) -> DataFrame:
     return last_of_group(_table(spark, base, "latest", _LATEST), ["store", "record_id"], ["version"], ["sha", "capture"])
 
 
+def unseen(records: DataFrame, seen: DataFrame) -> DataFrame:
+    """Records of captures and stores not seen yet; ``seen`` (a row a store of a capture) goes to every task, or all records of a store would meet in one."""
+    return records.join(F.broadcast(seen), ["capture", "store"], "left_anti")
+
+
 def publish(base: str, records: DataFrame, messages: DataFrame, apply: bool = True) -> DataFrame:
     """Decodes embedded payloads, adds what is new and publishes it as the next version; returns one row of counts.
 
@@ -76,7 +81,7 @@ def publish(base: str, records: DataFrame, messages: DataFrame, apply: bool = Tr
     spark = records.sparkSession
     version = manifest(spark, base).agg(F.coalesce(F.max("version"), F.lit(-1)) + 1).first()[0]
     seen = _table(spark, base, "done", _DONE).select("capture", "store").distinct()
-    pending = records.join(seen, ["capture", "store"], "left_anti")
+    pending = unseen(records, seen)
 
     # names and types are read once; the bytes are decoded once and leave the staged table for the objects only
     v = F.col("record")
@@ -87,7 +92,10 @@ def publish(base: str, records: DataFrame, messages: DataFrame, apply: bool = Tr
         F.coalesce(named("fileName", "filename", "name"), F.lit("")).alias("reported"), F.coalesce(named("mimeType", "mime_type", "contentType", "content_type"), F.lit("")).alias("said"),
         F.coalesce(named("messageId", "message_id"), F.col("record_id")).alias("message_id"), named("conversationId", "conversation_id").alias("conversation_id"),
         F.coalesce(named("prompt"), F.lit("")).alias("prompt"), named("modelName", "model_name", "model", "modelId", "model_id").alias("model"))
-    found = inspect_objects(read.where(F.length("content") > 0), "content", "reported", "said").where("detected_mime <> 'application/octet-stream'")
+    # a condition on the content would decode it a second time; a list of one or none does not
+    filled = F.explode(F.filter(F.array("content"), lambda c: F.length(c) > 0)).alias("content")
+    filled = read.select(*(c for c in read.columns if c != "content"), filled)
+    found = inspect_objects(filled, "content", "reported", "said").where("detected_mime <> 'application/octet-stream'")
     staged = materialize(found.withColumn("sha", F.sha2("content", 256)).withColumn("ordinal", F.shiftleft("capture", 32) + F.col("line")), "payloads")
 
     earlier = latest(spark, base).select("store", "record_id", F.lit(-1).cast("bigint").alias("ordinal"), "sha")
