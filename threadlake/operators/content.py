@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import binascii
+import re
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from threadlake import constants as K
 from threadlake.functions import media as M
@@ -23,12 +26,41 @@ def unresolved(items: DataFrame, references: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- payloads
 
-def _base64_bytes(text: Column) -> Column:
-    """Bytes of base64 text, plain or in a data URL; other alphabets and missing padding are accepted."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?s)^data:[^;,]+;base64,", ""), r"[^A-Za-z0-9+/_-]", "")
-    standard = F.translate(body, "-_", "+/")
+_BASE64_URL = re.compile("^data:[^;,]+;base64,")
+_ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_STANDARD, _NO_BASE64 = bytes.maketrans(b"-_", b"+/"), bytes(set(range(256)) - set(_ALPHABET))
+
+
+def _from_base64(text: str) -> bytes:
+    body = _BASE64_URL.sub("", text, count=1).encode("utf-8", "replace").translate(_STANDARD, _NO_BASE64)
     # a single left-over character carries no byte
-    return F.unbase64(F.regexp_replace(standard, "^((?:.{4})*).$", "$1"))
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return binascii.a2b_base64(body + b"=" * (-len(body) % 4))
+
+
+@F.pandas_udf(BinaryType())
+def _base64_bytes(text: pd.Series) -> pd.Series:
+    """Bytes of base64 text, plain or in a data URL; other alphabets and missing padding are accepted."""
+    return text.map(lambda t: None if t is None else _from_base64(t))
+
+
+def _number_text(numbers: np.ndarray, keys: np.ndarray | None) -> bytes | None:
+    """Bytes of numbers without their fractions, modulo 256, in key order; what is no number, or is too large, is 0."""
+    if keys is not None:
+        places = {int(k): i for i, k in enumerate(keys) if k.isascii() and k.isdecimal()}
+        # other keys, keys too long for a number and equal ones, like 1 and 01, are rare
+        if len(places) < len(keys) or max(map(len, keys), default=39) > 38:
+            return None
+        numbers = numbers[[places[k] for k in sorted(places)]]
+    whole = np.trunc(np.asarray(numbers, np.float64))
+    whole = np.where(np.abs(whole) <= 2.0**63, np.minimum(whole, 2.0**63), 0)
+    return np.where(whole == 2.0**63, 255, whole % 256).astype(np.uint8).tobytes()
+
+
+@F.pandas_udf(BinaryType())
+def _plain_number_bytes(numbers: pd.Series, keys: pd.Series) -> pd.Series:
+    """Bytes of an array of numbers or, with keys, of an object; null where the general expressions have to look."""
+    return pd.Series([None if n is None else _number_text(n, k) for n, k in zip(numbers, keys)], dtype=object)
 
 
 def _whole(number: Column) -> Column:
@@ -43,29 +75,28 @@ def _number_bytes(numbers: Column) -> Column:
 
 
 def decode_payload(value: Column) -> Column:
-    """Bytes of a VARIANT payload: base64 or data URL, byte array, numeric-key object, encoded view."""
-    def view(v: Column) -> Column:
-        """Part of encoded bytes from an offset on."""
-        start = F.coalesce(R.as_text(R.child(v, "byteOffset")).try_cast("int"), F.lit(0))
-        length = F.coalesce(R.as_text(R.child(v, "length")).try_cast("int"), F.lit(2**31 - 1))
-        return F.when(R.child(v, "encoded").isNotNull(), F.substring(_base64_bytes(R.as_text(R.child(v, "encoded"))), start + 1, length))
+    """Bytes of a VARIANT payload: base64 or data URL, byte array, numeric-key object, encoded view.
 
+    Texts and lists of numbers are decoded by vectorized functions; lists that hold anything else by native expressions.
+    """
     def keyed(v: Column) -> Column:
         """Numbers of an object with numeric keys, in key order."""
         entries = F.map_entries(R.fields(v))
         numeric = F.filter(entries, lambda e: e["key"].rlike(r"^\d+$"))
         ordered = F.array_sort(F.transform(numeric, lambda e: F.struct(e["key"].try_cast("decimal(38,0)").alias("k"), _whole(e["value"]).alias("n"))))
-        return F.when(F.size(numeric) > 0, _number_bytes(F.transform(ordered, lambda e: e["n"])))
-
-    def decode(v: Column) -> Column:
-        kind = R.kind_of(v)
-        return (
-            F.when(kind == "string", _base64_bytes(R.as_text(v)))
-            .when(kind == "array", _number_bytes(F.transform(F.try_variant_get(v, "$", "array<variant>"), _whole)))
-            .when(kind == "object", F.coalesce(view(v), keyed(v)))
-        )
-
-    return R.bind(value, decode)
+        return R.bind(ordered, lambda o: F.when(F.size(o) > 0, _number_bytes(F.transform(o, lambda e: e["n"]))))
+
+    listed, members = F.try_variant_get(value, "$", "array<double>"), F.try_variant_get(value, "$", "map<string,double>")
+    # containers are never written as JSON, and their types not looked at: both cost far more than their numbers
+    scalar = listed.isNull() & members.isNull() & F.try_variant_get(value, "$", "array<variant>").isNull() & R.fields(value).isNull()
+    text = F.when(scalar, F.when(R.kind_of(value) == "string", R.as_text(value))).otherwise(R.as_text(R.child(value, "encoded")))
+    decoded = _base64_bytes(text)
+    start = F.coalesce(R.as_text(R.child(value, "byteOffset")).try_cast("int"), F.lit(0))
+    length = F.coalesce(R.as_text(R.child(value, "length")).try_cast("int"), F.lit(2**31 - 1))
+    viewed = R.child(value, "encoded").isNotNull()
+    plain = _plain_number_bytes(F.when(~viewed, F.coalesce(listed, F.map_values(members))), F.when(~viewed, F.map_keys(members)))
+    general = _number_bytes(F.transform(F.try_variant_get(value, "$", "array<variant>"), _whole))
+    return F.coalesce(F.when(viewed, F.substring(decoded, start + 1, length)).otherwise(decoded), plain, general, keyed(value))
 
 
 # JPEG markers (fixed values): start of image, end of image, start of scan; those without a length; frame headers

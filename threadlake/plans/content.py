@@ -1,5 +1,6 @@
 """Queries for content addressing, digests, duplicates and recovery."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from threadlake.functions import records as R
@@ -150,19 +151,27 @@ def duplicate_audit(t: Tables):
     return V.duplicate_audit(files, pool(t), declared, references)
 
 
+@F.pandas_udf("string")
+def _listed(text: pd.Series) -> pd.Series:
+    """UTF-8 bytes of a text as a JSON array of numbers."""
+    return text.map(lambda t: None if t is None else f"[{','.join(map(str, t.encode()))}]")
+
+
+@F.pandas_udf("string")
+def _keyed(text: pd.Series) -> pd.Series:
+    """UTF-8 bytes of a text as a JSON object with numeric keys."""
+    return text.map(lambda t: None if t is None else "{" + ",".join(f'"{i}":{n}' for i, n in enumerate(t.encode())) + "}")
+
+
 @query("L1_decode_payloads", """
     select doc_id, case when doc_id % 5 = 4 then sha256(substring(sha256(text), 3, 5)) else sha256(text) end as sha from {documents}""")
 def decode_payloads(t: Tables):
     """Whole texts in every encoding a store uses: base64, data URL, number list, numeric keys; and a view of a hash."""
     encoded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s+", "")  # one line, as JSON needs it
-    pairs = F.filter(F.split(F.hex("text"), r"(?<=\G.{2})"), lambda p: p != "")
-    numbers = F.transform(pairs, lambda p: F.conv(p, 16, 10))
-    listed = F.concat(F.lit("["), F.array_join(numbers, ","), F.lit("]"))
-    keyed = F.concat(F.lit("{"), F.array_join(F.transform(numbers, lambda n, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), n)), ","), F.lit("}"))
     kind = F.col("doc_id") % 5
     quoted = lambda head, text: F.concat(F.lit(f'"{head}'), text, F.lit('"'))
     payload = F.when(kind == 0, quoted("", encoded)).when(kind == 1, quoted("data:image/png;base64,", encoded)) \
-        .when(kind == 2, listed).when(kind == 3, keyed) \
+        .when(kind == 2, _listed(F.when(kind == 2, F.col("text")))).when(kind == 3, _keyed(F.when(kind == 3, F.col("text")))) \
         .otherwise(F.concat(F.lit('{"encoded":"'), F.regexp_replace(F.base64(F.sha2("text", 256).cast("binary")), r"\s+", ""), F.lit('","byteOffset":2,"length":5}')))
     rows = t.documents.select("doc_id", R.parse(payload).alias("payload"))
     return rows.select("doc_id", F.sha2(C.decode_payload(F.col("payload")), 256).alias("sha"))
