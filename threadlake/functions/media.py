@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadlake import constants as K
+from threadlake.functions.records import bind
 from threadlake.functions.scalars import clean
 
 
@@ -208,18 +209,24 @@ def is_attachment_reference(url: Column, hint: Column, type_hint: Column, has_fi
     )
 
 
-def is_base64_text(text: Column) -> Column:
-    """Base64 alphabet, possible length, no placeholder marker."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+def _without_space(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+
+
+def _is_base64(body: Column) -> Column:
     return (
         (body != "") & ~body.startswith("__") & ~body.contains("__ENCRYPTED")
         & (F.length(body) % 4 != 1) & body.rlike("^[A-Za-z0-9+/_-]*={0,2}$")
     )
 
 
+def is_base64_text(text: Column) -> Column:
+    """Base64 alphabet, possible length, no placeholder marker."""
+    return bind(_without_space(text), _is_base64)
+
+
 def is_base64_payload(text: Column) -> Column:
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    return (F.length(body) >= 16) & is_base64_text(text)
+    return bind(_without_space(text), lambda body: (F.length(body) >= 16) & _is_base64(body))
 
 
 def extension_of(name: Column) -> Column:

@@ -531,7 +531,9 @@ def deep_payloads(df: DataFrame, keys: list[str], record: str = "record", depth:
             data, R.as_text(F.try_element_at(members, F.lit("mimeType")))))
 
     found = F.when(F.col("text").isNotNull(), R.bind(F.trim("text"), of_text)).otherwise(R.bind(R.fields(F.col("value")), of_object))
-    return rows.select(*keys, "path", "trail", found.alias("found")).where("found.base64 <> ''").select(
+    # a condition on what was found would find it a second time; a list of one or none does not
+    found = F.filter(F.array(found), lambda f: f["base64"] != "")
+    return rows.select(*keys, "path", "trail", F.explode(found).alias("found")).select(
         *keys, "path", "trail", F.regexp_replace("found.base64", r"\s+", "").alias("base64"), "found.mime_type")
 
 
