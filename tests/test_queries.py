@@ -1,5 +1,9 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from tests.compare import compare, connect
@@ -32,3 +36,9 @@ def test_every_query_has_a_twin():
 def test_entry(spark):
     df = entry(spark)
     assert df.count() > 0 and "message_count" in df.columns
+
+
+def test_queries_are_read_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
