@@ -75,6 +75,16 @@ def test_alignment_is_the_largest():
         assert len(found) == largest(a, b) and len(set(found.values())) == len(found)
 
 
+def test_alignment_of_long_lists_is_the_largest(monkeypatch):
+    a = "<div>" + "<ul><li></ul>" * 130 + "<p></p><section><i></i></section>" * 70 + "</div>"
+    b = "<div>" + "<ol><li></ol>" * 60 + "<section><b></b></section><p></p>" * 90 + "<ul><li><li></ul>" * 20 + "</div>"
+    a, b = H.read(a)[0], H.read(b)[0]
+    found = H.align(a, b)
+    assert len(found) == largest(a, b) and len(set(found.values())) == len(found)
+    monkeypatch.setattr(H, "KNOWN", 1)
+    assert H.align(a, b) == found
+
+
 def pages(n, hosts=2):
     rng = random.Random(1)
     word = lambda k: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(k))

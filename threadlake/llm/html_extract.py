@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections import OrderedDict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -19,8 +21,8 @@ BROADCAST_BYTES = 32 << 20
 MIN_TITLES, MIN_SHARE = 5, 0.5
 #: Elements nested deeper are placed beside each other; no text is lost.
 DEPTH = 200
-#: Child lists whose product is larger are aligned in order instead of by the table.
-TABLE = 10_000
+#: Sizes of matchings that an alignment remembers; what is beyond is counted again.
+KNOWN = 1 << 18
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template noscript iframe svg math xmp noembed noframes".split())
@@ -60,12 +62,12 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "rest", "parent", "parts", "depth", "shape", "number")
+    __slots__ = ("tag", "rest", "parent", "parts", "depth", "shape", "size", "number")
 
     def __init__(self, tag: str, rest: str, parent: "Node | None"):
         self.tag, self.rest, self.parent, self.parts = tag, rest, parent, []
         self.depth = parent.depth + 1 if parent is not None else 0
-        self.shape, self.number = 0, -1
+        self.shape, self.size, self.number = 0, 1, -1
 
     def elements(self) -> list["Node"]:
         return [x for x in self.parts if isinstance(x, Node)]
@@ -141,9 +143,11 @@ def preorder(root: Node) -> list[Node]:
 
 
 def shape(nodes: list[Node]) -> None:
-    """Fingerprint of the element structure below each node, and nothing of its text."""
+    """Fingerprint of the element structure below each node, and nothing of its text, and the number of its elements."""
     for node in reversed(nodes):
-        node.shape = hash((node.tag, tuple(x.shape for x in node.elements())))
+        inside = node.elements()
+        node.shape = hash((node.tag, tuple(x.shape for x in inside)))
+        node.size = 1 + sum(x.size for x in inside)
 
 
 def attributes(node: Node) -> dict[str, str]:
@@ -241,63 +245,89 @@ def is_region(node: Node) -> bool:
 def align(page: Node, pivot: Node) -> dict[int, int]:
     """Page node number to pivot node number by simple tree matching.
 
-    The largest matching that keeps order and parents.  Subtrees of one shape match as they are; equal ends of two
-    child lists are matched before the table over the rest is filled.
+    The largest matching that keeps order and parents, whatever the length of the child lists.  Subtrees of one shape match as
+    they are; equal ends of two child lists are matched before the table over the rest is filled.  Time grows with the
+    product of two lists; memory with the longer one and a root of the other, as only some rows of a table are kept and
+    the ones between are filled again on the way back.
     """
-    out: dict[int, int] = {}
-
-    def whole(a: Node, b: Node) -> list[tuple[int, int]]:
-        pairs, stack = [], [(a, b)]
-        while stack:
-            x, y = stack.pop()
-            pairs.append((x.number, y.number))
-            stack.extend(zip(x.elements(), y.elements()))
-        return pairs
+    known: dict[tuple[int, int], int] = {}
 
-    def match(a: Node, b: Node) -> list[tuple[int, int]]:
-        if a.shape == b.shape:
-            return whole(a, b)
-        pairs = [(a.number, b.number)]
+    def inner(a: Node, b: Node) -> tuple[list[Node], list[Node], list[tuple[Node, Node]]]:
+        """Child lists without their equal ends, and the pairs of those."""
         left, right = a.elements(), b.elements()
-        while left and right and left[0].shape == right[0].shape:
-            pairs += whole(left[0], right[0])
-            left, right = left[1:], right[1:]
-        while left and right and left[-1].shape == right[-1].shape:
-            pairs += whole(left[-1], right[-1])
-            left, right = left[:-1], right[:-1]
-        if not left or not right:
-            return pairs
-        if len(left) * len(right) > TABLE:
-            j = 0
-            for x in left:
-                k = next((k for k in range(j, min(j + 50, len(right))) if right[k].tag == x.tag), None)
-                if k is not None:
-                    pairs += match(x, right[k])
-                    j = k + 1
-            return pairs
-        best = [[0] * (len(right) + 1)]
-        found: dict[tuple[int, int], list] = {}
-        for i, x in enumerate(left):
-            row = [0]
-            for j, y in enumerate(right):
-                value = max(best[i][j + 1], row[j])
-                if x.tag == y.tag:
-                    found[i, j] = match(x, y)
-                    value = max(value, best[i][j] + len(found[i, j]))
-                row.append(value)
-            best.append(row)
-        i, j = len(left), len(right)
+        short, low, high = min(len(left), len(right)), 0, 0
+        while low < short and left[low].shape == right[low].shape:
+            low += 1
+        while high < short - low and left[-1 - high].shape == right[-1 - high].shape:
+            high += 1
+        ends = [*zip(left[:low], right[:low]), *zip(left[len(left) - high:], right[len(right) - high:])]
+        return left[low:len(left) - high], right[low:len(right) - high], ends
+
+    def size(a: Node, b: Node) -> int:
+        """Pairs of the largest matching of two subtrees."""
+        if a.tag != b.tag:
+            return 0
+        if a.shape == b.shape:
+            return a.size
+        key = (a.shape, b.shape)
+        if key not in known:
+            left, right, ends = inner(a, b)
+            total = 1 + sum(x.size for x, _ in ends)
+            if left and right:
+                for row in filled(left, right, {}, np.zeros(len(right) + 1, np.int32)):
+                    pass
+                total += int(row[-1])
+            if len(known) >= KNOWN:
+                known.clear()
+            known[key] = total
+        return known[key]
+
+    def filled(left: list[Node], right: list[Node], lines: dict[int, np.ndarray], row: np.ndarray):
+        """Rows of the table after ``row``, one a node of ``left``: sizes for the first nodes of ``right``."""
+        kinds = {y.shape: y for y in right}
+        places = {shape: i for i, shape in enumerate(kinds)}
+        codes = np.fromiter((places[y.shape] for y in right), np.int64, len(right))
+        for x in left:
+            if x.shape not in lines:
+                if len(lines) * len(right) >= KNOWN:
+                    lines.clear()
+                lines[x.shape] = np.array([size(x, y) for y in kinds.values()], np.int32)[codes]
+            before, row = row, np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(before[1:], before[:-1] + lines[x.shape]), out=row[1:])
+            yield row
+
+    def chosen(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        """Pairs of two child lists in the largest matching."""
+        step, lines = math.isqrt(len(left)) + 1, {}
+        kept = [np.zeros(len(right) + 1, np.int32)]
+        kept.extend(row for i, row in enumerate(filled(left, right, lines, kept[0]), 1) if i % step == 0)
+        pairs, i, j = [], len(left), len(right)
         while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs += found[i, j]
+            start = (i - 1) // step * step
+            rows = [kept[start // step], *filled(left[start:i], right, lines, kept[start // step])]
+            while i > start and j:
+                here, above = rows[i - start], rows[i - start - 1]
+                if here[j] == above[j]:
+                    i -= 1
+                elif here[j] == here[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((left[i], right[j]))
         return pairs
 
-    out.update(match(page, pivot))
+    out: dict[int, int] = {}
+    stack = [(page, pivot)]
+    while stack:
+        a, b = stack.pop()
+        out[a.number] = b.number
+        if a.shape == b.shape:
+            stack.extend(zip(a.elements(), b.elements()))
+            continue
+        left, right, ends = inner(a, b)
+        stack.extend(ends)
+        if left and right:
+            stack.extend(chosen(left, right))
     return out
 
 
