@@ -92,6 +92,13 @@ def media_identity(source_recovery: Column) -> Column:
 
 
 def recover_messages(existing: DataFrame, imported: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of an import whose key is unknown, once each: what applying the import would add."""
-    fresh = imported.join(existing.select(*keys).distinct(), list(keys), "left_anti")
-    return keep_first(fresh, keys, order)
+    """Rows of an import whose key is unknown, once each: what applying the import would add.
+
+    Known keys and imported rows meet in one aggregation, which combines them map-side: no join, no table of distinct keys.
+    """
+    keys, payload = list(keys), [c for c in imported.columns if c not in keys]
+    known = existing.select(*keys).dropna(subset=keys).withColumn("_known", F.lit(True))
+    rows = imported.withColumn("_known", F.lit(False)).unionByName(known, allowMissingColumns=True)
+    best = F.min(F.when(~F.col("_known"), F.struct(*order, *[c for c in payload if c not in order]))).alias("_best")
+    fresh = rows.groupBy(*keys).agg(best, F.bool_or("_known").alias("_known")).where(~F.col("_known"))
+    return fresh.select(*[F.col(k).cast(imported.schema[k].dataType).alias(k) for k in keys], *[F.col(f"_best.{c}").alias(c) for c in payload])

@@ -24,11 +24,22 @@ RUNTIME_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Sizes on disk that a task gets at most.  Narrow rows take twenty times as much in a sort or a hash table, so the usual
+# 64 and 128 MB would let the memory of a task grow to gigabytes; smaller values of a cluster are kept.
+TASK_BYTES = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20, "spark.sql.files.maxPartitionBytes": 32 << 20}
+
+
+def _bytes(spark: SparkSession, text: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in TASK_BYTES.items():
+        if _bytes(spark, spark.conf.get(key)) > value:
+            spark.conf.set(key, str(value))
     return spark
 
 
