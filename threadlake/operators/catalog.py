@@ -68,11 +68,12 @@ def build_catalog(conversations: DataFrame, messages: DataFrame, media: DataFram
     empty = merged.where(F.col("id") == RECOVERED).join(catch_all, "id", "left_anti")
     merged = merged.join(empty.select("id"), "id", "left_anti")
 
-    # each stage reads its input several times, so its result is written once instead of derived again
-    files = materialize(merge_media(media, has_capture).withColumn("media_id", F.col("media_key")), "media")
-    files = G.recover_by_hash(files).withColumn("is_thumbnail", M.is_thumbnail(F.col("original_path"), F.col("file_name"))) \
+    # each stage reads its input several times, so its result is written once instead of derived again; prompts are whole
+    # texts, so they stay in the first table and meet the rows that are shown at the end: every row has an id of its own
+    linked = materialize(G.inherit_from_message(merge_media(media, has_capture).withColumn("media_id", F.col("media_key")), said), "media")
+    files = G.recover_by_hash(linked.drop("prompt")).withColumn("is_thumbnail", M.is_thumbnail(F.col("original_path"), F.col("file_name"))) \
         .withColumn("stem", M.thumbnail_stem(F.col("original_path"), F.col("file_name")))
-    shown = G.suppress_covered(materialize(G.inherit_from_message(files, said), "linked"))
+    shown = G.suppress_covered(materialize(files, "linked"))
     own_model = shown.withColumnRenamed("model", "own_model")
     placed = materialize(G.display_message(own_model, said).withColumn(
         "model", F.when(F.col("disposition") != "input", F.coalesce("own_model", "model"))).drop("own_model"), "placed")
@@ -82,4 +83,5 @@ def build_catalog(conversations: DataFrame, messages: DataFrame, media: DataFram
     conversations_out = rolled.select(
         "id", "title", "kind", "message_count", "media_count", "models",
         F.coalesce("_preview", "preview").alias("preview"), "created_ms", F.coalesce("_updated", "updated_ms").alias("updated_ms"))
-    return Catalog(conversations_out, said, L.with_conversation(placed, conversations_out))
+    prompted = placed.join(linked.select("media_id", "prompt"), "media_id", "left")
+    return Catalog(conversations_out, said, L.with_conversation(prompted, conversations_out))
