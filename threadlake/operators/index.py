@@ -19,6 +19,8 @@ from threadlake.session import materialize
 K1, B = 1.2, 0.75
 #: Folders into which terms are dealt, and documents that share a posting block, at most.
 SHARDS, BLOCK = 16, 1024
+#: Words of a posting block, unless one document has more: what a worker holds at once follows from it.
+WORDS = 1 << 20
 #: Blocks that are scored first for a query; what they reach decides which others are read at all.
 FIRST = 4
 
@@ -58,18 +60,32 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Posting blocks of some documents (doc_id, words) at a time; a null word is a gap."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
+        for part in _parts(batch):
             number += 1
-            yield _block(batch.slice(at, BLOCK), number)
+            yield _block(part, number)
+        # what Arrow keeps of a batch is given back, so a worker that has seen many is no larger than after the first
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``BLOCK`` documents and, unless one document has more, of ``WORDS`` words."""
+    ends = np.cumsum(np.asarray(pc.list_value_length(batch.column("words")).fill_null(0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + BLOCK, max(at + 1, int(np.searchsorted(ends, before + WORDS, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def _block(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
     words = batch.column("words")
     sizes = np.asarray(pc.list_value_length(words), np.int64)
     coded = pc.dictionary_encode(words.flatten())
-    terms, codes = coded.dictionary, np.asarray(coded.indices.fill_null(-1), np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    terms, codes = coded.dictionary, np.asarray(coded.indices.fill_null(-1), np.int32)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     real = codes >= 0
     length = np.bincount(doc[real], minlength=len(sizes))
     order = np.flatnonzero(real)
